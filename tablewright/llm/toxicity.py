@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import text_chunks
+from tablewright.llm.common import text_chunks, write
 
 BUCKETS = 1 << 20
 WORD = re.compile(r"\w+")
@@ -105,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: i
     toxic = labels.where((F.col("toxic") == 1) & (lot(1) < round(million * min(1.0, positives / max(1, n_pos))))).select("doc_id").distinct()
     share = min(1.0, unlabelled / max(1, docs.select("doc_id").count()))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select("text", F.lit(True).alias("p")).unionByName(texts.where(lot(2) < round(million * share)).select("text", F.lit(False).alias("p"))).dropDuplicates(["text", "p"])
+    sample = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select("text", F.lit(True).alias("p")).unionByName(texts.where(lot(2) < round(million * share)).select("text", F.lit(False).alias("p")))
+    sample = write(sample.dropDuplicates(["text", "p"])).df
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, words, rows = np.zeros((2, BUCKETS), np.int64), Words(), [0, 0]
