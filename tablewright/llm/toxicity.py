@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,28 +32,35 @@ def traits(word: str) -> list[int]:
 
 
 class Words:
-    """Traits by word, for the words met lately."""
+    """Features of texts. A trait makes up to three: that it occurs, that it occurs twice or more, and that it
+    does so at least once in `dense` words, numbered trait, BUCKETS + trait and 2 x BUCKETS + trait.
+    The traits of words met lately are kept."""
 
-    def __init__(self, only: np.ndarray | None = None, most: int = 200_000) -> None:
+    def __init__(self, only: np.ndarray | None = None, dense: int = 150, most: int = 200_000) -> None:
         self.index = None if only is None else {int(b): i for i, b in enumerate(only)}
+        self.bases = None if only is None else {int(b) % BUCKETS for b in only}
         self.cache: dict[str, list[int]] = {}
-        self.most = most
+        self.dense, self.most = dense, most
 
     def of(self, text: bytes) -> list[int]:
-        """The distinct traits of a text; places in `only` if that is given."""
+        """The distinct features of a text; places in `only` if that is given."""
         if len(self.cache) > self.most:
             self.cache.clear()
-        found: set[int] = set()
-        for word in set(WORD.findall(text.decode("utf-8", "replace").lower())):
+        words = WORD.findall(text.decode("utf-8", "replace").lower())
+        times: dict[int, int] = {}
+        for word, n in Counter(words).items():
             known = self.cache.get(word)
             if known is None:
                 known = traits(word)
-                if self.index is not None:
-                    known = [self.index[b] for b in known if b in self.index]
+                if self.bases is not None:
+                    known = [b for b in known if b in self.bases]
                 self.cache[word] = known
-            if known:
-                found.update(known)
-        return sorted(found)
+            for b in known:
+                times[b] = times.get(b, 0) + n
+        found = list(times)
+        found += [BUCKETS + b for b, n in times.items() if n > 1]
+        found += [2 * BUCKETS + b for b, n in times.items() if n > 1 and n * self.dense >= len(words)]
+        return found if self.index is None else [self.index[b] for b in found if b in self.index]
 
 
 def nn_pu_fit(positive: list[list[int]], unlabelled: list[list[int]], width: int, prior: float, rounds: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -87,52 +95,85 @@ def nn_pu_fit(positive: list[list[int]], unlabelled: list[list[int]], width: int
     return w[:width], float(w[width])
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, features: int = 4096, least_documents: int = 5, least_evidence: float = 30.0) -> Model:
+def calibrate(margin: np.ndarray, toxic: np.ndarray, prior: float, rounds: int = 200) -> tuple[float, float]:
+    """Slope and intercept that turn a margin into a probability, by Newton steps on the logistic loss of
+    labelled rows, weighted so that toxic ones make up `prior` of them; a slight ridge keeps them finite."""
+    if not toxic.any() or toxic.all():
+        return 1.0, 0.0
+    x = np.column_stack([margin, np.ones(len(margin))])
+    weight = np.where(toxic, prior / toxic.sum(), (1 - prior) / (~toxic).sum())
+    theta = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        g = x.T @ (weight * (p - toxic)) + 1e-3 * (theta - [1.0, 0.0])
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        theta -= np.clip(step, -0.5, 0.5)
+        if abs(step).max() < 1e-8:
+            break
+    return float(theta[0]), float(theta[1])
+
+
+def train(positive: list[list[int]], unlabelled: list[list[int]], negative: list[list[int]], buckets: np.ndarray, prior: float) -> Model:
+    weights, bias = nn_pu_fit(positive, unlabelled, len(buckets), prior)
+    margin = np.array([bias + weights[r].sum() for r in positive + negative])
+    slope, shift = calibrate(margin, np.arange(len(margin)) < len(positive), prior)
+    return Model(buckets, slope * weights, slope * bias + shift, prior)
+
+
+POSITIVE, UNLABELLED, NEGATIVE = 2, 1, 0
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, negatives: int = 4000, features: int = 4096, least_documents: int = 5, least_evidence: float = 30.0) -> Model:
     """A toxicity model from confirmed toxic documents and documents without regard to label.
 
     The classifier is fitted on a bounded sample, drawn by a hash of the doc_id: about `positives` rows labelled
     toxic and about `unlabelled` rows of docs, whatever their labels. Class prior: the share of toxic rows
-    among all labelled ones. Copies of a text count once. The traits that are at least three times as
+    among all labelled ones. Copies of a text count once. The features that are at least three times as
     frequent among the positive rows, with a likelihood ratio statistic of `least_evidence` or more against
-    equal frequency, make the classifier, the `features` strongest of them. Only these bounded sets reach
-    the driver.
+    equal frequency, make the classifier, the `features` strongest of them. About `negatives` rows labelled
+    not toxic serve only to turn its margin into a probability. Only these bounded sets reach the driver.
     """
     labels = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
     counts = labels.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
-    n_pos, prior = counts["p"] or 0, min(0.99, max(0.001, (counts["p"] or 0) / max(1, counts["n"])))
+    n_pos, n_neg = counts["p"] or 0, counts["n"] - (counts["p"] or 0)
+    prior = min(0.99, max(0.001, n_pos / max(1, counts["n"])))
     million = 1_000_000
-    lot = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(million))
-    toxic = labels.where((F.col("toxic") == 1) & (lot(1) < round(million * min(1.0, positives / max(1, n_pos))))).select("doc_id").distinct()
-    share = min(1.0, unlabelled / max(1, docs.select("doc_id").count()))
+    drawn = lambda seed, most, of: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(million)) < round(million * min(1.0, most / max(1, of)))
+    known = labels.where(((F.col("toxic") == 1) & drawn(1, positives, n_pos)) | ((F.col("toxic") != 1) & drawn(3, negatives, n_neg)))
+    known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, POSITIVE).otherwise(NEGATIVE)).alias("kind"))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(toxic), "doc_id", "left_semi").select("text", F.lit(True).alias("p")).unionByName(texts.where(lot(2) < round(million * share)).select("text", F.lit(False).alias("p")))
-    sample = write(sample.dropDuplicates(["text", "p"])).df
+    chosen = texts.where(drawn(2, unlabelled, docs.select("doc_id").count()))
+    sample = texts.join(F.broadcast(known), "doc_id").select("text", "kind").unionByName(chosen.select("text", F.lit(UNLABELLED).alias("kind")))
+    sample = write(sample.dropDuplicates(["text", "kind"])).df
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words, rows = np.zeros((2, BUCKETS), np.int64), Words(), [0, 0]
+        seen, words, rows = np.zeros((2, 3 * BUCKETS), np.int32), Words(), [0, 0]
         for batch, chunk in text_chunks(batches):
-            for text, p in zip(chunk, batch.column("p").to_pylist()):
-                seen[int(p), words.of(text)] += 1
-                rows[int(p)] += 1
+            for text, kind in zip(chunk, batch.column("kind").to_pylist()):
+                if kind != NEGATIVE:
+                    seen[int(kind == POSITIVE), words.of(text)] += 1
+                    rows[int(kind == POSITIVE)] += 1
         at = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[1, at], rows[1])), pa.array(np.append(seen[0, at], rows[0]))], names=["bucket", "p", "u"])
+        columns = np.append(at, -1), np.append(seen[1, at], rows[1]), np.append(seen[0, at], rows[0])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["bucket", "p", "u"])
 
     found = sample.mapInArrow(tally, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    found = write(found.where(F.col("p") >= F.when(F.col("bucket") < 0, 0).otherwise(least_documents))).df
     size = found.where("bucket = -1").first()
     n_p, n_u = (max(1, size["p"]), max(1, size["u"])) if size else (1, 1)
     expected = F.greatest(F.col("u"), F.lit(1)) * (n_p / n_u)
     evidence = 2 * (F.col("p") * F.log(F.col("p") / expected) - F.col("p") + expected)
-    chosen = found.where((F.col("bucket") >= 0) & (F.col("p") >= least_documents) & (F.col("p") >= 3 * expected) & (evidence >= least_evidence)).orderBy(evidence.desc(), "bucket").limit(features)
-    buckets = np.sort(np.array([r["bucket"] for r in chosen.select("bucket").collect()], np.int64))
+    strong = found.where((F.col("bucket") >= 0) & (F.col("p") >= 3 * expected) & (evidence >= least_evidence)).orderBy(evidence.desc(), "bucket").limit(features)
+    buckets = np.sort(np.array([r["bucket"] for r in strong.select("bucket").collect()], np.int64))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(buckets)
         for batch, chunk in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array([words.of(t) for t in chunk], pa.list_(pa.int64()))], names=["p", "traits"])
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array([words.of(t) for t in chunk], pa.list_(pa.int64()))], names=["kind", "features"])
 
-    rows = sample.mapInArrow(reduce, "p boolean, traits array<long>").collect()
-    weights, bias = nn_pu_fit([r["traits"] for r in rows if r["p"]], [r["traits"] for r in rows if not r["p"]], len(buckets), prior)
-    return Model(buckets, weights, bias, prior)
+    rows = sample.mapInArrow(reduce, "kind int, features array<long>").collect()
+    return train(*([r["features"] for r in rows if r["kind"] == kind] for kind in (POSITIVE, UNLABELLED, NEGATIVE)), buckets, prior)
 
 
 def score_texts(model: Model, texts: list[bytes], words: Words | None = None) -> np.ndarray:
@@ -144,7 +185,7 @@ def score_texts(model: Model, texts: list[bytes], words: Words | None = None) ->
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `toxicity`, a double from 0 to 1, added for each whole text.
 
-    Null and empty texts get the score of a text without traits. Every row comes out with its own columns,
+    Null and empty texts get the score of a text without features. Every row comes out with its own columns,
     among which `toxicity` must not be.
     """
     if "toxicity" in docs.columns:
