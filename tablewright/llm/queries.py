@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, language, packing, simhash, toxicity
+from tablewright.llm import audio, exact_dedup, html, language, packing, sentencepiece, sharding, simhash, toxicity, warc
 from tablewright.llm.common import fold, table
 
 
@@ -25,6 +25,42 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42, max_bits=2)
 
 
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recordings are the documents' UTF-8 bytes as 8-bit PCM at 8 kHz, the only sound that the tables hold."""
+    docs = table(spark, sf_dir, "documents")
+    return audio.align(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("audio")))
+
+
+SHARDS = [f"shard-{k:02d}" for k in range(64)]
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard")
+
+
+OP4_SQL = """
+WITH RECURSIVE sizes AS (SELECT 6421 AS size, 64 AS n),
+shards AS (
+    SELECT k, 'shard-' || lpad(k::VARCHAR, 2, '0') AS shard,
+           ('0x' || substr(md5('shard-' || lpad(k::VARCHAR, 2, '0')), 1, 15))::BIGINT % 6421 AS start,
+           ('0x' || substr(md5('shard-' || lpad(k::VARCHAR, 2, '0')), 16, 15))::BIGINT % 6420 + 1 AS step
+    FROM range(64) AS r(k)),
+claims AS (
+    SELECT -1 AS turn, CAST(NULL AS BIGINT) AS slot, list_transform(range(6421), lambda x: false) AS taken
+    UNION ALL
+    SELECT turn, slot, taken[1:slot] || [true] || taken[slot + 2:]
+    FROM (SELECT c.turn + 1 AS turn, c.taken,
+                 list_filter(list_transform(range(6421), lambda j: (s.start + j * s.step) % 6421), lambda x: NOT c.taken[x + 1])[1] AS slot
+          FROM claims c JOIN shards s ON s.k = (c.turn + 1) % 64
+          WHERE c.turn + 1 < 6421) t),
+filled AS (SELECT slot, shard FROM claims JOIN shards ON k = turn % 64 WHERE turn >= 0)
+SELECT doc_id, slot::INTEGER AS slot, shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 6421 AS slot FROM documents) d
+JOIN filled USING (slot)
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).deduplicate(table(spark, sf_dir, "documents"))
 
@@ -37,6 +73,16 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = sentencepiece.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     seen = fold("doc_id", 4) != 2
     return toxicity.fit(table(spark, sf_dir, "documents").where(seen), table(spark, sf_dir, "labels").where(seen))
@@ -58,12 +104,47 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as WARC files against a replica in which every page whose id leaves 5 modulo 97 has one byte changed
+    or, for the empty ones, added, and every page whose id leaves 7 modulo 1009 is lost."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damaged = F.concat(F.lit("#"), F.expr("substring(coalesce(html, ''), 2)"))
+    replica = pages.where(~F.coalesce(F.col("page_id") % 1009 == 7, F.lit(False))).withColumn("html", F.when(F.col("page_id") % 97 == 5, damaged).otherwise(F.col("html")))
+    return warc.audit(warc.page_records(pages), warc.page_records(replica))
+
+
+OP10_SQL = """
+WITH records AS (
+    SELECT page_id, 'pages-' || (page_id // 1000)::VARCHAR || '.warc' AS file, page_id % 1000 AS position, coalesce(html, '') AS html,
+           'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+           || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' AS head
+    FROM pages),
+both_ AS (
+    SELECT *, head || strlen(html) || repeat(chr(13) || chr(10), 2) || html || repeat(chr(13) || chr(10), 2) AS ours,
+           '#' || substr(html, 2) AS changed FROM records),
+placed AS (
+    SELECT *, sum(strlen(ours)) OVER (PARTITION BY file ORDER BY position) AS last,
+           CASE WHEN page_id % 1009 = 7 THEN NULL
+                WHEN page_id % 97 = 5 THEN head || strlen(changed) || repeat(chr(13) || chr(10), 2) || changed || repeat(chr(13) || chr(10), 2)
+                ELSE ours END AS theirs FROM both_)
+SELECT file, position, (last - strlen(ours))::BIGINT AS first, last::BIGINT AS last,
+       CASE WHEN theirs IS NULL THEN 'missing' ELSE 'corrupt' END AS status,
+       sha256(ours) AS primary_hash, sha256(theirs) AS replica_hash
+FROM placed WHERE theirs IS DISTINCT FROM ours
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
+    "op3_chroma_fingerprints": op3_chroma_fingerprints,
+    "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
+    "op10_warc_audit": op10_warc_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sharding": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc_audit": OP10_SQL}
