@@ -33,7 +33,8 @@ def leaves(records: DataFrame) -> DataFrame:
     Rows that share a place are one leaf whose hash covers all of them in any order: their number, least and
     greatest hash and the exclusive-or of their hashes' words.
     """
-    hashed = records.select("file", "position", F.sha2(F.coalesce(F.col("record").cast("string"), F.lit("")), 256).alias("hash"), F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("bytes"))
+    dealt = records.select("file", "position", F.sha2(F.coalesce(F.col("record").cast("string"), F.lit("")), 256).alias("hash"), F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("bytes"))
+    hashed = dealt.repartition("file")  # at most records_per_file places: grouping, offsets and levels follow without another exchange
     words = [F.expr(f"bit_xor(cast(conv(substring(hash, {16 * k + 1}, 15), 16, 10) as bigint))").alias(f"w{k}") for k in range(4)]
     merged = hashed.groupBy("file", "position").agg(F.count("*").alias("n"), F.min("hash").alias("least"), F.max("hash").alias("most"), F.sum("bytes").alias("bytes"), *words)
     several = F.sha2(F.concat_ws("|", "n", "least", "most", "w0", "w1", "w2", "w3"), 256)
@@ -41,16 +42,17 @@ def leaves(records: DataFrame) -> DataFrame:
     return merged.select("file", F.lit(0).alias("level"), F.col("position").alias("node"), (end - F.col("bytes")).alias("first"), end.alias("last"), F.when(F.col("n") == 1, F.col("least")).otherwise(several).alias("hash"))
 
 
-def tree(records: DataFrame, fanout: int, depth: int) -> list[Written]:
-    """The levels of every file's tree, from leaves to root, each written to the shared folder. A node hashes
+def tree(records: DataFrame, fanout: int, depth: int) -> Written:
+    """All levels of every file's tree, from leaves (0) to root (depth), written to the shared folder. A node hashes
     the numbers and hashes of its at most `fanout` children in order and spans their offsets."""
-    levels = [write(leaves(records))]
-    for level in range(1, depth + 1):
-        child = F.struct("node", "hash")
-        up = levels[-1].df.groupBy("file", F.floor(F.col("node") / fanout).alias("parent")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sort_array(F.collect_list(child)).alias("children"))
+    level = leaves(records)
+    levels = level
+    for n in range(1, depth + 1):
+        up = level.groupBy("file", F.floor(F.col("node") / fanout).alias("parent")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("children"))
         joined = F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])), "|")
-        levels.append(write(up.select("file", F.lit(level).alias("level"), F.col("parent").alias("node"), "first", "last", F.sha2(joined, 256).alias("hash"))))
-    return levels
+        level = up.select("file", F.lit(n).alias("level"), F.col("parent").alias("node"), "first", "last", F.sha2(joined, 256).alias("hash"))
+        levels = levels.unionByName(level)
+    return write(levels)
 
 
 def audit(primary: DataFrame, replica: DataFrame, records_per_file: int = 1000, fanout: int = 16) -> DataFrame:
@@ -66,7 +68,7 @@ def audit(primary: DataFrame, replica: DataFrame, records_per_file: int = 1000,
     ours, theirs = tree(primary, fanout, depth), tree(replica, fanout, depth)
     suspects = None
     for level in range(depth, -1, -1):
-        side = lambda t, n: t[level].df.select("file", "node", *[F.col(c).alias(f"{n}_{c}") for c in ("first", "last", "hash")])  # noqa: E731, B023
+        side = lambda t, n: t.df.where(F.col("level") == level).select("file", "node", *[F.col(c).alias(f"{n}_{c}") for c in ("first", "last", "hash")])  # noqa: E731, B023
         a, b = side(ours, "a"), side(theirs, "b")
         if suspects is not None:
             parents = suspects.select("file", F.col("node").alias("parent"))
