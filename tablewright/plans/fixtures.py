@@ -8,7 +8,12 @@ flag; 5 as 1 with the header rows repeated half way.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FIXTURE_CTES = """
 names AS (
@@ -61,11 +66,32 @@ def derived(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     return spark.sql(f"WITH {FIXTURE_CTES.replace('FROM lineitem', 'FROM {lineitem}')} {statement}", lineitem=lineitem)
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slots with the text of the cell on each, derived and written to the shared folder once in an application:
+    plans read them many times, and plans over files stay small."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+        path = f"{folder}/tables-{uuid.uuid4().hex}"
+        derived(spark, sf_dir, "SELECT * FROM named").write.parquet(path)
+        _written[key] = path
+    return spark.read.schema("table_uid string, row_idx int, col_idx int, cell_id int, text string").parquet(_written[key])
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df in memory or on disk, for plans that read it several times; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_uid, row_idx, col_idx, cell_id)"""
-    return derived(spark, sf_dir, "SELECT * FROM slots")
+    return texts(spark, sf_dir).drop("text")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """slots with the text of the cell on each"""
-    return derived(spark, sf_dir, "SELECT * FROM named")
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_uid, cell_id, row_idx, col_idx, last_row, last_col, text), places being a cell's first"""
+    ends = (F.min("row_idx").alias("row_idx"), F.min("col_idx").alias("col_idx"), F.max("row_idx").alias("last_row"), F.max("col_idx").alias("last_col"))
+    return texts(spark, sf_dir).groupBy("table_uid", "cell_id").agg(*ends, F.max("text").alias("text"))

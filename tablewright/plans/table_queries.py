@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.text import index_ranges, normalized
 from tablewright.operators import geometry as g
 from tablewright.operators import rules, scoring
-from tablewright.plans.fixtures import FIXTURE_CTES, derived, slots
+from tablewright.plans.fixtures import FIXTURE_CTES, cells, kept, slots, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,12 +29,8 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, "SELECT * FROM cells")
-
-
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.candidate_ids(g.boundaries(slots(spark, sf_dir)))
+    return kept(g.candidate_ids(g.boundaries(slots(spark, sf_dir))))
 
 
 #: What several oracles share: neighbours, sizes, the boundaries by a plain reading of the rules, labels and types.
@@ -82,7 +78,7 @@ def x10_slots_to_raster(spark, sf_dir):
 
 @query("SELECT table_uid, cell_id, row_idx, col_idx, text FROM cells")
 def x9_cells(spark, sf_dir):
-    named = derived(spark, sf_dir, "SELECT * FROM named")
+    named = texts(spark, sf_dir)
     top = named.groupBy("table_uid", "cell_id").agg(F.min(F.struct("row_idx", "col_idx")).alias("top"), F.max("text").alias("text"))
     return top.select("table_uid", "cell_id", "top.row_idx", "top.col_idx", "text")
 
@@ -283,7 +279,7 @@ TYPES = types_sql()
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.type_cells(rules.SCIENCE, cells(spark, sf_dir).select("table_uid", "cell_id", "text"))
+    return kept(rules.type_cells(rules.SCIENCE, cells(spark, sf_dir).select("table_uid", "cell_id", "text")))
 
 
 def oracle(name: str, sql: str) -> None:
@@ -337,7 +333,7 @@ LINES = """, lines_ AS (
     UNION ALL SELECT DISTINCT l.table_uid, candidate_id, 'row', row_idx, l.cell_id FROM labels_ l JOIN slots s ON s.table_uid = l.table_uid AND s.cell_id = l.cell_id WHERE region = 'data'
     UNION ALL SELECT table_uid, candidate_id, region, 0, cell_id FROM labels_ WHERE region <> 'data'),
 counts_ AS (SELECT l.table_uid, candidate_id, axis, line, family AS kind, count(*) AS k, sum(count(*)) OVER (PARTITION BY l.table_uid, candidate_id, axis, line) AS n
-    FROM lines_ l JOIN types t ON t.table_uid = l.table_uid AND t.cell_id = l.cell_id WHERE family NOT IN ('empty', 'untyped', 'Missing') AND NOT (axis = 'row' AND ROLE) GROUP BY ALL),
+    FROM lines_ l JOIN types t ON t.table_uid = l.table_uid AND t.cell_id = l.cell_id WHERE family NOT IN ('empty', 'untyped', 'Missing') AND NOT (axis = 'row' AND ROLE) GROUP BY l.table_uid, candidate_id, axis, line, family),
 typed_ AS (SELECT table_uid, count(*) AS n_typed FROM types WHERE family NOT IN ('empty', 'untyped', 'Missing') GROUP BY 1),
 bits_ AS (SELECT c.table_uid, candidate_id, axis, line, sum(-k * log2(k / n)) + 0.5 * log2(greatest(any_value(n_typed), 2)) AS bits FROM counts_ c JOIN typed_ t ON t.table_uid = c.table_uid GROUP BY ALL),
 costs AS (SELECT table_uid, candidate_id, sum(CASE WHEN axis IN ('col', 'row') THEN bits / 2 ELSE bits END) AS bits FROM bits_ GROUP BY ALL)"""
@@ -345,7 +341,7 @@ PLAIN = LINES.replace("ROLE", "false")
 
 
 def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.lines(slots(spark, sf_dir), g.labels(candidates(spark, sf_dir), cells(spark, sf_dir)))
+    return kept(scoring.lines(slots(spark, sf_dir), g.labels(candidates(spark, sf_dir), cells(spark, sf_dir))))
 
 
 @query()
@@ -393,16 +389,16 @@ oracle("c6_purities", PLAIN + """, best AS (SELECT table_uid, candidate_id, axis
 views AS (SELECT table_uid, candidate_id, avg(purity) FILTER (axis = 'col') AS column_purity, avg(purity) FILTER (axis = 'row') AS row_purity FROM best GROUP BY ALL)
 SELECT table_uid, candidate_id, round(column_purity, 6) AS column_purity, round(row_purity, 6) AS row_purity, round(coalesce((column_purity + row_purity) / 2, column_purity, row_purity, 0), 6) AS purity FROM views""")
 
-CHOICE = PLAIN + """, keyed AS (SELECT c.table_uid, c.candidate_id, bits, abs(hmd - 1) + abs(vmd - 1) AS steps, min(bits) OVER (PARTITION BY c.table_uid) AS least, count(*) OVER (PARTITION BY c.table_uid) AS n
+CHOICE = PLAIN + """, keyed AS (SELECT c.table_uid, c.candidate_id, bits, abs(hmd - 1) + abs(vmd - 1) AS steps, min(bits) OVER (PARTITION BY c.table_uid) AS least, count(*) OVER (PARTITION BY c.table_uid) AS n, row_number() OVER (PARTITION BY c.table_uid ORDER BY bits) AS place
     FROM costs c JOIN found f ON f.table_uid = c.table_uid AND f.candidate_id = c.candidate_id),
-chosen AS (SELECT table_uid, first(candidate_id ORDER BY bits - least > 1e-9, steps, candidate_id) AS selected_candidate_id, any_value(n) AS n, count(*) FILTER (bits - least <= 1e-9) AS n_tied,
-    CASE WHEN any_value(n) > 1 THEN list_sort(list(bits))[2] - min(bits) END AS gap FROM keyed GROUP BY table_uid)"""
+chosen AS (SELECT table_uid, arg_min(candidate_id, (bits - least > 1e-9, steps, candidate_id)) AS selected_candidate_id, any_value(n) AS n, count(*) FILTER (bits - least <= 1e-9) AS n_tied,
+    CASE WHEN any_value(n) > 1 THEN min(bits) FILTER (place = 2) - min(bits) END AS gap FROM keyed GROUP BY table_uid)"""
 
 
 def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boundary of every table by the description length of its cell types."""
-    all_, found, types = slots(spark, sf_dir), candidates(spark, sf_dir), typed(spark, sf_dir)
-    costs = scoring.bit_costs(scoring.lines(all_, g.labels(found, cells(spark, sf_dir))), types)
+    found, types = candidates(spark, sf_dir), typed(spark, sf_dir)
+    costs = scoring.bit_costs(line_cells(spark, sf_dir), types)
     return scoring.select(costs.withColumnRenamed("bits", "score"), found)
 
 
