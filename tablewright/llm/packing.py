@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,11 +21,27 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
 
+#: Bytes of texts that split further than at white space: ASCII without the apostrophe, which begins
+#: contractions, and the two-byte letters from U+00C0 to U+00FF, without the signs U+00D7 and U+00F7.
+PLAIN = bytes(b for b in range(128) if b != 0x27) + bytes([0xC3]) + bytes(range(0x80, 0xC0))
+RUNS = re.compile(rb"[a-z\xc3\x80-\xbf]+|[^\sa-z\xc3\x80-\xbf]+")
+
+
+def units(text: bytes) -> list[bytes]:
+    """Parts of a text whose ids in order are the text's. The tokenizer lower-cases, drops white space and never
+    joins across it, nor across the edge of a run of letters; special tokens' strings keep their case."""
+    if b"<|" in text:
+        return text.split()
+    text = text.lower()
+    if text.translate(None, PLAIN) or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return text.split()
+    return RUNS.findall(text)
+
+
 class WordTable:
-    """Token ids by whitespace-separated word. The tokenizer drops white space and never joins across it,
-    so a text's ids are the ids of its words in order; words repeat, so most are looked up."""
+    """Token ids by unit of text; units repeat, so most are looked up."""
 
-    def __init__(self, tokenizer_path: str, most: int = 300_000) -> None:
+    def __init__(self, tokenizer_path: str, most: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,7 +70,7 @@ class WordTable:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.codes) > self.most:
             self.clear()
-        split = [t.split() for t in texts]
+        split = [units(t) for t in texts]
         words = [w for ws in split for w in ws]
         if new := list(set(words).difference(self.codes)):
             self.learn(new)
@@ -65,11 +83,17 @@ class WordTable:
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
+@lru_cache(1)
+def word_table(tokenizer_path: str) -> WordTable:
+    """A worker's table, kept from task to task."""
+    return WordTable(tokenizer_path)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece of at most `capacity` tokens; only longer documents have several. Token ids stay in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(tokenizer_path)
+        words = word_table(tokenizer_path)
         for batch, texts in text_chunks(batches):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts)):
