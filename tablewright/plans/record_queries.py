@@ -15,7 +15,7 @@ from tablewright.operators import evaluate, export, guidelines, review, rules, s
 from tablewright.operators import geometry as g
 from tablewright.plans.fixtures import FIXTURE_CTES, slots
 from tablewright.plans.table_queries import CHOICE, COMMON, PLAIN, TYPES, candidates, cells, query, selected, typed
-from tablewright.sources import records
+from tablewright.sources import extract, records
 
 FIRST = f"WITH {FIXTURE_CTES}{COMMON}"
 FULL = f"{FIRST}{TYPES}"
@@ -530,3 +530,28 @@ def m5_next_batch(spark, sf_dir):
 def m6_first_new(spark, sf_dir):
     found = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("query_rank"), F.col("l_orderkey").alias("rank"))
     return sampling.first_new(found, read(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("id")), 10)
+
+
+# --- extraction --------------------------------------------------------------
+
+
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_uid, html): the derived tables written as HTML with row and column spans."""
+    c = cells(spark, sf_dir)
+    spans = F.concat(F.lit(' rowspan="'), (F.col("last_row") - F.col("row_idx") + 1).cast("string"), F.lit('" colspan="'), (F.col("last_col") - F.col("col_idx") + 1).cast("string"), F.lit('"'))
+    tag = F.concat(F.lit("<td"), spans, F.lit(">"), "text", F.lit("</td>"))
+    rows = c.groupBy("table_uid", "row_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", tag.alias("tag")))), lambda s: s["tag"]), "").alias("row"))
+    body = rows.groupBy("table_uid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "row"))), lambda s: F.concat(F.lit("<tr>"), s["row"])), "").alias("body"))
+    return body.select("table_uid", F.concat(F.lit("<p>x</p><table>"), "body", F.lit("</table>")).alias("html"))
+
+
+@query(f"{FIRST} SELECT table_uid, row_idx, col_idx, cell_id FROM slots")
+def x3_rasterize(spark, sf_dir):
+    found = extract.extract(markup(spark, sf_dir), "table_uid", "html").where("error IS NULL")
+    return g.raster_to_slots(found.select(F.col("key").alias("table_uid"), "raster"))
+
+
+@query("SELECT page_id::VARCHAR AS key, NULL::INTEGER AS table_index, NULL::VARCHAR AS error FROM pages WHERE contains(html, '<table')")
+def x2_page_tables(spark, sf_dir):
+    """The tables of the given pages, which hold none."""
+    return extract.extract(read(spark, sf_dir, "pages"), "page_id", "html").select("key", "table_index", "error")
