@@ -24,6 +24,7 @@ PLACED = f"{PIECES}, sequence_id long, offset long"
 #: Bytes of texts that split further than at white space: ASCII without the apostrophe, which begins
 #: contractions, and the two-byte letters from U+00C0 to U+00FF, without the signs U+00D7 and U+00F7.
 PLAIN = bytes(b for b in range(128) if b != 0x27) + bytes([0xC3]) + bytes(range(0x80, 0xC0))
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 RUNS = re.compile(rb"[a-z\xc3\x80-\xbf]+|[^\sa-z\xc3\x80-\xbf]+")
 
 
@@ -51,30 +52,49 @@ class WordTable:
     def clear(self) -> None:
         self.codes: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.first, self.length, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
-    def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for word, encoding in zip(words, found):
-            ids = encoding.ids
+    def forget(self) -> None:
+        """Drops the units met least often, half of them at least."""
+        n = len(self.codes)
+        least = int(np.partition(self.met[:n], n // 2)[n // 2]) + 1
+        kept = [(w, self.flat[self.first[c] : self.first[c] + self.length[c]].copy()) for w, c in self.codes.items() if self.met[c] >= least]
+        self.clear()
+        self.add([w for w, _ in kept], [ids for _, ids in kept])
+
+    def add(self, words: list[bytes], found: list) -> None:
+        for word, ids in zip(words, found):
             code, n = len(self.codes), len(ids)
             if code >= len(self.first):
-                self.first, self.length = np.resize(self.first, 2 * code), np.resize(self.length, 2 * code)
+                self.first, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length, self.met))
             while self.used + n > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used : self.used + n] = ids
             self.first[code], self.length[code] = self.used, n
             self.used += n
             self.codes[word] = code
 
+    def learn(self, words: list[bytes]) -> None:
+        """Runs of letters are one pre-token each, so a thousand of them go into one call; others go singly."""
+        runs, others = [], []
+        for w in words:
+            (runs if w.isalpha() or LATIN.fullmatch(w) else others).append(w)
+        for at in range(0, len(runs), 1000):
+            part = runs[at : at + 1000]
+            encoding = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(encoding.word_ids)) + 1
+            self.add(part, np.split(np.array(encoding.ids, np.uint32), cuts))
+        self.add(others, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)])
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.codes) > self.most:
-            self.clear()
+            self.forget()
         split = [units(t) for t in texts]
         words = [w for ws in split for w in ws]
         if new := list(set(words).difference(self.codes)):
             self.learn(new)
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        self.met[: len(self.codes)] += np.bincount(codes, minlength=len(self.codes))
         lengths = self.length[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
