@@ -125,3 +125,33 @@ def slice_rates(records: DataFrame, slices) -> DataFrame:
 def mixed_provenance(records: DataFrame, *columns: str) -> DataFrame:
     """How many different values each of the columns has; a homogeneous set has one of each."""
     return records.agg(*[F.countDistinct(c).alias(c) for c in columns])
+
+
+def permuted_information(pairs: DataFrame, times: int, seed: int = 0) -> DataFrame:
+    """(replicate, mi): mutual information of x and y after shuffling y inside each table. Each table's task
+    emits the counts of every replicate, not its rows."""
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    def shuffle(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode())])
+        x, xs = pd.factorize(part["x"], sort=True)
+        y, ys = pd.factorize(part["y"], sort=True)
+        shuffled = rng.permuted(np.tile(y, (times, 1)), axis=1)
+        cell = (np.arange(times)[:, None] * len(xs) + x) * len(ys) + shuffled
+        counts = np.bincount(cell.ravel(), minlength=times * len(xs) * len(ys))
+        at = np.flatnonzero(counts)
+        return pd.DataFrame({"replicate": at // (len(xs) * len(ys)), "x": xs[at // len(ys) % len(xs)], "y": ys[at % len(ys)], "c": counts[at]})
+
+    counted = pairs.select(TABLE, "x", "y").groupBy(TABLE).applyInPandas(shuffle, "replicate int, x string, y string, c long")
+    n = counted.groupBy("replicate", "x", "y").agg(F.sum("c").alias("c"))
+    within = lambda *more: W.partitionBy("replicate", *more)
+    c, total = F.col("c"), F.sum("c").over(within())
+    return n.withColumn("term", c / total * F.log2(c * total / (F.sum("c").over(within("x")) * F.sum("c").over(within("y"))))).groupBy("replicate").agg(F.sum("term").alias("mi"))
+
+
+def permutation_baseline(observed: float, permuted: DataFrame) -> DataFrame:
+    """Mean and greatest of the permuted values, and (1 + those not below the observed) / (1 + all)."""
+    return permuted.agg(F.avg("mi").alias("mean"), F.max("mi").alias("most"), ((1 + F.count_if(F.col("mi") >= observed)) / (1 + F.count("*"))).alias("p"))

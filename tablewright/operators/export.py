@@ -44,3 +44,24 @@ def relational(slots: DataFrame, cells: DataFrame, chosen: DataFrame) -> DataFra
 
     places = data_places(slots, cells, chosen)
     return places.join(named(column_paths(slots, chosen), "col_idx", "column_path"), [TABLE, "col_idx"], "left").join(named(row_paths(slots, chosen), "row_idx", "row_path"), [TABLE, "row_idx"], "left")
+
+
+def header_json(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(table_uid, forest): header nodes as nested JSON [{text: [children]}], children by their first column. A
+    table's nodes are at most its header cells, so one group is small."""
+    import json
+
+    import pandas as pd
+
+    def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        below: dict = {}
+        for row in part.sort_values(["first_col", "cell_id"]).itertuples():
+            below.setdefault(-1 if pd.isna(row.parent_id) else int(row.parent_id), []).append((int(row.cell_id), row.text or ""))
+
+        def tree(parent: int) -> list:
+            return [{text: tree(cell)} for cell, text in below.get(parent, [])]
+
+        return pd.DataFrame({"table_uid": [key[0]], "forest": [json.dumps(tree(-1), ensure_ascii=False)]})
+
+    named = nodes.join(cells.select(TABLE, "cell_id", "text"), [TABLE, "cell_id"])
+    return named.select(TABLE, "cell_id", "parent_id", "first_col", "text").groupBy(TABLE).applyInPandas(build, "table_uid string, forest string")

@@ -46,3 +46,13 @@ def apply(routed: DataFrame, answers: DataFrame) -> DataFrame:
     taken = F.array_contains(F.split("allowed", "\\|"), F.col("answer"))
     how = F.when(taken, "guided").when(F.col("answer") == "none", "kept").otherwise("pending")
     return found.withColumn("derivation", how).withColumn("guided_type", F.when(F.col("derivation") == "guided", F.col("answer")).otherwise(F.col("type")))
+
+
+def prompts(batched: DataFrame, program: Program) -> DataFrame:
+    """(batch_id, prompt): the descriptions of the types that a batch may take, then its items in order, each with
+    its own list of types only where the items' lists differ."""
+    said = lookup({t: f"{t}: {d}" for d, t in program.guidelines}, F.col("one"))
+    types = batched.select("batch_id", F.explode(F.split("allowed", "\\|")).alias("one")).distinct().groupBy("batch_id").agg(F.array_join(F.sort_array(F.collect_list(said)), "; or ").alias("types"))
+    line = lambda s, own: F.concat(s["item"].cast("string"), F.lit(". "), s["text"], F.when(own, F.concat(F.lit(" ["), F.replace(s["allowed"], F.lit("|"), F.lit(", ")), F.lit("]"))).otherwise(""))
+    items = batched.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("item", "text", "allowed"))).alias("items"), F.countDistinct("allowed").alias("n"))
+    return items.join(types, "batch_id").select("batch_id", F.concat(F.lit("Types: "), "types", F.lit("\n"), F.array_join(F.transform("items", lambda s: line(s, F.col("n") > 1)), "\n")).alias("prompt"))

@@ -555,3 +555,44 @@ def x3_rasterize(spark, sf_dir):
 def x2_page_tables(spark, sf_dir):
     """The tables of the given pages, which hold none."""
     return extract.extract(read(spark, sf_dir, "pages"), "page_id", "html").select("key", "table_index", "error")
+
+
+# --- helpers that go table by table ------------------------------------------
+
+
+@query()
+def e4_header_json(spark, sf_dir):
+    return export.header_json(export.header_nodes(slots(spark, sf_dir), chosen(spark, sf_dir)), cells(spark, sf_dir))
+
+
+@query()
+def a3_permutation_baseline(spark, sf_dir):
+    """Against the pooled mutual information of types and regions."""
+    pairs = region_pairs(spark, sf_dir)
+    observed = evaluate.mutual_information(pairs).first()["mi"] or 0.0
+    return evaluate.permutation_baseline(observed, evaluate.permuted_information(pairs, 20))
+
+
+DESCRIBED = " ".join(f"WHEN '{t}' THEN '{t}: {d}'" for d, t in rules.SCIENCE.guidelines)
+
+
+@query(f"""{FULL}{ASKS}, b AS (SELECT text, allowed, pmc_id || '/' || ((row_number() OVER w - 1) // 40 + 1) AS batch_id, (row_number() OVER w - 1) % 40 + 1 AS item FROM reqs WINDOW w AS (PARTITION BY pmc_id ORDER BY text, rule_type)),
+k AS (SELECT batch_id, string_agg(said, '; or ' ORDER BY said) AS types FROM (SELECT DISTINCT batch_id, CASE one {DESCRIBED} END AS said FROM (SELECT batch_id, unnest(string_split(allowed, '|')) AS one FROM b)) GROUP BY 1),
+m AS (SELECT batch_id, count(DISTINCT allowed) AS n FROM b GROUP BY 1)
+SELECT b.batch_id, 'Types: ' || any_value(types) || chr(10) || string_agg(item || '. ' || text || CASE WHEN n > 1 THEN ' [' || replace(allowed, '|', ', ') || ']' ELSE '' END, chr(10) ORDER BY item) AS prompt FROM b JOIN k ON k.batch_id = b.batch_id JOIN m ON m.batch_id = b.batch_id GROUP BY b.batch_id""")
+def l4_prompts(spark, sf_dir):
+    return guidelines.prompts(guidelines.batches(guidelines.requests(routed(spark, sf_dir), answer_log(spark, sf_dir))), rules.SCIENCE)
+
+
+@query(f"{FULL} SELECT table_uid, cell_id, type FROM types WHERE cell_id % 40 = 39 AND type <> 'Word'")
+def t10_replay_audit(spark, sf_dir):
+    """Stored types against recomputed ones, where every fortieth cell of a table is stored as a word: what should be there."""
+    computed = typed(spark, sf_dir).select("table_uid", "cell_id", "type")
+    stored = computed.withColumn("type", F.when(F.col("cell_id") % 40 == 39, "Word").otherwise(F.col("type")))
+    return g.differences(stored, computed).where("side = 'computed'").select("table_uid", "cell_id", "type")
+
+
+@query("SELECT event_type AS arm, user_id AS table_no, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def a21_scored_twice(spark, sf_dir):
+    """Arm and table pairs that pooled runs hold more than once."""
+    return evaluate.duplicate_keys(read(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("user_id").alias("table_no")), "arm", "table_no")

@@ -105,3 +105,16 @@ def test_files_round_trip(spark, tmp_path):
     assert records.read_records(spark, str(lines), "a int").where("a is not null").count() == 2
     (tmp_path / "x.xml").write_text("<article/>")
     assert records.read_articles(spark, str(tmp_path / "x.xml")).first()["bytes"] == 10
+
+
+def test_header_json_and_permutations(spark):
+    from tablewright.operators import export
+
+    grid = slots(spark, {"t": [[0, 1, 1, 2], [3, 4, 5, 6], [7, 8, 9, 10]]})
+    cells = grid.select("table_uid", "cell_id").distinct().withColumn("text", F.concat(F.lit("c"), F.col("cell_id").cast("string")))
+    chosen = spark.createDataFrame([("t", 2, 1)], "table_uid string, hmd int, vmd int")
+    got = export.header_json(export.header_nodes(grid, chosen), cells).first()["forest"]
+    assert got == '[{"c1": [{"c4": []}, {"c5": []}]}, {"c2": [{"c6": []}]}]'
+    pairs = spark.createDataFrame([("t", a, b) for a, b in [("a", "x"), ("b", "y")] * 20] + [("u", "a", "x")], "table_uid string, x string, y string")
+    base = evaluate.permutation_baseline(1.0, evaluate.permuted_information(pairs, 19)).first()
+    assert base["p"] == 0.05 and base["most"] < 0.5
