@@ -35,7 +35,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What several oracles share: neighbours, sizes, the boundaries by a plain reading of the rules, labels and types.
 COMMON = """,
-adj AS (
+adj AS MATERIALIZED (
     SELECT *, lead(right_id) OVER (PARTITION BY table_uid, col_idx ORDER BY row_idx) AS diagonal_id
     FROM (SELECT *, lead(cell_id) OVER (PARTITION BY table_uid, row_idx ORDER BY col_idx) AS right_id,
                  lead(cell_id) OVER (PARTITION BY table_uid, col_idx ORDER BY row_idx) AS below_id FROM slots) x),
@@ -55,7 +55,7 @@ broken AS (
     UNION
     SELECT a.table_uid, hmd, vmd FROM asked a JOIN adj s ON s.table_uid = a.table_uid WHERE col_idx < vmd - 1
     GROUP BY a.table_uid, hmd, vmd, col_idx HAVING NOT coalesce(bool_or(row_idx >= hmd AND cell_id = below_id AND right_id <> diagonal_id), false)),
-found AS (
+found AS MATERIALIZED (
     SELECT table_uid, hmd, vmd, 'h' || hmd || '_v' || vmd AS candidate_id FROM asked a
     WHERE hmd + vmd > 0 AND hmd < n_rows AND vmd < n_cols AND (hmd > 0 OR plain)
       AND NOT EXISTS (SELECT 1 FROM broken b WHERE b.table_uid = a.table_uid AND b.hmd = a.hmd AND b.vmd = a.vmd)),
@@ -83,7 +83,7 @@ def x9_cells(spark, sf_dir):
     return top.select("table_uid", "cell_id", "top.row_idx", "top.col_idx", "text")
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\x{00A0}]+', ' ', 'g')) AS text FROM documents".replace("SELECT doc_id", "SELECT doc_id"))
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\x{00A0}]+', ' ', 'g')) AS text FROM documents")
 def x12_normalize_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", normalized(F.col("text")).alias("text"))
 
@@ -210,19 +210,20 @@ def g15_labels(spark, sf_dir):
     return g.labels(candidates(spark, sf_dir), cells(spark, sf_dir))
 
 
-@query("SELECT s.table_uid, hmd, vmd, cell_id, min(region) AS region FROM (SELECT s.*, hmd, vmd, CASE WHEN row_idx < hmd THEN 'hmd' WHEN col_idx < vmd THEN 'vmd' ELSE 'data' END AS region FROM slots s JOIN asked a ON a.table_uid = s.table_uid AND hmd <= 3 AND vmd <= 2) s GROUP BY ALL HAVING NOT EXISTS (SELECT 1) OR true".replace(" HAVING NOT EXISTS (SELECT 1) OR true", "") )
+@query()
 def g17_boundary_regions(spark, sf_dir):
     all_ = slots(spark, sf_dir)
     size = g.shape(all_)
     targets = grid_targets(all_).join(size, "table_uid").where("hmd <= n_rows AND vmd <= n_cols")
-    return g.boundary_regions(all_, targets.select("table_uid", "hmd", "vmd"))
+    regions = g.boundary_regions(all_, targets.select("table_uid", "hmd", "vmd"))
+    return regions.groupBy("table_uid", "hmd", "vmd", "region").agg(F.count("*").alias("n_cells"))
 
 
 ORACLES["g17_boundary_regions"] = f"""WITH {FIXTURE_CTES}{COMMON},
 lab AS (SELECT s.table_uid, hmd, vmd, cell_id, min(CASE WHEN row_idx < hmd THEN 'hmd' WHEN col_idx < vmd THEN 'vmd' ELSE 'data' END) AS region,
                count(DISTINCT CASE WHEN row_idx < hmd THEN 'hmd' WHEN col_idx < vmd THEN 'vmd' ELSE 'data' END) AS kinds
         FROM slots s JOIN asked a ON a.table_uid = s.table_uid AND hmd <= 3 AND vmd <= 2 GROUP BY s.table_uid, hmd, vmd, cell_id)
-SELECT table_uid, hmd, vmd, cell_id, region FROM (SELECT *, max(kinds) OVER (PARTITION BY table_uid, hmd, vmd) AS worst FROM lab) WHERE worst = 1"""
+SELECT table_uid, hmd, vmd, region, count(*) AS n_cells FROM (SELECT *, max(kinds) OVER (PARTITION BY table_uid, hmd, vmd) AS worst FROM lab) WHERE worst = 1 GROUP BY ALL"""
 
 PATHS_SQL = """SELECT table_uid, candidate_id, col_idx AS line, string_agg(cell_id::VARCHAR, '>' ORDER BY row_idx) AS path
 FROM (SELECT f.table_uid, candidate_id, col_idx, row_idx, cell_id, lag(cell_id) OVER (PARTITION BY f.table_uid, candidate_id, col_idx ORDER BY row_idx) AS before
@@ -270,9 +271,9 @@ def types_sql() -> str:
             cases.append(f"WHEN regexp_full_match(text, '{pattern}') THEN '{r.type}'")
     families = " ".join(f"WHEN '{t}' THEN '{rules.SCIENCE.family(t)}'" for t in rules.SCIENCE.types())
     groups = " ".join(f"WHEN '{t}' THEN '{rules.SCIENCE.group(t)}'" for t in rules.SCIENCE.types())
-    return f""", texts_ AS (SELECT DISTINCT text FROM cells), known AS (SELECT text, CASE WHEN text = '' THEN 'empty' {' '.join(cases)} ELSE 'untyped' END AS type FROM texts_),
-kinds AS (SELECT text, type, CASE type {families} ELSE type END AS family, CASE type {groups} ELSE type END AS grp FROM known),
-types AS (SELECT c.table_uid, c.cell_id, c.text, type, family, grp FROM cells c JOIN kinds k ON k.text = c.text)"""
+    return f""", texts_ AS (SELECT DISTINCT text FROM cells), known AS MATERIALIZED (SELECT text, CASE WHEN text = '' THEN 'empty' {' '.join(cases)} ELSE 'untyped' END AS type FROM texts_),
+kinds AS MATERIALIZED (SELECT text, type, CASE type {families} ELSE type END AS family, CASE type {groups} ELSE type END AS grp FROM known),
+types AS MATERIALIZED (SELECT c.table_uid, c.cell_id, c.text, type, family, grp FROM cells c JOIN kinds k ON k.text = c.text)"""
 
 
 TYPES = types_sql()
@@ -346,10 +347,10 @@ def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c1_lines(spark, sf_dir):
-    return line_cells(spark, sf_dir)
+    return line_cells(spark, sf_dir).groupBy("table_uid", "candidate_id", "axis", "line").agg(F.count("*").alias("n_cells"), F.sum("cell_id").alias("ids"))
 
 
-oracle("c1_lines", PLAIN + " SELECT table_uid, candidate_id, axis, line, cell_id FROM lines_")
+oracle("c1_lines", PLAIN + " SELECT table_uid, candidate_id, axis, line, count(*) AS n_cells, sum(cell_id)::BIGINT AS ids FROM lines_ GROUP BY ALL")
 
 
 @query()
