@@ -173,45 +173,39 @@ def merge(a: list, b: list) -> list:
 
 
 def main_slots(wrapper: list) -> list:
-    """The wrapper with flag "*" on the nodes whose own text is main text.
-
-    Text inside an article (article or main element, else one named so) counts, but for what is no part of an
-    article. A wrapper without one counts all text outside menus, notices and the like.
+    """The wrapper with the flags "0", "1" and "2" on the nodes whose own text is main text of a page whose
+    article is told by the first, second or third test: an article or main element, an element named so, the
+    whole page. What is no part of an article has none of them, nor has anything in it.
     """
-    def words(node: list) -> list[str]:
-        return node[0].split(" ")
-
-    def outside(node: list) -> bool:
-        name, *marks = words(node)
+    def outside(name: str, *marks: str) -> bool:
         return name in OUTSIDE or bool(OUTSIDE_WORDS & set(marks))
 
-    def find(node: list, test) -> bool:
-        return not outside(node) and (test(node) or any(find(c, test) for c in node[2]))
-
-    tests = [lambda n: words(n)[0] in INSIDE, lambda n: bool(INSIDE_WORDS & set(words(n)[1:])), lambda n: n[0] == "#page"]
-    test = next(t for t in tests if find(wrapper, t) or t is tests[-1])
-
-    def mark(node: list, inside: bool, root: bool) -> list:
-        if not root and outside(node):
+    def mark(node: list, inside: str, root: bool) -> list:
+        name, *marks = node[0].split(" ")
+        if not root and outside(name, *marks):
             return [node[0], node[1], []]
-        inside = inside or test(node)
-        return [node[0], node[1] + "*" * inside, [mark(c, inside, False) for c in node[2]]]
+        if name in INSIDE:
+            inside += "0"
+        if INSIDE_WORDS & set(marks):
+            inside += "1"
+        return [node[0], node[1] + inside, [mark(c, inside, False) for c in node[2]]]
 
-    return mark(wrapper, False, True)
+    return mark(wrapper, "2", True)
 
 
 def extract(page: Node, wrapper: list) -> str:
-    """The text of the page's blocks that fall on main slots of the wrapper, in page order."""
-    blocks: list[str] = []
+    """The text of the page's blocks that fall on main slots of the wrapper, in page order. Which test tells the
+    article is settled by page: the first by which this page has any text."""
+    found: list[tuple[str, str]] = []
 
-    def tidy(pieces: list[str]) -> None:
+    def tidy(pieces: list[str], flags: str) -> None:
         text = " ".join(entities.unescape("".join(pieces)).split())
         if text:
-            blocks.append(text)
+            found.append((text, flags))
 
     def walk(node: Node, slot: list | None) -> None:
         """slot None: the page has something here that no page had when the wrapper was made."""
-        main = slot is not None and "*" in slot[1]
+        flags = slot[1] if slot is not None else ""
         labels: list[str] = []
         for part in node.parts:
             if isinstance(part, Node) and (not labels or labels[-1] != part.label):
@@ -224,17 +218,16 @@ def extract(page: Node, wrapper: list) -> str:
             if isinstance(part, str):
                 own.append(part)
                 continue
-            if main:
-                tidy(own)
+            tidy(own, flags)
             own = []
             if part.label != last:
                 group, last = group + 1, part.label
             walk(part, slot[2][pairs[group]] if group in pairs else None)
-        if main:
-            tidy(own)
+        tidy(own, flags)
 
     walk(page, wrapper)
-    return "\n".join(blocks)
+    blocks = ([text for text, flags in found if test in flags] for test in "012")
+    return "\n".join(next((b for b in blocks if b), []))
 
 
 def host(url):

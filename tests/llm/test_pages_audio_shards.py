@@ -25,6 +25,12 @@ def test_main_text(spark):
     assert extract(spark, []) == {}
 
 
+def test_article_is_told_by_page(spark):
+    """One page with an article element must not empty the host's other templates."""
+    got = extract(spark, [(1, "http://m.example/1", "<article><p>one</p></article><div>menu of one</div>"), (2, "http://m.example/2", "<div class=content><p>two</p></div><div>rest</div>"), (3, "http://m.example/3", "<div><p>three</p></div>"), (4, "http://m.example/4", "<main></main><div class=post>four</div>")])
+    assert {k: v[0] for k, v in got.items()} == {1: "one", 2: "two", 3: "three", 4: "four"}
+
+
 def test_wrappers_generalise():
     one = html.wrapper_of(html.parse("<div><h1>a</h1><p>b</p><p>c</p></div>"))
     two = html.wrapper_of(html.parse("<div><h1>a</h1><table></table><p>b</p></div>"))
