@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,6 +55,12 @@ def parse(source: str) -> Node:
     elements that stay inside a line dissolve into their block, as blanks where they break it."""
     root = Node("#page")
     stack, at, end = [root], 0, len(source)
+    opened: Counter[str] = Counter()  # names on the stack, so that a closing tag without an element costs nothing
+
+    def close(depth: int) -> None:
+        opened.subtract(n.name for n in stack[depth:])
+        del stack[depth:]
+
     while at < end:
         token = TOKEN.search(source, at)
         stop = token.start() if token else end
@@ -66,8 +73,8 @@ def parse(source: str) -> Node:
             continue
         closing, name = token[1], token[2].lower()
         if name in RAW and not closing:
-            close = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, at)
-            at = close.end() if close else end
+            ended = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(source, at)
+            at = ended.end() if ended else end
             continue
         if name in INLINE or name in VOID:
             if name in ("br", "img", "wbr"):
@@ -76,51 +83,110 @@ def parse(source: str) -> Node:
                 stack[-1].parts.append(Node(name))
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
-                if name == "p":
-                    break
+            if name == "p":
+                if stack[-1].name == "p":
+                    close(len(stack) - 1)
+            elif opened[name]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].name == name))
             continue
         if stack[-1].name == "p":
-            stack.pop()
+            close(len(stack) - 1)
         if name in ENDS:
             while stack[-1].name in ENDS[name]:
-                stack.pop()
-        if len(stack) > DEEPEST:  # further levels join the block they are in
-            stack[-1].parts.append(" ")
-            continue
+                close(len(stack) - 1)
         node = Node(label(name, token[3]))
         stack[-1].parts.append(node)
         stack.append(node)
+        opened[name] += 1
     return root
 
 
 # A wrapper node is [label, flags, children]: a union-free regular expression over a host's pages. flags:
 # "?" its group is optional, "+" it repeats, "#" it is or holds a text slot of its own.
 MOST_CELLS = 1_000_000
-DEEPEST = 100
 OPTIONAL, REPEATED, SLOT = "?", "+", "#"
 
 
 def wrapper_of(node: Node) -> list:
     """The wrapper of one page, neighbours with one label folded into a repeated group."""
-    flags = SLOT if any(isinstance(p, str) and not p.isspace() for p in node.parts) else ""
-    return [node.label, flags, fold_repeats([wrapper_of(p) for p in node.parts if isinstance(p, Node)])]
+    raw = [node.label, "", []]
+    todo = [(node, raw)]
+    while todo:
+        node, made = todo.pop()
+        made[1] = SLOT if any(isinstance(p, str) and not p.isspace() for p in node.parts) else ""
+        for part in node.parts:
+            if isinstance(part, Node):
+                made[2].append([part.label, "", []])
+                todo.append((part, made[2][-1]))
+    return joined([raw], folded=False)
 
 
-def fold_repeats(children: list) -> list:
+def fold_repeats(groups: list) -> list:
+    """groups: [label, flags, the nodes to be joined]."""
     out: list = []
-    for child in children:
-        if out and out[-1][0] == child[0]:
-            out[-1] = merge(out[-1], child)
-            out[-1][1] = add(out[-1][1], REPEATED)
+    for name, flags, nodes in groups:
+        if out and out[-1][0] == name:
+            out[-1][1] = add(add(out[-1][1], flags), REPEATED)
+            out[-1][2].extend(nodes)
         else:
-            out.append(child)
+            out.append([name, flags, list(nodes)])
     return out
 
 
+def joined(nodes: list, folded: bool = True) -> list:
+    """The wrapper that generalises all the nodes of one label, each level of them by groups of nodes to be
+    joined at the next, so that no depth of nesting is too much. folded: the nodes are wrappers already."""
+    root = [nodes[0][0], "", []]
+    todo = [(root, nodes)]
+    while todo:
+        made, nodes = todo.pop()
+        for node in nodes:
+            made[1] = add(made[1], node[1])
+        groups: list = fold_repeats([[c[0], c[1], [c]] for c in nodes[0][2]])
+        for node in nodes[1:]:
+            more = fold_repeats([[c[0], c[1], [c]] for c in node[2]])
+            out: list = []
+            i = j = 0
+            for p, q in [*alignment([g[0] for g in groups], [g[0] for g in more]), (len(groups), len(more))]:
+                out += [[g[0], add(g[1], OPTIONAL), g[2]] for g in [*groups[i:p], *more[j:q]]]
+                if p < len(groups):
+                    out.append([groups[p][0], add(groups[p][1], more[q][1]), groups[p][2] + more[q][2]])
+                i, j = p + 1, q + 1
+            groups = fold_repeats(out)
+        for name, flags, parts in groups:
+            if folded and len(parts) == 1:
+                made[2].append([name, flags, parts[0][2]])
+            else:
+                made[2].append([name, flags, []])
+                todo.append((made[2][-1], parts))
+    return root
+
+
+def dump(wrapper: list) -> str:
+    """A wrapper as JSON of label, flags and number of children of each node, parents before children."""
+    flat: list = []
+    todo = [wrapper]
+    while todo:
+        node = todo.pop()
+        flat += [node[0], node[1], len(node[2])]
+        todo.extend(reversed(node[2]))
+    return json.dumps(flat)
+
+
+def load(text: str) -> list:
+    flat = json.loads(text)
+    top: list = ["", "", []]
+    waiting = [(top, 1)]  # nodes and how many children they still lack
+    for at in range(0, len(flat), 3):
+        while not waiting[-1][1]:
+            waiting.pop()
+        parent, lack = waiting[-1]
+        waiting[-1] = (parent, lack - 1)
+        parent[2].append([flat[at], flat[at + 1], []])
+        waiting.append((parent[2][-1], flat[at + 2]))
+    return top[2][0]
+
+
 def add(flags: str, more: str) -> str:
     return "".join(f for f in (OPTIONAL, REPEATED, SLOT) if f in flags or f in more)
 
@@ -160,16 +226,7 @@ def alignment(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 def merge(a: list, b: list) -> list:
     """The wrapper that generalises two: what only one has becomes optional, what either repeats stays repeated."""
-    x, y = a[2], b[2]
-    out: list = []
-    i = j = 0
-    for p, q in [*alignment([c[0] for c in x], [c[0] for c in y]), (len(x), len(y))]:
-        for c in [*x[i:p], *y[j:q]]:
-            out.append([c[0], add(c[1], OPTIONAL), c[2]])
-        if p < len(x):
-            out.append(merge(x[p], y[q]))
-        i, j = p + 1, q + 1
-    return [a[0], add(a[1], b[1]), fold_repeats(out)]
+    return joined([a, b])
 
 
 def main_slots(wrapper: list) -> list:
@@ -180,31 +237,37 @@ def main_slots(wrapper: list) -> list:
     def outside(name: str, *marks: str) -> bool:
         return name in OUTSIDE or bool(OUTSIDE_WORDS & set(marks))
 
-    def mark(node: list, inside: str, root: bool) -> list:
+    top: list = ["", "", []]
+    todo = [(wrapper, "2", top)]
+    while todo:
+        node, inside, parent = todo.pop()
         name, *marks = node[0].split(" ")
-        if not root and outside(name, *marks):
-            return [node[0], node[1], []]
-        if name in INSIDE:
+        made = [node[0], node[1], []]
+        parent[2].append(made)
+        if outside(name, *marks):
+            continue
+        if name in INSIDE and "0" not in inside:
             inside += "0"
-        if INSIDE_WORDS & set(marks):
+        if INSIDE_WORDS & set(marks) and "1" not in inside:
             inside += "1"
-        return [node[0], node[1] + inside, [mark(c, inside, False) for c in node[2]]]
-
-    return mark(wrapper, "2", True)
+        made[1] += inside
+        todo.extend((c, inside, made) for c in reversed(node[2]))
+    return top[2][0]
 
 
 def extract(page: Node, wrapper: list) -> str:
     """The text of the page's blocks that fall on main slots of the wrapper, in page order. Which test tells the
     article is settled by page: the first by which this page has any text."""
     found: list[tuple[str, str]] = []
-
-    def tidy(pieces: list[str], flags: str) -> None:
-        text = " ".join(entities.unescape("".join(pieces)).split())
-        if text:
-            found.append((text, flags))
-
-    def walk(node: Node, slot: list | None) -> None:
-        """slot None: the page has something here that no page had when the wrapper was made."""
+    todo: list = [(page, wrapper)]  # elements with their slots, and text with its flags
+    while todo:
+        node, slot = todo.pop()
+        if isinstance(node, str):
+            text = " ".join(entities.unescape(node).split())
+            if text:
+                found.append((text, slot))
+            continue
+        # slot None: the page has something here that no page had when the wrapper was made
         flags = slot[1] if slot is not None else ""
         labels: list[str] = []
         for part in node.parts:
@@ -212,20 +275,20 @@ def extract(page: Node, wrapper: list) -> str:
                 labels.append(part.label)
         pairs = dict(alignment(labels, [c[0] for c in slot[2]])) if slot is not None else {}
         own: list[str] = []
+        below: list = []
         group = -1
         last = None
         for part in node.parts:
             if isinstance(part, str):
                 own.append(part)
                 continue
-            tidy(own, flags)
+            below.append(("".join(own), flags))
             own = []
             if part.label != last:
                 group, last = group + 1, part.label
-            walk(part, slot[2][pairs[group]] if group in pairs else None)
-        tidy(own, flags)
-
-    walk(page, wrapper)
+            below.append((part, slot[2][pairs[group]] if group in pairs else None))
+        below.append(("".join(own), flags))
+        todo.extend(reversed(below))
     blocks = ([text for text, flags in found if test in flags] for test in "012")
     return "\n".join(next((b for b in blocks if b), []))
 
@@ -245,18 +308,18 @@ def wrappers(pages: DataFrame, fan_in: int = 256) -> DataFrame:
             seen: set[tuple[str, str]] = set()
             for name, text in zip(batch.column("host").to_pylist(), texts):
                 one = wrapper_of(parse(text.decode("utf-8", "replace")))
-                key = (name, json.dumps(one))
+                key = (name, dump(one))
                 if key not in seen:
                     seen.add(key)
                     made[name] = merge(made[name], one) if name in made else one
-            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array([json.dumps(w) for w in made.values()], pa.string())], names=["host", "wrapper"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array([dump(w) for w in made.values()], pa.string())], names=["host", "wrapper"])
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         merged = None
         for text in sorted(rows["wrapper"]):
-            one = json.loads(text)
+            one = load(text)
             merged = one if merged is None else merge(merged, one)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(merged)]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [dump(merged)]})
 
     found = write(pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(read, "host string, wrapper string").distinct()).df
     while True:
@@ -287,7 +350,7 @@ def main_text(pages: DataFrame, salts: int = 16) -> DataFrame:
             out = []
             for text, wrapper in zip(texts, batch.column("wrapper").to_pylist()):
                 if wrapper not in marked:
-                    marked[wrapper] = main_slots(json.loads(wrapper))
+                    marked[wrapper] = main_slots(load(wrapper))
                 out.append(extract(parse(text.decode("utf-8", "replace")), marked[wrapper]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -31,6 +31,14 @@ def test_article_is_told_by_page(spark):
     assert {k: v[0] for k, v in got.items()} == {1: "one", 2: "two", 3: "three", 4: "four"}
 
 
+def test_deep_nesting_keeps_ancestors_and_outsides(spark):
+    deep = "<div><article><p>before</p>" + "<div>" * 5000 + "in" + "</div>" * 5000 + "<p>after</p></article></div>"
+    outsides = "<div>" * 300 + "<p>text</p><nav>menu</nav><div class=ad>buy</div>" + "</div>" * 300
+    open_ended = "<article>" + "<section>" * 20_000 + "x" + "</nothing>" * 20_000 + "<aside>no</aside>"
+    got = extract(spark, [(k, f"http://d.example/{k}", p) for k, p in enumerate([deep, outsides, open_ended])])
+    assert got[0][0] == "before\nin\nafter" and got[1][0] == "text" and got[2][0] == "x"
+
+
 def test_wrappers_generalise():
     one = html.wrapper_of(html.parse("<div><h1>a</h1><p>b</p><p>c</p></div>"))
     two = html.wrapper_of(html.parse("<div><h1>a</h1><table></table><p>b</p></div>"))
