@@ -98,11 +98,14 @@ def mixture(likelihood: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allow
     return share, np.add.reduceat(fit, starts)
 
 
-def infer(model: Model, texts: list[bytes], rounds: int = 12, penalty: float = 3.0, most: int = 3) -> list[tuple[str, float, list[tuple[str, float]]]]:
+def infer(model: Model, texts: list[bytes], rounds: int = 12, penalty: float = 3.0) -> list[tuple[str, float, list[tuple[str, float]]]]:
     """Language, its proportion, and all selected languages with their proportions, for each text.
 
-    The set grows from the best single language by the language of the next largest proportion while that
-    raises the log likelihood by more than `penalty` x log(words + 1) for each language added.
+    The sets are the best single language and the languages of the largest proportions, two to all of them; the
+    one with the greatest log likelihood less `penalty` x log(words + 1) for each language after the first is
+    taken. A text is left out of the larger sets only when no mixture at all could reach its best so far: by
+    concavity none exceeds a given one's likelihood by more than words x log of the greatest mean ratio of a
+    language's likelihood to it.
     """
     grams, first, count = words(texts)
     result: list[tuple[str, float, list[tuple[str, float]]]] = [(UNDETERMINED, 0.0, [])] * len(texts)
@@ -119,15 +122,22 @@ def infer(model: Model, texts: list[bytes], rounds: int = 12, penalty: float = 3
     best[np.arange(n), single.argmax(axis=1)] = 1
     value = single.max(axis=1)
     if k > 1:
-        full, _ = mixture(likelihood, starts, sizes, np.ones((n, k)), rounds)
+        full, reached = mixture(likelihood, starts, sizes, np.ones((n, k)), rounds)
+        ratio = likelihood / np.einsum("ij,ij->i", likelihood, np.repeat(full, sizes, axis=0))[:, None]
+        bound = reached + sizes * np.log(np.add.reduceat(ratio, starts, axis=0).max(axis=1) / sizes) + 1e-6
         order = np.argsort(-full, axis=1, kind="stable")
-        for size in range(2, min(most, k) + 1):
-            allowed = np.zeros((n, k))
-            np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
-            share, fit = mixture(likelihood, starts, sizes, allowed, rounds)
-            fit -= penalty * np.log(sizes + 1) * (size - 1)
-            better = fit > value
-            best[better], value[better] = share[better], fit[better]
+        for size in range(2, k + 1):
+            cost = penalty * np.log(sizes + 1) * (size - 1)
+            left = np.flatnonzero(bound - cost > value)
+            if not len(left):
+                break
+            allowed = np.zeros((len(left), k))
+            np.put_along_axis(allowed, order[left, :size], 1.0, axis=1)
+            own = np.isin(np.repeat(np.arange(n), sizes), left)
+            share, fit = mixture(likelihood[own], np.concatenate(([0], np.cumsum(sizes[left])[:-1])), sizes[left], allowed, rounds)
+            fit -= cost[left]
+            better = fit > value[left]
+            best[left[better]], value[left[better]] = share[better], fit[better]
     for at, row in zip(some, best):
         chosen = np.argsort(-row, kind="stable")
         langs = [(model.langs[j], float(row[j])) for j in chosen if row[j] > 0]

@@ -40,6 +40,19 @@ def test_mixture_finds_both_languages(spark):
     assert lang == "en" and {x for x, _ in all_} == {"en", "de"} and 0.5 < score < 0.8
 
 
+def test_mixture_finds_more_than_three_languages():
+    names = ["aa", "bb", "cc", "dd", "ee"]
+    text = {lang: " ".join(lang[0] * n + lang for n in range(1, 9)) + " " for lang in names}
+    table = np.full((language.BUCKETS, 5), 0.1)
+    for j, lang in enumerate(names):
+        table[:, j] += np.bincount(language.words([text[lang].encode()])[0], minlength=language.BUCKETS) * 100
+    model = language.Model(names, np.log(table / table.sum(axis=0)).astype(np.float32))
+    mixed = (text["aa"] * 40 + text["bb"] * 30 + text["cc"] * 20 + text["dd"] * 10).encode()
+    many, one = language.infer(model, [mixed, text["ee"].encode() * 9])
+    assert [x for x, _ in many[2]] == names[:4] and np.allclose([p for _, p in many[2]], [0.4, 0.3, 0.2, 0.1], atol=0.01) and abs(many[1] - 0.4) < 0.01
+    assert one[0] == "ee" and len(one[2]) == 1
+
+
 def test_mixture_increases_likelihood_and_sums_to_one():
     rng = np.random.default_rng(0)
     likelihood = rng.random((50, 3)) + 1e-3
