@@ -128,8 +128,9 @@ def mixed_provenance(records: DataFrame, *columns: str) -> DataFrame:
 
 
 def permuted_information(pairs: DataFrame, times: int, seed: int = 0) -> DataFrame:
-    """(replicate, mi): mutual information of x and y after shuffling y inside each table. Each table's task
-    emits the counts of every replicate, not its rows."""
+    """(replicate, mi, macro): mutual information of x and y, pooled and as the mean over tables, after shuffling
+    y inside each table. Each table's task emits the counts of every replicate and its own information, not its
+    rows, and shuffles blocks of replicates of about 2,000,000 places (one replicate at least)."""
     import zlib
 
     import numpy as np
@@ -139,19 +140,32 @@ def permuted_information(pairs: DataFrame, times: int, seed: int = 0) -> DataFra
         rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode())])
         x, xs = pd.factorize(part["x"], sort=True)
         y, ys = pd.factorize(part["y"], sort=True)
-        shuffled = rng.permuted(np.tile(y, (times, 1)), axis=1)
-        cell = (np.arange(times)[:, None] * len(xs) + x) * len(ys) + shuffled
-        counts = np.bincount(cell.ravel(), minlength=times * len(xs) * len(ys))
-        at = np.flatnonzero(counts)
-        return pd.DataFrame({"replicate": at // (len(xs) * len(ys)), "x": xs[at // len(ys) % len(xs)], "y": ys[at % len(ys)], "c": counts[at]})
-
-    counted = pairs.select(TABLE, "x", "y").groupBy(TABLE).applyInPandas(shuffle, "replicate int, x string, y string, c long")
-    n = counted.groupBy("replicate", "x", "y").agg(F.sum("c").alias("c"))
+        size, block, out = len(xs) * len(ys), max(1, 2_000_000 // len(part)), []
+        expected = np.bincount(x)[:, None] * np.bincount(y) / len(part)
+        for first in range(0, times, block):
+            some = min(block, times - first)
+            shuffled = rng.permuted(np.tile(y, (some, 1)), axis=1)
+            cell = (np.arange(some)[:, None] * len(xs) + x) * len(ys) + shuffled
+            counts = np.bincount(cell.ravel(), minlength=some * size)
+            ratio = counts.reshape(some, len(xs), len(ys)) / expected
+            own = (ratio * expected * np.log2(np.where(ratio > 0, ratio, 1))).sum(axis=(1, 2)) / len(part)
+            at = np.flatnonzero(counts)
+            out.append(pd.DataFrame({"replicate": first + at // size, "x": xs[at // len(ys) % len(xs)], "y": ys[at % len(ys)], "c": counts[at], "own": None}))
+            out.append(pd.DataFrame({"replicate": first + np.arange(some), "x": None, "y": None, "c": None, "own": own}))
+        return pd.concat([o.astype({"x": object, "y": object, "c": "Int64", "own": "Float64"}) for o in out])
+
+    counted = pairs.select(TABLE, "x", "y").groupBy(TABLE).applyInPandas(shuffle, "replicate int, x string, y string, c long, own double")
+    n = counted.groupBy("replicate", "x", "y").agg(F.sum("c").alias("c"), F.avg("own").alias("own"))
     within = lambda *more: W.partitionBy("replicate", *more)
     c, total = F.col("c"), F.sum("c").over(within())
-    return n.withColumn("term", c / total * F.log2(c * total / (F.sum("c").over(within("x")) * F.sum("c").over(within("y"))))).groupBy("replicate").agg(F.sum("term").alias("mi"))
+    return n.withColumn("term", c / total * F.log2(c * total / (F.sum("c").over(within("x")) * F.sum("c").over(within("y"))))).groupBy("replicate").agg(F.sum("term").alias("mi"), F.max("own").alias("macro"))
 
 
-def permutation_baseline(observed: float, permuted: DataFrame) -> DataFrame:
-    """Mean and greatest of the permuted values, and (1 + those not below the observed) / (1 + all)."""
-    return permuted.agg(F.avg("mi").alias("mean"), F.max("mi").alias("most"), ((1 + F.count_if(F.col("mi") >= observed)) / (1 + F.count("*"))).alias("p"))
+def permutation_baseline(observed: float, permuted: DataFrame, macro: float | None = None) -> DataFrame:
+    """Mean and greatest of the permuted values, and (1 + those not below the observed) / (1 + all), pooled;
+    with `macro`, the observed mean over tables, the mean and probability of that too."""
+    def p(value: str, seen: float):
+        return (1 + F.count_if(F.col(value) >= seen - 1e-9)) / (1 + F.count("*"))
+
+    more = [F.avg("macro").alias("macro_mean"), p("macro", macro).alias("macro_p")] if macro is not None else []
+    return permuted.agg(F.avg("mi").alias("mean"), F.max("mi").alias("most"), p("mi", observed).alias("p"), *more)

@@ -118,3 +118,22 @@ def test_header_json_and_permutations(spark):
     pairs = spark.createDataFrame([("t", a, b) for a, b in [("a", "x"), ("b", "y")] * 20] + [("u", "a", "x")], "table_uid string, x string, y string")
     base = evaluate.permutation_baseline(1.0, evaluate.permuted_information(pairs, 19)).first()
     assert base["p"] == 0.05 and base["most"] < 0.5
+
+
+def test_permutations_reach_small_probabilities_and_a_macro_baseline(spark):
+    import inspect
+
+    from tablewright.plans import record_queries
+
+    assert "permuted_information(pairs, 1000)" in inspect.getsource(record_queries.a3_permutation_baseline)
+    pairs = spark.createDataFrame([("t", a, b) for a, b in [("a", "x"), ("b", "y")] * 20] + [("u", "a", "x")] * 3 + [("v", a, b) for a in "ab" for b in "xy"] * 10, "table_uid string, x string, y string")
+    permuted = evaluate.permuted_information(pairs, 1000)
+    assert permuted.count() == 1000 and permuted.where("mi is null or macro is null").count() == 0
+    seen = evaluate.macro_information(evaluate.mutual_information(pairs, ["table_uid"])).first()["mi"]
+    base = evaluate.permutation_baseline(1.0, permuted, seen).first()
+    assert abs(seen - 1 / 3) < 1e-9 and base["p"] == base["macro_p"] == 1 / 1001 and 0 < base["macro_mean"] < seen
+    # a shuffle that changes nothing gives the observed values
+    fixed = spark.createDataFrame([("t", "a", "x"), ("t", "b", "x"), ("u", "b", "y")], "table_uid string, x string, y string")
+    pooled = evaluate.mutual_information(fixed).first()["mi"]
+    one = evaluate.permutation_baseline(pooled, evaluate.permuted_information(fixed, 5), 0.0).first()
+    assert abs(one["mean"] - pooled) < 1e-9 and one["p"] == one["macro_p"] == 1 and one["macro_mean"] == 0
