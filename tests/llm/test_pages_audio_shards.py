@@ -73,6 +73,19 @@ def test_alignment(spark):
     assert audio.align(df.limit(0)).count() == 0
 
 
+def test_excerpts_of_a_long_recording_and_members_that_fail_the_centre(spark):
+    long = tones(11, 400_000)
+    cuts = [(i, recording(long[64 * k : 64 * k + 4_000])) for i, k in enumerate(range(100, 6000, 600), 10)]
+    shared = [tones(k, 12_000) for k in (21, 22, 23)]
+    opening = tones(31, 6_000)
+    # all open alike; only the last two go on alike, and each is of its own length
+    same = [(50, recording(np.concatenate([opening, shared[0], tones(41, 30_000)]))), (51, recording(np.concatenate([opening, shared[1]]))), (52, recording(np.concatenate([opening, shared[1], tones(42, 14_000)])))]
+    crowd = [(60 + k, recording(np.concatenate([opening, tones(60 + k, 30_000)]))) for k in range(30)]
+    got = {r["doc_id"]: r for r in audio.align(spark.createDataFrame([(9, recording(long)), *cuts, *same, *crowd], "doc_id long, audio binary")).collect()}
+    assert [got[i]["class_id"] for i, _ in cuts] == [9] * len(cuts) and got[10]["offset"] == 100
+    assert got[50]["class_id"] == 50 and got[51]["class_id"] == got[52]["class_id"] == 51
+
+
 def test_alignment_recall_against_brute_force():
     """Recordings with a little noise: bit errors of true pairs are low, of others about a half."""
     rng = np.random.default_rng(5)
