@@ -5,11 +5,13 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,23 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style noscript template textarea title svg math iframe".split())
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# What does not belong to an article, by element and by the words of its class, id and role.
-OUTSIDE = set("nav header footer aside form button select menu dialog head script style noscript template svg math iframe textarea title object canvas figure-ad".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# Elements that hold text of an article rather than an article.
+TEXTUAL = HEADINGS | set("p li ul ol dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th address details summary hr".split())
+# What does not belong to an article, by element and, as a prior, by the words of its class, id and role.
+OUTSIDE = set("nav header footer aside form button select menu dialog head script style noscript template svg math iframe textarea title object canvas".split())
 OUTSIDE_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget navigation complementary contentinfo search alert gdpr consent signup".split())
-INSIDE = {"article", "main"}
-INSIDE_WORDS = set("article content entry main post story articlebody maincontent text body".split())
+# Priors that an element is the article: how many times its text counts.
+INSIDE, INSIDE_WEIGHT = {"article", "main"}, 30.0
+INSIDE_WORDS, INSIDE_WORDS_WEIGHT = set("article content entry main post story articlebody maincontent text body".split()), 12.0
+#: The share of a region's weighted text that a part must hold to become the region.
+LEADING = 0.8
+#: Pages on which a text must be one and the same to be template rather than slot.
+TEMPLATE_PAGES = 3
 WORDS = re.compile(r"[a-z]+")
+TEXT = "#"
+# Flags of a wrapper's node: its group is optional, or repeats.
+OPTIONAL, REPEATED = "?", "+"
 
 
 def label(name: str, attributes: str) -> str:
@@ -38,34 +51,71 @@ def label(name: str, attributes: str) -> str:
 
 
 class Node:
-    """An element of a page. parts: text pieces and child elements in order."""
+    """An element of a page, a text of one, or a node of a wrapper. A page's node has a slot in the wrapper, if any;
+    a wrapper's has a number and what the pages have there."""
 
-    __slots__ = ("label", "parts")
+    __slots__ = ("label", "flags", "kids", "text", "links", "slot", "mass", "out", "number", "pages", "template")
 
-    def __init__(self, label: str) -> None:
-        self.label, self.parts = label, []
+    def __init__(self, label: str, flags: str = "") -> None:
+        self.label, self.flags, self.text, self.links, self.slot, self.mass, self.out = label, flags, "", 0, None, 0.0, False
+        self.kids: list[Node] = []
 
     @property
     def name(self) -> str:
         return self.label.partition(" ")[0]
 
+    @property
+    def marks(self) -> set[str]:
+        return set(self.label.split(" ")[1:])
+
+
+class Group:
+    """Neighbouring entries of a page or wrapper that repeat together."""
+
+    __slots__ = ("entries", "flags", "slot")
+
+    def __init__(self, entries: list) -> None:
+        self.entries, self.flags, self.slot = entries, "", None
+
 
 def parse(source: str) -> Node:
-    """The block structure of a page. Unclosed elements end where HTML's rules or their parents end them;
-    elements that stay inside a line dissolve into their block, as blanks where they break it."""
+    """The block structure of a page, texts being nodes of their own. Unclosed elements end where HTML's rules or
+    their parents end them; elements that stay inside a line dissolve into their text, as blanks where they break
+    it, unless their class names them as no part of an article."""
     root = Node("#page")
     stack, at, end = [root], 0, len(source)
     opened: Counter[str] = Counter()  # names on the stack, so that a closing tag without an element costs nothing
+    kept: list[list] = []  # open elements inside a line that did not dissolve: name, open ones of that name within, depth
+    linked = 0
+    pieces: dict[int, list[str]] = {}
+    texts: list[Node] = []
 
     def close(depth: int) -> None:
         opened.subtract(n.name for n in stack[depth:])
         del stack[depth:]
+        while kept and kept[-1][2] >= depth:
+            kept.pop()
+
+    def open_(node: Node) -> None:
+        stack[-1].kids.append(node)
+        stack.append(node)
+        opened[node.name] += 1
+
+    def say(text: str) -> None:
+        kids = stack[-1].kids
+        if not kids or kids[-1].label != TEXT:
+            kids.append(Node(TEXT))
+            texts.append(kids[-1])
+            pieces[id(kids[-1])] = []
+        pieces[id(kids[-1])].append(text)
+        if linked:
+            kids[-1].links += len(text)
 
     while at < end:
         token = TOKEN.search(source, at)
         stop = token.start() if token else end
         if stop > at:
-            stack[-1].parts.append(source[at:stop] if token else UNFINISHED.sub("", source[at:stop]))
+            say(source[at:stop] if token else UNFINISHED.sub("", source[at:stop]))
         if not token:
             break
         at = token.end()
@@ -77,13 +127,28 @@ def parse(source: str) -> Node:
             at = ended.end() if ended else end
             continue
         if name in INLINE or name in VOID:
+            if name == "a":
+                linked = 0 if closing else 1
             if name in ("br", "img", "wbr"):
-                stack[-1].parts.append(" ")
+                say(" ")
             elif name in VOID:
-                stack[-1].parts.append(Node(name))
+                stack[-1].kids.append(Node(name))
+            elif not closing and token[3] and OUTSIDE_WORDS & set((named := label(name, token[3])).split(" ")[1:]):
+                open_(Node(named))
+                kept.append([name, 0, len(stack) - 1])
+            elif kept and kept[-1][0] == name:
+                if not closing:
+                    kept[-1][1] += 1
+                elif kept[-1][1]:
+                    kept[-1][1] -= 1
+                else:
+                    close(kept[-1][2])
             continue
+        linked = 0
         if closing:
             if name == "p":
+                while kept and kept[-1][2] == len(stack) - 1:
+                    close(len(stack) - 1)
                 if stack[-1].name == "p":
                     close(len(stack) - 1)
             elif opened[name]:
@@ -94,203 +159,302 @@ def parse(source: str) -> Node:
         if name in ENDS:
             while stack[-1].name in ENDS[name]:
                 close(len(stack) - 1)
-        node = Node(label(name, token[3]))
-        stack[-1].parts.append(node)
-        stack.append(node)
-        opened[name] += 1
+        open_(Node(label(name, token[3])))
+    for node in texts:
+        node.text = " ".join(entities.unescape("".join(pieces[id(node)])).split())
+        node.links = min(node.links, len(node.text))
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.kids = [k for k in node.kids if k.label != TEXT or k.text]
+        todo.extend(node.kids)
     return root
 
 
-# A wrapper node is [label, flags, children]: a union-free regular expression over a host's pages. flags:
-# "?" its group is optional, "+" it repeats, "#" it is or holds a text slot of its own.
-MOST_CELLS = 1_000_000
-OPTIONAL, REPEATED, SLOT = "?", "+", "#"
+# A level of a page or wrapper is a list of entries [label, flags, instances]: neighbours with one label are one
+# repeated entry, and so are neighbours whose labels alternate (a Group).
 
 
-def wrapper_of(node: Node) -> list:
-    """The wrapper of one page, neighbours with one label folded into a repeated group."""
-    raw = [node.label, "", []]
-    todo = [(node, raw)]
-    while todo:
-        node, made = todo.pop()
-        made[1] = SLOT if any(isinstance(p, str) and not p.isspace() for p in node.parts) else ""
-        for part in node.parts:
-            if isinstance(part, Node):
-                made[2].append([part.label, "", []])
-                todo.append((part, made[2][-1]))
-    return joined([raw], folded=False)
+def add(flags: str, more: str) -> str:
+    return "".join(f for f in (OPTIONAL, REPEATED) if f in flags or f in more)
+
+
+def unit(entry: list) -> tuple[str, ...] | None:
+    """The labels that a group's entry repeats; None for other entries."""
+    if not entry[0].startswith("("):
+        return None
+    one = entry[2][0]
+    return tuple(e[0] for e in one.entries) if isinstance(one, Group) else tuple(k.label for k in one.kids)
 
 
-def fold_repeats(groups: list) -> list:
-    """groups: [label, flags, the nodes to be joined]."""
+def level(node) -> list:
+    return node.entries if isinstance(node, Group) else fold([[k.label, k.flags, [k]] for k in node.kids])
+
+
+def grouped(entries: list) -> list:
+    return ["(" + "|".join(e[0] for e in entries) + ")", "", [Group(entries)]]
+
+
+def fold(entries: list) -> list:
+    """Entries with what repeats side by side made one: single labels, then sequences of them, also of folded ones."""
     out: list = []
-    for name, flags, nodes in groups:
-        if out and out[-1][0] == name:
-            out[-1][1] = add(add(out[-1][1], flags), REPEATED)
-            out[-1][2].extend(nodes)
+    places: dict[str, list[int]] = defaultdict(list)
+
+    def put(entry: list) -> None:
+        if out and out[-1][0] == entry[0]:
+            out[-1] = [entry[0], add(add(out[-1][1], entry[1]), REPEATED), out[-1][2] + entry[2]]
+        elif out and OPTIONAL not in out[-1][1] and isinstance(out[-1][2][-1], Group) and out[-1][2][-1].entries[-1][0] == entry[0]:
+            ending = out[-1][2][-1].entries  # the group's last part goes on
+            ending[-1] = [entry[0], add(add(ending[-1][1], entry[1]), REPEATED), ending[-1][2] + entry[2]]
         else:
-            out.append([name, flags, list(nodes)])
+            places[entry[0]].append(len(out))
+            out.append(entry)
+
+    def take(n: int) -> list:
+        taken = out[-n:]
+        del out[-n:]
+        for entry in taken:
+            places[entry[0]].pop()
+        return taken
+
+    for entry in entries:
+        put(entry)
+        while len(places[out[-1][0]]) > 1:
+            n = places[out[-1][0]][-1] - places[out[-1][0]][-2]
+            if len(out) < 2 * n or [e[0] for e in out[-n:]] != [e[0] for e in out[-2 * n : -n]]:
+                break
+            later, earlier = take(n), take(n)
+            one, two = grouped(earlier), grouped(later)
+            put([one[0], REPEATED, one[2] + two[2]])
+        last = next((k for k in range(len(out) - 2, max(-1, len(out) - 10), -1) if out[k][0].startswith("(")), None)
+        if last is not None and unit(out[last]) == tuple(e[0] for e in out[last + 1 :]):
+            put(grouped(take(len(out) - last - 1)))
     return out
 
 
-def joined(nodes: list, folded: bool = True) -> list:
-    """The wrapper that generalises all the nodes of one label, each level of them by groups of nodes to be
-    joined at the next, so that no depth of nesting is too much. folded: the nodes are wrappers already."""
-    root = [nodes[0][0], "", []]
+def wrap(entries: list, units: set[tuple[str, ...]]) -> list:
+    """Entries with each sequence that the other side knows as a group made a group, the longest first."""
+    for known in sorted(units, key=lambda u: (-len(u), u)):
+        labels, out, i = [e[0] for e in entries], [], 0
+        while i < len(entries):
+            if tuple(labels[i : i + len(known)]) == known:
+                out.append(grouped(entries[i : i + len(known)]))
+                i += len(known)
+            else:
+                out.append(entries[i])
+                i += 1
+        if len(out) < len(entries):
+            entries = fold(out)
+    return entries
+
+
+def units(entries: list) -> set[tuple[str, ...]]:
+    return {u for e in entries if (u := unit(e))}
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence, in space linear in the lists: what precedes and follows the
+    middle of a is aligned with the parts of b where both together are longest."""
+    code: dict[str, int] = {}
+    x = np.array([code.setdefault(s, len(code)) for s in a], np.int64)
+    y = np.array([code.setdefault(s, len(code)) for s in b], np.int64)
+
+    def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(y) + 1, np.int64)
+        for v in x:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (y == v)))
+        return row
+
+    pairs = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i, k, j, m = todo.pop()
+        while i < k and j < m and x[i] == y[j]:
+            pairs.append((i, j))
+            i, j = i + 1, j + 1
+        while i < k and j < m and x[k - 1] == y[m - 1]:
+            k, m = k - 1, m - 1
+            pairs.append((k, m))
+        if i == k or j == m:
+            continue
+        if k - i == 1:
+            at = np.flatnonzero(y[j:m] == x[i])
+            if len(at):
+                pairs.append((i, j + int(at[0])))
+            continue
+        half = (i + k) // 2
+        cut = j + int((lengths(x[i:half], y[j:m]) + lengths(x[half:k][::-1], y[j:m][::-1])[::-1]).argmax())
+        todo += [(i, half, j, cut), (half, k, cut, m)]
+    return sorted(pairs)
+
+
+def aligned(a: list, b: list) -> list:
+    """The entries that generalise two levels: what only one has becomes optional, what either repeats repeats."""
+    a, b = wrap(a, units(b)), wrap(b, units(a))
+    out: list = []
+    i = j = 0
+    for p, q in [*common([e[0] for e in a], [e[0] for e in b]), (len(a), len(b))]:
+        out += [[e[0], add(e[1], OPTIONAL), e[2]] for e in [*a[i:p], *b[j:q]]]
+        if p < len(a):
+            out.append([a[p][0], add(a[p][1], b[q][1]), a[p][2] + b[q][2]])
+        i, j = p + 1, q + 1
+    return fold(out)
+
+
+def generalise(nodes: list) -> Node:
+    """The wrapper of pages or wrappers, a union-free regular expression: at each level, from the top, the nodes that
+    fall together are aligned one after the other."""
+    root = Node(nodes[0].label)
     todo = [(root, nodes)]
     while todo:
-        made, nodes = todo.pop()
-        for node in nodes:
-            made[1] = add(made[1], node[1])
-        groups: list = fold_repeats([[c[0], c[1], [c]] for c in nodes[0][2]])
-        for node in nodes[1:]:
-            more = fold_repeats([[c[0], c[1], [c]] for c in node[2]])
-            out: list = []
-            i = j = 0
-            for p, q in [*alignment([g[0] for g in groups], [g[0] for g in more]), (len(groups), len(more))]:
-                out += [[g[0], add(g[1], OPTIONAL), g[2]] for g in [*groups[i:p], *more[j:q]]]
-                if p < len(groups):
-                    out.append([groups[p][0], add(groups[p][1], more[q][1]), groups[p][2] + more[q][2]])
-                i, j = p + 1, q + 1
-            groups = fold_repeats(out)
-        for name, flags, parts in groups:
-            if folded and len(parts) == 1:
-                made[2].append([name, flags, parts[0][2]])
-            else:
-                made[2].append([name, flags, []])
-                todo.append((made[2][-1], parts))
+        made, parts = todo.pop()
+        entries = level(parts[0])
+        for part in parts[1:]:
+            entries = aligned(entries, level(part))
+        for name, flags, instances in entries:
+            made.kids.append(Node(name, flags))
+            if name != TEXT:
+                todo.append((made.kids[-1], instances))
     return root
 
 
-def dump(wrapper: list) -> str:
+def dump(wrapper: Node) -> str:
     """A wrapper as JSON of label, flags and number of children of each node, parents before children."""
     flat: list = []
     todo = [wrapper]
     while todo:
         node = todo.pop()
-        flat += [node[0], node[1], len(node[2])]
-        todo.extend(reversed(node[2]))
+        flat += [node.label, node.flags, len(node.kids)]
+        todo.extend(reversed(node.kids))
     return json.dumps(flat)
 
 
-def load(text: str) -> list:
+def load(text: str, seen: dict[int, tuple[int, int, bool]] | None = None) -> Node:
+    """A wrapper, its nodes numbered in order, with what the pages have by number: pages, unlinked characters, and
+    whether the text is template. An element's mass is the characters a page has in its slots on average."""
     flat = json.loads(text)
-    top: list = ["", "", []]
+    top = Node("")
     waiting = [(top, 1)]  # nodes and how many children they still lack
+    nodes: list[Node] = []
     for at in range(0, len(flat), 3):
         while not waiting[-1][1]:
             waiting.pop()
         parent, lack = waiting[-1]
         waiting[-1] = (parent, lack - 1)
-        parent[2].append([flat[at], flat[at + 1], []])
-        waiting.append((parent[2][-1], flat[at + 2]))
-    return top[2][0]
-
+        node = Node(flat[at], flat[at + 1])
+        node.number = len(nodes)
+        node.pages, node.mass, node.template = (seen or {}).get(node.number, (0, 0, False))
+        node.template = node.template and node.label == TEXT
+        node.mass = 0.0 if node.template else float(node.mass)
+        parent.kids.append(node)
+        nodes.append(node)
+        waiting.append((node, flat[at + 2]))
+    outside(top.kids[0])
+    for node in reversed(nodes):
+        node.mass += sum(kid.mass for kid in node.kids if not kid.out)
+    for node in nodes:
+        node.mass /= max(1, node.pages)
+    return top.kids[0]
+
+
+def outside(root: Node) -> None:
+    """Marks the nodes that are no part of an article: by element, and by class words unless the page's body or its
+    first heading is in them."""
+    order = [root]
+    for node in order:
+        order.extend(node.kids)
+    titled: set[int] = set()
+    for node in reversed(order):
+        if node.name == "h1" or any(id(k) in titled for k in node.kids):
+            titled.add(id(node))
+    for node in order:
+        node.out = node.name in OUTSIDE or (node.name not in ("html", "body") and id(node) not in titled and bool(OUTSIDE_WORDS & node.marks))
+
+
+def match(page: Node, wrapper: Node) -> None:
+    """Gives the page's nodes their slots in the wrapper; what has no place there keeps None."""
+    todo = [([page], wrapper)]
+    while todo:
+        nodes, slot = todo.pop()
+        theirs = [k.label for k in slot.kids]
+        known = {tuple(k.label for k in kid.kids) for kid in slot.kids if kid.label.startswith("(")}
+        for node in nodes:
+            node.slot = slot
+            if theirs:
+                entries = wrap(level(node), known)
+                todo.extend((entries[i][2], slot.kids[j]) for i, j in common([e[0] for e in entries], theirs))
 
-def add(flags: str, more: str) -> str:
-    return "".join(f for f in (OPTIONAL, REPEATED, SLOT) if f in flags or f in more)
-
-
-def alignment(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places of a longest common subsequence; of very long lists, of a common subsequence that is
-    the whole of a where a is part of b."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    if head:
-        return [(i, i) for i in range(head)] + [(i + head, j + head) for i, j in alignment(a[head:], b[head:])]
-    if len(a) * len(b) > MOST_CELLS:  # the earliest common places in order; all of them where a is part of b
-        j, pairs = 0, []
-        for i, name in enumerate(a):
-            at = b.index(name, j) if name in b[j:] else -1
-            if at >= 0:
-                pairs.append((i, at))
-                j = at + 1
-        return pairs
-    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
-    i = j = 0
-    pairs = []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif size[i + 1][j] >= size[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return pairs
 
+def in_order(page: Node) -> Iterator[Node]:
+    todo = [page]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo.extend(reversed(node.kids))
 
-def merge(a: list, b: list) -> list:
-    """The wrapper that generalises two: what only one has becomes optional, what either repeats stays repeated."""
-    return joined([a, b])
 
+def extract(page: Node, wrapper: Node) -> str:
+    """The main text of a page, its blocks in order.
 
-def main_slots(wrapper: list) -> list:
-    """The wrapper with the flags "0", "1" and "2" on the nodes whose own text is main text of a page whose
-    article is told by the first, second or third test: an article or main element, an element named so, the
-    whole page. What is no part of an article has none of them, nor has anything in it.
+    The region of the article is found from the top: a part becomes the region while it holds LEADING of the slot
+    text there, by the average over the host's pages (the page's own for what has no slot), links left out and the
+    priors of its element and class words multiplied in. Of a region everything is kept but what is outside by
+    element or class words and what is template: the same on TEMPLATE_PAGES or more pages, headings excepted.
+    Headings before a region without a prior belong to it. If nothing is left, all text that is not outside is taken.
     """
-    def outside(name: str, *marks: str) -> bool:
-        return name in OUTSIDE or bool(OUTSIDE_WORDS & set(marks))
+    match(page, wrapper)
+    outside(page)
+    order = [page]
+    for node in order:
+        order.extend(node.kids)
+    for node in reversed(order):
+        if node.label == TEXT:
+            node.mass = float(len(node.text) - node.links)
+        else:
+            node.mass = sum(k.mass for k in node.kids if not k.out)
 
-    top: list = ["", "", []]
-    todo = [(wrapper, "2", top)]
-    while todo:
-        node, inside, parent = todo.pop()
-        name, *marks = node[0].split(" ")
-        made = [node[0], node[1], []]
-        parent[2].append(made)
-        if outside(name, *marks):
-            continue
-        if name in INSIDE and "0" not in inside:
-            inside += "0"
-        if INSIDE_WORDS & set(marks) and "1" not in inside:
-            inside += "1"
-        made[1] += inside
-        todo.extend((c, inside, made) for c in reversed(node[2]))
-    return top[2][0]
-
-
-def extract(page: Node, wrapper: list) -> str:
-    """The text of the page's blocks that fall on main slots of the wrapper, in page order. Which test tells the
-    article is settled by page: the first by which this page has any text."""
-    found: list[tuple[str, str]] = []
-    todo: list = [(page, wrapper)]  # elements with their slots, and text with its flags
-    while todo:
-        node, slot = todo.pop()
-        if isinstance(node, str):
-            text = " ".join(entities.unescape(node).split())
-            if text:
-                found.append((text, slot))
-            continue
-        # slot None: the page has something here that no page had when the wrapper was made
-        flags = slot[1] if slot is not None else ""
-        labels: list[str] = []
-        for part in node.parts:
-            if isinstance(part, Node) and (not labels or labels[-1] != part.label):
-                labels.append(part.label)
-        pairs = dict(alignment(labels, [c[0] for c in slot[2]])) if slot is not None else {}
-        own: list[str] = []
-        below: list = []
-        group = -1
-        last = None
-        for part in node.parts:
-            if isinstance(part, str):
-                own.append(part)
-                continue
-            below.append(("".join(own), flags))
-            own = []
-            if part.label != last:
-                group, last = group + 1, part.label
-            below.append((part, slot[2][pairs[group]] if group in pairs else None))
-        below.append(("".join(own), flags))
-        todo.extend(reversed(below))
-    blocks = ([text for text, flags in found if test in flags] for test in "012")
-    return "\n".join(next((b for b in blocks if b), []))
+    region, heads = [page], []
+    while True:
+        parts: dict[object, list[Node]] = {}
+        own = 0.0
+        for node in region:
+            for kid in node.kids:
+                if kid.label == TEXT:
+                    own += kid.mass
+                elif not kid.out and kid.kids:
+                    parts.setdefault(kid.label if kid.slot is None else kid.slot.number, []).append(kid)
+        parts = {k: v for k, v in parts.items() if any(n.mass for n in v)}
+        if not parts:
+            break
+        weight = {k: INSIDE_WEIGHT if v[0].name in INSIDE else INSIDE_WORDS_WEIGHT if INSIDE_WORDS & v[0].marks else 1.0 for k, v in parts.items()}
+        score = {k: weight[k] * (v[0].slot.mass if v[0].slot is not None and v[0].slot.mass else sum(n.mass for n in v)) for k, v in parts.items()}
+        best = max(score, key=score.__getitem__)
+        if parts[best][0].name in TEXTUAL or (len(parts[best]) > 1 and weight[best] == 1) or score[best] < LEADING * (own + sum(score.values())):
+            break
+        if weight[best] == 1:
+            kids = [k for node in region for k in node.kids]
+            heads += [k for k in kids[: next(i for i, k in enumerate(kids) if k is parts[best][0])] if k.name in HEADINGS]
+        region = parts[best]
+
+    def blocks(tops: list[Node], constant: bool) -> list[str]:
+        found: list[str] = []
+        todo = [(n, n) for n in reversed(tops)]
+        line = None  # the element whose line goes on, as an element left out inside it does not break it
+        while todo:
+            node, parent = todo.pop()
+            if node.label != TEXT:
+                line = line if node.name in INLINE else None
+            elif constant or parent.name in HEADINGS or node.slot is None or not node.slot.template:
+                if line is parent:
+                    found[-1] += " " + node.text
+                else:
+                    found.append(node.text)
+                line = parent
+            if not node.out:
+                todo.extend((k, node) for k in reversed(node.kids))
+        return found
+
+    return "\n".join(blocks(heads + region, False) or blocks(heads + region, True) or blocks([page], True))
 
 
 def host(url):
@@ -299,61 +463,124 @@ def host(url):
 
 
 def wrappers(pages: DataFrame, fan_in: int = 256) -> DataFrame:
-    """(host, wrapper string) from all pages. Each task folds the pages it reads by host; equal wrappers of a
-    host count once; the rest are merged `fan_in` at a time until a host has one, so no group grows with a host."""
+    """(host, wrapper string) from (host, html) of all pages. Equal structures of a host count once; they are merged
+    in order `fan_in` at a time until a host has one, so no group grows with a host and the order and partitions of
+    the pages make no difference."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "html"):
-            made: dict[str, list] = {}
-            seen: set[tuple[str, str]] = set()
-            for name, text in zip(batch.column("host").to_pylist(), texts):
-                one = wrapper_of(parse(text.decode("utf-8", "replace")))
-                key = (name, dump(one))
-                if key not in seen:
-                    seen.add(key)
-                    made[name] = merge(made[name], one) if name in made else one
-            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array([dump(w) for w in made.values()], pa.string())], names=["host", "wrapper"])
+        for batch, sources in text_chunks(batches, "html"):
+            made = {(name, dump(generalise([parse(t.decode("utf-8", "replace"))]))) for name, t in zip(batch.column("host").to_pylist(), sources)}
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.string()) for k in (0, 1)], names=["host", "wrapper"])
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        merged = None
-        for text in sorted(rows["wrapper"]):
-            one = load(text)
-            merged = one if merged is None else merge(merged, one)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [dump(merged)]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [dump(generalise([load(t) for t in sorted(rows["wrapper"])]))]})
 
-    found = write(pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(read, "host string, wrapper string").distinct()).df
+    found = write(pages.mapInArrow(read, "host string, wrapper string").distinct()).df
     while True:
         most = found.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
             return found
-        lots = max(1, -(-most // fan_in))
-        dealt = found.withColumn("lot", F.pmod(F.xxhash64("wrapper"), F.lit(lots)))
+        lots = F.ceil(F.col("of_host") / fan_in)
+        sizes = found.groupBy("host").agg(F.count("*").alias("of_host"))
+        dealt = found.join(sizes, "host").withColumn("lot", F.pmod(F.xxhash64("wrapper"), lots))
         found = write(dealt.groupBy("host", "lot").applyInPandas(join, "host string, wrapper string").distinct()).df
 
 
-def main_text(pages: DataFrame, salts: int = 16) -> DataFrame:
+#: Wrappers together up to this many characters are broadcast; beyond, they are joined to the pages.
+BROADCAST_CHARS = 1 << 25
+
+
+def by_wrapper(pages: DataFrame, known: DataFrame, columns: list[str], run: Callable, schema, pages_per_lot: int = 20_000) -> DataFrame:
+    """run(batch, sources, wrappers) over pages (host, html and `columns`) with each page's loaded wrapper.
+
+    known: host, wrapper, seen. A small set of wrappers is broadcast; a large one is joined to pages dealt over lots
+    of about `pages_per_lot`, so that no host fills a task.
+    """
+    size = known.agg(F.sum(F.length("wrapper") + 40 * F.size("seen"))).first()[0] or 0
+    as_dict = lambda seen: {s["node"]: (s["pages"], s["chars"], s["template"]) for s in seen}
+    if size <= BROADCAST_CHARS:
+        table = {r["host"]: (r["wrapper"], as_dict(r["seen"])) for r in known.collect()}
+        shared = pages.sparkSession.sparkContext.broadcast(table)
+
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loaded: dict[str, Node] = {}
+            for batch, sources in text_chunks(batches, "html"):
+                names = batch.column("host").to_pylist()
+                for name in set(names).difference(loaded):
+                    loaded[name] = load(*shared.value[name])
+                yield from run(batch, sources, [loaded[n] for n in names])
+
+        return pages.select("host", "html", *columns).mapInArrow(mapped, schema)
+
+    lots = pages.groupBy("host").agg(F.ceil(F.count("*") / pages_per_lot).alias("lots"))
+    spread = known.join(lots, "host").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots").cast("int") - 1)))
+    dealt = pages.join(F.broadcast(lots.where("lots > 1")), "host", "left").withColumn("lot", F.pmod(F.xxhash64("html"), F.coalesce("lots", F.lit(1))).cast("int"))
+    joined = dealt.join(spread.select("host", "lot", "wrapper", "seen"), ["host", "lot"]).select("host", "html", "wrapper", "seen", *columns)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: dict[str, Node] = {}
+        for batch, sources in text_chunks(batches, "html"):
+            if len(loaded) > 2000:
+                loaded.clear()
+            names = batch.column("host").to_pylist()
+            for k, name in enumerate(names):
+                if name not in loaded:
+                    loaded[name] = load(batch.column("wrapper")[k].as_py(), as_dict(batch.column("seen")[k].as_py()))
+            yield from run(batch, sources, [loaded[n] for n in names])
+
+    return joined.mapInArrow(mapped, schema)
+
+
+SEEN = "array<struct<node:int,pages:long,chars:long,template:boolean>>"
+
+
+def slots(pages: DataFrame, made: DataFrame) -> DataFrame:
+    """(host, wrapper, seen): what all pages of a host have at each node of its wrapper: on how many pages, how many
+    characters of its own outside links, and whether it is one and the same text on pages that differ, hence template."""
+
+    def run(batch: pa.RecordBatch, sources: list[bytes], found: list[Node]) -> Iterator[pa.RecordBatch]:
+        tally: dict[tuple[str, int], list[int]] = {}
+        for name, source, wrapper in zip(batch.column("host").to_pylist(), sources, found):
+            page = parse(source.decode("utf-8", "replace"))
+            match(page, wrapper)
+            whole = xxhash.xxh64_intdigest(source) >> 1
+            here: dict[int, list[Node]] = defaultdict(list)
+            for node in in_order(page):
+                if node.slot is not None:
+                    here[node.slot.number].append(node)
+            for number, parts in here.items():
+                said = xxhash.xxh64_intdigest("\n".join(t.text for t in parts).encode("utf-8", "replace")) >> 1
+                now = tally.setdefault((name, number), [0, 0, said, said, whole, whole])
+                now[0] += 1
+                now[1] += sum(len(t.text) - t.links for t in parts)
+                now[2:] = min(now[2], said), max(now[3], said), min(now[4], whole), max(now[5], whole)
+        names = ["host", "node", "pages", "chars", "text_from", "text_to", "page_from", "page_to"]
+        rows = [(*k, *v) for k, v in tally.items()]
+        columns = list(zip(*rows)) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 0 else pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)], names=names)
+
+    nothing = made.withColumn("seen", F.array().cast(SEEN))
+    tallied = by_wrapper(pages, nothing, [], run, "host string, node int, pages long, chars long, text_from long, text_to long, page_from long, page_to long")
+    of_node = tallied.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("text_from").alias("a"), F.max("text_to").alias("b"), F.min("page_from").alias("c"), F.max("page_to").alias("d"))
+    template = (F.col("a") == F.col("b")) & (F.col("c") != F.col("d")) & (F.col("pages") >= TEMPLATE_PAGES)
+    of_host = of_node.groupBy("host").agg(F.collect_list(F.struct("node", "pages", "chars", template.alias("template"))).alias("seen"))  # as many as the wrapper has nodes
+    return write(made.join(of_host, "host", "left").select("host", "wrapper", F.coalesce("seen", F.array().cast(SEEN)).alias("seen"))).df
+
+
+def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page by its host's wrapper.
 
     Null html counts as empty and gives empty text; pages without a host share a wrapper. A block is what
     stands between the tags of elements that break lines; its white space becomes single blanks. Repeated
-    rows come out once each; other columns are ignored; an empty table gives no rows. A wrapper is joined to
-    pages dealt over `salts` lots a host, so a host with a third of all pages does not fill a task.
+    rows come out once each; other columns are ignored; an empty table gives no rows. Neither the order of the
+    rows nor their partitions make a difference.
     """
-    known = wrappers(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("salt"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked: dict[str, list] = {}
-        for batch, texts in text_chunks(batches, "html"):
-            if len(marked) > 2000:
-                marked.clear()
-            out = []
-            for text, wrapper in zip(texts, batch.column("wrapper").to_pylist()):
-                if wrapper not in marked:
-                    marked[wrapper] = main_slots(load(wrapper))
-                out.append(extract(parse(text.decode("utf-8", "replace")), marked[wrapper]))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    joined = dealt.join(known, ["host", "salt"]).select("page_id", "url", "html", "wrapper")
-    schema = joined.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
-    return joined.mapInArrow(run, schema)
+    dealt = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host(F.col("url")).alias("host"))
+    known = slots(dealt, wrappers(dealt.select("host", "html")))
+
+    def run(batch: pa.RecordBatch, sources: list[bytes], found: list[Node]) -> Iterator[pa.RecordBatch]:
+        out = [extract(parse(s.decode("utf-8", "replace")), wrapper) for s, wrapper in zip(sources, found)]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    schema = dealt.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
+    return by_wrapper(dealt, known, ["page_id", "url"], run, schema)

@@ -40,18 +40,108 @@ def test_deep_nesting_keeps_ancestors_and_outsides(spark):
 
 
 def test_wrappers_generalise():
-    one = html.wrapper_of(html.parse("<div><h1>a</h1><p>b</p><p>c</p></div>"))
-    two = html.wrapper_of(html.parse("<div><h1>a</h1><table></table><p>b</p></div>"))
-    body = html.merge(one, two)[2][0]
-    assert [(c[0], c[1]) for c in body[2]] == [("h1", "#"), ("table", "?"), ("p", "+#")]
+    page = lambda text: html.parse(text)
+    body = html.generalise([page("<div><h1>a</h1><p>b</p><p>c</p></div>"), page("<div><h1>a</h1><table></table><p>b</p></div>")]).kids[0]
+    assert [(c.label, c.flags) for c in body.kids] == [("h1", ""), ("table", "?"), ("p", "+")]
+    groups = html.generalise([page("<h2>a</h2><p>b</p><h2>c</h2><p>d</p><p>e</p>"), page("<h2>a</h2><p>b</p><ul><li>i</ul>")])
+    assert [(c.label, c.flags, [(k.label, k.flags) for k in c.kids if k.label != "li"]) for c in groups.kids] == [("(h2|p)", "+", [("h2", ""), ("p", "+")]), ("ul", "?", [])]
+    assert html.dump(html.load(html.dump(groups))) == html.dump(groups)
+
+
+def test_alignment_of_lists_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (["abcde"[k] for k in rng.integers(0, 5, rng.integers(0, 14))] for _ in range(2))
+        pairs = html.common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert len(pairs) == best[-1][-1]
+    long = [str(k % 700) for k in range(3000)]
+    assert len(html.common(long, long[::2])) == 1500
+
+
+def regex(node):
+    """The union-free regular expression of a wrapper over the labels of a page."""
+    inner = "".join(map(regex, node.kids))
+    inner = inner if node.label.startswith("(") else f"<{node.label}>{inner}</>"
+    return "(?:" + inner + ")" + {"": "", "+": "+", "?": "?", "?+": "*"}[node.flags]
+
+
+def spelled(node):
+    return f"<{node.label}>" + "".join(map(spelled, node.kids)) + "</>"
+
+
+def test_wrappers_accept_their_pages():
+    """Brute force: a host's wrapper, spelled out as a regular expression, matches every page it was made from."""
+    import re
+
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        made = []
+        for _ in range(4):
+            parts = [["<p>t</p>", "<h2>t</h2>", "<ul><li>t<li>u</ul>", "<div>t<p>u</p></div>"][k] for k in rng.integers(0, 4, rng.integers(0, 7))]
+            made.append("<div>" + "".join(parts) + "</div>")
+        wrapper = html.generalise([html.parse(m) for m in made])
+        pattern = re.compile(regex(wrapper))
+        found = [bool(pattern.fullmatch(spelled(html.parse(m)))) for m in made]
+        assert all(found), (made, html.dump(wrapper))
+
+
+def test_no_order_or_partition_drops_text(spark):
+    pages = ["<h1>t</h1><div class=x><p>body</p></div>", "<div class=x><p>hello main</p></div>", "<div class=x><ul><li>lst</li></ul></div><h1>t</h1><div class=x><p>b</p></div>"]
+    rows = [(k, "http://o.example/", p) for k, p in enumerate(pages)]
+    found = {str(sorted(extract(spark, r).items())) for r in (rows, rows[::-1], [rows[1], rows[2], rows[0]])}
+    assert len(found) == 1 and "hello main" in found.pop()
+
+
+def test_slots_find_the_article_without_helpful_names(spark):
+    page = "<div class=a1><div class=b7>The Daily Site</div><div class=q><a href=/>One</a> <a>Two</a></div><div class=zz>{}<div class=k3>Write to us</div></div><div class=g>Copyright 2020</div></div>"
+    bodies = ["".join(f"<h2>Part</h2><p>{'word ' * 30}of {k} and {n}</p>" for n in range(k + 1)) for k in range(5)]
+    got = extract(spark, [(k, "http://slots.example/x", page.format(b)) for k, b in enumerate(bodies)])
+    for k in range(5):
+        assert got[k][0] == "\n".join(f"Part\n{'word ' * 30}of {k} and {n}" for n in range(k + 1))
+    alone = extract(spark, [(9, "http://alone.example", page.format(bodies[1]))])
+    assert "Write to us" in alone[9][0] and "Part" in alone[9][0]
+
+
+def test_large_sets_of_wrappers_are_joined(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 3}.example/", f"<article><p>text {k}</p></article><div>x</div>") for k in range(30)]
+    whole = extract(spark, rows)
+    monkeypatch.setattr(html, "BROADCAST_CHARS", -1)
+    assert extract(spark, rows) == whole and whole[4][0] == "text 4"
+
+
+def test_inline_elements_named_as_outside(spark):
+    got = extract(spark, [(1, "http://i.example", "<article><p>a <span class=ad>buy <span>x</span> now</span> b</p><p>c<a class=share>s</a></article>")])
+    assert got[1][0] == "a b\nc"
 
 
 def test_wrapper_join_rounds(spark):
     pages = spark.createDataFrame([(i, "http://h.example", f"<div><p>a</p>{'<table></table><p>b</p>' * (i % 7)}</div>") for i in range(60)], "page_id long, url string, html string").repartition(12)
-    assert html.wrappers(pages, fan_in=3).count() == 1
+    assert html.wrappers(pages.withColumn("host", F.lit("h")), fan_in=3).count() == 1
     assert html.main_text(pages).where("page_id = 6").first()["text"].count("b") == 6
 
 
+def test_extraction_query_equals_the_article_of_every_page(spark):
+    """Brute force on the given pages: their article element, tags cut out, blocks as the tags of blocks leave them."""
+    import html as entities
+    import re
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["page_id"]: r for r in queries.op7_html_extraction(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    for p in pages:
+        inner = re.search("<article>(.*)</article>", p["html"], re.S)[1]
+        cuts = re.split("</?(?:p|h1|ul|li|div|h2)[^>]*>", inner)
+        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", c)).split()) for c in cuts]
+        text = "\n".join(b for b in blocks if b)
+        assert got[p["page_id"]]["text"] == text and got[p["page_id"]]["n_chars"] == len(text) and got[p["page_id"]]["url"] == p["url"]
+    assert len(got) == len(pages)
+
+
 def tones(seed, n=40_000):
     rng = np.random.default_rng(seed)
     steps = np.repeat(rng.choice(220 * 2 ** (np.arange(24) / 12), n // 1000), 1000)
