@@ -91,7 +91,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> language.Model:
@@ -101,7 +101,7 @@ def language_model(spark: SparkSession, sf_dir: str) -> language.Model:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = language.identify(docs, language_model(spark, sf_dir))
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "languages")
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
 
 
 def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,15 +122,17 @@ WITH records AS (
 both_ AS (
     SELECT *, head || strlen(html) || repeat(chr(13) || chr(10), 2) || html || repeat(chr(13) || chr(10), 2) AS ours,
            '#' || substr(html, 2) AS changed FROM records),
+sides AS (
+    SELECT *, CASE WHEN page_id % 1009 = 7 THEN NULL
+                   WHEN page_id % 97 = 5 THEN head || strlen(changed) || repeat(chr(13) || chr(10), 2) || changed || repeat(chr(13) || chr(10), 2)
+                   ELSE ours END AS theirs FROM both_),
 placed AS (
-    SELECT *, sum(strlen(ours)) OVER (PARTITION BY file ORDER BY position) AS last,
-           CASE WHEN page_id % 1009 = 7 THEN NULL
-                WHEN page_id % 97 = 5 THEN head || strlen(changed) || repeat(chr(13) || chr(10), 2) || changed || repeat(chr(13) || chr(10), 2)
-                ELSE ours END AS theirs FROM both_)
+    SELECT *, sum(strlen(ours)) OVER w AS last, sum(strlen(theirs)) OVER w AS their_last FROM sides
+    WINDOW w AS (PARTITION BY file ORDER BY position))
 SELECT file, position, (last - strlen(ours))::BIGINT AS first, last::BIGINT AS last,
-       CASE WHEN theirs IS NULL THEN 'missing' ELSE 'corrupt' END AS status,
+       CASE WHEN theirs IS NULL THEN 'missing' WHEN theirs = ours THEN 'moved' ELSE 'corrupt' END AS status,
        sha256(ours) AS primary_hash, sha256(theirs) AS replica_hash
-FROM placed WHERE theirs IS DISTINCT FROM ours
+FROM placed WHERE theirs IS DISTINCT FROM ours OR their_last <> last OR strlen(theirs) <> strlen(ours)
 """
 
 
