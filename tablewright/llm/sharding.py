@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +44,7 @@ def lookup_table(spark: SparkSession, shards: Sequence[str], slots_per_shard: in
     """(slot, shard): as many rows as the least prime of at least slots_per_shard slots for each shard."""
     table = fill(shards, next_prime(slots_per_shard * len(shards)))
     listed = F.split(F.lit(",".join(map(str, table))), ",")
-    named = F.split(F.lit("\n".join(shards)), "\n")
+    named = F.from_json(F.lit(json.dumps(list(shards))), "array<string>")
     return spark.range(1).select(F.posexplode(listed).alias("slot", "k")).select("slot", F.element_at(named, F.col("k").cast("int") + 1).alias("shard"))
 
 
@@ -57,9 +58,10 @@ def place(df: DataFrame, key: str, shards: Sequence[str], slots_per_shard: int =
     """df with its `slot` and `shard` added by a broadcast lookup, without a shuffle.
 
     The table's size follows from the parameters alone. Equal keys get equal places; a null key has the
-    place of the empty text; an empty table stays empty. The names slot and shard must not be taken.
+    place of the empty text; an empty table stays empty. Columns of df named slot or shard give way to the new ones.
     """
-    if {"slot", "shard"} & set(df.columns):
-        raise ValueError("columns slot and shard exist already")
     size = next_prime(slots_per_shard * len(shards))
-    return df.withColumn("slot", slot(F.col(f"`{key}`"), size)).join(F.broadcast(lookup_table(df.sparkSession, shards, slots_per_shard)), "slot")
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
+    placed = df.select(*others, slot(F.col(f"`{key}`"), size).alias("slot"))
+    table = F.broadcast(lookup_table(df.sparkSession, shards, slots_per_shard))
+    return placed.join(table, "slot").select(*others, "slot", "shard")

@@ -208,6 +208,8 @@ def test_shards_are_even_and_stable(spark):
     assert all(r["shard"] == names[table[r["slot"]]] for r in got.collect())
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString() and "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     assert sharding.place(df.limit(0), "doc_id", names).count() == 0
+    clash = sharding.place(df.withColumnRenamed("k", "slot").withColumn("shard", F.lit("x")), "shard", ["a\nb", "c"])
+    assert clash.columns == ["doc_id", "slot", "shard"] and set(r["shard"] for r in clash.collect()) <= {"a\nb", "c"}
 
 
 def test_audit_locates_damage(spark):
