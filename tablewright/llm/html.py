@@ -7,6 +7,8 @@ import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,22 @@ def label(name: str, attributes: str) -> str:
     return " ".join([name, *found])
 
 
+class Prior(NamedTuple):
+    """What a label tells: its element, whether that or its words are outside an article, how its text counts."""
+
+    name: str
+    outside: bool
+    named_outside: bool
+    weight: float
+
+
+@lru_cache(1 << 14)
+def prior(label: str) -> Prior:
+    name, *marks = label.split(" ")
+    weight = INSIDE_WEIGHT if name in INSIDE else INSIDE_WORDS_WEIGHT if INSIDE_WORDS & set(marks) else 1.0
+    return Prior(name, name in OUTSIDE, name not in ("html", "body") and bool(OUTSIDE_WORDS & set(marks)), weight)
+
+
 class Node:
     """An element of a page, a text of one, or a node of a wrapper. A page's node has a slot in the wrapper, if any;
     a wrapper's has a number and what the pages have there."""
@@ -61,12 +79,8 @@ class Node:
         self.kids: list[Node] = []
 
     @property
-    def name(self) -> str:
-        return self.label.partition(" ")[0]
-
-    @property
-    def marks(self) -> set[str]:
-        return set(self.label.split(" ")[1:])
+    def prior(self) -> Prior:
+        return prior(self.label)
 
 
 class Group:
@@ -83,7 +97,7 @@ def parse(source: str) -> Node:
     their parents end them; elements that stay inside a line dissolve into their text, as blanks where they break
     it, unless their class names them as no part of an article."""
     root = Node("#page")
-    stack, at, end = [root], 0, len(source)
+    stack, names, at, end = [root], [root.label], 0, len(source)
     opened: Counter[str] = Counter()  # names on the stack, so that a closing tag without an element costs nothing
     kept: list[list] = []  # open elements inside a line that did not dissolve: name, open ones of that name within, depth
     linked = 0
@@ -91,15 +105,17 @@ def parse(source: str) -> Node:
     texts: list[Node] = []
 
     def close(depth: int) -> None:
-        opened.subtract(n.name for n in stack[depth:])
-        del stack[depth:]
+        for name in names[depth:]:
+            opened[name] -= 1
+        del stack[depth:], names[depth:]
         while kept and kept[-1][2] >= depth:
             kept.pop()
 
-    def open_(node: Node) -> None:
+    def open_(name: str, node: Node) -> None:
         stack[-1].kids.append(node)
         stack.append(node)
-        opened[node.name] += 1
+        names.append(name)
+        opened[name] += 1
 
     def say(text: str) -> None:
         kids = stack[-1].kids
@@ -134,7 +150,7 @@ def parse(source: str) -> Node:
             elif name in VOID:
                 stack[-1].kids.append(Node(name))
             elif not closing and token[3] and OUTSIDE_WORDS & set((named := label(name, token[3])).split(" ")[1:]):
-                open_(Node(named))
+                open_(name, Node(named))
                 kept.append([name, 0, len(stack) - 1])
             elif kept and kept[-1][0] == name:
                 if not closing:
@@ -149,17 +165,17 @@ def parse(source: str) -> Node:
             if name == "p":
                 while kept and kept[-1][2] == len(stack) - 1:
                     close(len(stack) - 1)
-                if stack[-1].name == "p":
+                if names[-1] == "p":
                     close(len(stack) - 1)
             elif opened[name]:
-                close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].name == name))
+                close(next(d for d in range(len(stack) - 1, 0, -1) if names[d] == name))
             continue
-        if stack[-1].name == "p":
+        if names[-1] == "p":
             close(len(stack) - 1)
         if name in ENDS:
-            while stack[-1].name in ENDS[name]:
+            while names[-1] in ENDS[name]:
                 close(len(stack) - 1)
-        open_(Node(label(name, token[3])))
+        open_(name, Node(label(name, token[3]) if token[3] else name))
     for node in texts:
         node.text = " ".join(entities.unescape("".join(pieces[id(node)])).split())
         node.links = min(node.links, len(node.text))
@@ -188,7 +204,10 @@ def unit(entry: list) -> tuple[str, ...] | None:
 
 
 def level(node) -> list:
-    return node.entries if isinstance(node, Group) else fold([[k.label, k.flags, [k]] for k in node.kids])
+    if isinstance(node, Group):
+        return node.entries
+    entries = [[k.label, k.flags, [k]] for k in node.kids]
+    return fold(entries) if len(entries) > 1 else entries
 
 
 def grouped(entries: list) -> list:
@@ -197,6 +216,8 @@ def grouped(entries: list) -> list:
 
 def fold(entries: list) -> list:
     """Entries with what repeats side by side made one: single labels, then sequences of them, also of folded ones."""
+    if len({e[0] for e in entries}) == len(entries) and not any(e[0].startswith("(") for e in entries):
+        return entries
     out: list = []
     places: dict[str, list[int]] = defaultdict(list)
 
@@ -255,6 +276,8 @@ def units(entries: list) -> set[tuple[str, ...]]:
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Pairs of places of a longest common subsequence, in space linear in the lists: what precedes and follows the
     middle of a is aligned with the parts of b where both together are longest."""
+    if a == b:
+        return [(i, i) for i in range(len(a))]
     code: dict[str, int] = {}
     x = np.array([code.setdefault(s, len(code)) for s in a], np.int64)
     y = np.array([code.setdefault(s, len(code)) for s in b], np.int64)
@@ -363,12 +386,19 @@ def outside(root: Node) -> None:
     order = [root]
     for node in order:
         order.extend(node.kids)
-    titled: set[int] = set()
-    for node in reversed(order):
-        if node.name == "h1" or any(id(k) in titled for k in node.kids):
-            titled.add(id(node))
+    named = []
     for node in order:
-        node.out = node.name in OUTSIDE or (node.name not in ("html", "body") and id(node) not in titled and bool(OUTSIDE_WORDS & node.marks))
+        known = prior(node.label)
+        node.out = known.outside
+        if known.named_outside and not node.out:
+            named.append(node)
+    if named:
+        titled: set[int] = set()
+        for node in reversed(order):
+            if prior(node.label).name == "h1" or any(id(k) in titled for k in node.kids):
+                titled.add(id(node))
+        for node in named:
+            node.out = id(node) not in titled
 
 
 def match(page: Node, wrapper: Node) -> None:
@@ -426,14 +456,14 @@ def extract(page: Node, wrapper: Node) -> str:
         parts = {k: v for k, v in parts.items() if any(n.mass for n in v)}
         if not parts:
             break
-        weight = {k: INSIDE_WEIGHT if v[0].name in INSIDE else INSIDE_WORDS_WEIGHT if INSIDE_WORDS & v[0].marks else 1.0 for k, v in parts.items()}
+        weight = {k: v[0].prior.weight for k, v in parts.items()}
         score = {k: weight[k] * (v[0].slot.mass if v[0].slot is not None and v[0].slot.mass else sum(n.mass for n in v)) for k, v in parts.items()}
         best = max(score, key=score.__getitem__)
-        if parts[best][0].name in TEXTUAL or (len(parts[best]) > 1 and weight[best] == 1) or score[best] < LEADING * (own + sum(score.values())):
+        if parts[best][0].prior.name in TEXTUAL or (len(parts[best]) > 1 and weight[best] == 1) or score[best] < LEADING * (own + sum(score.values())):
             break
         if weight[best] == 1:
             kids = [k for node in region for k in node.kids]
-            heads += [k for k in kids[: next(i for i, k in enumerate(kids) if k is parts[best][0])] if k.name in HEADINGS]
+            heads += [k for k in kids[: next(i for i, k in enumerate(kids) if k is parts[best][0])] if k.prior.name in HEADINGS]
         region = parts[best]
 
     def blocks(tops: list[Node], constant: bool) -> list[str]:
@@ -443,8 +473,8 @@ def extract(page: Node, wrapper: Node) -> str:
         while todo:
             node, parent = todo.pop()
             if node.label != TEXT:
-                line = line if node.name in INLINE else None
-            elif constant or parent.name in HEADINGS or node.slot is None or not node.slot.template:
+                line = line if node.prior.name in INLINE else None
+            elif constant or parent.prior.name in HEADINGS or node.slot is None or not node.slot.template:
                 if line is parent:
                     found[-1] += " " + node.text
                 else:
