@@ -63,97 +63,108 @@ class Words:
         return found if self.index is None else [self.index[b] for b in found if b in self.index]
 
 
+class Rows(NamedTuple):
+    """Texts by their features: the positive ones first, then the unlabelled."""
+
+    row: np.ndarray
+    col: np.ndarray
+    positive: int
+    unlabelled: int
+
+    @classmethod
+    def of(cls, positive: list[list[int]], unlabelled: list[list[int]]) -> Rows:
+        rows = positive + unlabelled
+        return cls(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([c for r in rows for c in r], np.int64), len(positive), len(unlabelled))
+
+    def margins(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.positive + self.unlabelled) + w[-1]
+
+
+def nn_pu_risk(w: np.ndarray, rows: Rows, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the positive-unlabelled risk of weights w, the bias last, with the logistic loss l,
+
+        prior x E_P[l(f)]   and   E_U[l(-f)] - prior x E_P[l(-f)],
+
+    and their gradients. The second estimates the risk on texts that are not toxic and so can't be negative."""
+    f = rows.margins(w)
+    high = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    loss_neg, p = np.logaddexp(0, f), slice(rows.positive)
+    first = prior * np.logaddexp(0, -f[p]).mean()
+    rest = loss_neg[rows.positive :].mean() - prior * loss_neg[p].mean()
+
+    def gradient(d: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(rows.col, d[rows.row], len(w) - 1), d.sum())
+
+    is_p = np.arange(len(f)) < rows.positive
+    d_first = np.where(is_p, prior * (high - 1) / rows.positive, 0.0)
+    d_rest = np.where(is_p, -prior * high / rows.positive, high / rows.unlabelled)
+    return float(first), float(rest), gradient(d_first), gradient(d_rest)
+
+
 def nn_pu_fit(positive: list[list[int]], unlabelled: list[list[int]], width: int, prior: float, rounds: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier that minimise the non-negative positive-unlabelled risk
 
         prior x E_P[l(f)] + max(0, E_U[l(-f)] - prior x E_P[l(-f)])
 
-    with the logistic loss l, by Adam steps over all rows. Where the bracket is negative, the step ascends
-    it, which undoes the overfitting that made it so.
+    by Adam steps over all rows. Where the bracket is negative, the step ascends it, which undoes the
+    overfitting that made it so. The bias is then moved so that the mean probability of the unlabelled rows is
+    the class prior.
     """
-    rows = positive + unlabelled
+    start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
-        return np.zeros(width), float(np.log(prior / (1 - prior)))
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.array([c for r in rows for c in r], np.int64)
-    is_p = np.arange(len(rows)) < len(positive)
-    w = np.zeros(width + 1)
-    w[width] = np.log(prior / (1 - prior))
+        return np.zeros(width), start
+    rows = Rows.of(positive, unlabelled)
+    w = np.append(np.zeros(width), start)
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
-        f = np.bincount(row, w[col], len(rows)) + w[width]
-        high = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        loss_neg = np.logaddexp(0, f)
-        rest = loss_neg[~is_p].mean() - prior * loss_neg[is_p].mean()
-        d_pos = np.where(is_p, prior * (high - 1) / len(positive), 0.0)
-        d_rest = np.where(is_p, -prior * high / len(positive), high / len(unlabelled))
-        d = d_pos + d_rest if rest >= 0 else -d_rest
-        g = np.append(np.bincount(col, d[row], width), d.sum())
+        _, rest, first_g, rest_g = nn_pu_risk(w, rows, prior)
+        g = first_g + rest_g if rest >= 0 else -rest_g
         g[:width] += decay * w[:width]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-    return w[:width], float(w[width])
-
-
-def calibrate(margin: np.ndarray, toxic: np.ndarray, prior: float, rounds: int = 200) -> tuple[float, float]:
-    """Slope and intercept that turn a margin into a probability, by Newton steps on the logistic loss of
-    labelled rows, weighted so that toxic ones make up `prior` of them; a slight ridge keeps them finite."""
-    if not toxic.any() or toxic.all():
-        return 1.0, 0.0
-    x = np.column_stack([margin, np.ones(len(margin))])
-    weight = np.where(toxic, prior / toxic.sum(), (1 - prior) / (~toxic).sum())
-    theta = np.array([1.0, 0.0])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        g = x.T @ (weight * (p - toxic)) + 1e-3 * (theta - [1.0, 0.0])
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        theta -= np.clip(step, -0.5, 0.5)
-        if abs(step).max() < 1e-8:
-            break
-    return float(theta[0]), float(theta[1])
-
-
-def train(positive: list[list[int]], unlabelled: list[list[int]], negative: list[list[int]], buckets: np.ndarray, prior: float) -> Model:
-    weights, bias = nn_pu_fit(positive, unlabelled, len(buckets), prior)
-    margin = np.array([bias + weights[r].sum() for r in positive + negative])
-    slope, shift = calibrate(margin, np.arange(len(margin)) < len(positive), prior)
-    return Model(buckets, slope * weights, slope * bias + shift, prior)
+    return w[:width], float(w[width]) + at_prior(rows.margins(w)[len(positive) :], prior)
 
 
-POSITIVE, UNLABELLED, NEGATIVE = 2, 1, 0
+def at_prior(margins: np.ndarray, prior: float) -> float:
+    """What, added to the margins, makes their mean probability the class prior."""
+    low, high = -60.0, 60.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        if (1 / (1 + np.exp(-np.clip(margins + middle, -60, 60)))).mean() < prior:
+            low = middle
+        else:
+            high = middle
+    return (low + high) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, negatives: int = 4000, features: int = 4096, least_documents: int = 5, least_evidence: float = 30.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, features: int = 4096, least_documents: int = 5, least_evidence: float = 30.0) -> Model:
     """A toxicity model from confirmed toxic documents and documents without regard to label.
 
     The classifier is fitted on a bounded sample, drawn by a hash of the doc_id: about `positives` rows labelled
     toxic and about `unlabelled` rows of docs, whatever their labels. Class prior: the share of toxic rows
-    among all labelled ones. Copies of a text count once. The features that are at least three times as
-    frequent among the positive rows, with a likelihood ratio statistic of `least_evidence` or more against
-    equal frequency, make the classifier, the `features` strongest of them. About `negatives` rows labelled
-    not toxic serve only to turn its margin into a probability. Only these bounded sets reach the driver.
+    among all labelled ones; rows labelled not toxic serve for nothing else. Copies of a text count once. A choice
+    of the model: its features are those at least three times as frequent among the positive rows, with a
+    likelihood ratio statistic of `least_evidence` or more against equal frequency, and of these the `features`
+    strongest. Only these bounded sets reach the driver.
     """
     labels = labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic")
     counts = labels.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
-    n_pos, n_neg = counts["p"] or 0, counts["n"] - (counts["p"] or 0)
+    n_pos = counts["p"] or 0
     prior = min(0.99, max(0.001, n_pos / max(1, counts["n"])))
     million = 1_000_000
     drawn = lambda seed, most, of: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(million)) < round(million * min(1.0, most / max(1, of)))
-    known = labels.where(((F.col("toxic") == 1) & drawn(1, positives, n_pos)) | ((F.col("toxic") != 1) & drawn(3, negatives, n_neg)))
-    known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, POSITIVE).otherwise(NEGATIVE)).alias("kind"))
+    known = labels.where((F.col("toxic") == 1) & drawn(1, positives, n_pos)).select("doc_id").distinct()
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = texts.where(drawn(2, unlabelled, docs.select("doc_id").count()))
-    sample = texts.join(F.broadcast(known), "doc_id").select("text", "kind").unionByName(chosen.select("text", F.lit(UNLABELLED).alias("kind")))
-    sample = write(sample.dropDuplicates(["text", "kind"])).df
+    sample = texts.join(F.broadcast(known), "doc_id").select("text", F.lit(True).alias("toxic")).unionByName(chosen.select("text", F.lit(False).alias("toxic")))
+    sample = write(sample.dropDuplicates(["text", "toxic"])).df
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, words, rows = np.zeros((2, 3 * BUCKETS), np.int32), Words(), [0, 0]
         for batch, chunk in text_chunks(batches):
-            for text, kind in zip(chunk, batch.column("kind").to_pylist()):
-                if kind != NEGATIVE:
-                    seen[int(kind == POSITIVE), words.of(text)] += 1
-                    rows[int(kind == POSITIVE)] += 1
+            for text, toxic in zip(chunk, batch.column("toxic").to_pylist()):
+                seen[int(toxic), words.of(text)] += 1
+                rows[int(toxic)] += 1
         at = np.flatnonzero(seen.any(axis=0))
         columns = np.append(at, -1), np.append(seen[1, at], rows[1]), np.append(seen[0, at], rows[0])
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["bucket", "p", "u"])
@@ -170,10 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: i
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(buckets)
         for batch, chunk in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array([words.of(t) for t in chunk], pa.list_(pa.int64()))], names=["kind", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([words.of(t) for t in chunk], pa.list_(pa.int64()))], names=["toxic", "features"])
 
-    rows = sample.mapInArrow(reduce, "kind int, features array<long>").collect()
-    return train(*([r["features"] for r in rows if r["kind"] == kind] for kind in (POSITIVE, UNLABELLED, NEGATIVE)), buckets, prior)
+    rows = sample.mapInArrow(reduce, "toxic boolean, features array<long>").collect()
+    weights, bias = nn_pu_fit(*([r["features"] for r in rows if r["toxic"] == kind] for kind in (True, False)), len(buckets), prior)
+    return Model(buckets, weights, bias, prior)
 
 
 def score_texts(model: Model, texts: list[bytes], words: Words | None = None) -> np.ndarray:
@@ -185,11 +197,10 @@ def score_texts(model: Model, texts: list[bytes], words: Words | None = None) ->
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `toxicity`, a double from 0 to 1, added for each whole text.
 
-    Null and empty texts get the score of a text without features. Every row comes out with its own columns,
-    among which `toxicity` must not be.
+    Null and empty texts get the score of a text without features. Every row comes out with its own columns;
+    one named toxicity gives way to the new one.
     """
-    if "toxicity" in docs.columns:
-        raise ValueError("column toxicity exists already")
+    docs = docs.drop("toxicity")
     schema = docs.select(*[f"`{c}`" for c in docs.columns], F.lit(None).cast("double").alias("toxicity")).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most `features` weights
 

@@ -53,6 +53,56 @@ def test_mixture_finds_more_than_three_languages():
     assert one[0] == "ee" and len(one[2]) == 1
 
 
+def random_model(langs, seed=0):
+    rng = np.random.default_rng(seed)
+    table = rng.gamma(0.05, size=(language.BUCKETS, len(langs))) + 1e-4
+    return language.Model(langs, np.log(table / table.sum(axis=0)).astype(np.float32))
+
+
+def test_inferred_sets_equal_brute_force():
+    """Every set of languages, its proportions by long expectation-maximisation, the penalty as stated."""
+    from itertools import combinations
+
+    model = random_model(["aa", "bb", "cc", "dd"])
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join("abcdefghij"[k] for k in rng.integers(0, 10, rng.integers(2, 8))) for _ in range(400)]
+    of_word = np.array([model.logs[language.words([w.encode()])[0]].sum(axis=0) for w in vocabulary], float)
+    by_lang = [[w for w, j in zip(vocabulary, of_word.argmax(axis=1)) if j == k] for k in range(4)]
+    texts = [" ".join(rng.choice(by_lang[k]) for k in langs for _ in range(n)) for langs, n in (((0,), 30), ((1, 3), 25), ((0, 1, 2), 20), ((3, 2, 1, 0), 15), ((2,), 3))]
+    for text, (lang, score, found) in zip(texts, language.infer(model, [t.encode() for t in texts], rounds=200)):
+        logs = np.array([model.logs[language.words([w.encode()])[0]].sum(axis=0) for w in text.split()], float)
+        likelihood = np.maximum(np.exp(logs - logs.max(axis=1, keepdims=True)), 1e-12)
+        best = (-np.inf, None, None)
+        for size in range(1, 5):
+            for chosen in combinations(range(4), size):
+                share = np.full(size, 1 / size)
+                for _ in range(500):
+                    weight = likelihood[:, chosen] * share
+                    share = (weight / weight.sum(axis=1, keepdims=True)).mean(axis=0)
+                value = np.log(likelihood[:, chosen] @ share).sum() - 3.0 * np.log(len(likelihood) + 1) * (size - 1)
+                best = max(best, (value, chosen, share), key=lambda b: b[0])
+        assert {x for x, _ in found} == {model.langs[j] for j in best[1]}
+        assert np.allclose(sorted(p for _, p in found), np.sort(best[2]), atol=1e-3) and lang == model.langs[best[1][int(np.argmax(best[2]))]]
+
+
+def test_many_languages_share_the_table(spark):
+    """Over 64 languages the buckets are fewer; none is left out."""
+    langs = [f"l{k:03d}" for k in range(150)]
+    letters = lambda k: chr(0x4E00 + 7 * k) + chr(0x4E00 + 7 * k + 1) + chr(0x4E00 + 7 * k + 2)
+    texts = [(k, " ".join([letters(k)] * 20), lang) for k, lang in enumerate(langs)]
+    model = language.fit(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    assert model.langs == langs and len(model.logs) * 150 <= language.CELLS and model.shift == 2
+    found = language.infer(model, [t.encode() for _, t, _ in texts])
+    assert np.mean([r[0] == lang for r, lang in zip(found, langs)]) > 0.95
+
+
+def test_documents_in_several_languages_stay(spark):
+    model = queries.language_model(spark, SF)
+    texts = {r["lang"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 3000").collect()}
+    mixed = " ".join(texts[lang][:1000] for lang in ("en", "de", "fr", "es"))
+    assert [r["doc_id"] for r in language.keep_identified(docs(spark, [(1, mixed), (2, "--"), (3, None)]), model).collect()] == [1]
+
+
 def test_mixture_increases_likelihood_and_sums_to_one():
     rng = np.random.default_rng(0)
     likelihood = rng.random((50, 3)) + 1e-3
@@ -88,5 +138,43 @@ def test_nn_pu_separates_and_the_risk_stays_non_negative():
     weights, bias = toxicity.nn_pu_fit(positive, unlabelled, 3, 0.1)
     f = lambda r: bias + sum(weights[i] for i in r)
     assert f([0]) > f([2]) and f([0, 1]) > f([])
-    slope, shift = toxicity.calibrate(np.array([2.0, 1.5, -1.0, -2.0]), np.array([True, True, False, False]), 0.1)
-    assert slope > 0 and 1 / (1 + np.exp(-(slope * 2 + shift))) > 0.3 > 1 / (1 + np.exp(-(slope * -2 + shift)))
+    high = [1 / (1 + np.exp(-f(r))) for r in unlabelled]
+    assert abs(np.mean(high) - 0.1) < 1e-6 and 1 / (1 + np.exp(-f([0, 1]))) > 0.3 > 1 / (1 + np.exp(-f([2])))
+
+
+def test_nn_pu_risk_and_gradient_equal_brute_force():
+    import math
+
+    rng = np.random.default_rng(1)
+    positive, unlabelled = ([rng.choice(5, rng.integers(0, 4), replace=False).tolist() for _ in range(n)] for n in (7, 11))
+    rows, w, prior = toxicity.Rows.of(positive, unlabelled), rng.normal(size=6), 0.2
+    loss = lambda x: math.log1p(math.exp(-x))
+
+    def parts(w):
+        f = lambda r: w[5] + sum(w[i] for i in r)
+        mean = lambda sign, group: sum(loss(sign * f(r)) for r in group) / len(group)
+        return prior * mean(1, positive), mean(-1, unlabelled) - prior * mean(-1, positive)
+
+    first, rest, first_g, rest_g = toxicity.nn_pu_risk(w, rows, prior)
+    assert np.allclose((first, rest), parts(w))
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        slopes = (np.array(parts(w + step)) - parts(w - step)) / 2e-6
+        assert np.allclose(slopes, (first_g[i], rest_g[i]), atol=1e-6)
+
+
+def test_clean_labels_make_no_difference(spark):
+    """Only confirmed toxic rows, unlabelled text and the class prior are learnt from."""
+    texts = spark.createDataFrame([(i, f"vile filth {i}" if i % 4 == 0 else f"fair words {i}") for i in range(200)], "doc_id long, text string")
+    labels = [(i, 1) for i in range(0, 80, 4)]
+    models = [toxicity.fit(texts, spark.createDataFrame(labels + [(i + k, 0) for i in range(1, 241, 4)], "doc_id long, toxic int")) for k in (0, 1)]
+    assert models[0].bias == models[1].bias and (models[0].weights == models[1].weights).all() and models[0].prior == 0.25
+    assert (toxicity.score_texts(models[0], [b"vile filth", b"fair words"]) > 0.3).tolist() == [True, False]
+
+
+def test_columns_of_the_same_names_give_way(spark):
+    clash = docs(spark, EDGES).withColumn("toxicity", F.lit("x")).withColumn("score", F.lit("y")).withColumn("lang_pred", F.lit("z"))
+    scored = toxicity.score(clash, queries.toxicity_model(spark, SF))
+    assert scored.count() == len(EDGES) and dict(scored.dtypes)["toxicity"] == "double" and dict(scored.dtypes)["score"] == "string"
+    found = language.identify(clash, queries.language_model(spark, SF))
+    assert found.count() == len(EDGES) and dict(found.dtypes)["score"] == "double" and dict(found.dtypes)["toxicity"] == "string"
