@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import text_chunks
 
+#: Trigram buckets of up to 64 languages; more languages halve them as they double, so a model has at most 2^22 cells.
 BUCKETS = 1 << 16
+CELLS = 1 << 22
 UNDETERMINED = "und"
 FOUND = "lang_pred string, score double, languages array<struct<lang:string,proportion:double>>"
 
@@ -22,6 +24,11 @@ class Model(NamedTuple):
     langs: list[str]
     logs: np.ndarray  # buckets x languages, log probabilities
 
+    @property
+    def shift(self) -> int:
+        """By how many bits trigram buckets are shortened."""
+        return (BUCKETS // len(self.logs)).bit_length() - 1
+
 
 @lru_cache(1)
 def letters() -> np.ndarray:
@@ -48,35 +55,39 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buckets, first, count
 
 
-def fit(docs: DataFrame, sample_rows: int = 20_000, max_languages: int = 64) -> Model:
+def fit(docs: DataFrame, sample_rows: int = 20_000) -> Model:
     """Trigram probabilities by language from text and lang of docs.
 
     The classifier is fitted on a sample of about `sample_rows` of the rows, drawn by a hash of the doc_id
-    (all of them where there are no more). At most `max_languages` x 65,536 counts reach the driver.
+    (all of them where there are no more). At most CELLS counts reach the driver.
     """
     docs = docs.where("lang is not null and text is not null")
     share = min(1.0, sample_rows / max(1, docs.count()))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000)).select(F.col("text").cast("string").alias("text"), "lang")
+    n_langs = drawn.select("lang").distinct().count()
+    buckets_of = BUCKETS
+    while buckets_of > 1 and n_langs * buckets_of > CELLS:
+        buckets_of //= 2
+    shift = (BUCKETS // buckets_of).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch, texts in text_chunks(batches):
             buckets, first, count = words(texts)
+            buckets >>= shift
             lang = np.array(batch.column("lang").to_pylist(), object)
             of_word = np.repeat(lang, count)
             of_gram = np.repeat(of_word, np.diff(np.append(first, len(buckets))))
             for name in set(lang):
-                counts[name] = counts.get(name, 0) + np.bincount(buckets[of_gram == name], minlength=BUCKETS)
+                counts[name] = counts.get(name, 0) + np.bincount(buckets[of_gram == name], minlength=buckets_of)
         for name, n in counts.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "bucket", "n"])
 
     total = drawn.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = total.limit(max_languages * BUCKETS + 1).toPandas()
+    rows = total.toPandas()
     langs = sorted(rows["lang"].unique())
-    if len(langs) > max_languages:
-        raise ValueError(f"over {max_languages} languages")
-    table = np.full((BUCKETS, max(1, len(langs))), 0.1)
+    table = np.full((buckets_of, max(1, len(langs))), 0.1)
     for k, lang in enumerate(langs):
         own = rows[rows["lang"] == lang]
         table[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
@@ -108,6 +119,7 @@ def infer(model: Model, texts: list[bytes], rounds: int = 12, penalty: float = 3
     language's likelihood to it.
     """
     grams, first, count = words(texts)
+    grams >>= model.shift
     result: list[tuple[str, float, list[tuple[str, float]]]] = [(UNDETERMINED, 0.0, [])] * len(texts)
     some = np.flatnonzero(count)
     if not len(some) or not model.langs:
@@ -150,14 +162,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts and texts without a letter are `und` with score 0, as is everything if the model has learned
     no language. Equal proportions: the language that sorts first. Every row comes out with its own columns;
-    the three new names must not be among them.
+    those of the three new names give way.
     """
-    taken = {"lang_pred", "score", "languages"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} exist already")
+    docs = docs.drop("lang_pred", "score", "languages")
     fields = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("lang_pred", "string"), ("score", "double"), ("languages", "array<struct<lang:string,proportion:double>>"))])
     schema = docs.select("*", fields.alias("_")).select(*[f"`{c}`" for c in docs.columns], "_.*").schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 64 x 65,536 floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most CELLS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("lang", pa.string()), ("proportion", pa.float64())]))
@@ -169,8 +179,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents whose main language is known and holds at least `least` of their words."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents for which a set of languages is found: those without a letter go, texts in several stay."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
     marked = identify(docs.select(F.col("text").cast("string").alias("text"), own), model)
-    return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("own.*")
+    return marked.where(F.col("lang_pred") != UNDETERMINED).select("own.*")
