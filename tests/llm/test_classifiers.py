@@ -167,7 +167,7 @@ def test_clean_labels_make_no_difference(spark):
     """Only confirmed toxic rows, unlabelled text and the class prior are learnt from."""
     texts = spark.createDataFrame([(i, f"vile filth {i}" if i % 4 == 0 else f"fair words {i}") for i in range(200)], "doc_id long, text string")
     labels = [(i, 1) for i in range(0, 80, 4)]
-    models = [toxicity.fit(texts, spark.createDataFrame(labels + [(i + k, 0) for i in range(1, 241, 4)], "doc_id long, toxic int")) for k in (0, 1)]
+    models = [toxicity.fit(texts, spark.createDataFrame(labels + [(i + k, 0) for i in range(1, 241, 4)], "doc_id long, toxic int"), least_evidence=10.0) for k in (0, 1)]
     assert models[0].bias == models[1].bias and (models[0].weights == models[1].weights).all() and models[0].prior == 0.25
     assert (toxicity.score_texts(models[0], [b"vile filth", b"fair words"]) > 0.3).tolist() == [True, False]
 
