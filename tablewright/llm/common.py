@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); where it is unset,
-    as in local tests, a temporary one is made and set for the session."""
+    """The folder that the driver and all executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path
 
 
@@ -63,6 +61,69 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             yield batch.slice(first), texts[first:]
 
 
+class IdTable:
+    """Ids by part of a text, kept in flat arrays; parts repeat, so most are looked up. A table of over `most` parts
+    forgets those met least often. Subclasses split texts and learn new parts."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.clear()
+
+    def split(self, text) -> list:
+        raise NotImplementedError
+
+    def learn(self, parts: list) -> None:
+        raise NotImplementedError
+
+    def clear(self) -> None:
+        self.codes: dict = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.length, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        """Drops the parts met least often, half of them at least."""
+        n = len(self.codes)
+        stays = self.met[:n] > np.partition(self.met[:n], n // 2)[n // 2]
+        parts = [p for p, s in zip(self.codes, stays.tolist()) if s]  # codes are in order of insertion
+        first, length = self.first[:n][stays], self.length[:n][stays]
+        ids = self.flat[spread(first, length)]
+        self.clear()
+        self.add(parts, ids, length)
+
+    def add(self, parts: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Parts with their ids one after the other."""
+        n, code = len(parts), len(self.codes)
+        while code + n > len(self.first):
+            self.first, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length, self.met))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        ends = np.cumsum(lengths)
+        self.first[code : code + n], self.length[code : code + n] = self.used + ends - lengths, lengths
+        self.used += len(ids)
+        self.codes.update(zip(parts, range(code, code + n)))
+
+    def lookup(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where each text's begin and end among them."""
+        if len(self.codes) > self.most:
+            self.forget()
+        split = [self.split(t) for t in texts]
+        parts = [p for ps in split for p in ps]
+        if new := list(set(parts).difference(self.codes)):
+            self.learn(new)
+        codes = np.fromiter(map(self.codes.__getitem__, parts), np.int64, len(parts))
+        self.met[: len(self.codes)] += np.bincount(codes, minlength=len(self.codes))
+        lengths = self.length[codes]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        return self.flat[spread(self.first[codes], lengths)], ends[np.concatenate(([0], np.cumsum([len(ps) for ps in split]))).astype(np.int64)]
+
+
+def spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each of the given lengths, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(first - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def fold(doc_id: str, modulus: int):
     """The split that the labelled operators learn by: crc32 of the id's decimal text."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

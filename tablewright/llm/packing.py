@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import text_chunks, write
+from tablewright.llm.common import IdTable, text_chunks, write
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
@@ -39,40 +39,18 @@ def units(text: bytes) -> list[bytes]:
     return RUNS.findall(text)
 
 
-class WordTable:
-    """Token ids by unit of text; units repeat, so most are looked up."""
+class WordTable(IdTable):
+    """Token ids by unit of text."""
 
     def __init__(self, tokenizer_path: str, most: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(tokenizer_path), most
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.length, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
-
-    def forget(self) -> None:
-        """Drops the units met least often, half of them at least."""
-        n = len(self.codes)
-        least = int(np.partition(self.met[:n], n // 2)[n // 2]) + 1
-        kept = [(w, self.flat[self.first[c] : self.first[c] + self.length[c]].copy()) for w, c in self.codes.items() if self.met[c] >= least]
-        self.clear()
-        self.add([w for w, _ in kept], [ids for _, ids in kept])
-
-    def add(self, words: list[bytes], found: list) -> None:
-        for word, ids in zip(words, found):
-            code, n = len(self.codes), len(ids)
-            if code >= len(self.first):
-                self.first, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length, self.met))
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + n] = ids
-            self.first[code], self.length[code] = self.used, n
-            self.used += n
-            self.codes[word] = code
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        super().__init__(most)
+
+    def split(self, text: bytes) -> list[bytes]:
+        return units(text)
 
     def learn(self, words: list[bytes]) -> None:
         """Runs of letters are one pre-token each, so a thousand of them go into one call; others go singly."""
@@ -82,24 +60,12 @@ class WordTable:
         for at in range(0, len(runs), 1000):
             part = runs[at : at + 1000]
             encoding = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            cuts = np.flatnonzero(np.diff(encoding.word_ids)) + 1
-            self.add(part, np.split(np.array(encoding.ids, np.uint32), cuts))
-        self.add(others, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)])
+            self.add(part, np.array(encoding.ids, np.uint32), np.bincount(encoding.word_ids, minlength=len(part)))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)]
+        self.add(others, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.codes) > self.most:
-            self.forget()
-        split = [units(t) for t in texts]
-        words = [w for ws in split for w in ws]
-        if new := list(set(words).difference(self.codes)):
-            self.learn(new)
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        self.met[: len(self.codes)] += np.bincount(codes, minlength=len(self.codes))
-        lengths = self.length[codes]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.first[codes] - (ends - lengths), lengths) + np.arange(total)]
-        ends = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(ws) for ws in split])))]
+        ids, ends = self.lookup(texts)
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 

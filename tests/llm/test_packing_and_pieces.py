@@ -84,7 +84,7 @@ def test_segmentation_equals_brute_force_and_the_library():
 
     found = sentencepiece.Pieces.load(MODEL)
     model = library.SentencePieceProcessor(model_file=MODEL)
-    pieces = {found.text[i].decode(): i for i in found.ids.tolist()}
+    pieces = {model.id_to_piece(i): i for i in found.ids.tolist()}
     scores = {i: model.get_score(i) for i in pieces.values()}
     rng = random.Random(2)
     words = ["▁" + "".join(rng.choice("etaoinshrdlucmé日x") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
