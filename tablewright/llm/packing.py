@@ -123,22 +123,25 @@ def best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule
     return bins
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, max_documents: int | None = None, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), rule: str = "norm", shard_pieces: int = 24_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, max_documents: int | None = None, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm", shard_pieces: int = 24_000) -> DataFrame:
     """Packs every document into sequences of at most `capacity` tokens, `max_documents` pieces and
     `max_attention` attention cost (the sum of squared piece lengths).
 
-    By default the two further capacities are those that a full sequence cannot exceed (capacity pieces of one
-    token, one piece of capacity tokens), so only tokens bind. Pieces are dealt by hash into shards of about
-    `shard_pieces`, each packed in one task of bounded size by decreasing length; a shard leaves about one
-    sequence partly filled. Null text counts as empty (one piece holding the end id); rows that repeat a
+    By default a sequence holds at most 256 pieces, or four times as many as a full sequence of this corpus has on
+    average if that is more, and the attention cost of one piece of `capacity` tokens, the least that admits every
+    piece. Residual tokens, pieces and cost weigh alike in the choice of a sequence. Pieces are dealt by hash into
+    shards of about `shard_pieces`, each packed in one task of bounded size by decreasing length; a shard leaves
+    about one sequence partly filled. Null text counts as empty (one piece holding the end id); rows that repeat a
     document are packed again; a null doc_id is carried through; other columns are ignored; an empty table
     gives no rows. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, one row per piece.
     """
-    limits = np.array([capacity, max_documents or capacity, max_attention or float(capacity) ** 2], float)
+    pieces = write(tokenize_pieces(docs, tokenizer_path, capacity, end_id)).df
+    total = pieces.agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).first()
+    usual = total["n"] * capacity / max(1, total["tokens"] or 0)
+    limits = np.array([capacity, max_documents or max(256, math.ceil(4 * usual)), max_attention or float(capacity) ** 2], float)
     if limits[2] < float(capacity) ** 2:
         raise ValueError("max_attention must admit one piece of `capacity` tokens")
-    pieces = write(tokenize_pieces(docs, tokenizer_path, capacity, end_id)).df
-    shards = max(1, math.ceil(pieces.count() / shard_pieces))
+    shards = max(1, math.ceil(total["n"] / shard_pieces))
     share = np.array(weights, float)
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -43,6 +43,8 @@ def test_packing_is_whole_and_tight(spark):
     assert long == [(0, 0, 4096), (1, 4096, 4096), (2, 8192, 809)]
     one = zlib.crc32(np.array([1], "<u4").tobytes())
     assert [(r["length"], r["ids_crc32"]) for r in found if r["doc_id"] in (-1, -2)] == [(1, one)] * 2
+    few = packing.pack(extra, TOKENIZER, max_documents=2).groupBy("sequence_id").count().collect()
+    assert max(r["count"] for r in few) == 2
     assert sum(r["doc_id"] is None for r in found) == 1 and packing.pack(extra.limit(0), TOKENIZER).count() == 0
 
 
@@ -64,6 +66,36 @@ def test_best_fit_takes_the_tightest_bin():
     assert packing.best_fit(demand, np.array([10.0]), np.array([1.0])).tolist() == [0, 1, 0, 1]
 
 
+def brute_best_fit(demand, capacity, weights, rule):
+    rooms, bins = [], []
+    for d in demand:
+        ways = []
+        for k, room in enumerate(rooms):
+            if all(r >= x for r, x in zip(room, d)):
+                left = [(r - x) / c for r, x, c in zip(room, d, capacity)]
+                dot = sum(w * (x / c) * (r / c) for w, x, r, c in zip(weights, d, room, capacity))
+                ways.append((sum(w * v * v for w, v in zip(weights, left)) if rule == "norm" else -dot, k))
+        if not ways:
+            rooms.append(list(capacity))
+            ways = [(0, len(rooms) - 1)]
+        k = min(ways)[1]
+        rooms[k] = [r - x for r, x in zip(rooms[k], d)]
+        bins.append(k)
+    return bins
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacity, binding", [((64, 64, 4096), [0]), ((64, 4, 4096), [0, 1]), ((64, 64, 2048), [0, 2]), ((64, 8, 2048), [0, 1, 2])])
+def test_bins_equal_brute_force_whichever_capacities_bind(rule, capacity, binding):
+    """Powers of two make all scores exact, so ties fall alike."""
+    length = np.sort(np.random.default_rng(6).integers(1, 41, 400))[::-1].astype(float)
+    demand = np.column_stack([length, np.ones(400), length**2])
+    got = packing.best_fit(demand, np.array(capacity, float), np.ones(3), rule)
+    assert got.tolist() == brute_best_fit(demand.tolist(), capacity, [1.0, 1.0, 1.0], rule)
+    used = np.array([np.bincount(got, d) for d in demand.T]).T
+    assert (used <= capacity).all() and (used == capacity).any(axis=0).nonzero()[0].tolist() == binding
+
+
 def brute_segment(pieces, scores, word, unknown):
     best = {0: (0.0, [])}
     for end in range(1, len(word) + 1):
