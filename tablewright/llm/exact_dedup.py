@@ -15,11 +15,13 @@ class DigestIndex:
 
     digest binary: SHA-256 of the text in UTF-8; keep_id long: the document that stays. New documents are
     aggregated by digest, held against the index by a sort-merge anti-join that reads the index bucket by
-    bucket without a shuffle, and what is new is appended.
+    bucket without a shuffle, and what is new is appended, one file a bucket. The number of buckets is fixed when
+    the index is made, one for each `bucket_rows` texts that the first call brings (4 at least): give `buckets`
+    where later calls will bring many more.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 48) -> None:
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, bucket_rows: int = 5_000_000) -> None:
+        self.spark, self.buckets, self.bucket_rows = spark, buckets, bucket_rows
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
 
     def seen(self) -> DataFrame:
@@ -27,8 +29,18 @@ class DigestIndex:
             return self.spark.table(self.name)
         return self.spark.createDataFrame([], "digest binary, keep_id long")
 
-    def append(self, digests: DataFrame) -> None:
-        digests.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+    def bucket_count(self, rows: int) -> int:
+        if self.spark.catalog.tableExists(self.name):
+            described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").where("col_name = 'Num Buckets'").first()
+            return int(described["data_type"])
+        return self.buckets or max(4, -(-rows // self.bucket_rows))
+
+    def append(self, digests: DataFrame, rows: int) -> None:
+        n = self.bucket_count(rows)
+        digests.repartition(n, "digest").write.mode("append").bucketBy(n, "digest").sortBy("digest").saveAsTable(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def deduplicate(self, docs: DataFrame, hot_groups: int = 1000) -> DataFrame:
         """One row per input row: doc_id, keep_id, group_size (rows of this call with the text), kept,
@@ -46,12 +58,12 @@ class DigestIndex:
         hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("digest"))
         rows = write(hashed).df
         groups = write(rows.groupBy("digest").agg(F.max("doc_id").alias("latest"), F.count("*").alias("group_size"))).df
+        sizes = groups.agg(F.count("*").alias("n"), F.sum("group_size").alias("rows")).first()
         fresh = groups.hint("merge").join(self.seen(), "digest", "left_anti")
-        self.append(fresh.select("digest", F.col("latest").alias("keep_id")))
+        self.append(fresh.select("digest", F.col("latest").alias("keep_id")), sizes["n"])
         known = groups.hint("merge").join(self.seen(), "digest").select("digest", "keep_id", "group_size")
 
-        total = groups.agg(F.sum("group_size")).first()[0] or 0
-        least = max(2, total // hot_groups + 1)
+        least = max(2, (sizes["rows"] or 0) // hot_groups + 1)
         hot = groups.where(F.col("group_size") >= least).select("digest")
         hot = F.broadcast(known.where(F.col("group_size") >= least).join(F.broadcast(hot), "digest", "left_semi"))
         rare = known.where(F.col("group_size") < least)
@@ -59,7 +71,17 @@ class DigestIndex:
         return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The documents that the index keeps, with their columns; a document without an id stays."""
-    gone = write(index.deduplicate(docs).where("not kept").select("doc_id").distinct()).df
+def find_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """deduplicate() against an index of this call's own, which is dropped again."""
+    index = DigestIndex(docs.sparkSession)
+    found = write(index.deduplicate(docs)).df
+    index.drop()
+    return found
+
+
+def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The documents that the index keeps, with their columns; a document without an id stays. Without an index
+    documents are held against each other only."""
+    found = index.deduplicate(docs) if index else find_exact_duplicates(docs)
+    gone = write(found.where("not kept").select("doc_id").distinct()).df
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -62,7 +62,7 @@ JOIN filled USING (slot)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.DigestIndex(spark).deduplicate(table(spark, sf_dir, "documents"))
+    return exact_dedup.find_exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = """

@@ -116,10 +116,27 @@ def test_index_persists(spark):
     later = exact_dedup.DigestIndex(spark, index.name).deduplicate(spark.createDataFrame([(10, "a"), (11, "c"), (12, "c")], SCHEMA))
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in later.collect()} == {(10, 1, False), (11, 12, False), (12, 12, True)}
     assert index.seen().count() == 3
+    index.drop()
+    assert exact_dedup.DigestIndex(spark, index.name).seen().count() == 0
+
+
+def test_index_has_buckets_for_its_size_and_one_file_each(spark):
+    index = exact_dedup.DigestIndex(spark, bucket_rows=100)
+    index.deduplicate(spark.createDataFrame([(i, f"t{i}") for i in range(1000)], SCHEMA).repartition(7)).collect()
+    assert index.bucket_count(0) == 10 and len(spark.table(index.name).inputFiles()) == 10
+    index.deduplicate(spark.createDataFrame([(i, f"u{i}") for i in range(500)], SCHEMA).repartition(7)).collect()
+    assert index.bucket_count(0) == 10 and len(spark.table(index.name).inputFiles()) == 20 and index.seen().count() == 1500
+    index.drop()
+
+
+def test_queries_leave_no_table_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.find_exact_duplicates(spark.createDataFrame([(1, "a"), (2, "a")], SCHEMA)).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_dropping_keeps_columns_and_one_of_each(spark):
     df = spark.createDataFrame([(1, "a b c d", "en"), (2, "a b c d", "en"), (3, "z", None)], SCHEMA + ", lang string")
-    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(df, exact_dedup.DigestIndex(spark)).collect()) == [2, 3]
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(df).collect()) == [2, 3]
     near = simhash.drop_near_duplicates(df)
     assert near.columns == df.columns and sorted(r["doc_id"] for r in near.collect()) == [1, 3]
