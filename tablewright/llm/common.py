@@ -129,6 +129,17 @@ def fold(doc_id: str, modulus: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+def of_group(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_groups: int = 1000) -> DataFrame:
+    """rows with the columns of their group, but for its size. A group of over 1 / hot_groups of all rows is joined
+    by broadcast, of which there can be at most hot_groups; no other fills a task."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    groups = write(groups).df
+    least = max(2, total // hot_groups + 1)
+    hot = F.broadcast(groups.where(F.col(size) >= least).drop(size))
+    rare = groups.where(F.col(size) < least).drop(size)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rare, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) links to (node, component), component being the smallest node reachable.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tablewright.llm.common import components, text_chunks, write
+from tablewright.llm.common import components, of_group, text_chunks, write
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -70,44 +70,41 @@ def shared_bytes(a: Column, b: Column) -> Column:
 
 
 def links(distinct: DataFrame, max_bits: int = 2, index_bytes: int = 5, list_pairs: int = 64) -> DataFrame:
-    """(a, b) links whose connected components are those of all pairs of distinct `fp` within `max_bits` bits.
+    """(a, b): all pairs of distinct `fp` within `max_bits` bits.
 
     Two fingerprints that differ in at most k bits agree in at least 8 - k bytes, the count a pair must reach.
     The inverted index is keyed by positions and values of bytes. A list for one byte would hold 1/256 of the
     corpus, so lists are keyed by `index_bytes` bytes together: of any index_bytes + k positions, a pair
     reaching the count shares at least index_bytes, so keying by all subsets of the first index_bytes + k
     positions misses none. Inside a list the shared bytes of each pair are tallied, pairs below the count
-    fall out, and the rest are verified bit by bit. A list of over `list_pairs` members tallies nothing pair
-    by pair: members are joined to the values at half the distance, which two members share exactly if they
-    are within max_bits, one row per member and value. Neither way grows with the square of a list.
+    fall out, and the rest are verified bit by bit.
+
+    The members of a list of over `list_pairs` are indexed again by longer keys: all subsets of 16 - k half bytes,
+    which a pair within k bits shares just as surely. A list then holds the values of k half bytes, 16^k at most,
+    so that no list's pairs grow with the square of its members.
     """
-    if not 0 <= max_bits <= 2:
-        raise ValueError("max_bits: 0 to 2")
-    prefix = min(8, index_bytes + max_bits)
-    subsets = list(combinations(range(prefix), prefix - max_bits))
-    masks = [signed(sum(0xFF << (8 * i) for i in s)) for s in subsets]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("subset", "bytes"))
-    listed = keyed.withColumn("members", F.count("*").over(W.partitionBy("subset", "bytes"))).where("members > 1")
-    index = write(listed).df
-
-    small = index.where(F.col("members") <= list_pairs).groupBy("subset", "bytes").agg(F.collect_list("fp").alias("fps"))
-    reached = lambda x, y: (y > x) & (shared_bytes(x, y) >= 8 - max_bits) & (F.bit_count(x.bitwiseXOR(y)) <= max_bits)
-    partners = F.transform("fps", lambda x: F.struct(x.alias("a"), F.filter("fps", lambda y: reached(x, y)).alias("bs")))
-    pairs = small.select(F.explode(partners).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
-
-    # Values at distance 1 make distances up to 2 meet; at most 1 + 64 a member. For max_bits 0 and 1 the
-    # lists themselves verify: only equal values, or a member and another member at distance 1.
-    large = index.where(F.col("members") > list_pairs).select("fp").distinct()
-    flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(64)])
-    around = large.select("fp", F.explode(flips).alias("at"))
-    if max_bits == 2:
-        meeting = around.groupBy("at").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        stars = around.join(meeting, "at").select(F.col("fp").alias("a"), "b")
-    elif max_bits == 1:
-        stars = around.join(large.select(F.col("fp").alias("at")), "at").select(F.col("fp").alias("a"), F.col("at").alias("b"))
-    else:
-        stars = around.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    return pairs.unionByName(stars.where("a <> b"))
+    if not 0 <= max_bits <= 7:
+        raise ValueError("max_bits: 0 to 7")
+    index_bytes = min(index_bytes, 8 - max_bits)
+    prefix = index_bytes + max_bits
+    halves = [sum(0xF << (4 * i) for i in s) for s in combinations(range(16), 16 - max_bits)]
+
+    def listed(members: DataFrame, masks: list[int]) -> DataFrame:
+        """(key, fp, members) of lists with two members or more."""
+        keyed = members.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("subset", "values"))
+        return keyed.withColumn("members", F.count("*").over(W.partitionBy("subset", "values"))).where("members > 1")
+
+    def pairs(lists: DataFrame) -> DataFrame:
+        reached = lambda x, y: (y > x) & (shared_bytes(x, y) >= 8 - max_bits) & (F.bit_count(x.bitwiseXOR(y)) <= max_bits)
+        partners = F.transform("fps", lambda x: F.struct(x.alias("a"), F.filter("fps", lambda y: reached(x, y)).alias("bs")))
+        return lists.groupBy("subset", "values").agg(F.collect_list("fp").alias("fps")).select(F.explode(partners).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
+
+    index = write(listed(distinct, [sum(0xFF << (8 * i) for i in s) for s in combinations(range(prefix), index_bytes)])).df
+    crowded = write(index.where(F.col("members") > list_pairs).select("fp").distinct()).df
+    found = pairs(index.where(F.col("members") <= list_pairs))
+    if not crowded.isEmpty():
+        found = found.unionByName(pairs(listed(crowded, halves)))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits: int = 2) -> DataFrame:
@@ -121,13 +118,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
     columns are ignored; an empty table gives no rows.
     """
     prints = write(fingerprints(docs, shingle, seed)).df
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = write(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))).df
     member = write(components(links(distinct, max_bits))).df.select(F.col("node").alias("fp"), "component")
     rooted = distinct.join(member, "fp")
     roots = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = rooted.join(roots, "component").select("fp", "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id"))
+    return of_group(prints, named, "fp", "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -59,10 +59,9 @@ def test_fingerprints_and_components_equal_brute_force(spark):
     assert sorted(rows(simhash.near_duplicates(df))) == sorted((i, f"{prints[i]:016x}", expected[i]) for i in docs)
 
 
-@pytest.mark.parametrize("list_pairs", [1, 64])
-@pytest.mark.parametrize("bits", [0, 1, 2])
+@pytest.mark.parametrize("bits, list_pairs", [(0, 64), (1, 1), (2, 1), (2, 64), (3, 64), (4, 64)])
 def test_links_in_dense_groups(spark, bits, list_pairs):
-    """Chains and clouds of fingerprints around a few centres, with lists handled pair by pair or through middle values."""
+    """Chains and clouds of fingerprints around a few centres, in short lists and in lists that are split."""
     rng = np.random.default_rng(3)
     values = set()
     for centre in rng.integers(0, 2**63, 4):
@@ -71,11 +70,20 @@ def test_links_in_dense_groups(spark, bits, list_pairs):
             values.add(now)
             for b in rng.integers(0, 64, rng.integers(1, 4)):
                 now ^= 1 << int(b)
-    signed = {v - (1 << 64) if v >> 63 else v: v for v in values}
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    found = {r[0]: r[1] for r in rows(components(simhash.links(df, bits, list_pairs=list_pairs)))}
-    expected = brute_components(signed, bits)
-    assert {s: found.get(s, s) for s in signed} == expected
+    found = sorted(rows(simhash.links(df, bits, list_pairs=list_pairs)))
+    assert found == [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= bits]
+
+
+def test_one_fingerprint_on_most_rows(spark):
+    """A hot fingerprint is joined by broadcast, with the same result."""
+    docs = [(i, "same words here" if i % 3 else f"other {i % 50} text {i % 50} here") for i in range(3000)]
+    found = rows(simhash.near_duplicates(spark.createDataFrame(docs, SCHEMA)))
+    prints = {t: brute_fingerprint(t) for _, t in docs}
+    expected = brute_components({i: p for p, i in {prints[t]: i for i, t in reversed(docs)}.items()}, 2)
+    first = {prints[t]: i for i, t in reversed(docs)}
+    assert sorted(found) == [(i, f"{prints[t]:016x}", expected[first[prints[t]]]) for i, t in docs]
 
 
 def test_components_of_long_paths_and_stars(spark):
