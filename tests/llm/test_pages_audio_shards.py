@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import audio, html, queries, sharding, warc
@@ -176,22 +177,99 @@ def test_excerpts_of_a_long_recording_and_members_that_fail_the_centre(spark):
     assert got[50]["class_id"] == 50 and got[51]["class_id"] == got[52]["class_id"] == 51
 
 
-def test_alignment_recall_against_brute_force():
-    """Recordings with a little noise: bit errors of true pairs are low, of others about a half."""
-    rng = np.random.default_rng(5)
-    base = [tones(s, 20_000) for s in range(12)]
-    x = [audio.fingerprint(np.frombuffer(recording(s), np.uint8) - 128.0) for s in base]
-    y = [audio.fingerprint(np.frombuffer(recording(s + rng.normal(0, 1, len(s))), np.uint8) - 128.0) for s in base]
-    errors = np.array([[np.bitwise_count(p ^ q).mean() / 32 for q in y] for p in x])
-    assert (np.diag(errors) < 0.15).all() and (errors[~np.eye(12, dtype=bool)] > 0.2).mean() > 0.95
-    met = [len(set(audio.anchors(p, 3, 16)[0].tolist()) & set(audio.anchors(q, 3, 16)[0].tolist())) > 0 for p, q in zip(x, y)]
-    assert np.mean(met) >= 0.9
-
-
-def test_integral_image_areas():
+def brute_links(codes, errors=0.15, overlap=0.5):
+    """All pairs of recordings (id to codes) that have a run in common, by the definition."""
+    from collections import Counter
+
+    out = {}
+    ids = sorted(codes)
+    starts = {i: [codes[i][k : k + audio.RUN].tobytes() for k in range(len(codes[i]) - audio.RUN + 1)] for i in ids}
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if set(starts[a]).isdisjoint(starts[b]):
+                continue
+            votes = Counter(q - p for p, x in enumerate(starts[a]) for q, y in enumerate(starts[b]) if x == y)
+            offset = max(votes, key=lambda o: (votes[o], -abs(o), -o))
+            x, y = codes[a][max(0, -offset) :], codes[b][max(0, offset) :]
+            both = min(len(x), len(y))
+            if both >= overlap * min(len(codes[a]), len(codes[b])) and np.bitwise_count(x[:both] ^ y[:both]).sum() <= errors * 32 * both:
+                out[a, b] = offset
+    return out
+
+
+def classes(ids, links):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def codes_of(sound):
+    return audio.fingerprint(np.frombuffer(sound, np.uint8) - 128.0)
+
+
+def test_classes_of_the_query_equal_all_pairs(spark):
+    """Recall of the whole search against brute force: every linked pair of the given table is in one class."""
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op3_chroma_fingerprints(spark, sf).collect()}
+    sounds = {r["doc_id"]: codes_of((r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    first = {}
+    for i in sorted(sounds):
+        first.setdefault(sounds[i].tobytes() or i, i)
+    distinct = {i: sounds[i] for i in first.values() if len(sounds[i])}
+    links = brute_links(distinct)
+    of_first = classes(first.values(), links)
+    assert len(links) > 5 and {i: r["class_id"] for i, r in got.items()} == {i: of_first[first[sounds[i].tobytes() or i]] for i in sounds}
+
+
+@pytest.mark.parametrize("few", [2, 16])
+def test_recall_in_crowds(spark, monkeypatch, few):
+    """Noisy excerpts of a few recordings that all open alike, so that lists are long: classes equal all pairs'."""
+    monkeypatch.setattr(audio, "FEW", few)
+    rng = np.random.default_rng(4)
+    opening = tones(70, 5_000)
+    whole = [np.concatenate([opening, tones(71 + k, 30_000)]) for k in range(4)]
+    sounds = {}
+    for i in range(60):
+        base = whole[i % 4]
+        start = int(rng.integers(0, 8)) * 64
+        sounds[i] = recording(base[start : start + int(rng.integers(6_000, 30_000))] + rng.normal(0, 0.2, 1)[0])
+    got = {r["doc_id"]: r["class_id"] for r in audio.align(spark.createDataFrame(list(sounds.items()), "doc_id long, audio binary")).collect()}
+    codes = {i: codes_of(s) for i, s in sounds.items()}
+    links = brute_links(codes)
+    together = np.mean([got[a] == got[b] for a, b in links])
+    wrong = [(a, b) for a in got for b in got if a < b and got[a] == got[b] and classes(codes, links)[a] != classes(codes, links)[b]]
+    assert len(links) > 300 and together >= 0.9 and not wrong
+
+
+def test_filters_equal_direct_sums():
+    """Every code against sums over the frames themselves, filter by filter."""
     frames = audio.chroma(tones(3), audio.Settings())
     assert frames.shape[1] == 12 and np.allclose(np.square(frames).sum(axis=1), 1)
-    assert len(audio.fingerprint(tones(3))) == len(frames) - 15
+    got = audio.fingerprint(tones(3))
+    assert len(got) == len(frames) - audio.SPAN + 1
+    for at in range(0, len(got), 37):
+        code = 0
+        for kind, y, height, width in audio.FILTERS:
+            area = frames[at : at + width, y : y + height]
+            t, p = np.arange(width)[:, None], np.arange(height)[None]
+            late, high = t >= width // 2, p >= height // 2
+            inner_t, inner_p = (t >= width // 3) & (t < width - width // 3), (p >= height // 3) & (p < height - height // 3)
+            side = {1: high & (t >= 0), 2: late & (p >= 0), 3: late == high, 4: inner_p & (t >= 0), 5: inner_t & (p >= 0)}.get(kind)
+            if kind == 0:
+                one, other = area.mean(), 12**-0.5
+            else:
+                one, other = area[side].sum(), area[~side].sum() / (2 if kind > 3 else 1)
+            value = np.log((1e-3 + one) / (1e-3 + other))
+            code = code << 2 | int(audio.GRAY[np.searchsorted(audio.STEPS, value)])
+        assert code == got[at]
 
 
 def test_shards_are_even_and_stable(spark):
