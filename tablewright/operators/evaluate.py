@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablewright.operators.rules import IGNORED
+
 TABLE = "table_uid"
 
 
@@ -30,30 +32,79 @@ def share_given(pairs: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("y")))
 
 
-def contrast(lines: DataFrame, headings: DataFrame) -> DataFrame:
-    """Lines whose heading type differs from the commonest type of their cells (of equally common ones the first seen), of all lines with both.
-    lines: table_uid, line, position, kind; headings: table_uid, line, heading."""
-    per = lines.groupBy(TABLE, "line", "kind").agg(F.count("*").alias("k"), F.min("position").alias("seen"))
-    mode = per.groupBy(TABLE, "line").agg(F.max_by("kind", F.struct("k", -F.col("seen"))).alias("mode"))
-    return mode.join(headings, [TABLE, "line"]).groupBy(TABLE).agg(F.count_if(F.col("mode") != F.col("heading")).alias("differing"), F.count("*").alias("n_lines"))
+def line_contrast(slots: DataFrame, regions: DataFrame, cell_types: DataFrame, level: str = "family") -> DataFrame:
+    """(table_uid, axis, differing, n_lines): data columns (col) and rows (row) whose heading's type differs from the
+    commonest type of their cells, of equally common ones the first on the line. Empty, untyped and Missing cells
+    count neither as cells nor as headings; the heading is the last header cell on the line.
+    regions: table_uid, cell_id, region."""
+    types = cell_types.select(TABLE, "cell_id", "family", F.col(level).alias("kind"))
+    at = slots.join(regions.select(TABLE, "cell_id", "region"), [TABLE, "cell_id"]).join(types, [TABLE, "cell_id"])
+    known = ~F.col("family").isin(*IGNORED)
+    out = None
+    for axis, line, along, head in (("col", "col_idx", "row_idx", "hmd"), ("row", "row_idx", "col_idx", "vmd")):
+        heads = at.where(F.col("region") == head).groupBy(TABLE, F.col(line).alias("line")).agg(F.max_by(F.when(known, F.col("kind")), along).alias("heading"))
+        cells = at.where((F.col("region") == "data") & known).groupBy(TABLE, F.col(line).alias("line"), "cell_id", "kind").agg(F.min(along).alias("seen"))
+        per = cells.groupBy(TABLE, "line", "kind").agg(F.count("*").alias("k"), F.min("seen").alias("seen"))
+        mode = per.groupBy(TABLE, "line").agg(F.max_by("kind", F.struct("k", -F.col("seen"))).alias("mode"))
+        both = mode.join(heads.where("heading IS NOT NULL"), [TABLE, "line"])
+        one = both.groupBy(TABLE).agg(F.count_if(F.col("mode") != F.col("heading")).alias("differing"), F.count("*").alias("n_lines")).select(TABLE, F.lit(axis).alias("axis"), "differing", "n_lines")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def contrast_summary(contrasts: DataFrame) -> DataFrame:
+    """Lines and the share of them with a differing heading, by axis over all tables."""
+    return contrasts.groupBy("axis").agg(F.sum("n_lines").alias("n_lines"), F.try_divide(F.sum("differing").cast("double"), F.sum("n_lines")).alias("share"))
+
+
+def data_kinds(regions: DataFrame) -> DataFrame:
+    """Whether the typed data cells of a table are mostly Numeric, mostly Text or mixed; mixed without any.
+    regions: table_uid, region, family."""
+    data, typed = F.col("region") == "data", ~F.col("family").isin(*IGNORED)
+    share = lambda family: F.count_if(data & (F.col("family") == family)) * 2 > F.count_if(data & typed)
+    per = regions.groupBy(TABLE).agg(share("Numeric").alias("numeric"), share("Text").alias("text"))
+    return per.select(TABLE, F.when(F.col("numeric"), "mostly_numeric").when(F.col("text"), "mostly_text").otherwise("mixed").alias("kind"))
+
+
+def purity_comparison(gold: DataFrame, others: DataFrame) -> DataFrame:
+    """By axis: tables compared, mean purity of the gold boundary and of the other ones (their mean in each table),
+    and how often gold is purer than all others or as pure as the best. Both: table_uid, axis, purity."""
+    other = others.where("purity IS NOT NULL").groupBy(TABLE, "axis").agg(F.avg("purity").alias("mean"), F.max("purity").alias("best"))
+    both = gold.where("purity IS NOT NULL").select(TABLE, "axis", "purity").join(other, [TABLE, "axis"])
+    share = lambda hit: F.avg(hit.cast("double"))
+    return both.groupBy("axis").agg(
+        F.count("*").alias("tables"), F.avg("purity").alias("gold_purity"), F.avg("mean").alias("other_purity"),
+        share(F.col("purity") > F.col("best")).alias("gold_purest"), share(F.col("purity") == F.col("best")).alias("gold_tied"),
+    )
 
 
-def data_kinds(regions: DataFrame, most: float = 0.5) -> DataFrame:
-    """Whether the data of a table is mostly Numeric, mostly Text or mixed. regions: table_uid, region, family."""
-    per = regions.where("region = 'data'").groupBy(TABLE).agg(F.avg((F.col("family") == "Numeric").cast("double")).alias("numeric"), F.avg((F.col("family") == "Text").cast("double")).alias("text"))
-    return per.select(TABLE, F.when(F.col("numeric") > most, "Numeric").when(F.col("text") > most, "Text").otherwise("mixed").alias("kind"))
+def labelled_set(tables: DataFrame, gold: DataFrame, least_confidence: float) -> DataFrame:
+    """Gold rows of at least a confidence that name a candidate, joined to their tables; gold for an unknown table
+    is an error. gold: table_uid, gold_candidate, confidence."""
+    sure = gold.where((F.col("confidence") >= least_confidence) & F.col("gold_candidate").isNotNull()).withColumn("labelled", F.lit(True))
+    known = tables.withColumn("_known", F.lit(True)).join(sure, TABLE, "right")
+    checked = known.withColumn("_known", F.coalesce("_known", F.raise_error(F.concat(F.lit("no table "), TABLE)).cast("boolean")))
+    return checked.where("_known").drop("_known", "labelled")
 
 
 def structural_metrics(tables: DataFrame, candidates: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row of rates over labelled tables; null where nothing is counted. gold: table_uid, hmd, vmd (both null: no header)."""
+    """One row of rates over labelled tables; null where nothing is counted. Precision is of all tables with a unique
+    prediction; coverage, exact match, abstention and ambiguity are of all labelled tables; a quarantined table is
+    neither unique, ambiguous nor abstained. A labelled table without a record is an error.
+    tables: table_uid, status (optional); gold: table_uid, hmd, vmd (both null: no header)."""
     hit = candidates.join(gold.select(TABLE, "hmd", "vmd"), [TABLE, "hmd", "vmd"], "left_semi").select(TABLE).distinct().withColumn("hit", F.lit(True))
     n = candidates.groupBy(TABLE).agg(F.count("*").alias("n"))
-    per = gold.join(tables.select(TABLE).distinct(), TABLE, "left_semi").join(n, TABLE, "left").join(hit, TABLE, "left").select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hit", F.lit(False)).alias("hit"), F.col("hmd").isNotNull().alias("real"))
+    status = F.col("status") if "status" in tables.columns else F.lit("ok")
+    records = tables.select(TABLE, (status == "quarantined").alias("quarantined")).distinct()
+    known = gold.join(records, TABLE, "left").withColumn("quarantined", F.coalesce("quarantined", F.raise_error(F.concat(F.lit("no prediction for "), TABLE)).cast("boolean")))
+    per = known.join(n, TABLE, "left").join(hit, TABLE, "left").select("quarantined", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hit", F.lit(False)).alias("hit"), F.col("hmd").isNotNull().alias("real"))
     share = lambda a, b: F.try_divide(F.count_if(a).cast("double"), F.count_if(b))
-    every, one = F.lit(True), F.col("n") == 1
+    every, read = F.lit(True), ~F.col("quarantined")
+    one = read & (F.col("n") == 1)
+    right = F.col("real") & F.col("hit") & (F.col("n") == 1)
     return per.agg(
-        share(F.col("hit"), F.col("real")).alias("candidate_recall"), share(one & F.col("hit"), one & F.col("real")).alias("unique_precision"), share(one & F.col("real"), F.col("real")).alias("unique_coverage"),
-        share(one & F.col("hit"), F.col("real")).alias("exact_match"), share(~F.col("real") & (F.col("n") > 0), ~F.col("real")).alias("false_rate"), share(F.col("n") == 0, every).alias("abstention"), share(F.col("n") > 1, every).alias("ambiguity"),
+        share(F.col("hit") & F.col("real"), F.col("real")).alias("candidate_recall"), share(right, one).alias("unique_precision"), share(one, every).alias("unique_coverage"), share(right, every).alias("exact_match"),
+        share(~F.col("real") & (F.col("n") > 0), ~F.col("real")).alias("false_rate"), share(read & (F.col("n") == 0), every).alias("abstention"), share(read & (F.col("n") > 1), every).alias("ambiguity"),
     )
 
 
@@ -68,28 +119,60 @@ def method_accuracy(results: DataFrame, n: int | None = None) -> DataFrame:
     return per.select("method", "decided", "correct", (F.col("decided") / F.col("n")).alias("coverage"), F.try_divide("correct", "decided").alias("accuracy"))
 
 
+def running(rows: DataFrame, by: list[str], order: list, value: str, parts: int = 64) -> DataFrame:
+    """rows with n, their place, and total, the sum of `value` up to them, in `order` within `by`. Rows are dealt by
+    range of the order, so a group of any size is summed by ranges and then within each: no task has a whole group."""
+    dealt = rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id())
+    inside = W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = dealt.withColumn("n", F.count("*").over(inside)).withColumn("total", F.sum(value).over(inside))
+    sums = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.sum(value).alias("_total"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as ranges
+    offsets = sums.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_total"))
+    out = local.join(F.broadcast(offsets), [*by, "_part"])
+    return out.withColumn("n", F.col("n") + F.col("_n")).withColumn("total", F.col("total") + F.col("_total")).drop("_part", "_n", "_total")
+
+
 def risk_coverage(results: DataFrame) -> DataFrame:
     """Accuracy of the n surest choices for each n, by falling margin. results: method, table_uid, margin, correct (0 or 1)."""
-    w = W.partitionBy("method").orderBy(F.col("margin").desc(), TABLE).rowsBetween(W.unboundedPreceding, 0)
-    return results.select("method", TABLE, F.count("*").over(w).alias("n"), (F.sum("correct").over(w) / F.count("*").over(w)).alias("accuracy"))
+    found = running(results, ["method"], [F.col("margin").desc(), F.col(TABLE)], "correct")
+    return found.select("method", TABLE, "n", (F.col("total") / F.col("n")).alias("accuracy"))
 
 
-def outcome_class(reviewed, usable, accepted, correct):
-    return F.when(~reviewed, "not_reviewed").when(~usable, "invalid_output").when(~accepted, "rejected").when(correct, "correct").otherwise("wrong_accepted")
+def outcome_class(final_status, export_error, accepted_correct):
+    """What became of a table: only a valid result can be exported, and so be invalid output."""
+    valid = F.when(export_error.isNotNull(), "invalid_output").when(accepted_correct, "correct").otherwise("wrong_accepted")
+    return F.when(final_status == "valid", valid).when(final_status == "unparseable", "rejected").otherwise("not_reviewed")
 
 
-def place_labels(slots: DataFrame, rectangles: DataFrame) -> DataFrame:
-    """The region of each place by a segmentation: rectangles table_uid, first_row, last_row, first_col, last_col, head_rows, side_cols; null outside."""
+def place_labels(slots: DataFrame, rectangles: DataFrame, separators: DataFrame) -> DataFrame:
+    """The region of each place by a segmentation: separator rows first, then the first rectangle (by first column,
+    then first row) that holds the place, its header rows counted without separator rows; uncovered outside all.
+    rectangles: table_uid, first_row, last_row, first_col, last_col, head_rows, side_cols; separators: table_uid, row_idx.
+    Tables without a rectangle or a separator have no segmentation and get no rows."""
     r, c = F.col("row_idx"), F.col("col_idx")
-    inside = slots.join(rectangles, TABLE, "left").where((r >= F.col("first_row")) & (r <= F.col("last_row")) & (c >= F.col("first_col")) & (c <= F.col("last_col")))
-    region = F.when(r < F.col("first_row") + F.col("head_rows"), "hmd").when(c < F.col("first_col") + F.col("side_cols"), "vmd").otherwise("data")
-    return inside.select(TABLE, "row_idx", "col_idx", region.alias("region"))
-
-
-def place_accuracy(answer: DataFrame, gold: DataFrame) -> DataFrame:
-    """Share of gold's places that an answer labels alike, by table: 0 for a table without an answer."""
-    both = gold.join(answer.withColumnRenamed("region", "given"), [TABLE, "row_idx", "col_idx"], "left")
-    return both.groupBy(TABLE).agg(F.avg((F.coalesce("given", F.lit("")) == F.col("region")).cast("double")).alias("accuracy"))
+    aside = separators.select(TABLE, "row_idx", F.lit(True).alias("aside")).distinct()
+    rows = slots.select(TABLE, "row_idx").distinct().join(aside, [TABLE, "row_idx"], "left").withColumn("aside", F.coalesce("aside", F.lit(False)))
+    before = F.sum(F.col("aside").cast("int")).over(W.partitionBy(TABLE).orderBy("row_idx").rowsBetween(W.unboundedPreceding, 0)) - F.col("aside").cast("int")
+    rows = rows.withColumn("before", before)
+    first = rows.select(TABLE, F.col("row_idx").alias("first_row"), F.col("before").alias("before_first"))
+    rect = rectangles.join(first, [TABLE, "first_row"])
+    places = slots.select(TABLE, "row_idx", "col_idx").join(rows, [TABLE, "row_idx"])
+    inside = places.join(rect, TABLE).where((r >= F.col("first_row")) & (r <= F.col("last_row")) & (c >= F.col("first_col")) & (c <= F.col("last_col")))
+    at = r - F.col("first_row") - F.col("before") + F.col("before_first")
+    region = F.when(at < F.col("head_rows"), "hmd").when(c - F.col("first_col") < F.col("side_cols"), "vmd").otherwise("data")
+    held = inside.groupBy(TABLE, "row_idx", "col_idx").agg(F.min_by(region, F.struct("first_col", "first_row")).alias("held"))
+    known = rectangles.select(TABLE).unionByName(separators.select(TABLE)).distinct()
+    out = places.join(held, [TABLE, "row_idx", "col_idx"], "left").join(known, TABLE, "left_semi")
+    return out.select(TABLE, "row_idx", "col_idx", F.when(F.col("aside"), "separator").otherwise(F.coalesce("held", F.lit("uncovered"))).alias("region"))
+
+
+def cell_accuracy(cells: DataFrame, answer: DataFrame, gold: DataFrame) -> DataFrame:
+    """Share of a table's cells, gap cells left out, that an answer labels as gold does, each by its first place; null
+    for a table without an answer or gold. answer, gold: table_uid, row_idx, col_idx, region."""
+    real = cells.where(F.coalesce(F.col("kind") != "synthetic_gap", F.lit(True))) if "kind" in cells.columns else cells
+    named = lambda d, n: d.select(TABLE, "row_idx", "col_idx", F.col("region").alias(n))
+    both = real.select(TABLE, "row_idx", "col_idx").join(named(answer, "given"), [TABLE, "row_idx", "col_idx"], "left").join(named(gold, "wanted"), [TABLE, "row_idx", "col_idx"], "left")
+    return both.groupBy(TABLE).agg(F.avg((F.col("given") == F.col("wanted")).cast("double")).alias("accuracy"))
 
 
 def usage(log: DataFrame, prices: DataFrame) -> DataFrame:
@@ -169,3 +252,13 @@ def permutation_baseline(observed: float, permuted: DataFrame, macro: float | No
 
     more = [F.avg("macro").alias("macro_mean"), p("macro", macro).alias("macro_p")] if macro is not None else []
     return permuted.agg(F.avg("mi").alias("mean"), F.max("mi").alias("most"), p("mi", observed).alias("p"), *more)
+
+
+def agreement(given: DataFrame, labelled: DataFrame, without: list[str] | None = None) -> DataFrame:
+    """How many labelled cells have the labelled type and group. given: table_uid, cell_id, type, group; labelled:
+    table_uid, cell_id, wanted_type, wanted_group; `without`: articles left out."""
+    article = F.split_part(F.col(TABLE), F.lit("/t"), F.lit(1))
+    both = labelled.where(~article.isin(*without)) if without else labelled
+    both = both.join(given.select(TABLE, "cell_id", "type", "group"), [TABLE, "cell_id"], "left")
+    share = lambda a, b: F.avg(F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("double"))
+    return both.agg(F.count("*").alias("n"), share("type", "wanted_type").alias("type_agreement"), share("group", "wanted_group").alias("group_agreement"))

@@ -23,12 +23,18 @@ def data_grids(places: DataFrame) -> DataFrame:
 def header_nodes(slots: DataFrame, chosen: DataFrame) -> DataFrame:
     """(table_uid, cell_id, first_col, last_col, parent_id, n_parents): header cells over the data columns; the
     parent is the one cell over the whole of a cell's top row, null for roots; several parents are an error."""
-    head = chosen.select(TABLE, "hmd", "vmd").join(slots, TABLE).where("row_idx < hmd AND col_idx >= vmd")
-    node = head.groupBy(TABLE, "cell_id").agg(F.min("row_idx").alias("top"), F.min("col_idx").alias("first_col"), F.max("col_idx").alias("last_col"))
+    return header_nodes_of(slots, chosen.select(TABLE, F.lit("").alias("candidate_id"), "hmd", "vmd")).drop("candidate_id")
+
+
+def header_nodes_of(slots: DataFrame, candidates: DataFrame) -> DataFrame:
+    """header_nodes of any number of candidates a table, with candidate_id."""
+    key = [TABLE, "candidate_id"]
+    head = candidates.select(*key, "hmd", "vmd").join(slots, TABLE).where("row_idx < hmd AND col_idx >= vmd")
+    node = head.groupBy(*key, "cell_id").agg(F.min("row_idx").alias("top"), F.min("col_idx").alias("first_col"), F.max("col_idx").alias("last_col"))
     over = slots.select(TABLE, F.col("row_idx").alias("over_row"), F.col("col_idx").alias("over_col"), F.col("cell_id").alias("over_id"))
-    above = node.join(over, TABLE).where("over_row = top - 1 AND over_col BETWEEN first_col AND last_col")
-    parents = above.groupBy(TABLE, "cell_id").agg(F.min("over_id").alias("parent_id"), F.countDistinct("over_id").alias("n_parents"))
-    return node.join(parents, [TABLE, "cell_id"], "left").select(TABLE, "cell_id", "first_col", "last_col", "parent_id", F.coalesce("n_parents", F.lit(0)).alias("n_parents"))
+    above = node.withColumn("over_row", F.col("top") - 1).join(over, [TABLE, "over_row"]).where("over_col BETWEEN first_col AND last_col")
+    parents = above.groupBy(*key, "cell_id").agg(F.min("over_id").alias("parent_id"), F.countDistinct("over_id").alias("n_parents"))
+    return node.join(parents, [*key, "cell_id"], "left").select(*key, "cell_id", "first_col", "last_col", "parent_id", F.coalesce("n_parents", F.lit(0)).alias("n_parents"))
 
 
 def transposed(slots: DataFrame) -> DataFrame:
@@ -65,3 +71,27 @@ def header_json(nodes: DataFrame, cells: DataFrame) -> DataFrame:
 
     named = nodes.join(cells.select(TABLE, "cell_id", "text"), [TABLE, "cell_id"])
     return named.select(TABLE, "cell_id", "parent_id", "first_col", "text").groupBy(TABLE).applyInPandas(build, "table_uid string, forest string")
+
+
+def entries(reviews: DataFrame, candidates: DataFrame, shapes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One entry a reviewed table: final_status, and of a valid one candidate_id, hmd, vmd and export_error:
+    unknown_candidate, out_of_range, not_a_forest (a header cell under several) or null.
+    reviews: table_uid, final_status, candidate_id; nodes: header_nodes with candidate_id."""
+    torn = nodes.where("n_parents > 1").select(TABLE, "candidate_id").distinct().withColumn("torn", F.lit(True))
+    known = candidates.select(TABLE, "candidate_id", "hmd", "vmd").join(shapes.select(TABLE, "n_rows", "n_cols"), TABLE).join(torn, [TABLE, "candidate_id"], "left")
+    valid = reviews.select(TABLE, "final_status", F.when(F.col("final_status") == "valid", F.col("candidate_id")).alias("candidate_id"))
+    error = (
+        F.when(F.col("final_status") != "valid", None).when(F.col("hmd").isNull(), "unknown_candidate")
+        .when((F.col("hmd") >= F.col("n_rows")) | (F.col("vmd") >= F.col("n_cols")), "out_of_range").when(F.col("torn"), "not_a_forest")
+    )
+    found = valid.join(known, [TABLE, "candidate_id"], "left")
+    return found.select(TABLE, "final_status", F.when(F.col("hmd").isNotNull(), F.col("candidate_id")).alias("candidate_id"), "hmd", "vmd", error.alias("export_error"))
+
+
+def separator_texts(slots: DataFrame, cells: DataFrame, separators: DataFrame) -> DataFrame:
+    """(table_uid, row_idx, text): the texts of the cells on rows set aside, in order of columns, a cell once, joined
+    by ' | '; empty ones left out. separators: table_uid, row_idx."""
+    at = slots.join(separators.select(TABLE, "row_idx"), [TABLE, "row_idx"]).groupBy(TABLE, "row_idx", "cell_id").agg(F.min("col_idx").alias("first"))
+    said = at.join(cells.select(TABLE, "cell_id", "text"), [TABLE, "cell_id"])
+    parts = F.sort_array(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("first", "text"))))
+    return said.groupBy(TABLE, "row_idx").agg(F.array_join(F.transform(parts, lambda s: s["text"]), " | ").alias("text"))

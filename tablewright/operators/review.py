@@ -40,14 +40,67 @@ def table_blocks(lines: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def answer_fields(answer: Column, n_rows: Column, n_cols: Column) -> dict[str, Column]:
-    """verdict (confirmed, counts or retry), hmd, vmd and reason of an answer in JSON: parse_correct as a truth
-    value or its text; counts as integers, whole floats or their text, within the table; a reason of 500 characters."""
-    get = lambda name: F.get_json_object(answer, f"$.{name}")
-    count = lambda name, most: F.when(F.expr("true") & get(name).rlike("^[0-9]+(\\.0+)?$") & (F.try_to_number(get(name), F.lit("999999999.999")) <= most), get(name).cast("double").cast("int"))
-    right = F.lower(get("parse_correct"))
-    h, v = count("header_rows", n_rows), count("header_columns", n_cols)
-    verdict = F.when(right == "true", "confirmed").when((right == "false") & h.isNotNull() & v.isNotNull(), "counts").otherwise("retry")
-    return {"verdict": verdict, "hmd": h, "vmd": v, "reason": F.substring(get("reason"), 1, 500)}
+    """verdict (confirmed, counts or retry), hmd, vmd and reason of an answer in JSON.
+
+    parse_correct is true or false or the text of either. Unless it is true, column_header_rows and
+    row_header_columns give the counts: whole numbers, or the text of an integer, from 0 to the table's size. A
+    reason of over 500 characters is cut and marked so.
+    """
+    read = F.try_parse_json(answer)
+    get = lambda name, kind: F.try_variant_get(read, f"$.{name}", kind)
+    is_text = lambda name: F.schema_of_variant(F.try_variant_get(read, f"$.{name}", "variant")) == "STRING"
+
+    def count(name: str, most: Column) -> Column:
+        text, number = get(name, "string"), get(name, "double")
+        whole = F.when(is_text(name), F.when(text.rlike("^\\s*[+-]?[0-9]{1,9}\\s*$"), F.trim(text).cast("int"))).when(F.schema_of_variant(F.try_variant_get(read, f"$.{name}", "variant")) == "BOOLEAN", None).when(number == F.floor(number), number.cast("int"))
+        return F.when((whole >= 0) & (whole <= most), whole)
+
+    right = get("parse_correct", "string")
+    truth = F.when(right.isin("true", "false"), right == "true")
+    h, v = (F.when(~truth, count(n, most)) for n, most in (("column_header_rows", n_rows), ("row_header_columns", n_cols)))
+    verdict = F.when(truth, "confirmed").when(h.isNotNull() & v.isNotNull(), "counts").otherwise("retry")
+    reason = F.coalesce(F.when(is_text("reason"), get("reason", "string")), F.lit(""))
+    usable = lambda x: F.when(verdict == "counts", x)
+    return {"verdict": verdict, "hmd": usable(h), "vmd": usable(v), "reason": F.when(F.length(reason) > 500, F.concat(F.substring(reason, 1, 500), F.lit(" [...]"))).otherwise(reason)}
+
+
+def reviewable_counts(candidates: DataFrame) -> DataFrame:
+    """(table_uid, candidate_id, hmd, vmd): the counts that an answer must give to mean a candidate. A plain boundary
+    has its own. A layout of one subtable is read from the table's top down to its last header row; one of several
+    is never meant. candidates: kind, hmd, vmd, subtables array<struct<rows array<int>, hmd, vmd>>."""
+    sub = F.try_element_at("subtables", F.lit(1))
+    layout = F.col("kind") == "layout"
+    h = F.when(sub["hmd"] == 0, 0).otherwise(F.try_element_at(sub["rows"], sub["hmd"]) + 1)
+    meant = candidates.where(~layout | (F.size("subtables") == 1))
+    return meant.select(TABLE, "candidate_id", F.when(F.col("kind") == "layout", h).otherwise(F.col("hmd")).alias("hmd"), F.when(F.col("kind") == "layout", sub["vmd"]).otherwise(F.col("vmd")).alias("vmd"))
+
+
+def result_audit(results: DataFrame, tables: DataFrame) -> DataFrame:
+    """Tables with no result or several, and results for no table: table_uid, n_results, known."""
+    n = results.groupBy(TABLE).agg(F.count("*").alias("n_results"))
+    both = tables.select(TABLE).distinct().withColumn("known", F.lit(True)).join(n, TABLE, "full")
+    return both.select(TABLE, F.coalesce("n_results", F.lit(0)).alias("n_results"), F.coalesce("known", F.lit(False)).alias("known")).where("n_results <> 1 OR NOT known")
+
+
+def segmentations(candidates: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(table_uid, candidate_id, segmentation): separator rows in order, and the rectangles of the subtables by first
+    column, then first row. candidates as for reviewable_counts, with columns and the separators' rows too."""
+    whole = F.array(F.struct(F.lit(0).alias("first_col"), F.lit(0).alias("first_row"), (F.col("n_rows") - 1).alias("last_row"), (F.col("n_cols") - 1).alias("last_col"), F.col("hmd").alias("head_rows"), F.col("vmd").alias("side_cols")))
+    parts = F.array_sort(F.transform("subtables", lambda s: F.struct(F.array_min(s["columns"]).alias("first_col"), F.array_min(s["rows"]).alias("first_row"), F.array_max(s["rows"]).alias("last_row"), F.array_max(s["columns"]).alias("last_col"), s["hmd"].alias("head_rows"), s["vmd"].alias("side_cols"))))
+    layout = F.col("kind") == "layout"
+    rows = F.when(layout, F.sort_array(F.array_distinct("separators"))).otherwise(F.array().cast("array<int>"))
+    at = candidates.join(shapes.select(TABLE, "n_rows", "n_cols"), TABLE)
+    return at.select(TABLE, "candidate_id", F.struct(rows.alias("separator_rows"), F.when(layout, parts).otherwise(whole).alias("subtables")).alias("segmentation"))
+
+
+def segmentation_verdicts(answers: DataFrame, known: DataFrame, free: bool = False) -> DataFrame:
+    """(table_uid, final_status, candidate_id): valid with the candidate that an answer's segmentation equals, else
+    unparseable; of a `free` arm every answer is valid, without a candidate. Both: table_uid, segmentation."""
+    if free:
+        return answers.select(TABLE, F.lit("valid").alias("final_status"), F.lit(None).cast("string").alias("candidate_id"))
+    equal = known.groupBy(TABLE, F.to_json("segmentation").alias("as_json")).agg(F.min("candidate_id").alias("candidate_id"))
+    found = answers.withColumn("as_json", F.to_json("segmentation")).join(equal, [TABLE, "as_json"], "left")
+    return found.select(TABLE, F.when(F.col("candidate_id").isNotNull(), "valid").otherwise("unparseable").alias("final_status"), "candidate_id")
 
 
 def decide(answers: DataFrame, candidates: DataFrame, selected: DataFrame) -> DataFrame:

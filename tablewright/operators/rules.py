@@ -93,11 +93,15 @@ def all_matches(program: Program, text: Column) -> Column:
 
 def cell_rule(program: Program, text: Column) -> Column:
     """The number of the deciding rule: of those matching, whose type is no strict supertype of another match, the
-    earliest; the earliest of all if a cycle leaves none; null for no match."""
-    found = all_matches(program, text)
+    earliest; the earliest of all if a cycle leaves none; null for no match. Where no type of a rule is above
+    another's, that is the first that matches, and the rules after it are not tried."""
     below = [[j for j, s in enumerate(program.rules) if r.type in program.above(s.type) and s.type != r.type] for r in program.rules]
     if not any(below):
-        return F.try_element_at(found, F.lit(1))
+        first = F
+        for i, r in enumerate(program.rules):
+            first = first.when(matches(r, text), F.lit(i))
+        return first if program.rules else F.lit(None).cast("int")
+    found = all_matches(program, text)
     table = F.array(*[F.array(*[F.lit(j) for j in b]).cast("array<int>") for b in below])
     kept = F.filter(found, lambda i: ~F.arrays_overlap(F.element_at(table, i + 1), found))
     return F.coalesce(F.try_element_at(kept, F.lit(1)), F.try_element_at(found, F.lit(1)))
@@ -108,10 +112,9 @@ def lookup(values: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def type_of(program: Program, text: Column) -> Column:
-    rule = cell_rule(program, text)
-    names = F.array(*[F.lit(r.type) for r in program.rules])
-    return F.when(text == "", EMPTY).when(rule.isNull(), UNTYPED).otherwise(F.element_at(names, rule + 1))
+def named(values: list[str], number: Column) -> Column:
+    """The value at a place from 0; null for none."""
+    return F.when(number.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in values]), number + 1))
 
 
 def family_of(program: Program, kind: Column) -> Column:
@@ -122,11 +125,25 @@ def group_of(program: Program, kind: Column) -> Column:
     return F.coalesce(lookup({t: program.group(t) for t in program.types()}, kind), kind)
 
 
+def with_types(program: Program, df: DataFrame, text: Column, gap: Column) -> DataFrame:
+    """df with type, family, group and source. The text is normalised once, and the rules run once."""
+    typed = df.withColumn("_text", F.when(gap, "").otherwise(normalized(text)))
+    typed = typed.withColumn("_rule", F.when(F.col("_text") != "", cell_rule(program, F.col("_text"))))
+    rule = F.col("_rule")
+    typed = typed.withColumn("type", F.when(rule.isNotNull(), named([r.type for r in program.rules], rule)).otherwise(F.when(F.col("_text") == "", EMPTY).otherwise(UNTYPED)))
+    lines = [f"{program.name}:{n}" for n in (program.lines or range(1, len(program.rules) + 1))]
+    source = F.when(gap, "synthetic").when(rule.isNotNull(), named(lines, rule)).otherwise(F.col("type"))
+    of_type = lambda values, more: F.when(rule.isNotNull(), named(values, rule)).otherwise(more)
+    return (
+        typed.withColumn("family", of_type([program.family(r.type) for r in program.rules], F.col("type")))
+        .withColumn("group", of_type([program.group(r.type) for r in program.rules], F.col("type"))).withColumn("source", source).drop("_text", "_rule")
+    )
+
+
 def type_texts(program: Program, texts: DataFrame) -> DataFrame:
     """text, type, family and group of each distinct normalised text: rules run once for a repeated text."""
     known = texts.select(normalized(F.col("text")).alias("text")).distinct()
-    typed = known.withColumn("type", type_of(program, F.col("text")))
-    return typed.withColumn("family", family_of(program, F.col("type"))).withColumn("group", group_of(program, F.col("type")))
+    return with_types(program, known, F.col("text"), F.lit(False)).drop("source")
 
 
 def type_cells(program: Program, cells: DataFrame) -> DataFrame:
@@ -134,12 +151,8 @@ def type_cells(program: Program, cells: DataFrame) -> DataFrame:
 
     Types are computed in place: a join back on text would put all rows of the commonest texts into one task.
     """
-    text = normalized(F.col("text"))
-    gap = F.col("kind") == "synthetic_gap" if "kind" in cells.columns else F.lit(False)
-    typed = cells.withColumn("type", F.when(gap, EMPTY).otherwise(type_of(program, text)))
-    named = F.array(*[F.lit(f"{program.name}:{n}") for n in (program.lines or range(1, len(program.rules) + 1))])
-    source = F.when(gap, "synthetic").when(F.col("type").isin(EMPTY, UNTYPED), F.col("type")).otherwise(F.element_at(named, cell_rule(program, text) + 1))
-    return typed.withColumn("family", family_of(program, F.col("type"))).withColumn("group", group_of(program, F.col("type"))).withColumn("source", source)
+    gap = F.coalesce(F.col("kind") == "synthetic_gap", F.lit(False)) if "kind" in cells.columns else F.lit(False)
+    return with_types(program, cells, F.col("text"), gap)
 
 
 def type_records(cell_types: DataFrame) -> DataFrame:

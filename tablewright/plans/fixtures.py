@@ -8,10 +8,8 @@ flag; 5 as 1 with the header rows repeated half way.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,16 +72,26 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans read them many times, and plans over files stay small."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-        path = f"{folder}/tables-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         derived(spark, sf_dir, "SELECT * FROM named").write.parquet(path)
         _written[key] = path
     return spark.read.schema("table_uid string, row_idx int, col_idx int, cell_id int, text string").parquet(_written[key])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df in memory or on disk, for plans that read it several times; what a lost executor held is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """df written to the shared folder, for plans that read it several times: nothing stays in memory, and what a
+    lost executor held is read again."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:

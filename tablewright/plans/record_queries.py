@@ -99,13 +99,13 @@ def i11_article_verdicts(spark, sf_dir):
     return records.article_verdicts(results(spark, sf_dir).withColumn("status", F.col("state")))
 
 
-@query("""WITH t AS (SELECT doc_id, 'See (PMC' || doc_id || '), pmc00' || (doc_id % 7) || '; PMC0 xPMC5 PMC' || doc_id || ' "PMC' || (doc_id * 1000003) || '".' AS text FROM documents),
+@query("""WITH t AS (SELECT doc_id, 'See (PMC' || doc_id || '), pmc00' || (doc_id % 7) || '; PMC0 xPMC5 PMC' || doc_id || ' "PMC' || (doc_id * 1000003) || '". ' || text AS text FROM documents),
 w AS (SELECT doc_id, i, upper(regexp_replace(regexp_replace(p, '^[()\\[\\]{}.!?:"''`<>]+', ''), '[()\\[\\]{}.!?:"''`<>]+$', '')) AS tok FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ ,;\\n\\r\\t]+')) AS p, generate_subscripts(regexp_split_to_array(text, '[ ,;\\n\\r\\t]+'), 1) AS i FROM t)),
 n AS (SELECT doc_id, substr(tok, 4)::BIGINT AS num, min(i) AS i FROM w WHERE regexp_full_match(tok, 'PMC[0-9]{1,12}') GROUP BY ALL)
 SELECT t.doc_id, coalesce(string_agg(num::VARCHAR, ',' ORDER BY i), '') AS ids FROM t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n WHERE num > 0) n ON n.doc_id = t.doc_id AND k <= 3 GROUP BY t.doc_id""")
 def i1_article_ids(spark, sf_dir):
     d = F.col("doc_id")
-    text = F.concat(F.lit("See (PMC"), d, F.lit("), pmc00"), d % 7, F.lit("; PMC0 xPMC5 PMC"), d, F.lit(' "PMC'), d * 1000003, F.lit('".'))
+    text = F.concat(F.lit("See (PMC"), d, F.lit("), pmc00"), d % 7, F.lit("; PMC0 xPMC5 PMC"), d, F.lit(' "PMC'), d * 1000003, F.lit('". '), F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(ids.article_ids(text, 3), ",").alias("ids"))
 
 
@@ -120,14 +120,12 @@ def i3_observed_ids(spark, sf_dir):
     return records.restrict(read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct(), read(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("id")), "id")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 10 THEN 'approved' ELSE 'rejected' END AS decision, (row_number() OVER (PARTITION BY p_size > 10 ORDER BY p_partkey))::INTEGER AS place FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size > 10 THEN 'approved' ELSE 'rejected' END AS decision, row_number() OVER (PARTITION BY p_size > 10 ORDER BY p_partkey) AS place FROM part")
 def i4_approved_and_rejected(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     part = read(spark, sf_dir, "part")
     allowed = part.where("p_size > 10").select("p_partkey")
-    both = part.select("p_partkey").join(allowed.withColumn("ok", F.lit(True)), "p_partkey", "left").select("p_partkey", F.when(F.col("ok"), "approved").otherwise("rejected").alias("decision"))
-    return both.withColumn("place", F.row_number().over(W.partitionBy("decision").orderBy("p_partkey")))
+    both = part.select("p_partkey").join(allowed.withColumn("ok", F.lit(True)), "p_partkey", "left").select("p_partkey", F.when(F.col("ok"), "approved").otherwise("rejected").alias("decision"), F.lit(1).alias("one"))
+    return evaluate.running(both, ["decision"], [F.col("p_partkey")], "one").select("p_partkey", "decision", F.col("n").alias("place"))
 
 
 @query("SELECT p_partkey, p_partkey || ' | ' || coalesce(nullif(p_brand, ''), '?') || ' | ' || CASE WHEN p_size < 5 THEN '?' ELSE p_type END AS line FROM part")
@@ -177,7 +175,7 @@ def _prior(found: DataFrame) -> DataFrame:
     return prior_choice(found).select("table_uid", F.col("selected_candidate_id").alias("candidate_id"))
 
 
-PRIOR = ", best AS (SELECT table_uid, first(candidate_id ORDER BY vmd <> 1, hmd < 1, hmd, abs(hmd - 1) + abs(vmd - 1), candidate_id) AS candidate_id FROM found GROUP BY 1), pick AS (SELECT f.* FROM found f JOIN best b ON b.table_uid = f.table_uid AND b.candidate_id = f.candidate_id)"
+PRIOR = ", best AS (SELECT table_uid, first(candidate_id ORDER BY vmd <> 1, hmd < 1, hmd, abs(hmd - 1) + abs(vmd - 1), candidate_id) AS candidate_id FROM found GROUP BY 1), pick AS MATERIALIZED (SELECT f.* FROM found f JOIN best b ON b.table_uid = f.table_uid AND b.candidate_id = f.candidate_id)"
 
 
 @query(f"{FIRST}{PRIOR} SELECT s.table_uid, s.row_idx, s.col_idx, text FROM pick p JOIN slots s ON s.table_uid = p.table_uid AND row_idx >= hmd AND col_idx >= vmd JOIN cells c ON c.table_uid = s.table_uid AND c.cell_id = s.cell_id")
@@ -212,13 +210,17 @@ def e7_relational(spark, sf_dir):
 # --- review ------------------------------------------------------------------
 
 
-@query(f"{FIRST}{ASKED} SELECT d.table_uid, CASE WHEN d.table_uid NOT IN (SELECT table_uid FROM asked_) THEN 'not_selected' WHEN coalesce(n, 0) = 0 THEN 'parser_abstained' WHEN n_rows * n_cols > 2500 THEN 'too_large' ELSE 'ask' END AS decision FROM dims d LEFT JOIN (SELECT table_uid, count(*) AS n FROM found GROUP BY 1) f ON f.table_uid = d.table_uid")
+@query(f"{FIRST}{PRIOR}{ASKED}, k AS (SELECT table_uid, split_part(table_uid, '/t', 2)::INTEGER AS k FROM dims), chars AS (SELECT table_uid, sum(length(text)) AS n_chars FROM cells GROUP BY 1) SELECT d.table_uid, CASE WHEN d.table_uid NOT IN (SELECT table_uid FROM asked_) THEN 'not_selected' WHEN k = 6 THEN 'quarantined' WHEN b.candidate_id IS NULL THEN 'parser_abstained' WHEN k = 8 THEN 'no_selected_candidate' WHEN n_rows * n_cols > 2500 OR n_chars > 60000 THEN 'too_large' ELSE 'ask' END AS decision FROM dims d JOIN k ON k.table_uid = d.table_uid JOIN chars c ON c.table_uid = d.table_uid LEFT JOIN best b ON b.table_uid = d.table_uid")
 def r2_queue(spark, sf_dir):
-    all_ = slots(spark, sf_dir)
-    n = g.boundaries(all_).groupBy("table_uid").agg(F.count("*").alias("n_candidates"))
+    """Every table 6 of an article counts as quarantined, every table 8 as one without a selected candidate."""
+    all_, found = slots(spark, sf_dir), candidates(spark, sf_dir)
+    n = found.groupBy("table_uid").agg(F.count("*").alias("n_candidates"))
     queued = records.selected_tables(all_.select("table_uid").distinct(), asked(spark, sf_dir)).select("table_uid", (F.col("status") == "queued").alias("selected"))
-    tables = g.shape(all_).join(n, "table_uid", "left").fillna(0, ["n_candidates"]).join(queued, "table_uid")
-    return review.queue(tables.select("*", F.lit(False).alias("quarantined"), F.lit("h1_v1").alias("selected_candidate_id"), F.lit(0).alias("n_chars")))
+    chars = cells(spark, sf_dir).groupBy("table_uid").agg(F.sum(F.length("text")).alias("n_chars"))
+    k = F.split_part("table_uid", F.lit("/t"), F.lit(2)).cast("int")
+    chosen_ = _prior(found).select("table_uid", F.when(k != 8, F.col("candidate_id")).alias("selected_candidate_id"))
+    tables = g.shape(all_).join(n, "table_uid", "left").fillna(0, ["n_candidates"]).join(queued, "table_uid").join(chars, "table_uid").join(chosen_, "table_uid", "left")
+    return review.queue(tables.withColumn("quarantined", k == 6))
 
 
 LINES_SQL = """, parts AS (SELECT s.table_uid, s.row_idx, s.col_idx, 'c' || s.col_idx || ' ' || CASE WHEN s.row_idx = c.row_idx AND s.col_idx = c.col_idx THEN '"' || replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '"', '\\"') || '"' WHEN s.row_idx > c.row_idx AND s.col_idx > c.col_idx THEN '^<' WHEN s.row_idx > c.row_idx THEN '^' ELSE '<' END AS part
@@ -237,11 +239,15 @@ def r3_table_blocks(spark, sf_dir):
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event's answer as JSON."""
+    """Each event's answer as JSON: truth values and their texts, counts as whole numbers, as their text, with a
+    zero fraction, and, which is no integer's text, as the text of that."""
     e = asked(spark, sf_dir)
-    count = lambda c: F.when(F.col("user_id") % 4 == 0, F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))).when(F.col("user_id") % 4 == 1, F.concat(F.col(c).cast("string"), F.lit(".0"))).otherwise(F.col(c).cast("string"))
-    right = F.when(F.col("event_type") == "view", "true").when(F.col("event_type") == "click", '"false"').when(F.col("event_type") == "error", '"maybe"').otherwise("false")
-    return e.withColumn("answer", F.concat(F.lit('{"parse_correct": '), right, F.lit(', "header_rows": '), count("hmd"), F.lit(', "header_columns": '), count("vmd"), F.lit(', "reason": "r"}')))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    plain = lambda c: F.col(c).cast("string")
+    whole = lambda c: F.concat(plain(c), F.lit(".0"))
+    count = lambda c: F.when(F.col("event_id") % 10 == 0, quoted(whole(c))).when(F.col("user_id") % 4 == 0, quoted(plain(c))).when(F.col("user_id") % 4 == 1, whole(c)).otherwise(plain(c))
+    right = F.when(F.col("event_type") == "view", F.when(F.col("user_id") % 2 == 0, "true").otherwise('"true"')).when(F.col("event_type") == "click", '"false"').when(F.col("event_type") == "error", '"TRUE"').otherwise("false")
+    return e.withColumn("answer", F.concat(F.lit('{"parse_correct": '), right, F.lit(', "column_header_rows": '), count("hmd"), F.lit(', "row_header_columns": '), count("vmd"), F.lit(', "reason": "r"}')))
 
 
 def read_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,12 +255,16 @@ def read_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers(spark, sf_dir).select("event_id", "table_uid", *[c.alias(n) for n, c in fields.items()])
 
 
-@query(f"WITH x AS (SELECT 1){ASKED} SELECT event_id, CASE event_type WHEN 'view' THEN 'confirmed' WHEN 'error' THEN 'retry' ELSE 'counts' END AS verdict, hmd, vmd FROM asked_")
+READ = """, read_ AS (SELECT event_id, table_uid, verdict, CASE verdict WHEN 'counts' THEN hmd END AS hmd, CASE verdict WHEN 'counts' THEN vmd END AS vmd
+    FROM (SELECT *, CASE WHEN event_type = 'view' THEN 'confirmed' WHEN event_type = 'error' OR event_id % 10 = 0 THEN 'retry' ELSE 'counts' END AS verdict FROM asked_))"""
+
+
+@query(f"WITH x AS (SELECT 1){ASKED}{READ} SELECT event_id, verdict, hmd, vmd FROM read_")
 def r5_read_answers(spark, sf_dir):
     return read_answers(spark, sf_dir).select("event_id", "verdict", "hmd", "vmd")
 
 
-DECIDED = f"{PRIOR}{ASKED}, decided AS (SELECT a.event_id, a.table_uid, CASE WHEN event_type = 'error' THEN 'unreviewed' WHEN event_type = 'view' AND b.candidate_id IS NOT NULL THEN 'valid' WHEN event_type NOT IN ('view', 'error') AND f.candidate_id IS NOT NULL THEN 'valid' ELSE 'unparseable' END AS final_status, CASE WHEN event_type = 'view' THEN b.candidate_id WHEN event_type <> 'error' THEN f.candidate_id END AS candidate_id FROM asked_ a LEFT JOIN best b ON b.table_uid = a.table_uid LEFT JOIN found f ON f.table_uid = a.table_uid AND f.hmd = a.hmd AND f.vmd = a.vmd)"
+DECIDED = f"{PRIOR}{ASKED}{READ}, decided AS (SELECT a.event_id, a.table_uid, CASE WHEN verdict = 'retry' THEN 'unreviewed' WHEN verdict = 'confirmed' AND b.candidate_id IS NOT NULL THEN 'valid' WHEN verdict = 'counts' AND f.candidate_id IS NOT NULL THEN 'valid' ELSE 'unparseable' END AS final_status, CASE verdict WHEN 'confirmed' THEN b.candidate_id WHEN 'counts' THEN f.candidate_id END AS candidate_id FROM read_ a LEFT JOIN best b ON b.table_uid = a.table_uid LEFT JOIN found f ON f.table_uid = a.table_uid AND f.hmd = a.hmd AND f.vmd = a.vmd)"
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +300,7 @@ def r10_segmentation_checks(spark, sf_dir):
 # --- guidelines --------------------------------------------------------------
 
 #: What the oracle routes: texts of columns typed by the rules, with the guideline types below each.
-ALLOWED = "CASE type " + " ".join(f"WHEN '{k}' THEN '{'|'.join(sorted(t for _, t in rules.SCIENCE.guidelines if k in rules.SCIENCE.above(t)))}'" for k in rules.SCIENCE.types() if any(k in rules.SCIENCE.above(t) for _, t in rules.SCIENCE.guidelines)) + " END"
+ALLOWED = "CASE type " + " ".join(f"WHEN '{k}' THEN '{'|'.join(t for _, t in rules.SCIENCE.guidelines if k in rules.SCIENCE.above(t))}'" for k in rules.SCIENCE.types() if any(k in rules.SCIENCE.above(t) for _, t in rules.SCIENCE.guidelines)) + " END"
 LOG = ", log AS (SELECT event_id AS seq, CASE user_id % 4 WHEN 0 THEN 'Flag' WHEN 1 THEN 'Status' WHEN 2 THEN 'Ship date' ELSE 'A' END AS text, CASE user_id % 4 WHEN 2 THEN 'Phrase' ELSE 'Word' END AS rule_type, CASE event_type WHEN 'view' THEN 'VariableLabel' WHEN 'click' THEN 'CategoryLevel' WHEN 'error' THEN 'Other' ELSE 'none' END AS answer FROM events)"
 ROUTED = f", routed AS (SELECT table_uid, split_part(table_uid, '/t', 1) AS pmc_id, cell_id, text, type, {ALLOWED} AS allowed FROM types WHERE {ALLOWED} IS NOT NULL)"
 
@@ -348,7 +358,7 @@ def l8_derivations(spark, sf_dir):
 
 # --- evaluation --------------------------------------------------------------
 
-INFO = f"{PRIOR}, xy AS (SELECT l.table_uid, family AS x, region AS y FROM labels_ l JOIN pick p ON p.table_uid = l.table_uid AND p.candidate_id = l.candidate_id JOIN types t ON t.table_uid = l.table_uid AND t.cell_id = l.cell_id)"
+INFO = f"{PRIOR}, xy AS MATERIALIZED (SELECT t.table_uid, t.cell_id, family AS x, CASE WHEN c.row_idx < hmd THEN 'hmd' WHEN c.col_idx < vmd THEN 'vmd' ELSE 'data' END AS y FROM types t JOIN cells c ON c.table_uid = t.table_uid AND c.cell_id = t.cell_id JOIN pick p ON p.table_uid = t.table_uid)"
 
 
 def region_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,23 +381,34 @@ def a4_share_given_region(spark, sf_dir):
     return evaluate.share_given(region_pairs(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
-CONTRAST = f"""{PRIOR}, d AS (SELECT s.table_uid, s.col_idx AS line, s.row_idx AS position, family AS kind FROM pick p JOIN slots s ON s.table_uid = p.table_uid AND row_idx >= hmd AND col_idx >= vmd JOIN types t ON t.table_uid = s.table_uid AND t.cell_id = s.cell_id),
-h AS (SELECT s.table_uid, s.col_idx AS line, family AS heading FROM pick p JOIN slots s ON s.table_uid = p.table_uid AND row_idx = hmd - 1 AND col_idx >= vmd JOIN types t ON t.table_uid = s.table_uid AND t.cell_id = s.cell_id),
-m AS (SELECT table_uid, line, first(kind ORDER BY k DESC, seen) AS mode FROM (SELECT table_uid, line, kind, count(*) AS k, min(position) AS seen FROM d GROUP BY ALL) GROUP BY ALL)"""
+IGNORED = "('empty', 'untyped', 'Missing')"
+
+
+def contrast_sql(axis: str, line: str, along: str, head: str) -> str:
+    return f"""(SELECT m.table_uid, '{axis}' AS axis, count(*) FILTER (mode <> heading) AS differing, count(*) AS n_lines
+    FROM (SELECT table_uid, line, first(x ORDER BY k DESC, seen) AS mode FROM (SELECT table_uid, line, x, count(*) AS k, min(seen) AS seen FROM (SELECT table_uid, {line} AS line, cell_id, x, min({along}) AS seen FROM at_ WHERE y = 'data' AND x NOT IN {IGNORED} GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) m
+    JOIN (SELECT table_uid, {line} AS line, arg_max(x, {along}) AS heading FROM at_ WHERE y = '{head}' GROUP BY ALL) h ON h.table_uid = m.table_uid AND h.line = m.line
+    WHERE heading NOT IN {IGNORED} GROUP BY m.table_uid)"""
 
 
-def line_kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    at = chosen(spark, sf_dir).select("table_uid", "hmd", "vmd").join(slots(spark, sf_dir), "table_uid").join(typed(spark, sf_dir).select("table_uid", "cell_id", "family"), ["table_uid", "cell_id"]).where("col_idx >= vmd")
-    data = at.where("row_idx >= hmd").select("table_uid", F.col("col_idx").alias("line"), F.col("row_idx").alias("position"), F.col("family").alias("kind"))
-    return data, at.where("row_idx = hmd - 1").select("table_uid", F.col("col_idx").alias("line"), F.col("family").alias("heading"))
+CONTRAST = f"{INFO}, at_ AS MATERIALIZED (SELECT s.table_uid, s.row_idx, s.col_idx, s.cell_id, x, y FROM slots s JOIN xy ON xy.table_uid = s.table_uid AND xy.cell_id = s.cell_id), contrasts AS ({contrast_sql('col', 'col_idx', 'row_idx', 'hmd')} UNION ALL {contrast_sql('row', 'row_idx', 'col_idx', 'vmd')})"
 
 
-@query(f"{FULL}{CONTRAST} SELECT m.table_uid, count(*) FILTER (mode <> heading) AS differing, count(*) AS n_lines FROM m JOIN h ON h.table_uid = m.table_uid AND h.line = m.line GROUP BY 1")
+def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.line_contrast(slots(spark, sf_dir), g.labels(chosen(spark, sf_dir), cells(spark, sf_dir)), typed(spark, sf_dir))
+
+
+@query(f"{FULL}{CONTRAST} SELECT table_uid, axis, differing, n_lines FROM contrasts")
 def a7_contrast(spark, sf_dir):
-    return evaluate.contrast(*line_kinds(spark, sf_dir))
+    return contrasts(spark, sf_dir)
+
 
+@query(f"{FULL}{CONTRAST} SELECT axis, sum(n_lines)::BIGINT AS n_lines, round(sum(differing) / sum(n_lines), 6) AS share FROM contrasts GROUP BY 1")
+def a7_contrast_summary(spark, sf_dir):
+    return evaluate.contrast_summary(contrasts(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
-@query(f"{FULL}{INFO} SELECT table_uid, CASE WHEN avg((x = 'Numeric')::INTEGER) > 0.5 THEN 'Numeric' WHEN avg((x = 'Text')::INTEGER) > 0.5 THEN 'Text' ELSE 'mixed' END AS kind FROM xy WHERE y = 'data' GROUP BY 1")
+
+@query(f"{FULL}{INFO} SELECT table_uid, CASE WHEN count(*) FILTER (x = 'Numeric') * 2 > count(*) FILTER (x NOT IN {IGNORED}) THEN 'mostly_numeric' WHEN count(*) FILTER (x = 'Text') * 2 > count(*) FILTER (x NOT IN {IGNORED}) THEN 'mostly_text' ELSE 'mixed' END AS kind FROM xy WHERE y = 'data' GROUP BY 1")
 def a9_data_kinds(spark, sf_dir):
     return evaluate.data_kinds(region_pairs(spark, sf_dir).select("table_uid", F.col("y").alias("region"), F.col("x").alias("family")))
 
@@ -401,15 +422,33 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.select("table_uid", F.when(k % 5 != 0, 1 + (k % 3 == 0).cast("int")).alias("hmd"), F.when(k % 5 != 0, (k % 2).cast("int")).alias("vmd"))
 
 
-@query(f"""{FIRST}{GOLD}, per AS (SELECT g.table_uid, g.hmd IS NOT NULL AS real_, count(f.candidate_id) AS n, coalesce(bool_or(f.hmd = g.hmd AND f.vmd = g.vmd), false) AS hit FROM gold g LEFT JOIN found f ON f.table_uid = g.table_uid GROUP BY g.table_uid, g.hmd)
-SELECT round(count(*) FILTER (hit) / count(*) FILTER (real_), 6) AS candidate_recall, round(count(*) FILTER (n = 1 AND hit) / nullif(count(*) FILTER (n = 1 AND real_), 0), 6) AS unique_precision, round(count(*) FILTER (n = 1 AND real_) / count(*) FILTER (real_), 6) AS unique_coverage, round(count(*) FILTER (n = 1 AND hit) / count(*) FILTER (real_), 6) AS exact_match,
-round(count(*) FILTER (NOT real_ AND n > 0) / count(*) FILTER (NOT real_), 6) AS false_rate, round(count(*) FILTER (n = 0) / count(*), 6) AS abstention, round(count(*) FILTER (n > 1) / count(*), 6) AS ambiguity FROM per""")
+@query(f"""{FIRST}{GOLD}, per AS (SELECT g.table_uid, g.hmd IS NOT NULL AS real_, split_part(g.table_uid, '/t', 2) = '11' AS q, count(f.candidate_id) AS n, coalesce(bool_or(f.hmd = g.hmd AND f.vmd = g.vmd), false) AS hit FROM gold g LEFT JOIN found f ON f.table_uid = g.table_uid GROUP BY g.table_uid, g.hmd)
+SELECT round(count(*) FILTER (real_ AND hit) / count(*) FILTER (real_), 6) AS candidate_recall, round(count(*) FILTER (n = 1 AND real_ AND hit) / nullif(count(*) FILTER (n = 1 AND NOT q), 0), 6) AS unique_precision, round(count(*) FILTER (n = 1 AND NOT q) / count(*), 6) AS unique_coverage, round(count(*) FILTER (n = 1 AND real_ AND hit) / count(*), 6) AS exact_match,
+round(count(*) FILTER (NOT real_ AND n > 0) / count(*) FILTER (NOT real_), 6) AS false_rate, round(count(*) FILTER (n = 0 AND NOT q) / count(*), 6) AS abstention, round(count(*) FILTER (n > 1 AND NOT q) / count(*), 6) AS ambiguity FROM per""")
 def a11_structural_metrics(spark, sf_dir):
+    """Every table 11 of an article counts as quarantined."""
     all_ = slots(spark, sf_dir)
-    found = evaluate.structural_metrics(all_, g.boundaries(all_), gold(spark, sf_dir))
+    tables = all_.select("table_uid").distinct().withColumn("status", F.when(F.split_part("table_uid", F.lit("/t"), F.lit(2)) == "11", "quarantined").otherwise("ok"))
+    found = evaluate.structural_metrics(tables, g.boundaries(all_), gold(spark, sf_dir))
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
+@query(f"{FIRST}{GOLD} SELECT d.table_uid, 'h' || hmd || '_v' || vmd AS gold_candidate, confidence FROM dims d JOIN (SELECT *, (split_part(table_uid, '/t', 2)::INTEGER % 4)::INTEGER AS confidence FROM gold) g ON g.table_uid = d.table_uid WHERE confidence >= 2 AND hmd IS NOT NULL")
+def a10_labelled_set(spark, sf_dir):
+    k = F.split_part("table_uid", F.lit("/t"), F.lit(2)).cast("int")
+    named = gold(spark, sf_dir).select("table_uid", F.concat(F.lit("h"), F.col("hmd").cast("string"), F.lit("_v"), F.col("vmd").cast("string")).alias("gold_candidate"), (k % 4).alias("confidence"))
+    return evaluate.labelled_set(slots(spark, sf_dir).select("table_uid").distinct(), named, 2)
+
+
+@query(f"{FULL} SELECT count(*) AS n, round(avg((type = 'Word')::INTEGER), 6) AS type_agreement, round(avg((grp = 'Text')::INTEGER), 6) AS group_agreement FROM types WHERE cell_id % 3 = 0 AND split_part(table_uid, '/t', 1) NOT IN ('PMC1', 'PMC2')")
+def a25_agreement(spark, sf_dir):
+    """Every third cell labelled as a word, two articles left out."""
+    given = typed(spark, sf_dir)
+    labelled = given.where("cell_id % 3 = 0").select("table_uid", "cell_id", F.lit("Word").alias("wanted_type"), F.lit("Text").alias("wanted_group"))
+    found = evaluate.agreement(given, labelled, ["PMC1", "PMC2"])
+    return found.select("n", F.round("type_agreement", 6).alias("type_agreement"), F.round("group_agreement", 6).alias("group_agreement"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def a12_duplicate_keys(spark, sf_dir):
     return evaluate.duplicate_keys(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
@@ -435,12 +474,13 @@ def a14_risk_coverage(spark, sf_dir):
     return evaluate.risk_coverage(log).withColumn("accuracy", F.round("accuracy", 6))
 
 
-OUTCOME = "CASE WHEN event_id % 13 = 0 THEN 'not_reviewed' WHEN event_id % 11 = 0 THEN 'invalid_output' WHEN value <= 5 THEN 'rejected' WHEN user_id % 2 = 0 THEN 'correct' ELSE 'wrong_accepted' END"
+OUTCOME = "CASE WHEN event_id % 13 = 0 THEN 'not_reviewed' WHEN value <= 5 THEN 'rejected' WHEN event_id % 11 = 0 THEN 'invalid_output' WHEN user_id % 2 = 0 THEN 'correct' ELSE 'wrong_accepted' END"
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return e.withColumn("outcome", evaluate.outcome_class(F.col("event_id") % 13 != 0, F.col("event_id") % 11 != 0, F.col("value") > 5, F.col("user_id") % 2 == 0))
+    status = F.when(F.col("event_id") % 13 == 0, "unreviewed").when(F.col("value") <= 5, "unparseable").otherwise("valid")
+    return e.withColumn("outcome", evaluate.outcome_class(status, F.when(F.col("event_id") % 11 == 0, "unknown_candidate"), F.col("user_id") % 2 == 0))
 
 
 @query(f"SELECT event_id, {OUTCOME} AS outcome FROM events")
@@ -448,23 +488,31 @@ def a16_outcomes(spark, sf_dir):
     return outcomes(spark, sf_dir).select("event_id", "outcome")
 
 
-RECT = ", rect AS (SELECT table_uid, 1 AS first_row, n_rows - 1 AS last_row, 0 AS first_col, n_cols - 1 AS last_col FROM dims)"
+LABELLED = """, before_ AS (SELECT d.table_uid, r.row_idx, count(a.row_idx) FILTER (a.row_idx < r.row_idx AND a.row_idx >= 1) AS n_aside, coalesce(bool_or(a.row_idx = r.row_idx), false) AS is_aside FROM dims d JOIN (SELECT DISTINCT table_uid, row_idx FROM slots) r ON r.table_uid = d.table_uid LEFT JOIN aside a ON a.table_uid = r.table_uid GROUP BY ALL),
+answered AS (SELECT s.table_uid, s.row_idx, col_idx, CASE WHEN is_aside THEN 'separator' WHEN s.row_idx < 1 THEN 'uncovered' WHEN s.row_idx - 1 - n_aside < 1 THEN 'hmd' WHEN col_idx < 1 THEN 'vmd' ELSE 'data' END AS region FROM slots s JOIN before_ b ON b.table_uid = s.table_uid AND b.row_idx = s.row_idx)"""
 
 
-def one_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.shape(slots(spark, sf_dir)).select("table_uid", F.lit(1).alias("first_row"), (F.col("n_rows") - 1).alias("last_row"), F.lit(0).alias("first_col"), (F.col("n_cols") - 1).alias("last_col"), F.lit(1).alias("head_rows"), F.lit(1).alias("side_cols"))
+def answered_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segmentation of each table: all but its first row as one rectangle with a header row and a header column,
+    rows of one cell set aside."""
+    all_ = slots(spark, sf_dir)
+    rectangle = g.shape(all_).select("table_uid", F.lit(1).alias("first_row"), (F.col("n_rows") - 1).alias("last_row"), F.lit(0).alias("first_col"), (F.col("n_cols") - 1).alias("last_col"), F.lit(1).alias("head_rows"), F.lit(1).alias("side_cols"))
+    return evaluate.place_labels(all_, rectangle, g.separators(all_))
 
 
-@query(f"{FIRST} SELECT table_uid, row_idx, col_idx, CASE WHEN row_idx < 2 THEN 'hmd' WHEN col_idx < 1 THEN 'vmd' ELSE 'data' END AS region FROM slots WHERE row_idx >= 1")
+@query(f"{FIRST}{LABELLED} SELECT table_uid, row_idx, col_idx, region FROM answered")
 def a17_place_labels(spark, sf_dir):
-    return evaluate.place_labels(slots(spark, sf_dir), one_rectangle(spark, sf_dir))
+    return answered_places(spark, sf_dir)
 
 
-@query(f"{FIRST}{PRIOR} SELECT s.table_uid, round(avg((coalesce(CASE WHEN row_idx < 1 THEN NULL WHEN row_idx < 2 THEN 'hmd' WHEN col_idx < 1 THEN 'vmd' ELSE 'data' END, '') = CASE WHEN row_idx < hmd THEN 'hmd' WHEN col_idx < vmd THEN 'vmd' ELSE 'data' END)::INTEGER), 6) AS accuracy FROM slots s JOIN pick p ON p.table_uid = s.table_uid GROUP BY 1")
-def a18_place_accuracy(spark, sf_dir):
+@query(f"{FIRST}{PRIOR}{LABELLED} SELECT c.table_uid, round(avg((region = CASE WHEN c.row_idx < hmd THEN 'hmd' WHEN c.col_idx < vmd THEN 'vmd' WHEN hmd IS NOT NULL THEN 'data' END)::INTEGER), 6) AS accuracy FROM cells c JOIN answered a ON a.table_uid = c.table_uid AND a.row_idx = c.row_idx AND a.col_idx = c.col_idx LEFT JOIN pick p ON p.table_uid = c.table_uid GROUP BY 1")
+def a18_cell_accuracy(spark, sf_dir):
+    """Against the prior's boundary; null for a table without a candidate."""
     all_ = slots(spark, sf_dir)
-    truth = chosen(spark, sf_dir).select("table_uid", "hmd", "vmd").join(all_, "table_uid").select("table_uid", "row_idx", "col_idx", F.when(F.col("row_idx") < F.col("hmd"), "hmd").when(F.col("col_idx") < F.col("vmd"), "vmd").otherwise("data").alias("region"))
-    return evaluate.place_accuracy(evaluate.place_labels(all_, one_rectangle(spark, sf_dir)), truth).withColumn("accuracy", F.round("accuracy", 6))
+    size = g.shape(all_).select("table_uid", "n_rows", "n_cols")
+    whole = chosen(spark, sf_dir).join(size, "table_uid").select("table_uid", F.lit(0).alias("first_row"), (F.col("n_rows") - 1).alias("last_row"), F.lit(0).alias("first_col"), (F.col("n_cols") - 1).alias("last_col"), F.col("hmd").alias("head_rows"), F.col("vmd").alias("side_cols"))
+    truth = evaluate.place_labels(all_, whole, g.separators(all_).limit(0))
+    return evaluate.cell_accuracy(cells(spark, sf_dir), answered_places(spark, sf_dir), truth).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("SELECT event_type AS arm, count(*) AS calls, sum((event_id % 1000)::BIGINT)::BIGINT AS tokens, round(sum((event_id % 1000) * CASE user_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0 END)::DOUBLE, 4) AS cost FROM events GROUP BY 1")
@@ -498,7 +546,16 @@ def a24_provenance(spark, sf_dir):
 
 # --- samples -----------------------------------------------------------------
 
-POOL = ", pool AS (SELECT o_orderkey::VARCHAR AS table_uid, 'PMC' || (o_orderkey // 20 + 1) AS pmc_id, o_orderpriority AS class FROM orders), firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pmc_id ORDER BY md5('7:' || table_uid), table_uid) AS k FROM pool) WHERE k = 1)"
+POOL = ", pool AS (SELECT o_orderkey::VARCHAR AS table_uid, 'PMC' || (o_orderkey // 20 + 1) AS pmc_id, o_orderpriority AS class, md5('7:' || o_orderkey) AS lot FROM orders)"
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def turns_sql(name: str, used: str, n: int) -> str:
+    """A round robin as recursion over turns: the articles used so far travel along."""
+    names = "[" + ", ".join(f"'{p}'" for p in PRIORITIES) + "]"
+    return f""", {name} AS (SELECT -1 AS turn, {used} AS used, NULL::VARCHAR AS table_uid UNION ALL
+    SELECT turn + 1, list_append(used, best.pmc_id), best.table_uid FROM (SELECT t.turn, t.used, arg_min({{'pmc_id': p.pmc_id, 'table_uid': p.table_uid}}, p.lot || p.table_uid) AS best
+    FROM {name} t JOIN pool p ON p.class = ({names})[(t.turn + 1) % 5 + 1] AND NOT list_contains(t.used, p.pmc_id) WHERE t.turn < {n - 1} GROUP BY t.turn, t.used))"""
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,25 +567,36 @@ def m1_split(spark, sf_dir):
     return pool(spark, sf_dir).select("pmc_id").distinct().select("pmc_id", sampling.split(F.col("pmc_id")).alias("part"))
 
 
-@query(f"WITH x AS (SELECT 1){POOL} SELECT table_uid, pmc_id, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('7:' || table_uid), table_uid) AS n FROM firsts) WHERE n <= CASE class WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 3 ELSE 0 END")
+@query(f"""{FIRST}{GOLD} SELECT d.table_uid, split_part(d.table_uid, '/t', 1) AS pmc_id, n_rows * n_cols AS n_slots, 'h' || hmd || '_v' || vmd AS gold_candidate, CASE WHEN d.table_uid IN (SELECT table_uid FROM aside) THEN 'separator_rows' ELSE 'simple' END AS class FROM dims d JOIN gold g ON g.table_uid = d.table_uid AND hmd IS NOT NULL WHERE n_rows * n_cols <= 40""")
+def m2_pool(spark, sf_dir):
+    all_ = slots(spark, sf_dir)
+    tables = articled(g.shape(all_)).select("table_uid", "pmc_id", F.col("n_slots"))
+    named = gold(spark, sf_dir).select("table_uid", F.concat(F.lit("h"), F.col("hmd").cast("string"), F.lit("_v"), F.col("vmd").cast("string")).alias("gold_candidate"))
+    return sampling.sampling_pool(tables, named, g.separators(all_).select("table_uid", F.lit("separator_rows").alias("class")).distinct(), 40)
+
+
+@query(f"WITH x AS (SELECT 1){POOL}, one AS (SELECT table_uid, pmc_id, class FROM pool WHERE class = '1-URGENT' ORDER BY lot, table_uid LIMIT 5), two AS (SELECT table_uid, pmc_id, class FROM pool WHERE class = '2-HIGH' AND pmc_id NOT IN (SELECT pmc_id FROM one) ORDER BY lot, table_uid LIMIT 3) SELECT * FROM one UNION ALL SELECT * FROM two")
 def m3_quota_sample(spark, sf_dir):
     return sampling.quota(pool(spark, sf_dir), "class", {"1-URGENT": 5, "2-HIGH": 3}, 7)
 
 
-@query(f"WITH x AS (SELECT 1){POOL} SELECT table_uid, pmc_id, class, n::INTEGER AS round FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('7:' || table_uid), table_uid) AS n FROM firsts) ORDER BY n, class LIMIT 40")
+@query(f"WITH RECURSIVE x AS (SELECT 1){POOL}{turns_sql('turns', '[]::VARCHAR[]', 40)} SELECT t.table_uid, pmc_id, class, turn AS place FROM turns t JOIN pool p ON p.table_uid = t.table_uid")
 def m4_round_robin(spark, sf_dir):
-    return sampling.round_robin(pool(spark, sf_dir), "class", 40, 7)
+    return sampling.round_robin(pool(spark, sf_dir), "class", PRIORITIES, 40, 7)
 
 
-@query(f"WITH x AS (SELECT 1){POOL}, rest AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('7:' || table_uid), table_uid) AS n FROM firsts WHERE pmc_id NOT IN (SELECT pmc_id FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5('7:' || table_uid), table_uid) AS n FROM firsts) ORDER BY n, class LIMIT 5)) SELECT table_uid, pmc_id, class, n::INTEGER AS round FROM rest ORDER BY n, class LIMIT 10")
+@query(f"WITH RECURSIVE x AS (SELECT 1){POOL}{turns_sql('first_', '[]::VARCHAR[]', 5)}{turns_sql('turns', '(SELECT arg_max(used, turn) FROM first_)', 10)} SELECT t.table_uid, pmc_id, class, turn AS place FROM turns t JOIN pool p ON p.table_uid = t.table_uid")
 def m5_next_batch(spark, sf_dir):
     all_ = pool(spark, sf_dir)
-    return sampling.next_batch(all_, sampling.round_robin(all_, "class", 5, 7), "class", 10, 7)
+    return sampling.next_batch(all_, sampling.round_robin(all_, "class", PRIORITIES, 5, 7), "class", PRIORITIES, 10, 7)
 
 
-@query("WITH f AS (SELECT l_partkey AS id, l_linenumber AS query_rank, l_orderkey AS rank FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10)), q AS (SELECT id, min((query_rank, rank)) AS q FROM f GROUP BY 1), p AS (SELECT id, q[1] AS query_rank, row_number() OVER (PARTITION BY q[1] ORDER BY q[2], id) AS place FROM q) SELECT id, query_rank, place::INTEGER AS place FROM p WHERE place <= 10")
+@query("""WITH RECURSIVE f AS (SELECT l_partkey AS id, l_linenumber AS query_rank, min(l_orderkey) AS rank FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY ALL),
+turns AS (SELECT 0::BIGINT AS q, []::BIGINT[] AS kept, []::BIGINT[] AS mine UNION ALL
+    SELECT q + 1, list_concat(kept, new), new FROM (SELECT t.q, t.kept, (list(id::BIGINT ORDER BY rank, id) FILTER (NOT list_contains(t.kept, id)))[1:10] AS new FROM turns t JOIN f ON f.query_rank = t.q + 1 GROUP BY t.q, t.kept))
+SELECT unnest(mine) AS id, q AS query_rank, generate_subscripts(mine, 1)::INTEGER AS place FROM turns""")
 def m6_first_new(spark, sf_dir):
-    found = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("query_rank"), F.col("l_orderkey").alias("rank"))
+    found = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("id"), F.col("l_linenumber").cast("long").alias("query_rank"), F.col("l_orderkey").alias("rank"))
     return sampling.first_new(found, read(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("id")), 10)
 
 
@@ -551,10 +619,15 @@ def x3_rasterize(spark, sf_dir):
     return g.raster_to_slots(found.select(F.col("key").alias("table_uid"), "raster"))
 
 
-@query("SELECT page_id::VARCHAR AS key, NULL::INTEGER AS table_index, NULL::VARCHAR AS error FROM pages WHERE contains(html, '<table')")
+@query(f"{FIRST}, numbered AS (SELECT page_id, html, row_number() OVER (ORDER BY page_id) AS n FROM pages), some_ AS (SELECT table_uid, row_number() OVER (ORDER BY table_uid) AS n FROM dims) SELECT page_id::VARCHAR AS key, 0 AS table_index, NULL::VARCHAR AS error, (SELECT count(*) FROM slots s WHERE s.table_uid = some_.table_uid)::INTEGER AS n_slots FROM numbered JOIN some_ ON some_.n = numbered.n")
 def x2_page_tables(spark, sf_dir):
-    """The tables of the given pages, which hold none."""
-    return extract.extract(read(spark, sf_dir, "pages"), "page_id", "html").select("key", "table_index", "error")
+    """The tables of the given pages, each page with a derived table put at the end of its body."""
+    number = lambda d, by: evaluate.running(d.withColumn("one", F.lit(1)), ["one"], [F.col(by)], "one").drop("one", "total")
+    pages = number(read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("page")), "page_id")
+    both = pages.join(number(markup(spark, sf_dir), "table_uid"), "n")
+    held = both.select("page_id", F.concat(F.regexp_replace("page", "(?i)</body>.*$", ""), F.col("html")).alias("html"))
+    found = extract.extract(held, "page_id", "html")
+    return found.select("key", "table_index", "error", F.aggregate("raster", F.lit(0), lambda n, r: n + F.size(r)).alias("n_slots"))
 
 
 # --- helpers that go table by table ------------------------------------------
@@ -574,15 +647,35 @@ def a3_permutation_baseline(spark, sf_dir):
     return evaluate.permutation_baseline(observed, evaluate.permuted_information(pairs, 1000), macro)
 
 
-DESCRIBED = " ".join(f"WHEN '{t}' THEN '{t}: {d}'" for d, t in rules.SCIENCE.guidelines)
+BATCHED = f"{ASKS}, b AS (SELECT text, rule_type, allowed, pmc_id || '/' || ((row_number() OVER w - 1) // 40 + 1) AS batch_id, ((row_number() OVER w - 1) % 40 + 1)::INTEGER AS item FROM reqs WINDOW w AS (PARTITION BY pmc_id ORDER BY text, rule_type))"
+SAID = chr(10).join(f"- {t}: {d}" for d, t in rules.SCIENCE.guidelines).replace("'", "''")
+
+
+def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guidelines.batches(guidelines.requests(routed(spark, sf_dir), answer_log(spark, sf_dir)))
 
 
-@query(f"""{FULL}{ASKS}, b AS (SELECT text, allowed, pmc_id || '/' || ((row_number() OVER w - 1) // 40 + 1) AS batch_id, (row_number() OVER w - 1) % 40 + 1 AS item FROM reqs WINDOW w AS (PARTITION BY pmc_id ORDER BY text, rule_type)),
-k AS (SELECT batch_id, string_agg(said, '; or ' ORDER BY said) AS types FROM (SELECT DISTINCT batch_id, CASE one {DESCRIBED} END AS said FROM (SELECT batch_id, unnest(string_split(allowed, '|')) AS one FROM b)) GROUP BY 1),
-m AS (SELECT batch_id, count(DISTINCT allowed) AS n FROM b GROUP BY 1)
-SELECT b.batch_id, 'Types: ' || any_value(types) || chr(10) || string_agg(item || '. ' || text || CASE WHEN n > 1 THEN ' [' || replace(allowed, '|', ', ') || ']' ELSE '' END, chr(10) ORDER BY item) AS prompt FROM b JOIN k ON k.batch_id = b.batch_id JOIN m ON m.batch_id = b.batch_id GROUP BY b.batch_id""")
+@query(f"""{FULL}{BATCHED}, m AS (SELECT batch_id, count(DISTINCT allowed) AS n FROM b GROUP BY 1)
+SELECT b.batch_id, CASE WHEN any_value(n) > 1 THEN '{guidelines.OPENING.format(guidelines.APART)}' ELSE '{guidelines.OPENING.format(guidelines.ALIKE)}' END || chr(10) || chr(10) || 'Types:' || chr(10) || '{SAID}' || chr(10) || chr(10) || 'Cells:' || chr(10)
+|| string_agg(item || '. ' || to_json(text) || CASE WHEN n > 1 THEN ' (allowed: ' || replace(allowed, '|', ', ') || ')' ELSE '' END, chr(10) ORDER BY item) || chr(10) || chr(10) || '{guidelines.CLOSING.format(rules.SCIENCE.guidelines[0][1]).replace("'", "''")}' AS prompt FROM b JOIN m ON m.batch_id = b.batch_id GROUP BY b.batch_id""")
 def l4_prompts(spark, sf_dir):
-    return guidelines.prompts(guidelines.batches(guidelines.requests(routed(spark, sf_dir), answer_log(spark, sf_dir))), rules.SCIENCE)
+    return guidelines.prompts(batched(spark, sf_dir), rules.SCIENCE)
+
+
+@query(f"""{FULL}{BATCHED}, r AS (SELECT *, item % 5 AS k, strlen(batch_id) + strpos(batch_id, '/') + item // 40 AS z, right(split_part(batch_id, '/', 1), 1) AS d FROM b),
+a AS (SELECT *, CASE WHEN d IN ('0', '1', '2') THEN NULL WHEN k = 0 THEN 'none' WHEN k IN (1, 2) THEN string_split(allowed, '|')[1] END AS answer FROM r),
+n AS (SELECT *, count(*) FILTER (answer IS NULL) OVER (PARTITION BY batch_id) AS n_missing, count(*) OVER (PARTITION BY batch_id) AS n FROM a)
+SELECT batch_id, item, text, rule_type, answer, n_missing::INTEGER AS n_missing, CASE WHEN d = '0' THEN 'the model call failed or returned nothing' WHEN d = '1' THEN 'the answer is not a JSON object' WHEN n_missing = n THEN 'no cell got one of its allowed types or "none"' END AS retry FROM n""")
+def l5_replies(spark, sf_dir):
+    """Replies by the article's last digit: none, no object, an empty one, else an answer for three items of five: none, the
+    first allowed type, with blanks around it for every other one, and a type that no guideline names for the fourth."""
+    asked_ = batched(spark, sf_dir)
+    k, d = F.col("item") % 5, F.substring(F.split_part("batch_id", F.lit("/"), F.lit(1)), -1, 1)
+    first = F.split("allowed", "\\|")[0]
+    value = F.when(k == 0, "none").when(k == 1, first).when(k == 2, F.concat(F.lit("  "), first, F.lit(" "))).when(k == 3, "Nothing")
+    entries = F.map_from_entries(F.collect_list(F.when(value.isNotNull(), F.struct(F.col("item").cast("string"), value))))
+    made = asked_.groupBy("batch_id").agg(F.to_json(entries).alias("reply")).withColumn("reply", F.when(d == "0", None).when(d == "1", "[1]").when(d == "2", "{}").otherwise(F.col("reply")))
+    return guidelines.replies(asked_, made)
 
 
 @query(f"{FULL} SELECT table_uid, cell_id, type FROM types WHERE cell_id % 40 = 39 AND type <> 'Word'")
@@ -597,3 +690,72 @@ def t10_replay_audit(spark, sf_dir):
 def a21_scored_twice(spark, sf_dir):
     """Arm and table pairs that pooled runs hold more than once."""
     return evaluate.duplicate_keys(read(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("user_id").alias("table_no")), "arm", "table_no")
+
+
+# --- layouts with rows set aside ----------------------------------------------
+
+#: The fixture with separator rows taken out of slots, so that `found` are the layouts' boundaries.
+STRIPPED = "WITH " + FIXTURE_CTES.replace("slots AS (SELECT table_uid, row_idx, col_idx, cell_id FROM named)", """whole AS (SELECT table_uid, row_idx, col_idx, cell_id FROM named),
+aside0 AS (SELECT table_uid, row_idx FROM whole GROUP BY ALL HAVING count(DISTINCT cell_id) = 1 AND count(*) > 1),
+slots AS (SELECT table_uid, (dense_rank() OVER (PARTITION BY table_uid ORDER BY row_idx) - 1)::INTEGER AS row_idx, col_idx, cell_id, row_idx AS source_row FROM whole w WHERE NOT EXISTS (SELECT 1 FROM aside0 a WHERE a.table_uid = w.table_uid AND a.row_idx = w.row_idx))""") + COMMON
+LAYOUTS = ", lay AS (SELECT table_uid, 'layout' || row_number() OVER (PARTITION BY table_uid ORDER BY hmd, vmd) AS candidate_id, hmd, vmd FROM found WHERE table_uid IN (SELECT table_uid FROM aside0))"
+
+
+def layout_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.layout_candidates(slots(spark, sf_dir))
+
+
+@query(f"{STRIPPED}{LAYOUTS}, a AS (SELECT table_uid, string_agg(row_idx::VARCHAR, ',' ORDER BY row_idx) AS separators FROM aside0 GROUP BY 1) SELECT l.table_uid, candidate_id, hmd, vmd, separators FROM lay l JOIN a ON a.table_uid = l.table_uid")
+def g13_layouts(spark, sf_dir):
+    return layout_candidates(spark, sf_dir).select("table_uid", "candidate_id", "hmd", "vmd", F.array_join(F.transform("separators", lambda x: x.cast("string")), ",").alias("separators"))
+
+
+@query(f"{STRIPPED}{LAYOUTS} SELECT l.table_uid, candidate_id, CASE WHEN hmd = 0 THEN 0 ELSE (SELECT any_value(source_row) + 1 FROM slots s WHERE s.table_uid = l.table_uid AND s.row_idx = hmd - 1) END::INTEGER AS hmd, vmd FROM lay l")
+def r1_reviewable_counts(spark, sf_dir):
+    return review.reviewable_counts(layout_candidates(spark, sf_dir))
+
+
+@query(f"{STRIPPED}{LAYOUTS} SELECT table_uid, candidate_id, 0::BIGINT AS uncovered, 0::BIGINT AS repeated, 0::BIGINT AS several_roles, 0::BIGINT AS split_data FROM lay")
+def g20_partition_checks(spark, sf_dir):
+    return g.partition_checks(slots(spark, sf_dir), layout_candidates(spark, sf_dir))
+
+
+@query(f"{STRIPPED}{LAYOUTS}, s AS (SELECT table_uid, min(source_row) AS a, max(source_row) AS b, max(col_idx) AS c FROM slots GROUP BY 1), p AS (SELECT table_uid, string_agg(row_idx::VARCHAR, ',' ORDER BY row_idx) AS separators FROM aside0 GROUP BY 1) SELECT l.table_uid, candidate_id, separators, a || '-' || b || ' 0-' || c || ' ' || hmd || ' ' || vmd AS subtables FROM lay l JOIN s ON s.table_uid = l.table_uid JOIN p ON p.table_uid = l.table_uid")
+def r9_segmentations(spark, sf_dir):
+    found = review.segmentations(layout_candidates(spark, sf_dir), g.shape(slots(spark, sf_dir)))
+    show = lambda s: F.format_string("%d-%d %d-%d %d %d", s["first_row"], s["last_row"], s["first_col"], s["last_col"], s["head_rows"], s["side_cols"])
+    return found.select("table_uid", "candidate_id", F.array_join(F.transform("segmentation.separator_rows", lambda x: x.cast("string")), ",").alias("separators"), F.array_join(F.transform("segmentation.subtables", show), "; ").alias("subtables"))
+
+
+@query(f"{STRIPPED}{LAYOUTS} SELECT d.table_uid, CASE WHEN l.candidate_id IS NULL THEN 'unparseable' ELSE 'valid' END AS final_status, l.candidate_id FROM (SELECT DISTINCT table_uid FROM aside0) d LEFT JOIN lay l ON l.table_uid = d.table_uid AND l.hmd = 1 AND l.vmd = 1")
+def r11_segmentation_verdicts(spark, sf_dir):
+    """Answers with one header row and one header column below the rows set aside, for tables that have such rows."""
+    all_ = slots(spark, sf_dir)
+    known = review.segmentations(layout_candidates(spark, sf_dir), g.shape(all_))
+    one = layout_candidates(spark, sf_dir).dropDuplicates(["table_uid"]).withColumn("hmd", F.lit(1)).withColumn("vmd", F.lit(1))
+    asked_ = one.withColumn("subtables", F.transform("subtables", lambda s: F.struct(s["rows"].alias("rows"), s["columns"].alias("columns"), F.lit(1).alias("hmd"), F.lit(1).alias("vmd"))))
+    return review.segmentation_verdicts(review.segmentations(asked_, g.shape(all_)).drop("candidate_id"), known)
+
+
+@query(f"{FIRST} SELECT a.table_uid, a.row_idx, text FROM aside a JOIN slots s ON s.table_uid = a.table_uid AND s.row_idx = a.row_idx AND s.col_idx = 0 JOIN cells c ON c.table_uid = s.table_uid AND c.cell_id = s.cell_id")
+def e5_separator_texts(spark, sf_dir):
+    all_ = slots(spark, sf_dir)
+    return export.separator_texts(all_, cells(spark, sf_dir), g.separators(all_))
+
+
+@query(f"{FIRST}{DECIDED}, torn AS (SELECT DISTINCT f.table_uid, f.candidate_id FROM (SELECT f.table_uid, f.candidate_id, hmd, vmd, s.cell_id, min(row_idx) AS top, min(col_idx) AS a, max(col_idx) AS b FROM found f JOIN slots s ON s.table_uid = f.table_uid AND row_idx < hmd AND col_idx >= vmd GROUP BY ALL) f JOIN slots s ON s.table_uid = f.table_uid AND s.row_idx = top - 1 AND s.col_idx BETWEEN a AND b GROUP BY f.table_uid, f.candidate_id, f.cell_id HAVING count(DISTINCT s.cell_id) > 1), one AS (SELECT table_uid, CASE WHEN event_id % 17 = 0 THEN 'h9_v9' ELSE candidate_id END AS candidate_id, final_status FROM (SELECT *, row_number() OVER (PARTITION BY table_uid ORDER BY event_id) AS n FROM decided) WHERE n = 1) SELECT o.table_uid, final_status, f.candidate_id, f.hmd, f.vmd, CASE WHEN final_status <> 'valid' THEN NULL WHEN f.hmd IS NULL THEN 'unknown_candidate' WHEN t.table_uid IS NOT NULL THEN 'not_a_forest' END AS export_error FROM one o LEFT JOIN found f ON final_status = 'valid' AND f.table_uid = o.table_uid AND f.candidate_id = o.candidate_id LEFT JOIN torn t ON t.table_uid = o.table_uid AND t.candidate_id = o.candidate_id")
+def e6_entries(spark, sf_dir):
+    """The first review of each table, every seventeenth event's naming a candidate that does not exist."""
+    all_, found = slots(spark, sf_dir), candidates(spark, sf_dir)
+    said = read_answers(spark, sf_dir).groupBy("table_uid").agg(F.min_by(F.struct("event_id", "verdict", "hmd", "vmd"), "event_id").alias("a")).select("table_uid", "a.*")
+    decided = review.decide(said, found, _prior(found).withColumnRenamed("candidate_id", "selected_candidate_id")).join(said.select("table_uid", "event_id"), "table_uid")
+    reviews = decided.withColumn("candidate_id", F.when(F.col("event_id") % 17 == 0, "h9_v9").otherwise(F.col("candidate_id")))
+    named = found.select("table_uid", "candidate_id", "hmd", "vmd")
+    nodes = export.header_nodes_of(all_, named)
+    return export.entries(reviews, named, g.shape(all_), nodes)
+
+
+@query("SELECT coalesce(o.t, e.t) AS table_uid, coalesce(n, 0) AS n_results, o.t IS NOT NULL AS known FROM (SELECT DISTINCT o_custkey::VARCHAR AS t FROM orders WHERE o_custkey % 3 = 0) o FULL JOIN (SELECT user_id::VARCHAR AS t, count(*) AS n FROM events GROUP BY 1) e ON e.t = o.t WHERE coalesce(n, 0) <> 1 OR o.t IS NULL")
+def r7_result_audit(spark, sf_dir):
+    tables = read(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("table_uid"))
+    return review.result_audit(read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("table_uid")), tables)

@@ -40,9 +40,12 @@ adj AS MATERIALIZED (
     FROM (SELECT *, lead(cell_id) OVER (PARTITION BY table_uid, row_idx ORDER BY col_idx) AS right_id,
                  lead(cell_id) OVER (PARTITION BY table_uid, col_idx ORDER BY row_idx) AS below_id FROM slots) x),
 dims AS (SELECT table_uid, max(row_idx) + 1 AS n_rows, max(col_idx) + 1 AS n_cols, count(*) = count(DISTINCT cell_id) AS plain FROM slots GROUP BY table_uid),
-pairs AS (SELECT table_uid, h.h::INTEGER AS hmd, v.v::INTEGER AS vmd, n_rows, n_cols, plain FROM dims, range(0, 9) h(h), range(0, 8) v(v) WHERE h <= n_rows AND v <= n_cols),
-many AS (SELECT table_uid, h.h::INTEGER AS hmd, v.v::INTEGER AS vmd, n_rows, n_cols, plain FROM dims, range(9, 100) h(h), range(0, 8) v(v) WHERE h <= n_rows AND v <= n_cols),
-asked AS (SELECT * FROM pairs UNION ALL SELECT * FROM many),
+grid AS (SELECT table_uid, h.h::INTEGER AS hmd, v.v::INTEGER AS vmd, n_rows, n_cols, plain FROM dims, range(0, 4) h(h), range(0, 3) v(v) WHERE h <= n_rows AND v <= n_cols),
+deep AS (SELECT table_uid, min(row_idx) AS rows_ FROM (SELECT table_uid, row_idx FROM adj GROUP BY ALL HAVING NOT coalesce(bool_or(cell_id = right_id AND below_id <> diagonal_id), false)) GROUP BY 1),
+wide AS (SELECT table_uid, min(col_idx) AS cols_ FROM (SELECT table_uid, col_idx FROM adj GROUP BY ALL HAVING NOT coalesce(bool_or(cell_id = below_id AND right_id <> diagonal_id), false)) GROUP BY 1),
+asked AS (SELECT d.table_uid, h.h::INTEGER AS hmd, v.v::INTEGER AS vmd, n_rows, n_cols, plain
+    FROM (SELECT dims.*, least(n_rows, coalesce(rows_, n_rows) + 1) AS most_h, least(n_cols, coalesce(cols_, n_cols) + 1) AS most_v FROM dims LEFT JOIN deep ON deep.table_uid = dims.table_uid LEFT JOIN wide ON wide.table_uid = dims.table_uid) d,
+         generate_series(0, most_h) h(h), generate_series(0, most_v) v(v)),
 broken AS (
     SELECT DISTINCT a.table_uid, hmd, vmd FROM asked a JOIN adj s ON s.table_uid = a.table_uid
     WHERE (row_idx >= hmd AND col_idx = vmd - 1 AND cell_id = right_id) OR (row_idx = hmd - 1 AND cell_id = below_id)
@@ -143,7 +146,7 @@ def grid_targets(all_: DataFrame) -> DataFrame:
     return tables.select("table_uid", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("hmd")).select("table_uid", "hmd", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("vmd"))
 
 
-RULES_SQL = """, t AS (SELECT * FROM asked WHERE hmd <= 3 AND vmd <= 2),
+RULES_SQL = """, t AS (SELECT * FROM grid),
 far AS (SELECT table_uid, h.h::INTEGER AS hmd, v.v::INTEGER AS vmd, n_rows, n_cols, plain FROM dims, range(0, 4) h(h), range(0, 3) v(v) WHERE h > n_rows OR v > n_cols),
 t2 AS (SELECT * FROM t UNION ALL SELECT * FROM far),
 one AS (SELECT t2.table_uid, hmd, vmd,
@@ -222,7 +225,7 @@ def g17_boundary_regions(spark, sf_dir):
 ORACLES["g17_boundary_regions"] = f"""WITH {FIXTURE_CTES}{COMMON},
 lab AS (SELECT s.table_uid, hmd, vmd, cell_id, min(CASE WHEN row_idx < hmd THEN 'hmd' WHEN col_idx < vmd THEN 'vmd' ELSE 'data' END) AS region,
                count(DISTINCT CASE WHEN row_idx < hmd THEN 'hmd' WHEN col_idx < vmd THEN 'vmd' ELSE 'data' END) AS kinds
-        FROM slots s JOIN asked a ON a.table_uid = s.table_uid AND hmd <= 3 AND vmd <= 2 GROUP BY s.table_uid, hmd, vmd, cell_id)
+        FROM slots s JOIN grid a ON a.table_uid = s.table_uid GROUP BY s.table_uid, hmd, vmd, cell_id)
 SELECT table_uid, hmd, vmd, region, count(*) AS n_cells FROM (SELECT *, max(kinds) OVER (PARTITION BY table_uid, hmd, vmd) AS worst FROM lab) WHERE worst = 1 GROUP BY ALL"""
 
 PATHS_SQL = """SELECT table_uid, candidate_id, col_idx AS line, string_agg(cell_id::VARCHAR, '>' ORDER BY row_idx) AS path
