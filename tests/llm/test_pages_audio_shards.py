@@ -229,7 +229,7 @@ def test_classes_of_the_query_equal_all_pairs(spark):
     assert len(links) > 5 and {i: r["class_id"] for i, r in got.items()} == {i: of_first[first[sounds[i].tobytes() or i]] for i in sounds}
 
 
-@pytest.mark.parametrize("few", [2, 16])
+@pytest.mark.parametrize("few", [2, 4, 16])
 def test_recall_in_crowds(spark, monkeypatch, few):
     """Noisy excerpts of a few recordings that all open alike, so that lists are long: classes equal all pairs'."""
     monkeypatch.setattr(audio, "FEW", few)
