@@ -61,7 +61,7 @@ def test_cell_types(spark, split):
 def test_subtypes_come_before_order(spark):
     for first, second in (("N", "I"), ("I", "N")):
         program = rules.Program((rules.Rule(first, "[0-9]+"), rules.Rule(second, "[0-9]+")), (("I", "N"),))
-        assert spark.range(1).select(rules.type_of(program, F.lit("12"))).first()[0] == "I"
+        assert rules.type_cells(program, spark.createDataFrame([("t", 0, " 12 ")], "table_uid string, cell_id int, text string")).first()["type"] == "I"
     program = rules.Program((), (("Q", "T"), ("F", "Q"), ("I", "N")))
     assert [program.group(k) for k in "FTI"] == ["Q", "T", "N"]
 
@@ -102,7 +102,7 @@ def test_files_round_trip(spark, tmp_path):
     assert {(r["pmc_id"], r["x"]) for r in spark.read.parquet(path).collect()} == {("PMC1", "a"), ("PMC2", "c")}
     lines = tmp_path / "r.jsonl"
     lines.write_text('{"a": 1}\n\n{"a": 2}\n')
-    assert records.read_records(spark, str(lines), "a int").where("a is not null").count() == 2
+    assert sorted(r["a"] for r in records.read_records(spark, str(lines), "a int").collect()) == [1, 2]
     (tmp_path / "x.xml").write_text("<article/>")
     assert records.read_articles(spark, str(tmp_path / "x.xml")).first()["bytes"] == 10
 
