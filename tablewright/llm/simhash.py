@@ -130,6 +130,140 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each near-duplicate component kept: the one with the smallest doc_id.
     A document without an id stays."""
-    found = near_duplicates(docs, **options)
+    return without_later(docs, near_duplicates(docs, **options))
+
+
+def without_later(docs: DataFrame, found: DataFrame) -> DataFrame:
     gone = write(found.where("doc_id <> component_id").select("doc_id").distinct()).df
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+# --- near duplicates by similarity --------------------------------------------
+#
+# A similarity of 0.8 is a fifth of the bits apart, far beyond what any choice of whole bytes could guarantee to
+# meet. So fingerprints are of 256 bits, the inverted index samples their bytes, and its recall is measured.
+
+#: Words of 64 bits in a long fingerprint.
+LONG = 4
+#: Byte positions of a long fingerprint under one key, and how many keys a fingerprint has.
+KEY_BYTES, KEYS = 4, 128
+#: Lists up to this length are tallied pair by pair.
+FEW = 32
+
+
+def long_fingerprint(hashes: np.ndarray) -> bytes:
+    """256 bits, each set in over half of the distinct hashes, of which it takes one bit after mixing."""
+    hashes = np.unique(hashes)
+    counts = np.zeros(64 * LONG, np.int64)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        mixed = np.empty((len(part), LONG), np.uint64)
+        for k in range(LONG):
+            x = (part ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            mixed[:, k] = x ^ (x >> np.uint64(32))
+        counts += np.unpackbits(mixed.view(np.uint8).reshape(len(part), 8 * LONG), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` word hashes; of all words together where there are fewer."""
+    size = min(size, len(words))
+    mixed = np.zeros(len(words) - size + 1, np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ words[k : len(mixed) + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def long_fingerprints(docs: DataFrame, shingle: int, index_shingle: int, seed: int) -> DataFrame:
+    """(doc_id, fp binary, b0 to b3 long): fp is the fingerprint of index_shingle words, which the index is made of, and
+    then that of `shingle` words, whose bits decide and are in b0 to b3 too. A text without words has none."""
+    bits = [f"b{k}" for k in range(LONG)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_chunks(batches):
+            prints: list[bytes | None] = []
+            for text in texts:
+                words = np.array([xxhash.xxh64_intdigest(w, seed) for w in text.lower().split()], np.uint64)
+                prints.append(long_fingerprint(shingle_hashes(words, index_shingle)) + long_fingerprint(shingle_hashes(words, shingle)) if len(words) else None)
+            decisive = np.frombuffer(b"".join(p[8 * LONG :] if p else bytes(8 * LONG) for p in prints), np.int64).reshape(-1, LONG)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), *[pa.array(decisive[:, k]) for k in range(LONG)]], names=["doc_id", "fp", *bits])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, " + ", ".join(f"{b} long" for b in bits))
+
+
+def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): pairs of distinct (node, fp, b0 to b3) whose decisive fingerprints differ in at most max_bits bits, as far as
+    the index finds them.
+
+    Every fingerprint is posted under KEYS keys of KEY_BYTES bytes at fixed positions. The members of a list share that
+    many positional bytes at least; lists of up to FEW are tallied pair by pair. In a longer one all meet the member that
+    has most company in such lists, which in a crowd of copies is the one most like the rest; those whom it does not
+    verify meet again in lists split by one more byte, and so on. So pairs grow with the documents.
+    """
+    rng = np.random.default_rng(7)
+    places = np.array([np.sort(rng.choice(8 * LONG, KEY_BYTES, replace=False)) for _ in range(KEYS)])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.frombuffer(b"".join(p[: 8 * LONG] for p in batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * LONG)
+            parts = prints[:, places].astype(np.int64)  # fingerprints x keys x bytes
+            keys = np.arange(KEYS, dtype=np.int64) << 32
+            for k in range(KEY_BYTES):
+                keys = keys | (parts[:, :, k] << (8 * k))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), KEYS))], names=["key", "node"])
+
+    mine = lambda name: distinct.select(F.col("node").alias(name), *[F.col(f"b{k}").alias(f"{name}{k}") for k in range(LONG)])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        apart = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(LONG))
+        return write(met.join(mine("a"), "a").join(mine("b"), "b").where(apart <= max_bits).select("a", "b")).df
+
+    posted, found, step = distinct.select("node", "fp").mapInArrow(post, "key long, node long"), None, 0
+    while True:
+        lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        listed = write(posted.join(lists, "key")).df
+        members = listed.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("node").alias("m"))
+        pairs = members.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y < x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
+        many = listed.where(F.col("n") > FEW)
+        company = many.groupBy("node").agg(F.sum("n").alias("company"))
+        centres = many.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node")))["col2"].alias("negative")).select("key", (-F.col("negative")).alias("centre"))
+        starred = write(many.join(centres, "key").where("node <> centre")).df
+        links = verified(pairs.unionByName(starred.select(F.col("node").alias("a"), F.col("centre").alias("b"))))
+        found = links if found is None else found.unionByName(links)
+        met = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("centre"))
+        rest = write(starred.join(met, ["node", "centre"], "left_anti").select("key", "node")).df
+        if step == 8 * LONG or rest.isEmpty():
+            return found.distinct()
+        byte = F.substring("fp", F.pmod(F.shiftright("key", 32) * 5 + step * 11, F.lit(8 * LONG)).cast("int") + 1, F.lit(1))
+        posted = write(rest.join(distinct.select("node", "fp"), "node").select(F.xxhash64("key", byte).alias("key"), "node")).df
+        step += 1
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, index_shingle: int = 2, seed: int = 42) -> DataFrame:
+    """doc_id, component_id: near-duplicate classes of documents whose sets of `shingle` words have a cosine similarity of
+    about `similarity`, as the bits of 256-bit SimHashes tell it: they differ in a share of acos(similarity) / pi.
+
+    Equal fingerprints are one node; the candidates come from an inverted index over bytes of the fingerprint of
+    `index_shingle` words, whose bits change less (similar_links). component_id is the smallest doc_id reachable. Texts
+    are lower-cased in A-Z and split at ASCII white space; a text with fewer words is one shingle; those without words
+    are alone. A null doc_id is kept, and is never another's component. Other columns are ignored; an empty table gives no
+    rows.
+    """
+    prints = write(long_fingerprints(docs, shingle, index_shingle, seed)).df
+    first = [F.first(f"b{k}").alias(f"b{k}") for k in range(LONG)]
+    groups = write(prints.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *first)).df
+    max_bits = int(64 * LONG * np.arccos(similarity) / np.pi)
+    member = components(similar_links(groups.where("node IS NOT NULL"), max_bits))
+    named = groups.select("fp", "node", "copies").join(member, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id"))
+    known = of_group(prints.where("fp IS NOT NULL"), named, "fp", "copies")
+    alone = prints.where("fp IS NULL").withColumn("component_id", F.col("doc_id"))
+    return known.unionByName(alone, allowMissingColumns=True).select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, **options) -> DataFrame:
+    """The documents with one of each class of similar_documents kept: the one with the smallest doc_id. A document
+    without an id stays."""
+    return without_later(docs, similar_documents(docs, **options))
