@@ -146,7 +146,7 @@ def without_later(docs: DataFrame, found: DataFrame) -> DataFrame:
 #: Words of 64 bits in a long fingerprint.
 LONG = 4
 #: Byte positions of a long fingerprint under one key, and how many keys a fingerprint has.
-KEY_BYTES, KEYS = 4, 128
+KEY_BYTES, KEYS = 5, 128
 #: Lists up to this length are tallied pair by pair.
 FEW = 32
 
@@ -209,7 +209,7 @@ def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
         for batch in batches:
             prints = np.frombuffer(b"".join(p[: 8 * LONG] for p in batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * LONG)
             parts = prints[:, places].astype(np.int64)  # fingerprints x keys x bytes
-            keys = np.arange(KEYS, dtype=np.int64) << 32
+            keys = np.arange(KEYS, dtype=np.int64) << (8 * KEY_BYTES)
             for k in range(KEY_BYTES):
                 keys = keys | (parts[:, :, k] << (8 * k))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), KEYS))], names=["key", "node"])
@@ -237,17 +237,18 @@ def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
         rest = write(starred.join(met, ["node", "centre"], "left_anti").select("key", "node")).df
         if step == 8 * LONG or rest.isEmpty():
             return found.distinct()
-        byte = F.substring("fp", F.pmod(F.shiftright("key", 32) * 5 + step * 11, F.lit(8 * LONG)).cast("int") + 1, F.lit(1))
+        byte = F.substring("fp", F.pmod(F.shiftright("key", 8 * KEY_BYTES) * 5 + step * 11, F.lit(8 * LONG)).cast("int") + 1, F.lit(1))
         posted = write(rest.join(distinct.select("node", "fp"), "node").select(F.xxhash64("key", byte).alias("key"), "node")).df
         step += 1
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, index_shingle: int = 2, seed: int = 42) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, index_shingle: int = 1, seed: int = 42) -> DataFrame:
     """doc_id, component_id: near-duplicate classes of documents whose sets of `shingle` words have a cosine similarity of
     about `similarity`, as the bits of 256-bit SimHashes tell it: they differ in a share of acos(similarity) / pi.
 
     Equal fingerprints are one node; the candidates come from an inverted index over bytes of the fingerprint of
-    `index_shingle` words, whose bits change less (similar_links). component_id is the smallest doc_id reachable. Texts
+    `index_shingle` words, whose bits change less: two texts at the limit of 0.8 for five words share 96 % of their single
+    words if changes are scattered, and so meet under some key nine times in ten, nearer ones almost always. component_id is the smallest doc_id reachable. Texts
     are lower-cased in A-Z and split at ASCII white space; a text with fewer words is one shingle; those without words
     are alone. A null doc_id is kept, and is never another's component. Other columns are ignored; an empty table gives no
     rows.

@@ -104,6 +104,7 @@ def test_pipeline_against_brute_force(spark):
     tokens = {i: len(x) + 1 for i, x in zip(ids, words.encode([docs[i].encode() for i in ids]))}
     found = corpus_pipeline.run(spark, sf).collect()
     kept = {r["doc_id"] for r in found}
-    assert kept >= set(ids) and len(kept - set(ids)) <= 0.02 * len(ids)  # the index may miss a link
+    near = sum(expected[i] != i for i in expected)
+    assert near > 5 and kept >= set(ids) and len(kept - set(ids)) <= max(2, 0.1 * near)  # the index may miss a link
     assert all(sum(r["length"] for r in found if r["doc_id"] == i) == tokens[i] for i in ids)
     assert len({r["sequence_id"] for r in found}) == -(-sum(r["length"] for r in found) // 4096)
