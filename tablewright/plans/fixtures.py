@@ -8,6 +8,7 @@ flag; 5 as 1 with the header rows repeated half way.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,10 +80,14 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir). Where it is unset, a local session,
+    which has no other machine, gets a temporary one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
