@@ -148,7 +148,7 @@ LONG = 4
 #: Byte positions of a long fingerprint under one key, and how many keys a fingerprint has.
 KEY_BYTES, KEYS = 5, 128
 #: Lists up to this length are tallied pair by pair.
-FEW = 32
+FEW = 4
 
 
 def long_fingerprint(hashes: np.ndarray) -> bytes:

@@ -63,7 +63,7 @@ def test_recall_against_all_pairs(spark, monkeypatch):
     texts = corpus(5, 150, 300, 0.07)
     pairs, expected = classes(texts)
     df = spark.createDataFrame(list(texts.items()), SCHEMA)
-    for few in (32, 4):
+    for few in (4, 32):
         monkeypatch.setattr(simhash, "FEW", few)
         got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
         assert len(pairs) > 1000 and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.9
