@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Bytes of text that a Python task holds in expanded form at a time.
 CHUNK_BYTES = 2 << 20
@@ -145,6 +146,20 @@ def of_group(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_groups
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rare, key))
 
 
+def numbered(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """rows with their place (long, from 0) in `order` within `by`, and the size of their group. Rows are dealt by range
+    and written, so that each range is counted as it was dealt; only counts of ranges meet by group, and a group of
+    any size is numbered by ranges. `by` must not be null; equal rows are numbered in any order."""
+    dealt = rows.withColumn("seq", F.monotonically_increasing_id()).repartitionByRange(by, *order, "seq").withColumn("part", F.spark_partition_id())
+    dealt = write(dealt).df
+    counts = dealt.groupBy(by, "part").agg(F.count("*").alias("rows"))
+    group = W.partitionBy(by)
+    before = F.sum("rows").over(group.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")
+    offsets = counts.select(by, "part", before.alias("before"), F.sum("rows").over(group).alias("size"))
+    inside = F.row_number().over(W.partitionBy(by, "part").orderBy(*order, "seq"))
+    return dealt.join(offsets, [by, "part"]).withColumn("place", F.col("before") + inside - 1).drop("part", "before", "seq")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) links to (node, component), component being the smallest node reachable.
 

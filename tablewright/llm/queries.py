@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import audio, exact_dedup, html, language, packing, sentencepiece, sharding, simhash, toxicity, warc
+from tablewright.llm import audio, exact_dedup, html, language, lexical, manifest, packing, sentencepiece, sharding, simhash, tokens, toxicity, warc
 from tablewright.llm.common import fold, table
 
 
@@ -136,6 +136,91 @@ FROM placed WHERE theirs IS DISTINCT FROM ours OR their_last <> last OR strlen(t
 """
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
+
+
+A_TO_Z, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, and what a copy whose texts are lower-cased where 5 divides the id's crc32 would be verified as."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    of = lambda text: manifest.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.when(fold("doc_id", 5) == 0, of(F.translate("text", A_TO_Z, LOWER)))
+    found = manifest.manifest(docs, of(F.col("text")), claims=[("claimed", tampered)])
+    folded = found.withColumn("folded_root", manifest.fold(F.coalesce("claimed", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", manifest.proof_hash(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_sql(leaf_levels: int = 6, group_levels: int = 4) -> str:
+    """Every level as a statement of its own: enough for 16 ** leaf_levels rows a source and 16 ** group_levels sources."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    parts = [f"""
+steps AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS t),
+hashed AS (
+    SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf("text")} AS leaf,
+           CASE WHEN xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+                                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0
+                THEN {leaf(f"translate(text, '{A_TO_Z}', '{LOWER}')")} END AS claimed
+    FROM documents, steps),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM hashed),
+a0 AS (SELECT tree, place, size, leaf AS hash FROM leaves)"""]
+
+    def levels(name: str, n: int) -> list[str]:
+        out = []
+        for k in range(n):
+            out.append(f"{name}r{k} AS (SELECT tree, place // 16 AS run, string_agg(hash, '' ORDER BY place) AS members FROM {name}{k} WHERE size > 1 GROUP BY ALL)")
+            out.append(f"""{name}{k + 1} AS (SELECT tree, 0 AS place, size, hash FROM {name}{k} WHERE size = 1
+    UNION ALL SELECT tree, run, (s.size + 15) // 16, sha256(members) FROM {name}r{k} JOIN (SELECT tree, any_value(size) AS size FROM {name}{k} GROUP BY tree) s USING (tree))""")
+        return out
+
+    parts += levels("a", leaf_levels)
+    parts.append(f"b0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size, hash, tree AS source_tree FROM a{leaf_levels})")
+    parts += levels("b", group_levels)
+    joins, siblings, folds = [], [], ["coalesce(claimed, leaf)"]
+    for name, n, place in (("a", leaf_levels, "l.place"), ("b", group_levels, "g.place")):
+        for k in range(n):
+            alias, slot = f"{name}r{k}", f"({place} // {16**k}) % 16"
+            tree = "l.tree" if name == "a" else "''"
+            joins.append(f"LEFT JOIN {alias} ON {alias}.tree = {tree} AND {alias}.run = {place} // {16 ** (k + 1)}")
+            left, right = f"substr({alias}.members, 1, 64 * ({slot}))", f"substr({alias}.members, 64 * ({slot}) + 65)"
+            siblings.append(f"coalesce({left} || {right}, '')")
+            folds.append((f"{alias}.members", left, right))
+    chosen = ", ".join(f"{left} AS l{i}, {right} AS r{i}" for i, (_, left, right) in enumerate(folds[1:]))
+    parts.append(f"""
+paths AS (SELECT doc_id, leaf, g.hash AS subroot, (SELECT hash FROM b{group_levels}) AS root, sha256({" || ".join(siblings)}) AS proof_sha256, {folds[0]} AS h0, {chosen}
+    FROM leaves l JOIN b0 g ON g.source_tree = l.tree {" ".join(joins)})""")
+    for i in range(len(folds) - 1):
+        parts.append(f"f{i} AS (SELECT *, coalesce(sha256(l{i} || h{i} || r{i}), h{i}) AS h{i + 1} FROM {'paths' if not i else f'f{i - 1}'})")
+    last = len(folds) - 1
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, proof_sha256, h{last} AS folded_root, h{last} = root AS verified FROM f{last - 1}"
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP13_SQL = f"""
+WITH words AS (
+    SELECT *, regexp_extract_all(translate(text, '{A_TO_Z}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+    FROM (SELECT 'd' AS kind, doc_id AS id, text, row_number() OVER () AS r FROM documents
+          UNION ALL SELECT 'i', item_id, text, row_number() OVER () FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+asked AS (SELECT id AS item_id, term, count(*) AS times FROM (SELECT id, unnest(terms) AS term FROM words WHERE kind = 'i') GROUP BY ALL),
+docs AS (SELECT id AS doc_id, r, len(terms) AS n, terms FROM words WHERE kind = 'd' AND len(terms) > 0),
+total AS (SELECT count(*) AS N_, sum(n)::BIGINT AS L_ FROM docs),
+found AS (SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, n, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * N_ + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM found, total GROUP BY term, N_),
+scored AS (
+    SELECT item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * N_) // L_))))::BIGINT AS score
+    FROM found JOIN weights USING (term) JOIN asked USING (term), total GROUP BY item_id, doc_id, r)
+SELECT item_id, (row_number() OVER w)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) QUALIFY rank <= 20
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
@@ -147,6 +232,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_warc_audit": op10_warc_audit,
+    "op11_token_counts": op11_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_sharding": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc_audit": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sharding": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_warc_audit": OP10_SQL, "op12_merkle_manifest": op12_sql(), "op13_ranked_search": OP13_SQL}
