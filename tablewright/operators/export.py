@@ -95,3 +95,18 @@ def separator_texts(slots: DataFrame, cells: DataFrame, separators: DataFrame) -
     said = at.join(cells.select(TABLE, "cell_id", "text"), [TABLE, "cell_id"])
     parts = F.sort_array(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("first", "text"))))
     return said.groupBy(TABLE, "row_idx").agg(F.array_join(F.transform(parts, lambda s: s["text"]), " | ").alias("text"))
+
+
+def corner_nodes(slots: DataFrame, chosen: DataFrame) -> DataFrame:
+    """header_nodes of the corner: the header cells over the header columns."""
+    beside = slots.join(chosen.select(TABLE, F.col("vmd").alias("_side")), TABLE).where(F.col("col_idx") < F.col("_side")).drop("_side")
+    return header_nodes(beside, chosen.where("vmd > 0").select(TABLE, "hmd", F.lit(0).alias("vmd")))
+
+
+def layout_separator_texts(held: DataFrame, cells: DataFrame) -> DataFrame:
+    """(table_uid, candidate_id, row_idx, text): the texts of the cells that a layout sets aside, row by row, in order
+    of columns, a cell once, joined by ' | '; empty ones left out. held: as of layouts.roles."""
+    aside = held.where("role = 'separator'").groupBy(TABLE, "candidate_id", "row_idx", "cell_id").agg(F.min("col_idx").alias("first"))
+    said = aside.join(cells.select(TABLE, "cell_id", "text"), [TABLE, "cell_id"], "left")
+    parts = F.sort_array(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("first", "text"))))
+    return said.groupBy(TABLE, "candidate_id", "row_idx").agg(F.array_join(F.transform(parts, lambda s: s["text"]), " | ").alias("text"))

@@ -2,7 +2,7 @@
 
 slots: (table_uid, row_idx, col_idx, cell_id), one row per grid place; a merged cell's id repeats over its
 places. A boundary (hmd, vmd) says how many top rows and left columns are headers. Everything is keyed by
-table_uid, so one exchange on it serves the windows, groupings and joins of a plan.
+table_uid; a plan of several windows, groupings and joins by different keys below it has an exchange for each.
 """
 
 from __future__ import annotations
@@ -156,42 +156,6 @@ def strip_separators(slots: DataFrame) -> DataFrame:
     return kept.select(TABLE, number.alias("row_idx"), "col_idx", "cell_id", F.col("row_idx").alias("source_row"))
 
 
-def layouts(slots: DataFrame) -> DataFrame:
-    """Candidates once separator rows are set aside: table_uid, hmd, vmd, and the separators in original rows."""
-    found = boundaries(strip_separators(slots).drop("source_row"))
-    aside = separators(slots).groupBy(TABLE).agg(F.sort_array(F.collect_list("row_idx")).alias("separators"))
-    return found.join(aside, TABLE, "left").withColumn("separators", F.coalesce("separators", F.array().cast("array<int>")))
-
-
-def layout_candidates(slots: DataFrame) -> DataFrame:
-    """layouts of tables with separator rows as candidates: candidate_id layout<k> from 1, kind, hmd, vmd, separators
-    array<int> and subtables array<struct<rows, columns, hmd, vmd>>, one each, in original rows."""
-    aside = separators(slots)
-    rest = slots.join(aside.select(TABLE).distinct(), TABLE, "left_semi").join(aside, [TABLE, "row_idx"], "left_anti")
-    lines = rest.groupBy(TABLE).agg(F.sort_array(F.collect_set("row_idx")).alias("rows"), F.sort_array(F.collect_set("col_idx")).alias("columns"))
-    k = F.row_number().over(W.partitionBy(TABLE).orderBy("hmd", "vmd"))
-    found = layouts(slots).where(F.size("separators") > 0).withColumn("candidate_id", F.concat(F.lit("layout"), k.cast("string"))).join(lines, TABLE)
-    return found.select(TABLE, "candidate_id", F.lit("layout").alias("kind"), "hmd", "vmd", "separators", F.array(F.struct("rows", "columns", "hmd", "vmd")).alias("subtables"))
-
-
-def partition_checks(slots: DataFrame, candidates: DataFrame) -> DataFrame:
-    """How a layout's subtables and separators part a table: table_uid, candidate_id, uncovered and repeated places,
-    cells with several roles, and data cells in several subtables; all 0 for a sound layout.
-    candidates: as of layout_candidates."""
-    sub = candidates.select(TABLE, "candidate_id", F.posexplode("subtables").alias("k", "s"))
-    rows = sub.select(TABLE, "candidate_id", "k", "s.hmd", "s.vmd", "s.columns", F.posexplode("s.rows").alias("r", "row_idx"))
-    places = rows.select(TABLE, "candidate_id", "k", "hmd", "vmd", "r", "row_idx", F.posexplode("columns").alias("c", "col_idx"))
-    role = F.when(F.col("r") < F.col("hmd"), "hmd").when(F.col("c") < F.col("vmd"), "vmd").otherwise("data")
-    aside = candidates.select(TABLE, "candidate_id", F.explode("separators").alias("row_idx"))
-    set_aside = slots.join(aside, [TABLE, "row_idx"]).select(TABLE, "candidate_id", "row_idx", "col_idx", F.lit(-1).alias("k"), F.lit("separator").alias("role"))
-    covered = places.select(TABLE, "candidate_id", "row_idx", "col_idx", "k", role.alias("role")).unionByName(set_aside)
-    every = candidates.select(TABLE, "candidate_id").join(slots, TABLE).join(covered, [TABLE, "candidate_id", "row_idx", "col_idx"], "left")
-    of_place = every.groupBy(TABLE, "candidate_id", "row_idx", "col_idx").agg(F.count("k").alias("n")).groupBy(TABLE, "candidate_id").agg(F.count_if(F.col("n") == 0).alias("uncovered"), F.count_if(F.col("n") > 1).alias("repeated"))
-    of_cell = every.groupBy(TABLE, "candidate_id", "cell_id").agg(F.countDistinct("role").alias("roles"), F.countDistinct(F.when(F.col("role") == "data", F.col("k"))).alias("homes"))
-    of_cell = of_cell.groupBy(TABLE, "candidate_id").agg(F.count_if(F.col("roles") > 1).alias("several_roles"), F.count_if(F.col("homes") > 1).alias("split_data"))
-    return of_place.join(of_cell, [TABLE, "candidate_id"])
-
-
 def candidate_ids(found: DataFrame) -> DataFrame:
     """Candidates numbered in order of hmd and vmd: ord from 0 and candidate_id h<hmd>_v<vmd>."""
     ord_ = F.row_number().over(W.partitionBy(TABLE).orderBy("hmd", "vmd")) - 1
@@ -246,14 +210,6 @@ def differences(stored: DataFrame, computed: DataFrame) -> DataFrame:
     return stored.exceptAll(other).withColumn("side", F.lit("stored")).unionByName(other.exceptAll(stored).withColumn("side", F.lit("computed")))
 
 
-def complexity(candidates: DataFrame, separators_: DataFrame) -> DataFrame:
-    """The class of a table by its most complex candidate: separator_rows, multi_level or simple."""
-    level = F.max(F.when((F.col("hmd") > 1) | (F.col("vmd") > 1), 1).otherwise(0)).alias("level")
-    aside = separators_.select(TABLE).distinct().withColumn("aside", F.lit(True))
-    per = candidates.groupBy(TABLE).agg(level).join(aside, TABLE, "left")
-    return per.select(TABLE, F.when(F.col("aside"), "separator_rows").when(F.col("level") == 1, "multi_level").otherwise("simple").alias("class"))
-
-
 #: Budgets of one table and one article.
 TABLE_LIMITS = {"n_rows": 1000, "n_cols": 256, "n_cells": 10_000, "n_slots": 100_000}
 ARTICLE_TABLES, ARTICLE_SLOTS, CANDIDATE_LABELS = 256, 250_000, 500_000

@@ -88,7 +88,7 @@ def segmentations(candidates: DataFrame, shapes: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("first_col"), F.lit(0).alias("first_row"), (F.col("n_rows") - 1).alias("last_row"), (F.col("n_cols") - 1).alias("last_col"), F.col("hmd").alias("head_rows"), F.col("vmd").alias("side_cols")))
     parts = F.array_sort(F.transform("subtables", lambda s: F.struct(F.array_min(s["columns"]).alias("first_col"), F.array_min(s["rows"]).alias("first_row"), F.array_max(s["rows"]).alias("last_row"), F.array_max(s["columns"]).alias("last_col"), s["hmd"].alias("head_rows"), s["vmd"].alias("side_cols"))))
     layout = F.col("kind") == "layout"
-    rows = F.when(layout, F.sort_array(F.array_distinct("separators"))).otherwise(F.array().cast("array<int>"))
+    rows = F.when(layout, F.sort_array(F.array_distinct(F.transform("separators", lambda s: s["row_idx"])))).otherwise(F.array().cast("array<int>"))
     at = candidates.join(shapes.select(TABLE, "n_rows", "n_cols"), TABLE)
     return at.select(TABLE, "candidate_id", F.struct(rows.alias("separator_rows"), F.when(layout, parts).otherwise(whole).alias("subtables")).alias("segmentation"))
 

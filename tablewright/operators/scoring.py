@@ -15,7 +15,8 @@ TIE = 1e-9
 
 def lines(slots: DataFrame, labels: DataFrame) -> DataFrame:
     """(table_uid, candidate_id, axis, line, cell_id): cells of each data column (col), each data row (row), and of
-    all header rows (hmd) and header columns (vmd), once for each line they cover."""
+    all header rows (hmd) and header columns (vmd), once for each line they cover. Of candidates with several subtables
+    layouts.subtable_lines gives the lines, which the costs and purities below take just as well."""
     data = labels.where("region = 'data'").select(TABLE, "candidate_id", "cell_id")
     axis = lambda name, by: data.join(slots.select(TABLE, "cell_id", F.col(by).alias("line")).distinct(), [TABLE, "cell_id"]).select(TABLE, "candidate_id", F.lit(name).alias("axis"), "line", "cell_id")
     heads = labels.where("region IN ('hmd', 'vmd')").select(TABLE, "candidate_id", F.col("region").alias("axis"), F.lit(0).alias("line"), "cell_id")
@@ -45,7 +46,7 @@ def bit_costs(found: DataFrame, cell_types: DataFrame, level: str = "family", ro
     every = found.select(TABLE, "candidate_id").distinct()
     if roles:
         misplaced = found.where("axis = 'vmd'").join(cell_types.where(F.col("family").isin(*roles) | F.col("type").isin(*roles)).select(TABLE, "cell_id"), [TABLE, "cell_id"])
-        extra = misplaced.groupBy(TABLE, "candidate_id").agg(F.countDistinct("cell_id").alias("m")).join(typed, TABLE).select(TABLE, "candidate_id", (F.col("m") * unit).alias("extra"))
+        extra = misplaced.groupBy(TABLE, "candidate_id").agg(F.countDistinct("line", "cell_id").alias("m")).join(typed, TABLE).select(TABLE, "candidate_id", (F.col("m") * unit).alias("extra"))
         cost = cost.join(extra, [TABLE, "candidate_id"], "left").select(TABLE, "candidate_id", (F.col("bits") + F.coalesce("extra", F.lit(0.0))).alias("bits"))
     return every.join(cost, [TABLE, "candidate_id"], "left").select(TABLE, "candidate_id", F.coalesce("bits", F.lit(0.0)).alias("bits"))
 

@@ -8,12 +8,13 @@ flag; 5 as 1 with the header rows repeated half way.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.sources.shared import kept, shared_dir  # noqa: F401
+
 FIXTURE_CTES = """
 names AS (
     SELECT * FROM (VALUES (0, 'Flag', 'Line', 0), (1, 'Status', 'Line', 0), (2, 'Line no', 'Line', 0), (3, 'Quantity', 'Amounts', 3),
@@ -79,32 +80,16 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("table_uid string, row_idx int, col_idx int, cell_id int, text string").parquet(_written[key])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir). Where it is unset, a local session,
-    which has no other machine, gets a temporary one; on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, for plans that read it several times: nothing stays in memory, and what a
-    lost executor held is read again."""
-    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(table_uid, row_idx, col_idx, cell_id)"""
     return texts(spark, sf_dir).drop("text")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells_of(texts(spark, sf_dir))
+
+
+def cells_of(named: DataFrame) -> DataFrame:
     """(table_uid, cell_id, row_idx, col_idx, last_row, last_col, text), places being a cell's first"""
     ends = (F.min("row_idx").alias("row_idx"), F.min("col_idx").alias("col_idx"), F.max("row_idx").alias("last_row"), F.max("col_idx").alias("last_col"))
-    return texts(spark, sf_dir).groupBy("table_uid", "cell_id").agg(*ends, F.max("text").alias("text"))
+    return named.groupBy("table_uid", "cell_id").agg(*ends, F.max("text").alias("text"))

@@ -692,49 +692,7 @@ def a21_scored_twice(spark, sf_dir):
     return evaluate.duplicate_keys(read(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("user_id").alias("table_no")), "arm", "table_no")
 
 
-# --- layouts with rows set aside ----------------------------------------------
-
-#: The fixture with separator rows taken out of slots, so that `found` are the layouts' boundaries.
-STRIPPED = "WITH " + FIXTURE_CTES.replace("slots AS (SELECT table_uid, row_idx, col_idx, cell_id FROM named)", """whole AS (SELECT table_uid, row_idx, col_idx, cell_id FROM named),
-aside0 AS (SELECT table_uid, row_idx FROM whole GROUP BY ALL HAVING count(DISTINCT cell_id) = 1 AND count(*) > 1),
-slots AS (SELECT table_uid, (dense_rank() OVER (PARTITION BY table_uid ORDER BY row_idx) - 1)::INTEGER AS row_idx, col_idx, cell_id, row_idx AS source_row FROM whole w WHERE NOT EXISTS (SELECT 1 FROM aside0 a WHERE a.table_uid = w.table_uid AND a.row_idx = w.row_idx))""") + COMMON
-LAYOUTS = ", lay AS (SELECT table_uid, 'layout' || row_number() OVER (PARTITION BY table_uid ORDER BY hmd, vmd) AS candidate_id, hmd, vmd FROM found WHERE table_uid IN (SELECT table_uid FROM aside0))"
-
-
-def layout_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.layout_candidates(slots(spark, sf_dir))
-
-
-@query(f"{STRIPPED}{LAYOUTS}, a AS (SELECT table_uid, string_agg(row_idx::VARCHAR, ',' ORDER BY row_idx) AS separators FROM aside0 GROUP BY 1) SELECT l.table_uid, candidate_id, hmd, vmd, separators FROM lay l JOIN a ON a.table_uid = l.table_uid")
-def g13_layouts(spark, sf_dir):
-    return layout_candidates(spark, sf_dir).select("table_uid", "candidate_id", "hmd", "vmd", F.array_join(F.transform("separators", lambda x: x.cast("string")), ",").alias("separators"))
-
-
-@query(f"{STRIPPED}{LAYOUTS} SELECT l.table_uid, candidate_id, CASE WHEN hmd = 0 THEN 0 ELSE (SELECT any_value(source_row) + 1 FROM slots s WHERE s.table_uid = l.table_uid AND s.row_idx = hmd - 1) END::INTEGER AS hmd, vmd FROM lay l")
-def r1_reviewable_counts(spark, sf_dir):
-    return review.reviewable_counts(layout_candidates(spark, sf_dir))
-
-
-@query(f"{STRIPPED}{LAYOUTS} SELECT table_uid, candidate_id, 0::BIGINT AS uncovered, 0::BIGINT AS repeated, 0::BIGINT AS several_roles, 0::BIGINT AS split_data FROM lay")
-def g20_partition_checks(spark, sf_dir):
-    return g.partition_checks(slots(spark, sf_dir), layout_candidates(spark, sf_dir))
-
-
-@query(f"{STRIPPED}{LAYOUTS}, s AS (SELECT table_uid, min(source_row) AS a, max(source_row) AS b, max(col_idx) AS c FROM slots GROUP BY 1), p AS (SELECT table_uid, string_agg(row_idx::VARCHAR, ',' ORDER BY row_idx) AS separators FROM aside0 GROUP BY 1) SELECT l.table_uid, candidate_id, separators, a || '-' || b || ' 0-' || c || ' ' || hmd || ' ' || vmd AS subtables FROM lay l JOIN s ON s.table_uid = l.table_uid JOIN p ON p.table_uid = l.table_uid")
-def r9_segmentations(spark, sf_dir):
-    found = review.segmentations(layout_candidates(spark, sf_dir), g.shape(slots(spark, sf_dir)))
-    show = lambda s: F.format_string("%d-%d %d-%d %d %d", s["first_row"], s["last_row"], s["first_col"], s["last_col"], s["head_rows"], s["side_cols"])
-    return found.select("table_uid", "candidate_id", F.array_join(F.transform("segmentation.separator_rows", lambda x: x.cast("string")), ",").alias("separators"), F.array_join(F.transform("segmentation.subtables", show), "; ").alias("subtables"))
-
-
-@query(f"{STRIPPED}{LAYOUTS} SELECT d.table_uid, CASE WHEN l.candidate_id IS NULL THEN 'unparseable' ELSE 'valid' END AS final_status, l.candidate_id FROM (SELECT DISTINCT table_uid FROM aside0) d LEFT JOIN lay l ON l.table_uid = d.table_uid AND l.hmd = 1 AND l.vmd = 1")
-def r11_segmentation_verdicts(spark, sf_dir):
-    """Answers with one header row and one header column below the rows set aside, for tables that have such rows."""
-    all_ = slots(spark, sf_dir)
-    known = review.segmentations(layout_candidates(spark, sf_dir), g.shape(all_))
-    one = layout_candidates(spark, sf_dir).dropDuplicates(["table_uid"]).withColumn("hmd", F.lit(1)).withColumn("vmd", F.lit(1))
-    asked_ = one.withColumn("subtables", F.transform("subtables", lambda s: F.struct(s["rows"].alias("rows"), s["columns"].alias("columns"), F.lit(1).alias("hmd"), F.lit(1).alias("vmd"))))
-    return review.segmentation_verdicts(review.segmentations(asked_, g.shape(all_)).drop("candidate_id"), known)
+# --- separators and entries --------------------------------------------------
 
 
 @query(f"{FIRST} SELECT a.table_uid, a.row_idx, text FROM aside a JOIN slots s ON s.table_uid = a.table_uid AND s.row_idx = a.row_idx AND s.col_idx = 0 JOIN cells c ON c.table_uid = s.table_uid AND c.cell_id = s.cell_id")

@@ -244,12 +244,6 @@ def g18_distinct_paths(spark, sf_dir):
     return g.distinct_paths(g.column_paths(slots(spark, sf_dir), candidates(spark, sf_dir)))
 
 
-@query("SELECT table_uid, CASE WHEN table_uid IN (SELECT table_uid FROM aside) THEN 'separator_rows' WHEN max((hmd > 1 OR vmd > 1)::INTEGER) = 1 THEN 'multi_level' ELSE 'simple' END AS class FROM found GROUP BY table_uid")
-def g22_complexity(spark, sf_dir):
-    all_ = slots(spark, sf_dir)
-    return g.complexity(g.boundaries(all_), g.separators(all_))
-
-
 @query("SELECT table_uid, cell_id, 'stored' AS side FROM cells WHERE cell_id % 50 = 49")
 def g21_record_audit(spark, sf_dir):
     """Stored cells against cells computed from the slots, where every fiftieth cell of a table is stored moved by a row."""

@@ -142,22 +142,8 @@ def test_many_answers_are_joined_by_salt(spark, monkeypatch):
 SECTIONED = [[0, 0, 0], [1, 2, 3], [4, 5, 6], [7, 7, 7], [8, 9, 10], [11, 12, 13]]
 
 
-def test_layouts_with_rows_set_aside(spark):
+def test_separator_texts(spark):
     all_ = slots(spark, SECTIONED)
-    found = geometry.layout_candidates(all_)
-    by_id = {r["candidate_id"]: r for r in found.collect()}
-    assert {(r["hmd"], r["vmd"]) for r in by_id.values()} == {(0, 1), (1, 0), (1, 1)} and all(r["separators"] == [0, 3] for r in by_id.values())
-    assert by_id["layout1"]["subtables"][0]["rows"] == [1, 2, 4, 5]
-    counts = {r["candidate_id"]: (r["hmd"], r["vmd"]) for r in review.reviewable_counts(found).collect()}
-    assert set(counts.values()) == {(0, 1), (2, 0), (2, 1)}  # the title row counts with the header row below it
-    sound = geometry.partition_checks(all_, found).collect()
-    assert len(sound) == 3 and all(list(r)[2:] == [0, 0, 0, 0] for r in sound)
-    broken = found.withColumn("separators", F.array(F.lit(0)))
-    assert {r["uncovered"] for r in geometry.partition_checks(all_, broken).collect()} == {3}
-    shapes = geometry.shape(all_)
-    known = review.segmentations(found, shapes)
-    verdict = review.segmentation_verdicts(known.where("candidate_id = 'layout2'").drop("candidate_id"), known).first()
-    assert (verdict["final_status"], verdict["candidate_id"]) == ("valid", "layout2")
     texts = export.separator_texts(all_, cells(spark, SECTIONED, [f"c{k}" for k in range(14)]), geometry.separators(all_))
     assert sorted((r["row_idx"], r["text"]) for r in texts.collect()) == [(0, "c0"), (3, "c7")]
 
