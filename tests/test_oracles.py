@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tablewright.plans import layout_queries, record_queries, table_queries  # noqa: F401
+from tablewright.plans import layout_queries, record_queries, repair_queries, table_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
