@@ -12,8 +12,8 @@ def normalized(text: Column) -> Column:
 
 
 def shortened(text: Column, most: int) -> Column:
-    """At most `most` characters, the last three of a longer text dots."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+    """The first `most` characters of a longer text, and three dots."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
 def and_list(items: Column) -> Column:

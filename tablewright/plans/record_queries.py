@@ -149,7 +149,7 @@ def i9_provenance(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 57) || '...' ELSE text END AS short FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS short FROM documents")
 def r13_shortened(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", shortened(F.col("text"), 60).alias("short"))
 
