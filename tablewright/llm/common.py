@@ -164,7 +164,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(a long, b long) links to (node, component), component being the smallest node reachable.
 
     Large-star and small-star rounds: each round writes its edges to the shared folder, so lineage stays
-    short, and only edge counts and a checksum reach the driver. A path of n nodes takes O(log n) rounds.
+    short, and only edge counts and a checksum reach the driver. A path of n nodes takes O(log n) rounds. The links of
+    a node with very many are spread (of_group).
     """
     def canonical(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -176,11 +177,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = digest(now.df)
     while seen["n"]:
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
+        large = of_group(both.where("b > a"), least, "a", "degree").select(F.col("b").alias("a"), F.col("m").alias("b"))
         half = write(canonical(large))
-        least = half.df.groupBy("a").agg(F.min("b").alias("m"))
-        small = half.df.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = half.df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        small = of_group(half.df, least, "a", "degree").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         following = write(canonical(small))
         half.discard()
         now.discard()

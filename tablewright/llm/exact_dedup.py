@@ -81,7 +81,9 @@ def find_exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The documents that the index keeps, with their columns; a document without an id stays. Without an index
-    documents are held against each other only."""
+    documents are held against each other only. A row goes by its id and its text together, so that of rows with one id
+    and several texts only those go whose text another row holds."""
     found = index.deduplicate(docs) if index else find_exact_duplicates(docs)
-    gone = write(found.where("not kept").select("doc_id").distinct()).df
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = write(found.where("not kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "text_sha256").distinct()).df
+    text = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_id"]) & (text == gone["text_sha256"]), "left_anti")

@@ -130,12 +130,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each near-duplicate component kept: the one with the smallest doc_id.
     A document without an id stays."""
-    return without_later(docs, near_duplicates(docs, **options))
+    later = near_duplicates(docs, **options).where("doc_id <> component_id").select("doc_id", "fingerprint").distinct()
+    rows = keyed(docs)
+    prints = fingerprints(rows.select(F.col("text_key").alias("doc_id"), "text"), options.get("shingle", 3), options.get("seed", 42)).distinct()
+    named = prints.select(F.col("doc_id").alias("text_key"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+    return without(docs, rows.select("doc_id", "text_key").distinct().join(named, "text_key").join(later, ["doc_id", "fingerprint"], "left_semi"))
 
 
-def without_later(docs: DataFrame, found: DataFrame) -> DataFrame:
-    gone = write(found.where("doc_id <> component_id").select("doc_id").distinct()).df
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of the given doc_id and text_key, so that of rows with one id and several texts only those go
+    that are meant."""
+    gone = write(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "text_key").distinct()).df
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_id"]) & (key == gone["text_key"]), "left_anti")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key), the key being a hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"))
 
 
 # --- near duplicates by similarity --------------------------------------------
@@ -147,6 +160,8 @@ def without_later(docs: DataFrame, found: DataFrame) -> DataFrame:
 LONG = 4
 #: Byte positions of a long fingerprint under one key, and how many keys a fingerprint has.
 KEY_BYTES, KEYS = 5, 128
+#: Bytes under a key of the second index, over the texts that crowd the first, and rounds that split the first's lists.
+CROWD_BYTES, INDEX_ROUNDS = 2, 4
 #: Lists up to this length are tallied pair by pair.
 FEW = 4
 
@@ -177,8 +192,9 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def long_fingerprints(docs: DataFrame, shingle: int, index_shingle: int, seed: int) -> DataFrame:
-    """(doc_id, fp binary, b0 to b3 long): fp is the fingerprint of index_shingle words, which the index is made of, and
-    then that of `shingle` words, whose bits decide and are in b0 to b3 too. A text without words has none."""
+    """(doc_id, text_key long, fp binary, b0 to b3 long): fp is the fingerprint of index_shingle words, which the index is
+    made of, and then that of `shingle` words, whose bits decide and are in b0 to b3 too; text_key is a hash of the text,
+    which tells rows of one id apart. A text without words has no fp."""
     bits = [f"b{k}" for k in range(LONG)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +204,9 @@ def long_fingerprints(docs: DataFrame, shingle: int, index_shingle: int, seed: i
                 words = np.array([xxhash.xxh64_intdigest(w, seed) for w in text.lower().split()], np.uint64)
                 prints.append(long_fingerprint(shingle_hashes(words, index_shingle)) + long_fingerprint(shingle_hashes(words, shingle)) if len(words) else None)
             decisive = np.frombuffer(b"".join(p[8 * LONG :] if p else bytes(8 * LONG) for p in prints), np.int64).reshape(-1, LONG)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), *[pa.array(decisive[:, k]) for k in range(LONG)]], names=["doc_id", "fp", *bits])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(prints, pa.binary()), *[pa.array(decisive[:, k]) for k in range(LONG)]], names=["doc_id", "text_key", "fp", *bits])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, " + ", ".join(f"{b} long" for b in bits))
+    return keyed(docs).select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, fp binary, " + ", ".join(f"{b} long" for b in bits))
 
 
 def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
@@ -200,19 +216,30 @@ def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
     Every fingerprint is posted under KEYS keys of KEY_BYTES bytes at fixed positions. The members of a list share that
     many positional bytes at least; lists of up to FEW are tallied pair by pair. In a longer one all meet the member that
     has most company in such lists, which in a crowd of copies is the one most like the rest; those whom it does not
-    verify meet again in lists split by one more byte, and so on. So pairs grow with the documents.
+    verify meet again in lists split by one more byte. So pairs grow with the documents.
+
+    The index sees single words, and a crowd of texts of the same words in other orders is one to it, however often it
+    is split. So all whom some centre did not verify are indexed once more by the fingerprint that decides, under KEYS keys
+    of CROWD_BYTES bytes; long lists are split there by one more byte a round until none is left. That takes 8 * LONG
+    rounds at most: then all bytes of a list's members are equal, and every member is its centre's copy.
     """
     rng = np.random.default_rng(7)
-    places = np.array([np.sort(rng.choice(8 * LONG, KEY_BYTES, replace=False)) for _ in range(KEYS)])
+    wide = np.array([np.sort(rng.choice(8 * LONG, KEY_BYTES, replace=False)) for _ in range(KEYS)])
+    narrow = np.array([np.sort(rng.choice(8 * LONG, CROWD_BYTES, replace=False)) for _ in range(KEYS)])
+
+    def post(places: np.ndarray, first: int):
+        """Keys of the bytes at `places` of the half of a fingerprint that begins at byte `first`."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                prints = np.frombuffer(b"".join(p[first : first + 8 * LONG] for p in batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * LONG)
+                parts = prints[:, places].astype(np.int64)  # fingerprints x keys x bytes
+                keys = np.arange(KEYS, dtype=np.int64) << (8 * KEY_BYTES)
+                for k in range(places.shape[1]):
+                    keys = keys | (parts[:, :, k] << (8 * k))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), KEYS))], names=["key", "node"])
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.frombuffer(b"".join(p[: 8 * LONG] for p in batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * LONG)
-            parts = prints[:, places].astype(np.int64)  # fingerprints x keys x bytes
-            keys = np.arange(KEYS, dtype=np.int64) << (8 * KEY_BYTES)
-            for k in range(KEY_BYTES):
-                keys = keys | (parts[:, :, k] << (8 * k))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), KEYS))], names=["key", "node"])
+        return run
 
     mine = lambda name: distinct.select(F.col("node").alias(name), *[F.col(f"b{k}").alias(f"{name}{k}") for k in range(LONG)])
 
@@ -221,8 +248,8 @@ def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
         apart = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(LONG))
         return write(met.join(mine("a"), "a").join(mine("b"), "b").where(apart <= max_bits).select("a", "b")).df
 
-    posted, found, step = distinct.select("node", "fp").mapInArrow(post, "key long, node long"), None, 0
-    while True:
+    def compared(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of the lists, and (key, node) of the members of long lists that their centre does not verify."""
         lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         listed = write(posted.join(lists, "key")).df
         members = listed.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("node").alias("m"))
@@ -232,39 +259,68 @@ def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
         centres = many.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node")))["col2"].alias("negative")).select("key", (-F.col("negative")).alias("centre"))
         starred = write(many.join(centres, "key").where("node <> centre")).df
         links = verified(pairs.unionByName(starred.select(F.col("node").alias("a"), F.col("centre").alias("b"))))
-        found = links if found is None else found.unionByName(links)
         met = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("centre"))
-        rest = write(starred.join(met, ["node", "centre"], "left_anti").select("key", "node")).df
-        if step == 8 * LONG or rest.isEmpty():
-            return found.distinct()
-        byte = F.substring("fp", F.pmod(F.shiftright("key", 8 * KEY_BYTES) * 5 + step * 11, F.lit(8 * LONG)).cast("int") + 1, F.lit(1))
-        posted = write(rest.join(distinct.select("node", "fp"), "node").select(F.xxhash64("key", byte).alias("key"), "node")).df
-        step += 1
+        return links, write(starred.join(met, ["node", "centre"], "left_anti").select("key", "node")).df
+
+    def split(rest: DataFrame, first: int, step: int) -> DataFrame:
+        """The lists split by one more byte of that half: in 8 * LONG steps by all of them."""
+        byte = F.substring("fp", (F.pmod(F.pmod(F.hash("key0"), F.lit(8 * LONG)) + step * 11, F.lit(8 * LONG)) + first + 1).cast("int"), F.lit(1))
+        parted = rest.join(distinct.select("node", "fp"), "node")
+        return write(parted.select(F.xxhash64("key", byte).alias("key"), "key0", "node")).df
+
+    def rounds(posted: DataFrame, first: int, most: int) -> tuple[list[DataFrame], DataFrame | None]:
+        """Links of `most` rounds, and whom the first round left without a centre's company."""
+        links, rest = compared(posted)
+        found, crowd, step = [links], rest, 0
+        named = rest.withColumn("key0", F.col("key"))
+        while step < most and not named.isEmpty():
+            named = split(named, first, step)
+            links, rest = compared(named.select("key", "node"))
+            found.append(links)
+            named = rest.join(named.select("key", "key0").distinct(), "key")
+            step += 1
+        return found, crowd
+
+    found, crowd = rounds(distinct.select("node", "fp").mapInArrow(post(wide, 0), "key long, node long"), 0, INDEX_ROUNDS)
+    left = write(crowd.select("node").distinct()).df
+    if not left.isEmpty():
+        again = distinct.select("node", "fp").join(left, "node", "left_semi")
+        found += rounds(again.mapInArrow(post(narrow, 8 * LONG), "key long, node long"), 8 * LONG, 8 * LONG)[0]
+    out = found[0]
+    for links in found[1:]:
+        out = out.unionByName(links)
+    return out.distinct()
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, index_shingle: int = 1, seed: int = 42) -> DataFrame:
-    """doc_id, component_id: near-duplicate classes of documents whose sets of `shingle` words have a cosine similarity of
+    """doc_id, text_key, component_id, head_key: near-duplicate classes of documents whose sets of `shingle` words have a cosine similarity of
     about `similarity`, as the bits of 256-bit SimHashes tell it: they differ in a share of acos(similarity) / pi.
 
     Equal fingerprints are one node; the candidates come from an inverted index over bytes of the fingerprint of
     `index_shingle` words, whose bits change less: two texts at the limit of 0.8 for five words share 96 % of their single
-    words if changes are scattered, and so meet under some key nine times in ten, nearer ones almost always. component_id is the smallest doc_id reachable. Texts
-    are lower-cased in A-Z and split at ASCII white space; a text with fewer words is one shingle; those without words
+    words if changes are scattered, and so meet under some key nine times in ten, nearer ones almost always. component_id is the smallest doc_id reachable,
+    head_key the hash of its text (the least, of several rows with that id), text_key of the row's own. Texts are lower-cased in A-Z and split at ASCII white space; a text with fewer words is one shingle; those without words
     are alone. A null doc_id is kept, and is never another's component. Other columns are ignored; an empty table gives no
     rows.
     """
     prints = write(long_fingerprints(docs, shingle, index_shingle, seed)).df
+    known = prints.where("fp IS NOT NULL")
     first = [F.first(f"b{k}").alias(f"b{k}") for k in range(LONG)]
-    groups = write(prints.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), *first)).df
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
+    groups = write(known.groupBy("fp").agg(least.alias("least"), F.count("*").alias("copies"), *first).withColumn("node", F.monotonically_increasing_id())).df
     max_bits = int(64 * LONG * np.arccos(similarity) / np.pi)
-    member = components(similar_links(groups.where("node IS NOT NULL"), max_bits))
-    named = groups.select("fp", "node", "copies").join(member, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id"))
-    known = of_group(prints.where("fp IS NOT NULL"), named, "fp", "copies")
-    alone = prints.where("fp IS NULL").withColumn("component_id", F.col("doc_id"))
-    return known.unionByName(alone, allowMissingColumns=True).select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    member = write(components(similar_links(groups, max_bits))).df
+    rooted = groups.select("fp", "node", "copies", "least").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = rooted.groupBy("component").agg(F.min("least").alias("head"))
+    named = rooted.join(heads, "component").select("fp", "copies", "head")
+    classed = of_group(known.select("doc_id", "text_key", "fp"), named, "fp", "copies")
+    alone = prints.where("fp IS NULL").select("doc_id", "text_key", "fp", F.struct("doc_id", "text_key").alias("head"))
+    return classed.unionByName(alone).select("doc_id", "text_key", F.coalesce("head.doc_id", "doc_id").alias("component_id"), F.coalesce("head.text_key", "text_key").alias("head_key"))
 
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each class of similar_documents kept: the one with the smallest doc_id. A document
     without an id stays."""
-    return without_later(docs, similar_documents(docs, **options))
+    found = similar_documents(docs, **options)
+    later = (F.col("doc_id") != F.col("component_id")) | (F.col("text_key") != F.col("head_key"))
+    return without(docs, found.where(later))

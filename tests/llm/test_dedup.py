@@ -148,3 +148,14 @@ def test_dropping_keeps_columns_and_one_of_each(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(df).collect()) == [2, 3]
     near = simhash.drop_near_duplicates(df)
     assert near.columns == df.columns and sorted(r["doc_id"] for r in near.collect()) == [1, 3]
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    """Rows go by their text, so that a text that no other row has stays whatever its id."""
+    words = lambda n, k: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(5, words(40, 1)), (9, words(40, 1)), (5, words(40, 2)), (3, words(39, 2) + " other"), (None, words(40, 1)), (7, words(40, 3)), (7, words(40, 3))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = lambda d: sorted(((r["doc_id"] or 0, r["text"][:4]) for r in d.collect()))
+    assert kept(exact_dedup.drop_exact_duplicates(df)) == [(0, "w1x0"), (3, "w2x0"), (5, "w2x0"), (7, "w3x0"), (7, "w3x0"), (9, "w1x0")]
+    assert kept(simhash.drop_similar(df)) == [(0, "w1x0"), (3, "w2x0"), (5, "w1x0"), (7, "w3x0"), (7, "w3x0")]
+    assert (5, "w1x0") in kept(simhash.drop_near_duplicates(df)) and (9, "w1x0") not in kept(simhash.drop_near_duplicates(df))

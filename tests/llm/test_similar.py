@@ -85,6 +85,23 @@ def test_similarity_of_edits(spark):
     assert simhash.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_crowds_of_the_same_words_in_other_orders(spark):
+    """One vocabulary, a third of the texts near copies of another: the single words tell none apart."""
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([f"w{k}" for k in range(120)])
+    texts = {}
+    for k in range(120):
+        words = rng.permutation(vocabulary)
+        texts[k] = " ".join(words)
+        if k % 2:
+            words = words.copy()
+            words[5], words[6] = words[6], words[5]
+            texts[1000 + k] = " ".join(words)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()}
+    assert sum(got[1000 + k] == k for k in range(1, 120, 2)) >= 54
+    assert all(got[k] == k for k in range(120))
+
+
 def test_pipeline_against_brute_force(spark):
     """run() on the smallest tables, stage by stage: what each keeps, worked out again without Spark's joins."""
     from tablewright.llm import language, packing, queries, toxicity
