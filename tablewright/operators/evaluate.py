@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.operators.rules import IGNORED
+from tablewright.sources.shared import kept
 
 TABLE = "table_uid"
 
@@ -121,8 +122,9 @@ def method_accuracy(results: DataFrame, n: int | None = None) -> DataFrame:
 
 def running(rows: DataFrame, by: list[str], order: list, value: str, parts: int = 64) -> DataFrame:
     """rows with n, their place, and total, the sum of `value` up to them, in `order` within `by`. Rows are dealt by
-    range of the order, so a group of any size is summed by ranges and then within each: no task has a whole group."""
-    dealt = rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id())
+    range of the order, so a group of any size is summed by ranges and then within each: no task has a whole group. The
+    dealt rows are written, so that sums and rows are of one and the same deal."""
+    dealt = kept(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
     inside = W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = dealt.withColumn("n", F.count("*").over(inside)).withColumn("total", F.sum(value).over(inside))
     sums = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.sum(value).alias("_total"))

@@ -167,3 +167,16 @@ def test_agreement_and_labelled_set(spark):
     purity = lambda rows: spark.createDataFrame(rows, "table_uid string, axis string, purity double")
     got = evaluate.purity_comparison(purity([("t", "col", 0.9), ("u", "col", 0.5), ("w", "col", None)]), purity([("t", "col", 0.7), ("t", "col", 0.8), ("u", "col", 0.5)])).first()
     assert (got["tables"], got["gold_purest"], got["gold_tied"]) == (2, 0.5, 0.5) and got["other_purity"] == pytest.approx(0.625)
+
+
+def test_running_numbers_all_rows_whatever_is_read_of_them(spark):
+    """One deal serves the sums and the rows: more rows than are sampled for the ranges, and a column that only one side reads."""
+    rows = spark.range(300_000).select(F.lit("g").alias("g"), F.xxhash64("id").alias("key"), F.lit(1).alias("one"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    found = evaluate.running(rows, ["g"], [F.col("key")], "one").select("n", "key", "more")
+    assert found.where(F.length("more") < 64).isEmpty()
+    totals = found.agg(F.countDistinct("n").alias("places"), F.max("n").alias("most"), F.min("n").alias("least")).first()
+    assert tuple(totals) == (300_000, 300_000, 1)
+    from pyspark.sql import Window
+
+    apart = found.withColumn("place", F.row_number().over(Window.orderBy("key"))).where("place <> n")
+    assert apart.isEmpty()
