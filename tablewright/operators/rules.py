@@ -51,6 +51,12 @@ class Program:
     guidelines: tuple[tuple[str, str], ...] = ()
     name: str = ""
     lines: tuple[int, ...] = field(default=())
+    sources: tuple[str, ...] = field(default=())
+    options: tuple[str, ...] = field(default=())
+
+    def source(self, rule: int) -> str:
+        """Where a rule stands: its file and line, else the program's name and the rule's line or number."""
+        return self.sources[rule] if self.sources else f"{self.name}:{self.lines[rule] if self.lines else rule + 1}"
 
     def parents(self, kind: str) -> list[str]:
         return [b for a, b in self.edges if a == kind]
@@ -131,8 +137,8 @@ def with_types(program: Program, df: DataFrame, text: Column, gap: Column) -> Da
     typed = typed.withColumn("_rule", F.when(F.col("_text") != "", cell_rule(program, F.col("_text"))))
     rule = F.col("_rule")
     typed = typed.withColumn("type", F.when(rule.isNotNull(), named([r.type for r in program.rules], rule)).otherwise(F.when(F.col("_text") == "", EMPTY).otherwise(UNTYPED)))
-    lines = [f"{program.name}:{n}" for n in (program.lines or range(1, len(program.rules) + 1))]
-    source = F.when(gap, "synthetic").when(rule.isNotNull(), named(lines, rule)).otherwise(F.col("type"))
+    sources = [program.source(k) for k in range(len(program.rules))]
+    source = F.when(gap, "synthetic").when(rule.isNotNull(), named(sources, rule)).otherwise(F.col("type"))
     of_type = lambda values, more: F.when(rule.isNotNull(), named(values, rule)).otherwise(more)
     return (
         typed.withColumn("family", of_type([program.family(r.type) for r in program.rules], F.col("type")))
