@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from tablewright.operators.rules import IGNORED
 from tablewright.sources.shared import kept
 
 TABLE = "table_uid"
+#: Purities this close are the same, whatever the order in which they were summed.
+SAME = 1e-12
 
 
 def mutual_information(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -75,10 +79,59 @@ def purity_comparison(gold: DataFrame, others: DataFrame) -> DataFrame:
     share = lambda hit: F.avg(hit.cast("double"))
     return both.groupBy("axis").agg(
         F.count("*").alias("tables"), F.avg("purity").alias("gold_purity"), F.avg("mean").alias("other_purity"),
-        share(F.col("purity") > F.col("best")).alias("gold_purest"), share(F.col("purity") == F.col("best")).alias("gold_tied"),
+        share(F.col("purity") - F.col("best") > SAME).alias("gold_purest"), share(F.abs(F.col("purity") - F.col("best")) <= SAME).alias("gold_tied"),
     )
 
 
+def region_purities(slots: DataFrame, regions: DataFrame, cell_types: DataFrame, level: str = "family") -> DataFrame:
+    """(table_uid, axis, purity): the mean share of the commonest type over data columns (col) and data rows (row), a cell
+    once a line; null without typed data. regions: table_uid, cell_id, region."""
+    types = cell_types.where(~F.col("family").isin(*IGNORED)).select(TABLE, "cell_id", F.col(level).alias("kind"))
+    data = slots.join(regions.where("region = 'data'").select(TABLE, "cell_id"), [TABLE, "cell_id"]).join(types, [TABLE, "cell_id"])
+    lines = data.select(TABLE, "cell_id", "kind", F.explode(F.array(F.struct(F.lit("col").alias("axis"), F.col("col_idx").alias("line")), F.struct(F.lit("row").alias("axis"), F.col("row_idx").alias("line")))).alias("l")).select(TABLE, "cell_id", "kind", "l.*").distinct()
+    per = lines.groupBy(TABLE, "axis", "line", "kind").agg(F.count("*").alias("k")).groupBy(TABLE, "axis", "line").agg((F.max("k") / F.sum("k")).alias("purity"))
+    return per.groupBy(TABLE, "axis").agg(F.avg("purity").alias("purity"))
+
+
+#: The plain boundaries that gold is held against have at most so many header rows and columns.
+OTHER_ROWS, OTHER_COLUMNS = 4, 3
+
+
+def boundary_purities(slots: DataFrame, cell_types: DataFrame, gold: DataFrame, level: str = "family") -> DataFrame:
+    """(table_uid, hmd, vmd, axis, purity) of every plain boundary up to OTHER_ROWS x OTHER_COLUMNS that leaves data, cuts no
+    cell and labels the cells otherwise than gold (table_uid, cell_id, region) does, a row for each axis.
+
+    Every boundary's line counts come from one pass: for each line and type the cells that begin at or after each possible
+    cut, which are those in the data, since no cell is cut.
+    """
+    rows, columns = range(OTHER_ROWS + 1), range(OTHER_COLUMNS + 1)
+    box = slots.groupBy(TABLE, "cell_id").agg(F.min("row_idx").alias("r0"), F.max("row_idx").alias("r1"), F.min("col_idx").alias("c0"), F.max("col_idx").alias("c1"))
+    named = box.join(gold.select(TABLE, "cell_id", "region"), [TABLE, "cell_id"], "left")
+    cut = lambda h, v: ((F.col("r0") < h) & (F.col("r1") >= h)) | ((F.col("r0") >= h) & (F.col("c0") < v) & (F.col("c1") >= v))
+    label = lambda h, v: F.when(F.col("r0") < h, "hmd").when(F.col("c0") < v, "vmd").otherwise("data")
+    flags = [F.struct(F.lit(h).alias("hmd"), F.lit(v).alias("vmd"), F.bool_or(cut(h, v)).alias("cut"), F.bool_and(F.col("region").eqNullSafe(label(h, v))).alias("same")) for h in rows for v in columns if h + v]
+    tables = named.groupBy(TABLE).agg((F.max("r1") + 1).alias("n_rows"), (F.max("c1") + 1).alias("n_cols"), F.array(*flags).alias("f"))
+    other = tables.select(TABLE, "n_rows", "n_cols", F.explode("f").alias("b")).select(TABLE, "n_rows", "n_cols", "b.*").where("hmd < n_rows AND vmd < n_cols AND NOT cut AND NOT same").select(TABLE, "hmd", "vmd")
+
+    types = cell_types.where(~F.col("family").isin(*IGNORED)).select(TABLE, "cell_id", F.col(level).alias("kind"))
+    known = slots.join(box.select(TABLE, "cell_id", "r0", "c0"), [TABLE, "cell_id"]).join(types, [TABLE, "cell_id"])
+
+    def lines(axis: str, line: str, begins: str, cuts: range) -> DataFrame:
+        """(table_uid, line, share array): by the cut across the line, the share of the commonest type after it."""
+        cells = known.select(TABLE, F.col(line).alias("line"), "cell_id", "kind", begins).distinct()
+        per = cells.groupBy(TABLE, "line", "kind").agg(*[F.count_if(F.col(begins) >= k).alias(f"k{k}") for k in cuts])
+        shares = F.array(*[F.try_divide(F.max(f"k{k}"), F.sum(f"k{k}")) for k in cuts])
+        return per.groupBy(TABLE, "line").agg(shares.alias("shares")).select(TABLE, F.lit(axis).alias("axis"), "line", "shares")
+
+    by_line = lines("col", "col_idx", "r0", rows).unionByName(lines("row", "row_idx", "c0", columns))
+    summed = by_line.groupBy(TABLE, "axis").agg(F.collect_list(F.struct("line", "shares")).alias("lines"))
+    at = other.join(summed, TABLE)
+    first, across = F.when(F.col("axis") == "col", F.col("vmd")).otherwise(F.col("hmd")), F.when(F.col("axis") == "col", F.col("hmd")).otherwise(F.col("vmd"))
+    taken = F.transform(F.filter("lines", lambda x: (x["line"] >= first) & F.get(x["shares"], across).isNotNull()), lambda x: F.get(x["shares"], across))
+    mean = F.try_divide(F.aggregate(taken, F.lit(0.0), lambda a, x: a + x), F.size(taken))
+    return at.select(TABLE, "hmd", "vmd", "axis", mean.alias("purity"))
+
+
 def labelled_set(tables: DataFrame, gold: DataFrame, least_confidence: float) -> DataFrame:
     """Gold rows of at least a confidence that name a candidate, joined to their tables; gold for an unknown table
     is an error. gold: table_uid, gold_candidate, confidence."""
@@ -196,10 +249,25 @@ def paired(results: DataFrame, first: str, second: str) -> DataFrame:
 
 def exact_p(only_first: int, only_second: int) -> float:
     """Two-sided exact McNemar probability."""
-    from math import comb
+    n, least = only_first + only_second, min(only_first, only_second)
+    if not n:
+        return 1.0
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2) for k in range(least + 1)]
+    most = max(logs)
+    return min(1.0, 2 * math.exp(most) * math.fsum(math.exp(x - most) for x in logs))
+
+
+def paired_probability(counts: DataFrame) -> DataFrame:
+    """paired() with p, the exact McNemar probability of its two counts."""
+    row = counts.first().asDict()
+    return counts.withColumn("p", F.lit(exact_p(row["only_first"], row["only_second"])))
+
 
-    n = only_first + only_second
-    return min(1.0, 2 * sum(comb(n, k) for k in range(min(only_first, only_second) + 1)) / 2**n) if n else 1.0
+def end_to_end(accuracies: DataFrame, tables: DataFrame, arm: str = "arm") -> DataFrame:
+    """(arm, n_answered, answered, end_to_end): the mean cell accuracy of the answered tables, and of all tables with 0 for
+    those without an answer. accuracies: arm, table_uid, accuracy (null or no row: no answer); tables: arm, table_uid."""
+    every = tables.select(arm, TABLE).distinct().join(accuracies.select(arm, TABLE, "accuracy"), [arm, TABLE], "left")
+    return every.groupBy(arm).agg(F.count("accuracy").alias("n_answered"), F.avg("accuracy").alias("answered"), F.avg(F.coalesce("accuracy", F.lit(0.0))).alias("end_to_end"))
 
 
 def slice_rates(records: DataFrame, slices) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablewright.functions.text import index_ranges
 from tablewright.operators.geometry import TABLE
 
-MAX_SLOTS, MAX_CHARS, MAX_CELL = 2500, 60_000, 200
+MAX_SLOTS, MAX_CHARS, MAX_CELL, MAX_CONTEXT = 2500, 60_000, 200, 1500
 
 
 def queue(tables: DataFrame) -> DataFrame:
@@ -21,22 +22,49 @@ def queue(tables: DataFrame) -> DataFrame:
 
 
 def table_lines(slots: DataFrame, cells: DataFrame) -> DataFrame:
-    """(table_uid, row_idx, line): a row as 'row r: c0 "text" | c1 < | c2 ^', a cell's text where it begins, ^ and < where it goes on down or right."""
-    at = slots.join(cells.select(TABLE, "cell_id", F.col("row_idx").alias("top"), F.col("col_idx").alias("side"), "text"), [TABLE, "cell_id"])
-    text = F.trim(F.regexp_replace(F.col("text"), "\\s+", " "))
+    """(table_uid, row_idx, line): a row as 'row r: c0* "text" | c1 < | c2 ^', a cell's text where it begins, marked * if its
+    tag is th, ^ and < where it goes on down or right. cells: table_uid, cell_id, row_idx, col_idx, text, tag (optional)."""
+    tag = F.col("tag") if "tag" in cells.columns else F.lit(None).cast("string")
+    at = slots.join(cells.select(TABLE, "cell_id", F.col("row_idx").alias("top"), F.col("col_idx").alias("side"), "text", tag.alias("tag")), [TABLE, "cell_id"])
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "\\s+", " "))
     short = F.when(F.length(text) > MAX_CELL, F.concat(F.substring(text, 1, MAX_CELL), F.lit(" [...]"))).otherwise(text)
     begins = (F.col("row_idx") == F.col("top")) & (F.col("col_idx") == F.col("side"))
     down, right = F.col("row_idx") > F.col("top"), F.col("col_idx") > F.col("side")
     shown = F.when(begins, F.concat(F.lit('"'), F.replace(short, F.lit('"'), F.lit('\\"')), F.lit('"'))).when(down & right, "^<").when(down, "^").otherwise("<")
-    part = F.concat(F.lit("c"), F.col("col_idx").cast("string"), F.lit(" "), shown)
+    mark = F.when(begins & (F.col("tag") == "th"), "* ").otherwise(" ")
+    part = F.concat(F.lit("c"), F.col("col_idx").cast("string"), mark, shown)
     rows = at.groupBy(TABLE, "row_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", part.alias("p")))), lambda s: s["p"]), " | ").alias("line"))
     return rows.withColumn("line", F.concat(F.lit("row "), F.col("row_idx").cast("string"), F.lit(": "), F.col("line")))
 
 
-def table_blocks(lines: DataFrame, shapes: DataFrame) -> DataFrame:
+def context_line(name: str, value: Column) -> Column:
+    """'Label: ...' and a line end, at most MAX_CONTEXT characters of the text; nothing for no text."""
+    text = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), "\\s+", " "))
+    short = F.when(F.length(text) > MAX_CONTEXT, F.concat(F.substring(text, 1, MAX_CONTEXT), F.lit(" [...]"))).otherwise(text)
+    return F.when(text == "", "").otherwise(F.concat(F.lit(f"{name}: "), short, F.lit("\n")))
+
+
+def parse_descriptions(candidates: DataFrame) -> DataFrame:
+    """(table_uid, candidate_id, description) of candidates in words: their counts, or each subtable's rows, columns and
+    counts and the rows set aside. candidates: as of layouts.table_candidates."""
+    part = lambda s: F.concat(F.lit("a subtable of rows "), index_ranges(s["rows"]), F.lit(" and columns "), index_ranges(s["columns"]), F.format_string(" with H = %d, V = %d", s["hmd"], s["vmd"]))
+    parts = candidates.select(TABLE, "candidate_id", F.posexplode("subtables").alias("k", "s")).select(TABLE, "candidate_id", F.struct("k", part(F.col("s")).alias("t")).alias("p"))
+    said = parts.groupBy(TABLE, "candidate_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "; ").alias("said"))
+    rows = candidates.withColumn("aside", F.sort_array(F.array_distinct(F.transform("separators", lambda x: x["row_idx"])))).select(TABLE, "candidate_id", "kind", "hmd", "vmd", "aside", index_ranges(F.col("aside")).alias("ranges"))
+    full = F.when(F.size("aside") == 0, F.concat("said", F.lit("."))).otherwise(F.concat("said", F.lit("; rows "), "ranges", F.lit(" are set aside as separators.")))
+    return rows.join(said, [TABLE, "candidate_id"]).select(TABLE, "candidate_id", F.when(F.col("kind") == "layout", full).otherwise(F.format_string("H = %d, V = %d.", "hmd", "vmd")).alias("description"))
+
+
+def table_blocks(lines: DataFrame, shapes: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """(table_uid, block): a table's lines between BEGIN TABLE and END TABLE, after its label, caption and notes where a
+    context (table_uid, label, caption, notes array<string>) has them."""
     body = lines.groupBy(TABLE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "line"))), lambda s: s["line"]), "\n").alias("body"))
     head = F.format_string("BEGIN TABLE (%d rows x %d columns)\n", "n_rows", "n_cols")
-    return body.join(shapes, TABLE).select(TABLE, F.concat(head, "body", F.lit("\nEND TABLE")).alias("block"))
+    at = body.join(shapes, TABLE)
+    if context is None:
+        return at.select(TABLE, F.concat(head, "body", F.lit("\nEND TABLE")).alias("block"))
+    told = context.select(TABLE, F.concat(context_line("Label", F.col("label")), context_line("Caption", F.col("caption")), context_line("Notes", F.array_join("notes", " "))).alias("told"))
+    return at.join(told, TABLE, "left").select(TABLE, F.concat(F.coalesce("told", F.lit("")), head, "body", F.lit("\nEND TABLE")).alias("block"))
 
 
 def answer_fields(answer: Column, n_rows: Column, n_cols: Column) -> dict[str, Column]:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.operators import export, layouts, review, rules, scoring
+from tablewright.operators import evaluate, export, layouts, review, rules, scoring
 from tablewright.operators import geometry as g
 from tablewright.plans.fixtures import FIXTURE_CTES, cells_of, shared_dir, texts
 from tablewright.plans.table_queries import COMMON, ORACLES, TYPES, query
@@ -277,3 +277,45 @@ def e5_layout_separators(spark, sf_dir):
 
 
 oracle("e5_layout_separators", " SELECT table_uid, candidate_id, row_idx, string_agg(text, ' | ' ORDER BY first_) AS text FROM (SELECT h.table_uid, h.candidate_id, h.row_idx, min(h.col_idx) AS first_, max(text) AS text FROM held h JOIN named n ON n.table_uid = h.table_uid AND n.row_idx = h.row_idx AND n.col_idx = h.col_idx WHERE role = 'separator' GROUP BY h.table_uid, h.candidate_id, h.row_idx, h.cell_id) GROUP BY ALL")
+
+
+@query()
+def r4_parse_descriptions(spark, sf_dir):
+    return review.parse_descriptions(candidates(spark, sf_dir))
+
+
+RANGES = "(SELECT string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) FROM (SELECT min(x) AS a, max(x) AS b FROM (SELECT x, x - row_number() OVER (ORDER BY x) AS island FROM (SELECT unnest(LISTED) AS x)) GROUP BY island))"
+oracle("r4_parse_descriptions", f""", said AS (SELECT table_uid, candidate_id, k, any_value(is_layout) AS is_layout, any_value(h) AS h, any_value(v) AS v, {RANGES.replace('LISTED', 'any_value(rows_)')} AS r, {RANGES.replace('LISTED', 'any_value(cols_)')} AS c FROM parts GROUP BY ALL),
+aside_ AS (SELECT table_uid, candidate_id, list(DISTINCT row_idx ORDER BY row_idx) AS rs FROM held WHERE role = 'separator' GROUP BY ALL),
+ranged AS (SELECT table_uid, candidate_id, {RANGES.replace('LISTED', 'rs')} AS ranges FROM aside_),
+joined_ AS (SELECT table_uid, candidate_id, any_value(is_layout) AS is_layout, any_value(h) AS h, any_value(v) AS v, string_agg('a subtable of rows ' || r || ' and columns ' || c || ' with H = ' || h || ', V = ' || v, '; ' ORDER BY k) AS body FROM said GROUP BY ALL)
+SELECT j.table_uid, j.candidate_id, CASE WHEN NOT is_layout THEN 'H = ' || h || ', V = ' || v || '.' WHEN ranges IS NULL THEN body || '.' ELSE body || '; rows ' || ranges || ' are set aside as separators.' END AS description FROM joined_ j LEFT JOIN ranged r ON r.table_uid = j.table_uid AND r.candidate_id = j.candidate_id""")
+
+
+def first_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first layout of each table as its gold labels: the one with most cuts."""
+    first = candidates(spark, sf_dir).where("ord = 0").select("table_uid", "candidate_id")
+    return once(spark, sf_dir, "gold-regions", lambda: layouts.cell_labels(held(spark, sf_dir).join(first, ["table_uid", "candidate_id"], "left_semi")))
+
+
+@query()
+def a8_gold_against_others(spark, sf_dir):
+    """The purity of gold labels against that of all other plain boundaries, column by column and row by row."""
+    gold, kinds = first_regions(spark, sf_dir), types(spark, sf_dir)
+    others = evaluate.boundary_purities(slots(spark, sf_dir), kinds, gold)
+    found = evaluate.purity_comparison(evaluate.region_purities(slots(spark, sf_dir), gold, kinds), others)
+    return found.select("axis", "tables", *[F.round(c, 6).alias(c) for c in ("gold_purity", "other_purity", "gold_purest", "gold_tied")])
+
+
+oracle("a8_gold_against_others", TYPES + """, gold AS (SELECT table_uid, cell_id, arg_min(role, (row_idx, col_idx)) AS region FROM held WHERE ord = 0 GROUP BY ALL),
+box AS (SELECT w.table_uid, w.cell_id, min(row_idx) AS r0, max(row_idx) AS r1, min(col_idx) AS c0, max(col_idx) AS c1 FROM whole w WHERE table_uid IN (SELECT table_uid FROM gold) GROUP BY ALL),
+high AS (SELECT table_uid, max(r1) AS last_r, max(c1) AS last_c FROM box GROUP BY 1),
+tried AS (SELECT t.table_uid, h.h, v.v FROM high t, range(0, 5) h(h), range(0, 4) v(v) WHERE h.h <= last_r AND v.v <= last_c AND h.h + v.v > 0),
+named_ AS MATERIALIZED (SELECT t.table_uid, t.h, t.v, b.cell_id, CASE WHEN r0 < t.h THEN 'hmd' WHEN c0 < t.v THEN 'vmd' ELSE 'data' END AS region, (r0 < t.h AND r1 >= t.h) OR (r0 >= t.h AND c0 < t.v AND c1 >= t.v) AS is_cut FROM tried t JOIN box b ON b.table_uid = t.table_uid),
+other AS (SELECT n.table_uid, h, v FROM named_ n JOIN gold g ON g.table_uid = n.table_uid AND g.cell_id = n.cell_id GROUP BY ALL HAVING NOT bool_or(is_cut) AND bool_or(n.region <> g.region)),
+spots AS MATERIALIZED (SELECT DISTINCT w.table_uid, axis, CASE axis WHEN 'col' THEN col_idx ELSE row_idx END AS line, w.cell_id, family FROM whole w JOIN types t ON t.table_uid = w.table_uid AND t.cell_id = w.cell_id, (VALUES ('col'), ('row')) a(axis) WHERE family NOT IN ('empty', 'untyped', 'Missing')),
+all_ AS (SELECT n.table_uid, h AS h, v AS v, cell_id FROM named_ n JOIN other o USING (table_uid, h, v) WHERE region = 'data' UNION ALL SELECT table_uid, -1, -1, cell_id FROM gold WHERE region = 'data'),
+counted AS (SELECT a.table_uid, h, v, axis, line, family, count(*) AS k FROM all_ a JOIN spots s ON s.table_uid = a.table_uid AND s.cell_id = a.cell_id GROUP BY ALL),
+pure AS (SELECT table_uid, h, v, axis, avg(p) AS purity FROM (SELECT table_uid, h, v, axis, line, max(k) / sum(k) AS p FROM counted GROUP BY ALL) GROUP BY ALL),
+rest AS (SELECT table_uid, axis, avg(purity) AS mean_, max(purity) AS best FROM pure WHERE h >= 0 GROUP BY ALL)
+SELECT p.axis, count(*) AS tables, round(avg(purity), 6) AS gold_purity, round(avg(mean_), 6) AS other_purity, round(avg((round(purity, 12) > round(best, 12))::INTEGER), 6) AS gold_purest, round(avg((round(purity, 12) = round(best, 12))::INTEGER), 6) AS gold_tied FROM pure p JOIN rest r ON r.table_uid = p.table_uid AND r.axis = p.axis WHERE h = -1 GROUP BY 1""")

@@ -223,19 +223,29 @@ def r2_queue(spark, sf_dir):
     return review.queue(tables.withColumn("quarantined", k == 6))
 
 
-LINES_SQL = """, parts AS (SELECT s.table_uid, s.row_idx, s.col_idx, 'c' || s.col_idx || ' ' || CASE WHEN s.row_idx = c.row_idx AND s.col_idx = c.col_idx THEN '"' || replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '"', '\\"') || '"' WHEN s.row_idx > c.row_idx AND s.col_idx > c.col_idx THEN '^<' WHEN s.row_idx > c.row_idx THEN '^' ELSE '<' END AS part
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir).withColumn("tag", F.when(F.col("row_idx") == 0, "th").otherwise("td"))
+
+
+LINES_SQL = """, parts AS (SELECT s.table_uid, s.row_idx, s.col_idx, 'c' || s.col_idx || CASE WHEN s.row_idx = 0 AND c.row_idx = 0 AND s.col_idx = c.col_idx THEN '* ' ELSE ' ' END || CASE WHEN s.row_idx = c.row_idx AND s.col_idx = c.col_idx THEN '"' || replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '"', '\\"') || '"' WHEN s.row_idx > c.row_idx AND s.col_idx > c.col_idx THEN '^<' WHEN s.row_idx > c.row_idx THEN '^' ELSE '<' END AS part
 FROM slots s JOIN cells c ON c.table_uid = s.table_uid AND c.cell_id = s.cell_id), rows_ AS (SELECT table_uid, row_idx, 'row ' || row_idx || ': ' || string_agg(part, ' | ' ORDER BY col_idx) AS line FROM parts GROUP BY table_uid, row_idx)"""
 
 
 @query(f"{FIRST}{LINES_SQL} SELECT table_uid, row_idx, line FROM rows_")
 def r3_table_lines(spark, sf_dir):
-    return review.table_lines(slots(spark, sf_dir), cells(spark, sf_dir))
+    """Cells of a table's first row count as th."""
+    return review.table_lines(slots(spark, sf_dir), tagged(spark, sf_dir))
 
 
-@query(f"{FIRST}{LINES_SQL} SELECT r.table_uid, 'BEGIN TABLE (' || any_value(n_rows) || ' rows x ' || any_value(n_cols) || ' columns)' || chr(10) || string_agg(line, chr(10) ORDER BY row_idx) || chr(10) || 'END TABLE' AS block FROM rows_ r JOIN dims d ON d.table_uid = r.table_uid GROUP BY r.table_uid")
+@query(f"""{FIRST}{LINES_SQL}, told AS (SELECT table_uid, CASE WHEN k % 4 = 0 THEN '' ELSE 'Label: Table ' || k || chr(10) END || CASE k % 3 WHEN 0 THEN 'Caption: ' || repeat('long ', 300) || ' [...]' || chr(10) ELSE '' END || CASE WHEN k % 2 = 1 THEN 'Notes: a b ' || k || chr(10) ELSE '' END AS told FROM (SELECT table_uid, split_part(table_uid, '/t', 2)::INTEGER AS k FROM dims))
+SELECT r.table_uid, any_value(told) || 'BEGIN TABLE (' || any_value(n_rows) || ' rows x ' || any_value(n_cols) || ' columns)' || chr(10) || string_agg(line, chr(10) ORDER BY row_idx) || chr(10) || 'END TABLE' AS block FROM rows_ r JOIN dims d ON d.table_uid = r.table_uid JOIN told t ON t.table_uid = r.table_uid GROUP BY r.table_uid""")
 def r3_table_blocks(spark, sf_dir):
+    """With labels on three tables of four, a caption beyond the limit on each third, and notes on each second."""
     all_ = slots(spark, sf_dir)
-    return review.table_blocks(review.table_lines(all_, cells(spark, sf_dir)), g.shape(all_))
+    k = F.split_part("table_uid", F.lit("/t"), F.lit(2)).cast("int")
+    notes = F.when(k % 2 == 1, F.array(F.lit("a"), F.lit(" b"), k.cast("string")))
+    context = all_.select("table_uid").distinct().select("table_uid", F.when(k % 4 != 0, F.concat(F.lit(" Table  "), k.cast("string"))).alias("label"), F.when(k % 3 == 0, F.repeat(F.lit("long "), 400)).otherwise(" ").alias("caption"), notes.alias("notes"))
+    return review.table_blocks(review.table_lines(all_, tagged(spark, sf_dir)), g.shape(all_), context)
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,13 +516,26 @@ def a17_place_labels(spark, sf_dir):
 
 
 @query(f"{FIRST}{PRIOR}{LABELLED} SELECT c.table_uid, round(avg((region = CASE WHEN c.row_idx < hmd THEN 'hmd' WHEN c.col_idx < vmd THEN 'vmd' WHEN hmd IS NOT NULL THEN 'data' END)::INTEGER), 6) AS accuracy FROM cells c JOIN answered a ON a.table_uid = c.table_uid AND a.row_idx = c.row_idx AND a.col_idx = c.col_idx LEFT JOIN pick p ON p.table_uid = c.table_uid GROUP BY 1")
-def a18_cell_accuracy(spark, sf_dir):
+def a18_cell_accuracy(spark, sf_dir, exact=False):
     """Against the prior's boundary; null for a table without a candidate."""
     all_ = slots(spark, sf_dir)
     size = g.shape(all_).select("table_uid", "n_rows", "n_cols")
     whole = chosen(spark, sf_dir).join(size, "table_uid").select("table_uid", F.lit(0).alias("first_row"), (F.col("n_rows") - 1).alias("last_row"), F.lit(0).alias("first_col"), (F.col("n_cols") - 1).alias("last_col"), F.col("hmd").alias("head_rows"), F.col("vmd").alias("side_cols"))
     truth = evaluate.place_labels(all_, whole, g.separators(all_).limit(0))
-    return evaluate.cell_accuracy(cells(spark, sf_dir), answered_places(spark, sf_dir), truth).withColumn("accuracy", F.round("accuracy", 6))
+    found = evaluate.cell_accuracy(cells(spark, sf_dir), answered_places(spark, sf_dir), truth)
+    return found if exact else found.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""{FIRST}{PRIOR}{LABELLED}, acc AS (SELECT c.table_uid, avg((region = CASE WHEN c.row_idx < hmd THEN 'hmd' WHEN c.col_idx < vmd THEN 'vmd' WHEN hmd IS NOT NULL THEN 'data' END)::INTEGER) AS accuracy FROM cells c JOIN answered a ON a.table_uid = c.table_uid AND a.row_idx = c.row_idx AND a.col_idx = c.col_idx LEFT JOIN pick p ON p.table_uid = c.table_uid GROUP BY 1),
+arms AS (SELECT arm, d.table_uid FROM dims d, (VALUES ('all'), ('some')) v(arm))
+SELECT arm, count(accuracy) AS n_answered, round(avg(accuracy), 6) AS answered, round(avg(coalesce(accuracy, 0)), 6) AS end_to_end FROM arms LEFT JOIN acc ON acc.table_uid = arms.table_uid AND (arm = 'all' OR split_part(acc.table_uid, '/t', 2)::INTEGER % 3 > 0) GROUP BY 1""")
+def a18_end_to_end(spark, sf_dir):
+    """Two arms with the same answers, one without those of every third table."""
+    per = a18_cell_accuracy(spark, sf_dir, exact=True)
+    left = F.split_part("table_uid", F.lit("/t"), F.lit(2)).cast("int") % 3 > 0
+    both = per.withColumn("arm", F.lit("all")).unionByName(per.where(left).withColumn("arm", F.lit("some")))
+    tables = slots(spark, sf_dir).select("table_uid").distinct().select("table_uid", F.explode(F.array(F.lit("all"), F.lit("some"))).alias("arm"))
+    return evaluate.end_to_end(both, tables).select("arm", "n_answered", F.round("answered", 6).alias("answered"), F.round("end_to_end", 6).alias("end_to_end"))
 
 
 @query("SELECT event_type AS arm, count(*) AS calls, sum((event_id % 1000)::BIGINT)::BIGINT AS tokens, round(sum((event_id % 1000) * CASE user_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 0 END)::DOUBLE, 4) AS cost FROM events GROUP BY 1")
@@ -527,9 +550,10 @@ def a20_summary(spark, sf_dir):
     return evaluate.summary(outcomes(spark, sf_dir).select(F.col("event_type").alias("arm"), (F.col("user_id") % 4).alias("part"), "outcome"), "arm", "part", "outcome")
 
 
-@query(f"{FIRST}{PRIOR}{GOLD}{METHODS} SELECT count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (b AND NOT a) AS only_second, count(*) FILTER (a AND b) AS both, count(*) FILTER (NOT a AND NOT b) AS neither FROM (SELECT table_uid, bool_or(method = 'prior' AND coalesce(chosen = gold_id, false)) AS a, bool_or(method = 'one_one' AND chosen = gold_id) AS b FROM methods GROUP BY 1)")
+@query(f"{FIRST}{PRIOR}{GOLD}{METHODS}, ab AS (SELECT table_uid, bool_or(method = 'prior' AND coalesce(chosen = gold_id, false)) AS a, bool_or(method = 'one_one' AND chosen = gold_id) AS b FROM methods GROUP BY 1) SELECT count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (b AND NOT a) AS only_second, count(*) FILTER (a AND b) AS both, count(*) FILTER (NOT a AND NOT b) AS neither, round((SELECT least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))) FROM (SELECT count(*) FILTER (a <> b) AS n, least(count(*) FILTER (a AND NOT b), count(*) FILTER (b AND NOT a)) AS m FROM ab) x, range(0, 1000000) r(k) WHERE k <= m), 6) AS p FROM ab")
 def a22_paired(spark, sf_dir):
-    return evaluate.paired(methods(spark, sf_dir).select("method", "table_uid", F.coalesce(F.col("chosen") == F.col("gold"), F.lit(False)).alias("correct")), "prior", "one_one")
+    counts = evaluate.paired(methods(spark, sf_dir).select("method", "table_uid", F.coalesce(F.col("chosen") == F.col("gold"), F.lit(False)).alias("correct")), "prior", "one_one")
+    return evaluate.paired_probability(counts).withColumn("p", F.round("p", 6))
 
 
 @query("SELECT slice, count(*) AS n, count(*) FILTER (toxic = 1) AS disagreeing, round(avg(toxic), 6) AS rate FROM (SELECT toxic, unnest(CASE WHEN quality = 1 THEN ['all', 'good'] ELSE ['all'] END || CASE WHEN doc_id % 2 = 0 THEN ['even'] ELSE [] END) AS slice FROM labels) GROUP BY 1")
