@@ -33,6 +33,11 @@ TEXTUAL = HEADINGS | set("p li ul ol dl dt dd blockquote pre figure figcaption t
 # What does not belong to an article, by element and, as a prior, by the words of its class, id and role.
 OUTSIDE = set("nav header footer aside form button select menu dialog head script style noscript template svg math iframe textarea title object canvas".split())
 OUTSIDE_WORDS = set("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted related replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget navigation complementary contentinfo search alert gdpr consent signup".split())
+# Words that say less on a text's own element: a heading may be called a header, a paragraph be about a search. There
+# they count only where the text is constant or mostly links.
+WEAK_WORDS = set("alert banner header login masthead promoted related search social widget".split())
+# An element that is often drawn around a whole page.
+WRAPPING = {"form"}
 # Priors that an element is the article: how many times its text counts.
 INSIDE, INSIDE_WEIGHT = {"article", "main"}, 30.0
 INSIDE_WORDS, INSIDE_WORDS_WEIGHT = set("article content entry main post story articlebody maincontent text body".split()), 12.0
@@ -59,13 +64,15 @@ class Prior(NamedTuple):
     outside: bool
     named_outside: bool
     weight: float
+    weakly: bool
 
 
 @lru_cache(1 << 14)
 def prior(label: str) -> Prior:
     name, *marks = label.split(" ")
     weight = INSIDE_WEIGHT if name in INSIDE else INSIDE_WORDS_WEIGHT if INSIDE_WORDS & set(marks) else 1.0
-    return Prior(name, name in OUTSIDE, name not in ("html", "body") and bool(OUTSIDE_WORDS & set(marks)), weight)
+    named = OUTSIDE_WORDS & set(marks)
+    return Prior(name, name in OUTSIDE, name not in ("html", "body") and bool(named), weight, name in TEXTUAL and bool(named) and named <= WEAK_WORDS)
 
 
 class Node:
@@ -380,25 +387,35 @@ def load(text: str, seen: dict[int, tuple[int, int, bool]] | None = None) -> Nod
     return top.kids[0]
 
 
-def outside(root: Node) -> None:
-    """Marks the nodes that are no part of an article: by element, and by class words unless the page's body or its
-    first heading is in them."""
+def outside(root: Node, strict: bool = True) -> None:
+    """Marks the nodes that are no part of an article. By element: always, but for one that is drawn around pages, which
+    goes only if it holds neither the first heading, nor an article, nor half of the page's text outside links. By class
+    words: unless the page's body or its first heading is in them, or the words say little and the text is neither
+    template nor mostly links. Not strict: by element only, and nothing that is drawn around pages."""
     order = [root]
     for node in order:
         order.extend(node.kids)
-    named = []
+    titled: set[int] = set()
+    held: set[int] = set()
+    said: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for node in reversed(order):
+        name = prior(node.label).name
+        if name == "h1" or any(id(k) in titled for k in node.kids):
+            titled.add(id(node))
+        if name in INSIDE or any(id(k) in held for k in node.kids):
+            held.add(id(node))
+        said[id(node)] = len(node.text) + sum(said[id(k)] for k in node.kids)
+        linked[id(node)] = node.links + sum(linked[id(k)] for k in node.kids)
+    plain = said[id(root)] - linked[id(root)]
     for node in order:
-        known = prior(node.label)
+        known, own = prior(node.label), said[id(node)] - linked[id(node)]
         node.out = known.outside
-        if known.named_outside and not node.out:
-            named.append(node)
-    if named:
-        titled: set[int] = set()
-        for node in reversed(order):
-            if prior(node.label).name == "h1" or any(id(k) in titled for k in node.kids):
-                titled.add(id(node))
-        for node in named:
-            node.out = id(node) not in titled
+        if known.name in WRAPPING:
+            node.out = strict and not (id(node) in titled or id(node) in held or 2 * own > plain)
+        elif strict and known.named_outside and not node.out and id(node) not in titled:
+            constant = node.slot is not None and any(k.slot is not None and k.slot.template for k in node.kids)
+            node.out = not known.weakly or constant or 2 * linked[id(node)] > said[id(node)]
 
 
 def match(page: Node, wrapper: Node) -> None:
@@ -429,11 +446,17 @@ def extract(page: Node, wrapper: Node) -> str:
     The region of the article is found from the top: a part becomes the region while it holds LEADING of the slot
     text there, by the average over the host's pages (the page's own for what has no slot), links left out and the
     priors of its element and class words multiplied in. Of a region everything is kept but what is outside by
-    element or class words and what is template: the same on TEMPLATE_PAGES or more pages, headings excepted.
-    Headings before a region without a prior belong to it. If nothing is left, all text that is not outside is taken.
+    element or class words and what is template, the same on TEMPLATE_PAGES or more pages, before the first or after the
+    last text that is not, headings excepted. Headings and texts right before a region that is no article element belong
+    to it, unless they are template. If nothing is left, all text that is not outside is taken, then all that is not by
+    element.
     """
     match(page, wrapper)
-    outside(page)
+    return main_blocks(page) or main_blocks(page, strict=False)
+
+
+def main_blocks(page: Node, strict: bool = True) -> str:
+    outside(page, strict)
     order = [page]
     for node in order:
         order.extend(node.kids)
@@ -461,32 +484,51 @@ def extract(page: Node, wrapper: Node) -> str:
         best = max(score, key=score.__getitem__)
         if parts[best][0].prior.name in TEXTUAL or (len(parts[best]) > 1 and weight[best] == 1) or score[best] < LEADING * (own + sum(score.values())):
             break
-        if weight[best] == 1:
+        if weight[best] < INSIDE_WEIGHT:
             kids = [k for node in region for k in node.kids]
-            heads += [k for k in kids[: next(i for i, k in enumerate(kids) if k is parts[best][0])] if k.prior.name in HEADINGS]
+            before = kids[: next(i for i, k in enumerate(kids) if k is parts[best][0])]
+            near = next((i for i, k in enumerate(reversed(before)) if k.prior.name not in TEXTUAL), len(before))
+            heads += [k for i, k in enumerate(before) if k.prior.name in HEADINGS and weight[best] == 1 or i >= len(before) - near and varies(k)]
         region = parts[best]
 
     def blocks(tops: list[Node], constant: bool) -> list[str]:
         found: list[str] = []
+        fixed: list[bool] = []
         todo = [(n, n) for n in reversed(tops)]
         line = None  # the element whose line goes on, as an element left out inside it does not break it
         while todo:
             node, parent = todo.pop()
             if node.label != TEXT:
                 line = line if node.prior.name in INLINE else None
-            elif constant or parent.prior.name in HEADINGS or node.slot is None or not node.slot.template:
+            else:
+                template = not constant and parent.prior.name not in HEADINGS and node.slot is not None and node.slot.template
                 if line is parent:
                     found[-1] += " " + node.text
+                    fixed[-1] = fixed[-1] and template
                 else:
                     found.append(node.text)
+                    fixed.append(template)
                 line = parent
             if not node.out:
                 todo.extend((k, node) for k in reversed(node.kids))
-        return found
+        varying = [i for i, f in enumerate(fixed) if not f]
+        return found[varying[0] : varying[-1] + 1] if varying else []
 
     return "\n".join(blocks(heads + region, False) or blocks(heads + region, True) or blocks([page], True))
 
 
+def varies(node: Node) -> bool:
+    """Whether an element before the article's region has text that is neither template nor outside."""
+    todo = [node]
+    while todo:
+        now = todo.pop()
+        if now.label == TEXT and not (now.slot is not None and now.slot.template):
+            return True
+        if not now.out:
+            todo.extend(now.kids)
+    return False
+
+
 def host(url):
     """The host of a URL in lower case; empty for a null or odd one."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))

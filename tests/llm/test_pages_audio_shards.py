@@ -322,3 +322,38 @@ def test_pages_without_ids(spark):
 
 def test_query_table_size_matches_its_statement():
     assert sharding.next_prime(100 * len(queries.SHARDS)) == 6421
+
+
+PROSE = ["north fields of oats and rye {} lie under snow", "{} farmers wait for the thaw and mend their tools", "until spring the mills of {} stand still"]
+
+
+@pytest.mark.parametrize("frame,extra", [
+    ('<div class=page><h1>Head {0}</h1><p class=lead>Lead {0}</p><div class=text>{1}</div></div>', ["Head {0}", "Lead {0}"]),
+    ("<form id=aspnetForm><div class=menu><a href=/>Home</a></div><div><h1>Head {0}</h1>{1}</div></form>", ["Head {0}"]),
+    ("<form id=aspnetForm><div>{1}</div></form>", []),
+    ("<div class=comment>{1}</div>", []),
+    ("<article><h1>Head {0}</h1>{1}<p class='social history'>Their social {0} past</p><p>End {0}</p></article>", ["Head {0}"]),
+])
+def test_articles_of_other_makes(spark, frame, extra):
+    """Four pages a host, no word of the article lost and nothing of menus and footers kept."""
+    pages, expected = [], {}
+    for k in range(4):
+        said = [p.format(f"land{k}") for p in PROSE]
+        body = "".join(f"<p>{x}.</p>" for x in said)
+        pages.append((k, f"http://make.example/{k}", f"<body><nav><a href=/>Home</a></nav>{frame.format(k, body)}<footer>Legal line</footer>"))
+        expected[k] = [x.format(k) for x in extra] + [f"{x}." for x in said] + ([f"Their social {k} past", f"End {k}"] if "social" in frame else [])
+    got = extract(spark, pages)
+    assert {k: got[k][0].split("\n") for k in got} == expected
+
+
+@pytest.mark.parametrize("constant", ["<blockquote>The same saying</blockquote>", "<p class=intro>The same saying</p>", "<figure><figcaption>The same saying</figcaption></figure>", "<table><tr><td>The same saying</td></tr></table>"])
+def test_constant_text_within_an_article_stays(spark, constant):
+    pages = [(k, f"http://same.example/{k}", f"<article><h1>Head {k}</h1>{constant}<p>{PROSE[0].format(k)}</p><div class=rights>All rights kept</div></article>") for k in range(4)]
+    got = extract(spark, pages)
+    assert {k: got[k][0].split("\n") for k in got} == {k: [f"Head {k}", "The same saying", PROSE[0].format(k)] for k in range(4)}
+
+
+def test_weak_words_on_linked_or_constant_texts_leave(spark):
+    pages = [(k, f"http://weak.example/{k}", f"<article><h1 class='entry header'>Head {k}</h1><p>{PROSE[0].format(k)}</p><p class=related><a href=/x>More on {k}</a></p><p class=search>Search here</p><h2 class='section header'>Part {k}</h2><p>{PROSE[1].format(k)}</p></article>") for k in range(4)]
+    got = extract(spark, pages)
+    assert {k: got[k][0].split("\n") for k in got} == {k: [f"Head {k}", PROSE[0].format(k), f"Part {k}", PROSE[1].format(k)] for k in range(4)}
