@@ -78,8 +78,10 @@ def boundaries(slots: DataFrame) -> DataFrame:
     """(table_uid, hmd, vmd): every header boundary that the merged cells allow.
 
     Row and column summaries meet by range predicates inside each table, so the work is rows x columns of
-    a table at most, and no place is compared with another.
+    a table at most, and no place is compared with another. Places are dealt by table once; all windows, groups and
+    joins are finer than that and need no other exchange.
     """
+    slots = slots.repartition(TABLE)
     adjacent = adjacency(slots)
     size = slots.groupBy(TABLE).agg((F.max("row_idx") + 1).alias("n_rows"), (F.max("col_idx") + 1).alias("n_cols"), (F.count("*") == F.countDistinct("cell_id")).alias("plain"))
     rows = earlier(row_summaries(adjacent).join(size, TABLE), "row_idx", "n_cols")

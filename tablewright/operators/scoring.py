@@ -51,6 +51,39 @@ def bit_costs(found: DataFrame, cell_types: DataFrame, level: str = "family", ro
     return every.join(cost, [TABLE, "candidate_id"], "left").select(TABLE, "candidate_id", F.coalesce("bits", F.lit(0.0)).alias("bits"))
 
 
+def boundary_costs(slots: DataFrame, candidates: DataFrame, cell_types: DataFrame, level: str = "family", roles: tuple[str, ...] = (), model_cost: bool = True) -> DataFrame:
+    """bit_costs of plain boundaries (table_uid, candidate_id, hmd, vmd) straight from places and types, without labels
+    and lines of every candidate: cells meet a table's candidates once, and their lines are counted as they come.
+
+    Everything is dealt by table, so that one exchange of the cells serves all groups. n log n - sum(k log k) is the
+    entropy of a line with k cells of each kind and n together.
+    """
+    role = F.col("family").isin(*roles) | F.col("type").isin(*roles) if roles else F.lit(False)
+    typed = cell_types.where(~F.col("family").isin(*IGNORED)).select(TABLE, "cell_id", F.col(level).alias("kind"), role.alias("role"))
+    by_cell = slots.repartition(TABLE).groupBy(TABLE, "cell_id").agg(F.min(F.struct("row_idx", "col_idx")).alias("top"), F.collect_set("row_idx").alias("rows"), F.collect_set("col_idx").alias("cols"))
+    known = by_cell.join(typed.repartition(TABLE), [TABLE, "cell_id"])
+    found = candidates.select(TABLE, "candidate_id", "hmd", "vmd")
+    at = known.join(found, TABLE)
+    region = F.when(F.col("top.row_idx") < F.col("hmd"), "hmd").when(F.col("top.col_idx") < F.col("vmd"), "vmd").otherwise("data")
+    line = lambda axis, values: F.transform(values, lambda x: F.struct(F.lit(axis).alias("axis"), x.alias("line")))
+    rows = F.when(F.col("role"), F.array().cast("array<struct<axis:string,line:int>>")).otherwise(line("row", F.col("rows")))
+    lines = F.when(region == "data", F.concat(line("col", F.col("cols")), rows)).otherwise(F.array(F.struct(region.alias("axis"), F.lit(0).alias("line"))))
+    each = at.select(TABLE, "candidate_id", "kind", F.explode(lines).alias("l"))
+    per = each.groupBy(TABLE, "candidate_id", "l", "kind").agg(F.count("*").alias("k"))
+    n = F.sum("k")
+    entropy = per.groupBy(TABLE, "candidate_id", "l").agg((n * F.log2(n) - F.sum(F.col("k") * F.log2("k"))).alias("bits"))
+    weight = F.when(F.col("l.axis").isin("col", "row"), 0.5).otherwise(1.0)
+    cost = entropy.groupBy(TABLE, "candidate_id").agg(F.sum(weight * F.col("bits")).alias("bits"), F.sum(weight).alias("lines"))
+    units = known.groupBy(TABLE).agg((0.5 * F.log2(F.greatest(F.count("*"), F.lit(2)))).alias("unit"))
+    out = found.join(cost, [TABLE, "candidate_id"], "left").join(units, TABLE, "left")
+    bits = F.col("bits") + (F.col("lines") * F.col("unit") if model_cost else F.lit(0.0))
+    if roles:
+        misplaced = at.where(F.col("role") & (region == "vmd")).groupBy(TABLE, "candidate_id").agg(F.count("*").alias("m"))
+        out = out.join(misplaced, [TABLE, "candidate_id"], "left")
+        bits = bits + F.coalesce(F.col("m") * F.col("unit"), F.lit(0.0))
+    return out.select(TABLE, "candidate_id", F.coalesce(bits, F.lit(0.0)).alias("bits"))
+
+
 def purities(found: DataFrame, cell_types: DataFrame, level: str = "family") -> DataFrame:
     """Column, row and overall purity of candidates: the mean over lines of the share of a line's commonest type,
     overall the mean of the views that have lines, 0 without any."""

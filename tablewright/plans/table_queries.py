@@ -396,7 +396,7 @@ chosen AS (SELECT table_uid, arg_min(candidate_id, (bits - least > 1e-9, steps,
 def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boundary of every table by the description length of its cell types."""
     found, types = candidates(spark, sf_dir), typed(spark, sf_dir)
-    costs = scoring.bit_costs(line_cells(spark, sf_dir), types)
+    costs = kept(scoring.boundary_costs(slots(spark, sf_dir), found, types))
     return scoring.select(costs.withColumnRenamed("bits", "score"), found)
 
 
