@@ -37,3 +37,20 @@ def body_status(body: Column, is_article: Column) -> Column:
         .when(says("503 service unavailable", "502 bad gateway", "500 internal server error"), "retryable(server_unavailable)").when(says("<html", "<!doctype html"), "invalid(http_error_page)")
         .otherwise("invalid(malformed_or_nonarticle_xml)")
     )
+
+
+def json_status(body: Column, kind: Column) -> Column:
+    """The status of a downloaded JSON body, `kind` being search or summary, the first that holds: error phrases among the
+    first 2,048 characters as for articles, then what the JSON holds."""
+    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 2048))
+    says = lambda *words: F.greatest(*[head.contains(w) for w in words], F.lit(False))
+    tree = F.try_parse_json(body)
+    kind_of = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(tree, path, "variant")), F.lit(""))
+    has = lambda path: F.try_variant_get(tree, path, "variant").isNotNull()
+    is_list = lambda path: kind_of(path).startswith("ARRAY")
+    return (
+        F.when(F.coalesce(body, F.lit("")) == "", "invalid(empty_body)").when(says("rate limit exceeded", "too many requests"), "rate_limited")
+        .when(says("503 service unavailable", "502 bad gateway", "500 internal server error"), "retryable(server_unavailable)").when(says("<html", "<!doctype html"), "invalid(http_error_page)")
+        .when(tree.isNull(), "invalid(malformed_json)").when(has("$.error"), "invalid(api_error)")
+        .when(((kind == "search") & is_list("$.esearchresult.idlist")) | ((kind == "summary") & is_list("$.result.uids")), "ok").otherwise("invalid(unexpected_json_shape)")
+    )

@@ -332,3 +332,39 @@ def agreement(given: DataFrame, labelled: DataFrame, without: list[str] | None =
     both = both.join(given.select(TABLE, "cell_id", "type", "group"), [TABLE, "cell_id"], "left")
     share = lambda a, b: F.avg(F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("double"))
     return both.agg(F.count("*").alias("n"), share("type", "wanted_type").alias("type_agreement"), share("group", "wanted_group").alias("group_agreement"))
+
+
+def ablation_lines(sample: DataFrame, arms: list[str], reviews: DataFrame, gold: DataFrame) -> DataFrame:
+    """One line for every table of the sample and every arm: what the arm's review says, and whether the segmentations it
+    proposed (llm) and accepted are the gold one.
+
+    sample: table_uid. reviews: arm, table_uid, review_status, final_status, decided_by, selected_candidate_id, export_error,
+    candidate (the segmentation that selected_candidate_id names, null if none does), proposed (the boundary or
+    segmentation in the answer), any comparable type. gold: table_uid, gold_candidate, gold (null if unlabelled). In the arm
+    `full` a valid review accepts its candidate, which is also the model's if the model decided, else the model's is what it
+    proposed; in any other arm the answer is the segmentation and a valid review accepts it. A table that an arm has no
+    review of is missing there. A segmentation that is not there is neither right nor wrong (null).
+    """
+    wanted = sample.select(TABLE).distinct().withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
+    valid = F.coalesce(F.col("final_status") == "valid", F.lit(False))
+    accepted = F.when(valid, F.when(F.col("arm") == "full", F.col("candidate")).otherwise(F.col("proposed")))
+    by_model = (F.col("arm") == "full") & accepted.isNotNull() & F.coalesce(F.col("decided_by") == "llm", F.lit(False))
+    told = reviews.select("arm", TABLE, "review_status", "final_status", "decided_by", "selected_candidate_id", "export_error", accepted.alias("accepted"), F.when(by_model, accepted).otherwise(F.col("proposed")).alias("llm"))
+    out = wanted.join(told, ["arm", TABLE], "left").join(gold.select(TABLE, "gold_candidate", "gold"), TABLE, "left")
+    return out.select(
+        TABLE, "arm", "gold_candidate", "gold", F.coalesce("review_status", F.lit("missing")).alias("review_status"), "final_status", "decided_by", "selected_candidate_id", "export_error",
+        "accepted", "llm", (F.col("accepted") == F.col("gold")).alias("accepted_correct"), (F.col("llm") == F.col("gold")).alias("llm_correct"),
+    )
+
+
+def pool_runs(lines: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Several runs as one: lines (run, arm, table_uid, ...) as they are, and runs (run, model) with their number of tables.
+    ValueError if an arm scored a table twice, or if the runs used different models."""
+    twice = duplicate_keys(lines, "arm", TABLE).first()
+    if twice:
+        raise ValueError(f"{twice[TABLE]} ({twice['arm']}) is in {twice['n']} lines")
+    models = [r[0] for r in runs.select("model").distinct().sort("model").limit(2).collect()]
+    if len(models) > 1:
+        raise ValueError(f"the runs used different models: {', '.join(map(str, models))}")
+    counts = lines.groupBy("run").agg(F.countDistinct(TABLE).alias("tables"))
+    return lines, runs.join(counts, "run", "left").withColumn("tables", F.coalesce("tables", F.lit(0)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,9 +36,21 @@ def batches(asked: DataFrame, size: int = BATCH) -> DataFrame:
     return out.select("pmc_id", "text", "rule_type", "allowed", F.concat_ws("/", "pmc_id", (F.floor(F.col("n") / size) + 1).cast("string")).alias("batch_id"), (F.col("n") % size + 1).cast("int").alias("item"))
 
 
-def latest(log: DataFrame) -> DataFrame:
-    """The last answer of each key of an append-only log (seq, text, rule_type, answer)."""
-    return log.groupBy("text", "rule_type").agg(F.max_by("answer", "seq").alias("answer"))
+def latest(log: DataFrame, program_hash: str | None = None) -> DataFrame:
+    """The last answer of each key of an append-only log (seq, text, rule_type, answer). With a program's hash only answers
+    given under it count (program_sha256), so that a changed program asks anew."""
+    current = log if program_hash is None else log.where(F.col("program_sha256") == program_hash)
+    return current.groupBy("text", "rule_type").agg(F.max_by("answer", "seq").alias("answer"))
+
+
+def program_hash(lines: list[str]) -> str:
+    """SHA-256 of a program's lines, as programs.program_lines gives them: the key under which its answers are logged."""
+    return sha256("".join(f"{line}\n" for line in lines).encode()).hexdigest()
+
+
+def append_answers(log_path: str, answered: DataFrame, program: str) -> None:
+    """Appends answers (seq, text, rule_type, answer, batch_id) to the log, under the hash of the program they were asked for."""
+    answered.select("seq", F.lit(program).alias("program_sha256"), "text", "rule_type", "answer", "batch_id").write.mode("append").json(log_path)
 
 
 #: Answers up to this many rows are broadcast; beyond, a text's cells are spread over SALTS tasks.

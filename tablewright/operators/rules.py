@@ -170,6 +170,15 @@ def type_records(cell_types: DataFrame) -> DataFrame:
     )
 
 
+def type_rasters(slots: DataFrame, cell_types: DataFrame) -> DataFrame:
+    """(table_uid, type_raster array<array<string>>): the type of the cell on every place. One row holds one table, which
+    geometry.table_budget bounds."""
+    placed = slots.join(cell_types.select("table_uid", "cell_id", "type"), ["table_uid", "cell_id"])
+    in_order = lambda what, by: F.transform(F.sort_array(F.collect_list(F.struct(by, what))), lambda s: s[what])
+    rows = placed.groupBy("table_uid", "row_idx").agg(in_order("type", "col_idx").alias("types"))
+    return rows.groupBy("table_uid").agg(in_order("types", "row_idx").alias("type_raster"))
+
+
 def coverage(records: DataFrame) -> DataFrame:
     """The share of non-empty cells that no rule typed."""
     return records.agg(F.try_divide(F.sum("untyped").cast("double"), F.sum(F.col("n_cells") - F.col("empty"))).alias("untyped_share"))

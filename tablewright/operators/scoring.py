@@ -13,14 +13,17 @@ TABLE = "table_uid"
 TIE = 1e-9
 
 
-def lines(slots: DataFrame, labels: DataFrame) -> DataFrame:
+def lines(slots: DataFrame, labels: DataFrame, header_model: str = "region") -> DataFrame:
     """(table_uid, candidate_id, axis, line, cell_id): cells of each data column (col), each data row (row), and of
-    all header rows (hmd) and header columns (vmd), once for each line they cover. Of candidates with several subtables
-    layouts.subtable_lines gives the lines, which the costs and purities below take just as well."""
-    data = labels.where("region = 'data'").select(TABLE, "candidate_id", "cell_id")
-    axis = lambda name, by: data.join(slots.select(TABLE, "cell_id", F.col(by).alias("line")).distinct(), [TABLE, "cell_id"]).select(TABLE, "candidate_id", F.lit(name).alias("axis"), "line", "cell_id")
+    all header rows (hmd) and header columns (vmd), once for each line they cover. By the header model `line` every
+    header row and header column is a line of its own, and a cell over several of them counts in each. Of candidates with
+    several subtables layouts.subtable_lines gives the lines, which the costs and purities below take just as well."""
+    axis = lambda name, by, region: labels.where(F.col("region") == region).select(TABLE, "candidate_id", "cell_id").join(slots.select(TABLE, "cell_id", F.col(by).alias("line")).distinct(), [TABLE, "cell_id"]).select(TABLE, "candidate_id", F.lit(name).alias("axis"), "line", "cell_id")
+    data = axis("col", "col_idx", "data").unionByName(axis("row", "row_idx", "data"))
+    if header_model == "line":
+        return data.unionByName(axis("hmd", "row_idx", "hmd")).unionByName(axis("vmd", "col_idx", "vmd"))
     heads = labels.where("region IN ('hmd', 'vmd')").select(TABLE, "candidate_id", F.col("region").alias("axis"), F.lit(0).alias("line"), "cell_id")
-    return axis("col", "col_idx").unionByName(axis("row", "row_idx")).unionByName(heads)
+    return data.unionByName(heads)
 
 
 def line_counts(found: DataFrame, cell_types: DataFrame, level: str = "family", roles: tuple[str, ...] = ()) -> DataFrame:
@@ -46,12 +49,12 @@ def bit_costs(found: DataFrame, cell_types: DataFrame, level: str = "family", ro
     every = found.select(TABLE, "candidate_id").distinct()
     if roles:
         misplaced = found.where("axis = 'vmd'").join(cell_types.where(F.col("family").isin(*roles) | F.col("type").isin(*roles)).select(TABLE, "cell_id"), [TABLE, "cell_id"])
-        extra = misplaced.groupBy(TABLE, "candidate_id").agg(F.countDistinct("line", "cell_id").alias("m")).join(typed, TABLE).select(TABLE, "candidate_id", (F.col("m") * unit).alias("extra"))
+        extra = misplaced.groupBy(TABLE, "candidate_id").agg(F.countDistinct("cell_id").alias("m")).join(typed, TABLE).select(TABLE, "candidate_id", (F.col("m") * unit).alias("extra"))
         cost = cost.join(extra, [TABLE, "candidate_id"], "left").select(TABLE, "candidate_id", (F.col("bits") + F.coalesce("extra", F.lit(0.0))).alias("bits"))
     return every.join(cost, [TABLE, "candidate_id"], "left").select(TABLE, "candidate_id", F.coalesce("bits", F.lit(0.0)).alias("bits"))
 
 
-def boundary_costs(slots: DataFrame, candidates: DataFrame, cell_types: DataFrame, level: str = "family", roles: tuple[str, ...] = (), model_cost: bool = True) -> DataFrame:
+def boundary_costs(slots: DataFrame, candidates: DataFrame, cell_types: DataFrame, level: str = "family", roles: tuple[str, ...] = (), model_cost: bool = True, header_model: str = "region") -> DataFrame:
     """bit_costs of plain boundaries (table_uid, candidate_id, hmd, vmd) straight from places and types, without labels
     and lines of every candidate: cells meet a table's candidates once, and their lines are counted as they come.
 
@@ -67,7 +70,10 @@ def boundary_costs(slots: DataFrame, candidates: DataFrame, cell_types: DataFram
     region = F.when(F.col("top.row_idx") < F.col("hmd"), "hmd").when(F.col("top.col_idx") < F.col("vmd"), "vmd").otherwise("data")
     line = lambda axis, values: F.transform(values, lambda x: F.struct(F.lit(axis).alias("axis"), x.alias("line")))
     rows = F.when(F.col("role"), F.array().cast("array<struct<axis:string,line:int>>")).otherwise(line("row", F.col("rows")))
-    lines = F.when(region == "data", F.concat(line("col", F.col("cols")), rows)).otherwise(F.array(F.struct(region.alias("axis"), F.lit(0).alias("line"))))
+    heads = F.array(F.struct(region.alias("axis"), F.lit(0).alias("line")))
+    if header_model == "line":
+        heads = F.when(region == "hmd", line("hmd", F.col("rows"))).otherwise(line("vmd", F.col("cols")))
+    lines = F.when(region == "data", F.concat(line("col", F.col("cols")), rows)).otherwise(heads)
     each = at.select(TABLE, "candidate_id", "kind", F.explode(lines).alias("l"))
     per = each.groupBy(TABLE, "candidate_id", "l", "kind").agg(F.count("*").alias("k"))
     n = F.sum("k")
@@ -124,6 +130,21 @@ def margins(selected: DataFrame, cell_types: DataFrame) -> DataFrame:
     return selected.join(typed, TABLE, "left").select(TABLE, F.when(F.col("gap").isNotNull(), F.coalesce(F.try_divide("gap", "n_typed"), F.lit(0.0))).alias("margin"))
 
 
+def selections(tables: DataFrame, scored: DataFrame, candidates: DataFrame, cell_types: DataFrame, scorer: str = "bit-cost") -> DataFrame:
+    """The selection record of every table, by description length (`bit-cost`) or `purity`: status no_candidates, unique or
+    selected; selected_candidate_id and selected_by; margin, in bits per typed cell or as a difference of purities, null
+    without a runner-up; scores, an array of (candidate_id, score) by header rows and columns, empty unless there was a choice."""
+    chosen = select(scored, candidates, lowest=scorer == "bit-cost")
+    margin = margins(chosen, cell_types) if scorer == "bit-cost" else chosen.select(TABLE, F.col("gap").alias("margin"))
+    placed = scored.join(candidates.select(TABLE, "candidate_id", "hmd", "vmd"), [TABLE, "candidate_id"])
+    listed = placed.groupBy(TABLE).agg(F.sort_array(F.collect_list(F.struct("hmd", "vmd", "candidate_id", "score"))).alias("all"))
+    scores = F.when(F.size("all") > 1, F.transform("all", lambda s: F.struct(s["candidate_id"].alias("candidate_id"), s["score"].alias("score"))))
+    known = chosen.join(margin, TABLE).join(listed.select(TABLE, scores.alias("scores")), TABLE)
+    none = F.array().cast("array<struct<candidate_id: string, score: double>>")
+    out = tables.select(TABLE).distinct().join(known, TABLE, "left")
+    return out.select(TABLE, F.coalesce("status", F.lit("no_candidates")).alias("status"), "selected_candidate_id", "selected_by", "margin", F.coalesce("scores", none).alias("scores"))
+
+
 def abstaining(selected: DataFrame) -> DataFrame:
     """The choice, null where several candidates tie for the best score."""
     return selected.select(TABLE, F.when(F.col("n_tied") == 1, F.col("selected_candidate_id")).alias("selected_candidate_id"))

@@ -168,3 +168,45 @@ def identities(found: DataFrame) -> DataFrame:
     digits = F.transform("ids", lambda i: article_name(F.regexp_replace(F.upper(i), "^PMC", "")))
     same = (F.size("ids") > 0) & F.forall(digits, lambda d: F.coalesce(d == F.col("key"), F.lit(False)))
     return found.select("key", F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("single"), "nonarticle_root").when(same, "ok").otherwise("identity_mismatch").alias("identity"))
+
+
+LICENCE = "struct<status: string, license_type: string, license_url: string, license_text_excerpt: string, redistribution_status: string>"
+EXCERPT = 1024
+
+
+def licence(root: Element) -> tuple:
+    """What an article says of its licence, which is evidence and no permission: the type and text of the first license
+    element and the target of the first link in it."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.name == "license":
+            links = [node]
+            target = None
+            while links and target is None:
+                at = links.pop()
+                if at.name == "ext-link":
+                    target = at.attributes.get("xlink:href", at.attributes.get("href"))
+                links += at.elements()[::-1]
+            return "evidence_found_unverified", node.attributes.get("license-type", "unknown"), target, node.text()[:EXCERPT], "requires_manual_review"
+        todo += node.elements()[::-1]
+    return "missing", None, None, "", "requires_manual_review"
+
+
+def provenance(articles: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, sha256, bytes, license): the hash and size of each article's raw bytes, and the evidence of its licence, null
+    where the article is no XML. `column` is a text, or bytes."""
+
+    @F.pandas_udf(LICENCE)
+    def evidence(sources: pd.Series) -> pd.DataFrame:
+        rows = []
+        for source in sources:
+            try:
+                rows.append(licence(parse(bytes(source))))
+            except (expat.ExpatError, TypeError):  # no XML, or null
+                rows.append((None,) * 5)
+        return pd.DataFrame(rows, columns=["status", "license_type", "license_url", "license_text_excerpt", "redistribution_status"])
+
+    raw = articles.selectExpr(f"cast(`{key}` AS string) AS key", f"cast(`{column}` AS binary) AS source")
+    told = raw.select("key", F.sha2("source", 256).alias("sha256"), F.octet_length("source").cast("long").alias("bytes"), evidence("source").alias("license"))
+    return told.withColumn("license", F.when(F.col("license.status").isNotNull(), F.col("license")))

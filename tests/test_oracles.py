@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tablewright.plans import article_queries, explain_queries, layout_queries, record_queries, repair_queries, table_queries  # noqa: F401
+from tablewright.plans import article_queries, explain_queries, layout_queries, record_queries, repair_queries, run_queries, table_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
