@@ -78,6 +78,40 @@ def t7_type_rasters(spark, sf_dir):
 oracle("t7_type_rasters", " SELECT table_uid, string_agg(row_, '/' ORDER BY row_idx) AS types FROM (SELECT s.table_uid, row_idx, string_agg(type, ',' ORDER BY col_idx) AS row_ FROM slots s JOIN types t ON t.table_uid = s.table_uid AND t.cell_id = s.cell_id GROUP BY ALL) GROUP BY 1")
 
 
+@query()
+def t6_sources(spark, sf_dir):
+    """What typed each cell: the rule's place in its program, nothing for empty and untyped ones; every ninth cell of a table is a gap."""
+    gaps = cells(spark, sf_dir).select("table_uid", "cell_id", "text", F.when(F.col("cell_id") % 9 == 8, "synthetic_gap").otherwise("source").alias("kind"))
+    found = rules.type_cells(rules.SCIENCE, gaps)
+    of_rule = F.create_map(*[x for k, r in enumerate(rules.SCIENCE.rules) for x in (F.lit(rules.SCIENCE.source(k)), F.lit(r.type))])
+    by = F.coalesce(F.try_element_at(of_rule, F.col("source")), F.col("source"))  # a rule is named by its type
+    return found.select("table_uid", "cell_id", "type", "family", by.alias("by"))
+
+
+oracle("t6_sources", " SELECT table_uid, cell_id, CASE WHEN cell_id % 9 = 8 THEN 'empty' ELSE type END AS type, CASE WHEN cell_id % 9 = 8 THEN 'empty' ELSE family END AS family, CASE WHEN cell_id % 9 = 8 THEN 'synthetic' ELSE type END AS by FROM types")
+
+
+@query()
+def t9_ambiguity(spark, sf_dir):
+    return rules.ambiguity(rules.SCIENCE, cells(spark, sf_dir).where("text <> ''"))
+
+
+def matched_sql() -> str:
+    """The families of all rules that match a text, a list with an entry for each rule."""
+    one = []
+    for r in rules.SCIENCE.rules:
+        pattern = r.pattern.replace("'", "''")
+        test = f"regexp_full_match(text, '{pattern}')"
+        if pattern.startswith("(?!"):
+            ahead, rest = pattern[3:].split(")\\b)", 1)
+            test = f"NOT regexp_matches(text, '^(?:{ahead.removeprefix('(?:')})\\b') AND regexp_full_match(text, '{rest}')"
+        one.append(f"CASE WHEN {test} THEN '{rules.SCIENCE.family(r.type)}' END")
+    return f"list_filter([{', '.join(one)}], lambda x: x IS NOT NULL)"
+
+
+oracle("t9_ambiguity", f", m AS (SELECT text, {matched_sql()} AS f FROM texts_ WHERE text <> '') SELECT CASE WHEN len(f) = 0 THEN 'none' WHEN len(f) = 1 THEN 'one_rule' WHEN len(list_distinct(f)) = 1 THEN 'one_family' ELSE 'several_families' END AS matches, count(*) AS n FROM cells c JOIN m ON m.text = c.text GROUP BY 1")
+
+
 @query(f"WITH x AS (SELECT 1){LOG} SELECT text, rule_type, arg_max(answer, seq) AS answer FROM log WHERE seq % 3 > 0 GROUP BY ALL")
 def l6_current_answers(spark, sf_dir):
     """The answers given under the program of today; a third of the log is older."""
