@@ -189,3 +189,43 @@ def components(edges: DataFrame) -> DataFrame:
         if last == seen:
             break
     return now.df.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(now.df.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def between(listed: DataFrame, size: int) -> DataFrame:
+    """The rows of lists (key, node, component, ...) dealt into blocks (key, i, j) so that every two members of a list that
+    are of different components meet in a block at least. Of lists with the same members one is dealt, if `same` (a
+    column that tells what else must agree, where there is one) sums up alike.
+
+    The members of a list's largest component meet all others, not each other. Each side is dealt by hash into parts of
+    about `size` members, so a block holds about 2 * size rows at most however long the list.
+    """
+    told = F.xxhash64(*[c for c in ("node", "same") if c in listed.columns]).cast("decimal(38,0)")
+    sized = listed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(told).alias("sum"))
+    alike = sized.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.sum("sum").alias("sum"))
+    alike = alike.where("main.n < all").groupBy("all", "sum").agg(F.min(F.struct("key", "main")).alias("one"))
+    parts = lambda n: F.ceil(n / size).cast("int")
+    lists = write(alike.select("one.key", F.col("one.main.component").alias("main"), parts(F.col("one.main.n")).alias("mains"), parts(F.col("all") - F.col("one.main.n")).alias("others"))).df
+    rows = listed.join(lists, "key").withColumn("inside", F.col("component") == F.col("main")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    counted = lambda n: F.sequence(F.lit(0), n - 1)
+    with_others = F.transform(F.filter(counted(F.col("others")), lambda o: o != F.col("part")), lambda o: pair(F.col("mains") + F.least(o, "part"), F.greatest(o, F.col("part"))))
+    blocks = F.when(F.col("inside"), F.transform(counted(F.col("others")), lambda o: pair(F.col("part"), o))).otherwise(F.concat(F.transform(counted(F.col("mains")), lambda m: pair(m, F.col("part"))), with_others))
+    return rows.withColumn("block", F.explode(blocks)).select(*listed.columns, "block.i", "block.j")
+
+
+def connecting(labels: np.ndarray, near) -> list[tuple[int, int]]:
+    """Pairs of places that connect all places of different labels which are near each other: near(k, rest) are those of
+    the places `rest` that are near place k. A pair that found pairs connect already is not asked for."""
+    labels = np.unique(labels, return_inverse=True)[1]
+    order = np.argsort(np.bincount(labels)[labels], kind="stable")  # the largest component last
+    found, labels = [], labels.copy()
+    for at, k in enumerate(order):
+        rest = order[at + 1 :]
+        rest = rest[labels[rest] != labels[k]]
+        if not len(rest):
+            continue
+        hits = near(k, rest)
+        met, first = np.unique(labels[hits], return_index=True)
+        found += [(int(k), int(hits[f])) for f in first]
+        labels[np.isin(labels, met)] = labels[k]
+    return found

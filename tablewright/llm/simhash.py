@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tablewright.llm.common import components, of_group, text_chunks, write
+from tablewright.llm.common import between, components, connecting, of_group, text_chunks, write
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -160,10 +160,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 LONG = 4
 #: Byte positions of a long fingerprint under one key, and how many keys a fingerprint has.
 KEY_BYTES, KEYS = 5, 128
-#: Bytes under a key of the second index, over the texts that crowd the first, and rounds that split the first's lists.
-CROWD_BYTES, INDEX_ROUNDS = 2, 4
-#: Lists up to this length are tallied pair by pair.
-FEW = 4
+#: Keys under which crowds are first gathered around a centre.
+CENTRE_KEYS = 16
+#: Lists up to this length are tallied pair by pair in rows, longer ones in blocks of about so many members.
+FEW, BLOCK = 4, 1024
+#: Fingerprints whose keys are made at a time.
+POST_ROWS = 512
 
 
 def long_fingerprint(hashes: np.ndarray) -> bytes:
@@ -210,36 +212,34 @@ def long_fingerprints(docs: DataFrame, shingle: int, index_shingle: int, seed: i
 
 
 def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): pairs of distinct (node, fp, b0 to b3) whose decisive fingerprints differ in at most max_bits bits, as far as
-    the index finds them.
-
-    Every fingerprint is posted under KEYS keys of KEY_BYTES bytes at fixed positions. The members of a list share that
-    many positional bytes at least; lists of up to FEW are tallied pair by pair. In a longer one all meet the member that
-    has most company in such lists, which in a crowd of copies is the one most like the rest; those whom it does not
-    verify meet again in lists split by one more byte. So pairs grow with the documents.
-
-    The index sees single words, and a crowd of texts of the same words in other orders is one to it, however often it
-    is split. So all whom some centre did not verify are indexed once more by the fingerprint that decides, under KEYS keys
-    of CROWD_BYTES bytes; long lists are split there by one more byte a round until none is left. That takes 8 * LONG
-    rounds at most: then all bytes of a list's members are equal, and every member is its centre's copy.
+    """(a, b): links between distinct (node, fp, b0 to b3) whose decisive fingerprints differ in at most max_bits bits: of
+    all pairs that share a key of the index, enough links to connect each pair within max_bits.
+
+    Every fingerprint is posted under KEYS keys of KEY_BYTES bytes at fixed positions. Crowds are gathered first: in the
+    long lists of CENTRE_KEYS keys all meet the member that has most company there, which in a crowd of copies is the one
+    most like the rest. Then every list of the whole index that still holds members of several components is compared
+    pair by pair between its components, whatever its length: lists of up to FEW in rows, longer ones in blocks (between).
+    Pairs inside a component are connected already, so that a crowd of copies costs no pairs; a crowd of unlike texts
+    costs all of them.
     """
     rng = np.random.default_rng(7)
-    wide = np.array([np.sort(rng.choice(8 * LONG, KEY_BYTES, replace=False)) for _ in range(KEYS)])
-    narrow = np.array([np.sort(rng.choice(8 * LONG, CROWD_BYTES, replace=False)) for _ in range(KEYS)])
+    places = np.array([np.sort(rng.choice(8 * LONG, KEY_BYTES, replace=False)) for _ in range(KEYS)])
 
-    def post(places: np.ndarray, first: int):
-        """Keys of the bytes at `places` of the half of a fingerprint that begins at byte `first`."""
+    def posted(rows: DataFrame, keys: int) -> DataFrame:
+        """(key, node, component) under the first `keys` keys."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                prints = np.frombuffer(b"".join(p[first : first + 8 * LONG] for p in batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * LONG)
-                parts = prints[:, places].astype(np.int64)  # fingerprints x keys x bytes
-                keys = np.arange(KEYS, dtype=np.int64) << (8 * KEY_BYTES)
-                for k in range(places.shape[1]):
-                    keys = keys | (parts[:, :, k] << (8 * k))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), KEYS))], names=["key", "node"])
-
-        return run
+            for whole in batches:
+                for at in range(0, len(whole), POST_ROWS):
+                    batch = whole.slice(at, POST_ROWS)
+                    prints = np.frombuffer(b"".join(p[: 8 * LONG] for p in batch.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * LONG)
+                    found = np.arange(keys, dtype=np.int64)[None, :] << (8 * KEY_BYTES)
+                    for k in range(KEY_BYTES):
+                        found = found | (prints[:, places[:keys, k]].astype(np.int64) << (8 * k))
+                    owners = [pa.array(np.repeat(batch.column(c).to_numpy(), keys)) for c in ("node", "component")]
+                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *owners], names=["key", "node", "component"])
+
+        return rows.select("node", "component", "fp").mapInArrow(run, "key long, node long, component long")
 
     mine = lambda name: distinct.select(F.col("node").alias(name), *[F.col(f"b{k}").alias(f"{name}{k}") for k in range(LONG)])
 
@@ -248,48 +248,39 @@ def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
         apart = sum(F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(LONG))
         return write(met.join(mine("a"), "a").join(mine("b"), "b").where(apart <= max_bits).select("a", "b")).df
 
-    def compared(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links of the lists, and (key, node) of the members of long lists that their centre does not verify."""
-        lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        listed = write(posted.join(lists, "key")).df
-        members = listed.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("node").alias("m"))
-        pairs = members.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y < x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
-        many = listed.where(F.col("n") > FEW)
+    def centred() -> DataFrame:
+        """Links of the long lists' members to their centres."""
+        first = posted(distinct.withColumn("component", F.col("node")), CENTRE_KEYS).drop("component")
+        lists = write(first.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FEW)).df
+        many = write(first.join(lists, "key")).df
         company = many.groupBy("node").agg(F.sum("n").alias("company"))
         centres = many.join(company, "node").groupBy("key").agg(F.max(F.struct("company", -F.col("node")))["col2"].alias("negative")).select("key", (-F.col("negative")).alias("centre"))
-        starred = write(many.join(centres, "key").where("node <> centre")).df
-        links = verified(pairs.unionByName(starred.select(F.col("node").alias("a"), F.col("centre").alias("b"))))
-        met = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("centre"))
-        return links, write(starred.join(met, ["node", "centre"], "left_anti").select("key", "node")).df
-
-    def split(rest: DataFrame, first: int, step: int) -> DataFrame:
-        """The lists split by one more byte of that half: in 8 * LONG steps by all of them."""
-        byte = F.substring("fp", (F.pmod(F.pmod(F.hash("key0"), F.lit(8 * LONG)) + step * 11, F.lit(8 * LONG)) + first + 1).cast("int"), F.lit(1))
-        parted = rest.join(distinct.select("node", "fp"), "node")
-        return write(parted.select(F.xxhash64("key", byte).alias("key"), "key0", "node")).df
-
-    def rounds(posted: DataFrame, first: int, most: int) -> tuple[list[DataFrame], DataFrame | None]:
-        """Links of `most` rounds, and whom the first round left without a centre's company."""
-        links, rest = compared(posted)
-        found, crowd, step = [links], rest, 0
-        named = rest.withColumn("key0", F.col("key"))
-        while step < most and not named.isEmpty():
-            named = split(named, first, step)
-            links, rest = compared(named.select("key", "node"))
-            found.append(links)
-            named = rest.join(named.select("key", "key0").distinct(), "key")
-            step += 1
-        return found, crowd
-
-    found, crowd = rounds(distinct.select("node", "fp").mapInArrow(post(wide, 0), "key long, node long"), 0, INDEX_ROUNDS)
-    left = write(crowd.select("node").distinct()).df
-    if not left.isEmpty():
-        again = distinct.select("node", "fp").join(left, "node", "left_semi")
-        found += rounds(again.mapInArrow(post(narrow, 8 * LONG), "key long, node long"), 8 * LONG, 8 * LONG)[0]
-    out = found[0]
-    for links in found[1:]:
-        out = out.unionByName(links)
-    return out.distinct()
+        return verified(many.join(centres, "key").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+
+    links = centred()
+    member = write(components(links)).df
+    rows = write(distinct.select("node", "fp").join(member, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))).df
+    index = posted(rows, KEYS)
+    lists = index.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+    lists = write(lists.where("least < most").select("key", "n")).df
+    listed = write(index.join(lists, "key")).df
+    members = listed.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "component")).alias("m"))
+    others = lambda x: F.filter("m", lambda y: (y["node"] < x["node"]) & (y["component"] != x["component"]))
+    pairs = members.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(others(x), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))).alias("p"))
+    short = verified(pairs.select("p.*"))
+
+    bits = [f"b{k}" for k in range(LONG)]
+
+    def compare(block: pa.Table) -> pa.Table:
+        nodes, labels = (block.column(c).to_numpy() for c in ("node", "component"))
+        prints = np.stack([block.column(b).to_numpy() for b in bits], axis=1).view(np.uint64)
+        near = lambda k, rest: rest[np.bitwise_count(prints[rest] ^ prints[k]).sum(axis=1) <= max_bits]
+        found = np.array(connecting(labels, near), np.int64).reshape(-1, 2)
+        return pa.table({"a": nodes[found].max(axis=1), "b": nodes[found].min(axis=1)})
+
+    long = between(listed.where(F.col("n") > FEW), BLOCK).join(distinct.select("node", *bits), "node")
+    dealt = write(long.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).df
+    return links.unionByName(short).unionByName(dealt).distinct()
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, index_shingle: int = 1, seed: int = 42) -> DataFrame:

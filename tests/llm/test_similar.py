@@ -102,6 +102,26 @@ def test_crowds_of_the_same_words_in_other_orders(spark):
     assert all(got[k] == k for k in range(120))
 
 
+def test_no_pair_of_a_long_list_is_missed(spark, monkeypatch):
+    """Chains of near copies in one vocabulary, all in the same lists: ends and middles of a chain are linked to their
+    neighbours only, so whoever meets a centre alone loses links. Blocks are far shorter than the lists."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    vocabulary = np.array([f"w{k}" for k in range(150)])
+    texts = {}
+    for chain in range(8):
+        words = rng.permutation(vocabulary)
+        for step in range(12):
+            texts[100 * chain + step] = " ".join(words)
+            words = words.copy()
+            at = rng.integers(0, 140, 2)
+            words[at], words[at + 7] = words[at + 7], words[at].copy()
+    pairs, expected = classes(texts)
+    assert len(pairs) > 80 and 8 < len(set(expected.values())) < 60
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()}
+    assert got == expected
+
+
 def test_pipeline_against_brute_force(spark):
     """run() on the smallest tables, stage by stage: what each keeps, worked out again without Spark's joins."""
     from tablewright.llm import language, packing, queries, toxicity
