@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import components, of_group, text_chunks, write
+from tablewright.llm.common import between, components, connecting, of_group, spread, text_chunks, write
 
 
 class Settings(NamedTuple):
@@ -95,8 +95,10 @@ def fingerprint(pcm: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
 
 #: Codes in a run that two recordings must have in common to be compared.
 RUN = 3
-#: Lists of runs up to this length are compared pair by pair.
-FEW = 4
+#: Lists of runs up to this length are compared pair by pair in rows, longer ones in blocks of about so many members.
+FEW, BLOCK = 4, 1024
+#: Meetings of runs, or codes to be compared, that a task lists at a time.
+MEETINGS = 1 << 20
 
 
 def runs(codes: np.ndarray, length: int) -> np.ndarray:
@@ -127,15 +129,16 @@ def fingerprints(recordings: DataFrame, settings: Settings = Settings()) -> Data
 
 
 def postings(nodes: DataFrame, length: int = RUN) -> DataFrame:
-    """(key, place, node, size): all runs of `length` codes of (node, codes), with the number of codes."""
+    """(key, place, node, size): the runs of `length` codes of (node, codes), each once, with the number of codes. The
+    place of a run that the recording repeats is -1."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, places, owners, sizes = [], [], [], []
             for node, codes in zip(batch.column("node").to_pylist(), batch.column("codes")):
-                found = runs(codes.values.to_numpy(zero_copy_only=False).view(np.uint32), length)
+                found, place, times = np.unique(runs(codes.values.to_numpy(zero_copy_only=False).view(np.uint32), length), return_index=True, return_counts=True)
                 keys.append(found)
-                places.append(np.arange(len(found)))
+                places.append(np.where(times > 1, -1, place))
                 owners.append(np.full(len(found), node))
                 sizes.append(np.full(len(found), len(codes.values)))
             if keys:
@@ -145,17 +148,55 @@ def postings(nodes: DataFrame, length: int = RUN) -> DataFrame:
     return nodes.select("node", "codes").mapInArrow(post, "key long, place int, node long, size int")
 
 
+def histogram(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many equal runs of x and y meet at each offset (the place of x's start in y), from -len(runs of x) on."""
+    xs, ys = runs(x, RUN), runs(y, RUN)
+    votes = np.zeros(len(xs) + len(ys) + 1, np.int64)
+    order = np.argsort(ys, kind="stable")
+    first, last = (np.searchsorted(ys[order], xs, side) for side in ("left", "right"))
+    keys, place, times = np.unique(xs, return_inverse=True, return_counts=True)
+    heavy = (times[place] * (last - first)) > MEETINGS
+    for key in np.unique(place[heavy]):  # runs repeated over and over: their meetings are counted by correlation
+        size = 1 << (len(xs) + len(ys)).bit_length()
+        product = np.fft.rfft(ys == keys[key], size) * np.conj(np.fft.rfft(xs == keys[key], size))
+        both = np.rint(np.fft.irfft(product, size)).astype(np.int64)
+        votes[len(xs) - np.arange(1, len(xs))] += both[size - np.arange(1, len(xs))]
+        votes[len(xs) : len(xs) + len(ys)] += both[: len(ys)]
+    light = np.flatnonzero(~heavy & (last > first))
+    parts = np.cumsum(last[light] - first[light]) // MEETINGS
+    for part in np.unique(parts):
+        at = light[parts == part]
+        count = last[at] - first[at]
+        votes += np.bincount(order[spread(first[at], count)] - np.repeat(at, count) + len(xs), minlength=len(votes))
+    return votes
+
+
+def decided(x: np.ndarray, y: np.ndarray, max_errors: float, least_overlap: float) -> tuple[int, float] | None:
+    """The offset at which most runs of x and y meet (the shortest, then the largest, of several), and the share of bits
+    that differ there; None if the two are not linked."""
+    votes = histogram(x, y)
+    if not votes.any():
+        return None
+    best = np.flatnonzero(votes == votes.max()) - max(len(x) - RUN + 1, 0)
+    offset = int(max(best.tolist(), key=lambda o: (-abs(o), o)))
+    a, b = x[max(-offset, 0) :], y[max(offset, 0) :]
+    both = min(len(a), len(b))
+    errors = float(np.bitwise_count(a[:both] ^ b[:both]).sum()) / (32.0 * both)
+    return (offset, errors) if both >= least_overlap * min(len(x), len(y)) and errors <= max_errors else None
+
+
 def align(recordings: DataFrame, settings: Settings = Settings(), max_errors: float = 0.15, least_overlap: float = 0.5) -> DataFrame:
     """One row per recording: doc_id, codes, class_id, aligned_to, offset, bit_errors.
 
     Recordings with equal codes are one node. Two nodes that have a run of RUN codes in common are compared: the
     histogram of the place differences of such runs gives their offset, and they are linked if at that offset the
     codes overlap for `least_overlap` of the shorter recording and differ in at most `max_errors` of their bits.
-    Every run of every recording is posted. The members of a list of up to FEW are compared pair by pair; those of a
-    longer one with its smallest doc_id, and those whom it does not verify meet again, without it, in lists of runs
-    twice as long from the same places, and so on. So comparisons grow with the recordings, not with pairs; of a long
-    list only pairs that have no longer run in common and no verified member between them can be missed. A run that a
-    recording repeats is posted at each of its places.
+    Every run of every recording is posted. First all members of a list are compared with its smallest doc_id; then every
+    list that still holds members of several classes is compared pair by pair between these, whatever its length: lists
+    of up to FEW in rows, longer ones in blocks (between). Pairs inside a class are connected already. So crowds of
+    copies cost no pairs, and no class is missed; unlike recordings that share a run cost all their pairs. A pair is
+    only looked into if it overlaps enough at a place where a shared run lies, which holds for every linked pair at its
+    offset; the histogram is always that of all their runs.
 
     class_id is the smallest doc_id reachable over links, aligned_to the linked recording compared with the fewest
     bit errors (then the smallest), offset the place of this recording's start in it. A recording too short for a
@@ -168,40 +209,84 @@ def align(recordings: DataFrame, settings: Settings = Settings(), max_errors: fl
     nodes = write(heard.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("codes").alias("codes"), F.count("*").alias("copies"))).df
     mine = nodes.select("node", F.col("codes").alias("x"))
     theirs = nodes.select(F.col("node").alias("other"), F.col("codes").alias("y"))
-    from_x, from_y = F.greatest(-F.col("offset"), F.lit(0)), F.greatest(F.col("offset"), F.lit(0))
-    both = F.least(F.col("size") - from_x, F.col("other_size") - from_y)
-    low = F.lit(0xFFFFFFFF)  # the bits of a negative int are counted in 64
-    bits = F.aggregate(F.zip_with(F.slice("x", from_x + 1, F.col("both")), F.slice("y", from_y + 1, F.col("both")), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(low))), F.lit(0), lambda s, b: s + b)
-
-    def verified(met: DataFrame) -> DataFrame:
-        """The links among (node, size, other, other_size, offset) of runs that met, by the offset with the most of
-        them. Codes are only fetched for pairs that overlap enough there."""
-        votes = met.groupBy("node", "other", "offset").agg(F.count("*").alias("votes"), F.first("size").alias("size"), F.first("other_size").alias("other_size"))
-        best = F.max(F.struct("votes", -F.abs("offset"), "offset", "size", "other_size")).alias("best")
-        pairs = votes.groupBy("node", "other").agg(best).select("node", "other", "best.offset", "best.size", "best.other_size").withColumn("both", both)
-        near = pairs.where((F.col("both") > 0) & (F.col("both") >= least_overlap * F.least("size", "other_size")))
-        compared = near.join(mine, "node").join(theirs, "other")
-        return compared.select("node", "other", "offset", (bits / (32.0 * F.col("both"))).alias("errors")).where(F.col("errors") <= max_errors)
-
-    links = None
-    length, posted = RUN, postings(nodes)
-    while True:
-        lists = posted.groupBy("key").agg(F.min(F.struct("node", "place", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
-        listed = write(posted.join(lists, "key")).df
-        members = listed.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list(F.struct("node", "place", "size")).alias("m"))
-        later = lambda x: F.transform(F.filter("m", lambda y: y["node"] < x["node"]), lambda y: F.struct(x["node"].alias("node"), x["size"].alias("size"), y["node"].alias("other"), y["size"].alias("other_size"), (y["place"] - x["place"]).alias("offset")))
-        pairs = members.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*")
-        many = listed.where((F.col("n") > FEW) & (F.col("node") != F.col("c.node")))
-        to_centre = many.select("node", "size", F.col("c.node").alias("other"), F.col("c.size").alias("other_size"), (F.col("c.place") - F.col("place")).alias("offset"))
-        found = write(verified(pairs.unionByName(to_centre))).df
-        links = found if links is None else links.unionByName(found)
-        rest = many.select("node", F.col("c.node").alias("other"), "place").join(found.select("node", "other"), ["node", "other"], "left_anti").select("node", "place").distinct()
-        rest = write(rest).df
-        if rest.isEmpty():
-            break
-        length *= 2
-        again = nodes.join(rest.select("node").distinct(), "node", "left_semi")
-        posted = write(longer(again, rest, length)).df
+    def enough(place, size, other_place, other_size):
+        """Whether two recordings overlap enough with the given places one on the other; if one repeats the run, perhaps."""
+        both = F.least(place, other_place) + F.least(size - place, other_size - other_place)
+        return (place < 0) | (other_place < 0) | (both >= least_overlap * F.least(size, other_size))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([c.values.to_numpy(zero_copy_only=False).view(np.uint32) for c in batch.column(name)] for name in ("x", "y"))
+            found = [(a, b, *link) for a, b, p, q in zip(batch.column("node").to_pylist(), batch.column("other").to_pylist(), x, y) if (link := decided(p, q, max_errors, least_overlap))]
+            columns = zip(*found) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["node", "other", "offset", "errors"])
+
+    linked = "node long, other long, offset int, errors double"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        met = write(pairs.select("node", "other").distinct()).df
+        return write(met.join(mine, "node").join(theirs, "other").select("node", "other", "x", "y").mapInArrow(judge, linked)).df
+
+    posted = postings(nodes)
+    lists = write(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")).df
+    listed = write(posted.join(lists, "key")).df
+    centres = listed.groupBy("key").agg(F.min(F.struct("node", "place", "size")).alias("c"))
+    centred = write(listed.join(centres, "key")).df
+    to_centre = centred.where((F.col("node") != F.col("c.node")) & enough(F.col("place"), F.col("size"), F.col("c.place"), F.col("c.size")))
+    links = verified(to_centre.select("node", F.col("c.node").alias("other")))
+
+    classed = write(components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))).df
+    rows = write(centred.where("n > 2").join(classed, "node", "left").withColumn("component", F.coalesce("component", "node"))).df
+    few = rows.where((F.col("n") <= FEW) & (F.col("node") != F.col("c.node"))).groupBy("key").agg(F.collect_list(F.struct("node", "place", "size", "component")).alias("m"))
+    apart = lambda x, y: (y["node"] < x["node"]) & (y["component"] != x["component"]) & enough(x["place"], x["size"], y["place"], y["size"])
+    pairs = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: apart(x, y)), lambda y: F.struct(x["node"].alias("node"), y["node"].alias("other")))))).alias("p"))
+    short = verified(pairs.select("p.*"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        owners, labels, places = (block.column(c).to_numpy() for c in ("node", "component", "place"))
+        codes = [c.values.to_numpy(zero_copy_only=False).view(np.uint32) for c in block.column("codes")]
+        sizes = np.array([len(c) for c in codes], np.int64)
+        flat, starts, places = np.concatenate(codes), np.cumsum(sizes) - sizes, places.astype(np.int64)
+        links = {}
+
+        def likely(k: int, rest: np.ndarray) -> np.ndarray:
+            """Those of `rest` that overlap enough and err little where the list's run lies; all who repeat it."""
+            before = np.minimum(places[k], places[rest])
+            both = before + np.minimum(sizes[k] - places[k], sizes[rest] - places[rest])
+            repeated = (places[rest] < 0) | (places[k] < 0)
+            once = np.flatnonzero(~repeated & (both >= least_overlap * np.minimum(sizes[k], sizes[rest])))
+            kept = [np.flatnonzero(repeated)]
+            parts = np.cumsum(both[once]) // MEETINGS
+            for part in np.unique(parts):
+                at = once[parts == part]
+                x = flat[spread(starts[k] + places[k] - before[at], both[at])]
+                y = flat[spread(starts[rest[at]] + places[rest[at]] - before[at], both[at])]
+                errors = np.add.reduceat(np.bitwise_count(x ^ y).astype(np.int64), np.cumsum(both[at]) - both[at])
+                kept.append(at[errors / (32.0 * both[at]) <= max_errors])
+            return rest[np.sort(np.concatenate(kept))]
+
+        def near(k: int, rest: np.ndarray) -> np.ndarray:
+            met, hits = set(), []
+            for j in likely(k, rest).tolist():
+                if labels[j] in met:
+                    continue
+                a, b = (k, j) if owners[k] > owners[j] else (j, k)
+                if link := decided(codes[a], codes[b], max_errors, least_overlap):
+                    links[k, j] = (int(owners[a]), int(owners[b]), *link)
+                    met.add(labels[j])
+                    hits.append(j)
+            return np.array(hits, np.int64)
+
+        found = [links[pair] for pair in connecting(labels, near)]
+        columns = zip(*found) if found else [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["node", "other", "offset", "errors"])
+
+    # lists of the same members at the same distances are one
+    once = (F.col("place") >= 0) & (F.col("c.place") >= 0)
+    same = F.when(once, F.col("place") - F.col("c.place")).when(F.col("place") < 0, F.lit(-(1 << 30))).otherwise(F.col("place") + (1 << 29))
+    long = between(rows.where(F.col("n") > FEW).select("key", "node", "component", "place", same.alias("same")), BLOCK).join(nodes.select("node", "codes"), "node")
+    dealt = write(long.groupBy("key", "i", "j").applyInArrow(compare, linked)).df
+    links = links.unionByName(short).unionByName(dealt)
     links = links.dropDuplicates(["node", "other", "offset"])
     member = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     ways = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"), (-F.col("offset")).alias("offset"), "errors"))
@@ -210,10 +295,3 @@ def align(recordings: DataFrame, settings: Settings = Settings(), max_errors: fl
     alone = prints.where(F.size("codes") == 0).withColumn("class_id", F.col("doc_id")).withColumn("best", F.lit(None).cast(of_node.schema["best"].dataType))
     out = of_group(heard, of_node, "digest", "copies").unionByName(alone)
     return out.select("doc_id", "codes", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("best.other").alias("aligned_to"), F.col("best.offset").cast("int").alias("offset"), F.col("best.errors").alias("bit_errors"))
-
-
-def longer(nodes: DataFrame, rest: DataFrame, length: int) -> DataFrame:
-    """The postings of runs of `length` codes at the places of rest (node, place) that have as many codes after them."""
-    codes = F.slice("codes", F.col("place").cast("int") + 1, length)
-    at = rest.join(nodes.select("node", "codes"), "node").where(F.col("place") + length <= F.size("codes"))
-    return at.select(F.xxhash64(codes).alias("key"), "place", "node", F.size("codes").alias("size"))

@@ -249,6 +249,37 @@ def test_recall_in_crowds(spark, monkeypatch, few):
     assert len(links) > 300 and together >= 0.9 and not wrong
 
 
+def test_no_pair_of_a_long_list_is_missed(spark, monkeypatch):
+    """All open alike. Excerpts that end ever later: those of some length are linked to their neighbours, and whom the
+    smallest id verifies may be the only link of one that it does not. Blocks are far shorter than the lists."""
+    monkeypatch.setattr(audio, "BLOCK", 8, raising=False)
+    opening = tones(80, 4_000)
+    sounds = {}
+    for family in range(6):
+        parts = [tones(90 + 10 * family + k, 3_000) for k in range(6)]
+        for k in range(6):
+            mixed = [p if n < k else tones(500 + 10 * family + n, 3_000) for n, p in enumerate(parts)]
+            sounds[10 * family + (3 * k + 2) % 7] = recording(np.concatenate([opening, *mixed]))
+    sounds |= {100 + k: recording(np.concatenate([opening, np.zeros(5_000 + 700 * k)])) for k in range(4)}  # one run over and over
+    codes = {i: codes_of(x) for i, x in sounds.items()}
+    got = {r["doc_id"]: r["class_id"] for r in audio.align(spark.createDataFrame(list(sounds.items()), "doc_id long, audio binary")).collect()}
+    links = brute_links(codes)
+    assert len(links) > 10 and got == classes(codes, links)
+
+
+def test_histograms_equal_direct_counts(monkeypatch):
+    rng = np.random.default_rng(3)
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(audio, "MEETINGS", most)
+        for _ in range(20):
+            x, y = (np.repeat(rng.integers(0, 3, 12), rng.integers(1, 9, 12)).astype(np.uint32) for _ in range(2))
+            a, b = audio.runs(x, audio.RUN), audio.runs(y, audio.RUN)
+            direct = np.zeros(len(a) + len(b) + 1, np.int64)
+            for p, u in enumerate(a):
+                direct[np.flatnonzero(b == u) - p + len(a)] += 1
+            assert (audio.histogram(x, y) == direct).all()
+
+
 def test_filters_equal_direct_sums():
     """Every code against sums over the frames themselves, filter by filter."""
     frames = audio.chroma(tones(3), audio.Settings())
