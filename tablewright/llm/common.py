@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 
 #: Bytes of text that a Python task holds in expanded form at a time.
 CHUNK_BYTES = 2 << 20
+#: Up to so many rows (doc_id and a hash of the text) are broadcast to the documents that they are taken from.
+BROADCAST_ROWS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,19 +54,35 @@ def write(df: DataFrame) -> Written:
     return Written(spark.read.schema(df.schema).parquet(path), path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session passes rows to Python in batches of at most `rows`: a batch of whole texts is held by the
+    executor and by its Python worker at once, in several forms."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(rows, now) if now > 0 else rows))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Written rows, broadcast to what they are joined with if they are at most BROADCAST_ROWS, so that it is not shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of whole rows with about `limit` bytes of text each (one longer text is a slice of its own),
     and their texts as UTF-8 bytes, null as empty."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+        whole = batch.column(column).cast(pa.binary())
+        texts: list[bytes] = []
         first = size = 0
-        for i, text in enumerate(texts):
-            if i > first and size + len(text) > limit:
-                yield batch.slice(first, i - first), texts[first:i]
-                first, size = i, 0
+        for i, value in enumerate(whole):
+            text = value.as_py() or b""
+            if texts and size + len(text) > limit:
+                yield batch.slice(first, i - first), texts
+                first, size, texts = i, 0, []
+            texts.append(text)
             size += len(text)
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
+        if texts:
+            yield batch.slice(first), texts
 
 
 class IdTable:

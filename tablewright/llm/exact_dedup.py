@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import write
+from tablewright.llm.common import few, write
 
 
 class DigestIndex:
@@ -84,6 +84,6 @@ def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) ->
     documents are held against each other only. A row goes by its id and its text together, so that of rows with one id
     and several texts only those go whose text another row holds."""
     found = index.deduplicate(docs) if index else find_exact_duplicates(docs)
-    gone = write(found.where("not kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "text_sha256").distinct()).df
-    text = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_id"]) & (text == gone["text_sha256"]), "left_anti")
+    gone = write(found.where("not kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("digest")).distinct()).df
+    digest = F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    return docs.join(few(gone), (docs["doc_id"].cast("long") == gone["_id"]) & (digest == gone["digest"]), "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tablewright.llm.common import between, components, connecting, of_group, text_chunks, write
+from tablewright.llm.common import between, components, connecting, few, of_group, text_chunks, write
 
 LANES = np.uint64(0x0101010101010101)
 
@@ -142,7 +142,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     that are meant."""
     gone = write(gone.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "text_key").distinct()).df
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["_id"]) & (key == gone["text_key"]), "left_anti")
+    return docs.join(few(gone), (docs["doc_id"].cast("long") == gone["_id"]) & (key == gone["text_key"]), "left_anti")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -164,8 +164,9 @@ KEY_BYTES, KEYS = 5, 128
 CENTRE_KEYS = 16
 #: Lists up to this length are tallied pair by pair in rows, longer ones in blocks of about so many members.
 FEW, BLOCK = 4, 1024
-#: Fingerprints whose keys are made at a time.
-POST_ROWS = 512
+#: Fingerprints whose keys are made at a time, and about how many of them a task posts: each makes KEYS rows, which it
+#: tallies before they are dealt by key.
+POST_ROWS, TASK_ROWS = 512, 4096
 
 
 def long_fingerprint(hashes: np.ndarray) -> bytes:
@@ -259,7 +260,8 @@ def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
 
     links = centred()
     member = write(components(links)).df
-    rows = write(distinct.select("node", "fp").join(member, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))).df
+    named = distinct.select("node", "fp").join(member, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component"))
+    rows = write(named.repartition(distinct.count() // TASK_ROWS + 1, "node")).df
     index = posted(rows, KEYS)
     lists = index.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
     lists = write(lists.where("least < most").select("key", "n")).df

@@ -1,8 +1,11 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablewright.llm import simhash
+from tablewright.llm import common, exact_dedup, simhash
 
 SCHEMA = "doc_id long, text string"
 BITS = int(256 * np.arccos(0.8) / np.pi)
@@ -122,6 +125,64 @@ def test_no_pair_of_a_long_list_is_missed(spark, monkeypatch):
     assert got == expected
 
 
+def test_tasks_of_the_index_post_few_rows(spark, monkeypatch):
+    """Each task of the index gets about TASK_ROWS fingerprints, however few files they would fit in."""
+    monkeypatch.setattr(simhash, "TASK_ROWS", 16, raising=False)
+    dealt, plain = [], simhash.write
+
+    def spy(df):
+        done = plain(df)
+        if set(df.columns) == {"node", "fp", "component"}:
+            dealt.extend(r["n"] for r in done.df.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect())
+        return done
+
+    monkeypatch.setattr(simhash, "write", spy)
+    texts = corpus(6, 200, 0, 0)
+    assert simhash.similar_documents(spark.createDataFrame(list(texts.items()), SCHEMA)).count() == 200
+    assert sum(dealt) == 200 and len(dealt) >= 10 and max(dealt) <= 40
+
+
+def test_stages_of_the_pipeline_pass_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, "some words") for i in range(2500)], SCHEMA).coalesce(1)
+    try:
+        corpus_pipeline.near_duplicates(spark, docs.limit(1), "")
+        sizes = docs.mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "doc_id", pa.array([b.num_rows])) for b in batches), SCHEMA)
+        assert [r["doc_id"] for r in sizes.collect()] == [1000, 1000, 500]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_chunks_of_texts_keep_rows_and_order():
+    texts = [None, "", "abc", "x" * 50, "de", "", None, "f"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    for limit in (0, 1, 3, 60):
+        chunks = list(common.text_chunks(iter([batch]), limit=limit))
+        assert [t for _, ts in chunks for t in ts] == [(t or "").encode() for t in texts]
+        assert [i for b, _ in chunks for i in b.column("doc_id").to_pylist()] == list(range(8))
+        assert all(b.num_rows == len(ts) for b, ts in chunks)
+
+
+@pytest.mark.parametrize("most", [2, 1 << 18])
+def test_dropped_rows_are_broadcast_up_to_a_bound(spark, monkeypatch, most):
+    """Texts are not shuffled to drop a few of them; beyond the bound they are, and the same rows go."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"text {i % 4}") for i in range(12)] + [(None, "text 1"), (3, "other")], SCHEMA)
+        gone = [(1, "text 1"), (2, "text 2"), (3, "text 3")]
+        kept = simhash.without(docs, simhash.keyed(spark.createDataFrame(gone, SCHEMA)))
+        exact = exact_dedup.drop_exact_duplicates(docs)
+        for df in (kept, exact):
+            assert ("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()) == (most > 2)
+        assert sorted(tuple(r) for r in kept.where("doc_id < 4").collect()) == [(0, "text 0"), (3, "other")]
+        assert sorted((r["doc_id"] or -1, r["text"]) for r in exact.collect()) == [(-1, "text 1"), (3, "other"), (8, "text 0"), (9, "text 1"), (10, "text 2"), (11, "text 3")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pipeline_against_brute_force(spark):
     """run() on the smallest tables, stage by stage: what each keeps, worked out again without Spark's joins."""
     from tablewright.llm import language, packing, queries, toxicity
