@@ -207,8 +207,7 @@ def align(recordings: DataFrame, settings: Settings = Settings(), max_errors: fl
     heard = prints.where(F.size("codes") > 0)
     # doc_id decides the node; equal codes have equal runs, so any row's will do
     nodes = write(heard.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("codes").alias("codes"), F.count("*").alias("copies"))).df
-    mine = nodes.select("node", F.col("codes").alias("x"))
-    theirs = nodes.select(F.col("node").alias("other"), F.col("codes").alias("y"))
+
     def enough(place, size, other_place, other_size):
         """Whether two recordings overlap enough with the given places one on the other; if one repeats the run, perhaps."""
         both = F.least(place, other_place) + F.least(size - place, other_size - other_place)
@@ -217,15 +216,23 @@ def align(recordings: DataFrame, settings: Settings = Settings(), max_errors: fl
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = ([c.values.to_numpy(zero_copy_only=False).view(np.uint32) for c in batch.column(name)] for name in ("x", "y"))
-            found = [(a, b, *link) for a, b, p, q in zip(batch.column("node").to_pylist(), batch.column("other").to_pylist(), x, y) if (link := decided(p, q, max_errors, least_overlap))]
+            found = []
+            for a, b, p, q in zip(batch.column("less").to_pylist(), batch.column("more").to_pylist(), x, y):
+                (node, p), (other, q) = ((a, p), (b, q)) if a > b else ((b, q), (a, p))
+                if link := decided(p, q, max_errors, least_overlap):
+                    found.append((node, other, *link))
             columns = zip(*found) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["node", "other", "offset", "errors"])
 
     linked = "node long, other long, offset int, errors double"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        met = write(pairs.select("node", "other").distinct()).df
-        return write(met.join(mine, "node").join(theirs, "other").select("node", "other", "x", "y").mapInArrow(judge, linked)).df
+        """Links among pairs (node, other, size, other_size), node > other. The shorter recording's codes travel to the
+        longer's, which are dealt once a recording."""
+        first = F.col("size") <= F.col("other_size")
+        met = write(pairs.select(F.when(first, F.col("node")).otherwise(F.col("other")).alias("less"), F.when(first, F.col("other")).otherwise(F.col("node")).alias("more")).distinct()).df
+        of = lambda name, codes: nodes.select(F.col("node").alias(name), F.col("codes").alias(codes))
+        return write(met.join(of("less", "x"), "less").join(of("more", "y"), "more").mapInArrow(judge, linked)).df
 
     posted = postings(nodes)
     lists = write(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")).df
@@ -233,13 +240,13 @@ def align(recordings: DataFrame, settings: Settings = Settings(), max_errors: fl
     centres = listed.groupBy("key").agg(F.min(F.struct("node", "place", "size")).alias("c"))
     centred = write(listed.join(centres, "key")).df
     to_centre = centred.where((F.col("node") != F.col("c.node")) & enough(F.col("place"), F.col("size"), F.col("c.place"), F.col("c.size")))
-    links = verified(to_centre.select("node", F.col("c.node").alias("other")))
+    links = verified(to_centre.select("node", F.col("c.node").alias("other"), "size", F.col("c.size").alias("other_size")))
 
     classed = write(components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))).df
     rows = write(centred.where("n > 2").join(classed, "node", "left").withColumn("component", F.coalesce("component", "node"))).df
     few = rows.where((F.col("n") <= FEW) & (F.col("node") != F.col("c.node"))).groupBy("key").agg(F.collect_list(F.struct("node", "place", "size", "component")).alias("m"))
     apart = lambda x, y: (y["node"] < x["node"]) & (y["component"] != x["component"]) & enough(x["place"], x["size"], y["place"], y["size"])
-    pairs = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: apart(x, y)), lambda y: F.struct(x["node"].alias("node"), y["node"].alias("other")))))).alias("p"))
+    pairs = few.select(F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: apart(x, y)), lambda y: F.struct(x["node"].alias("node"), y["node"].alias("other"), x["size"].alias("size"), y["size"].alias("other_size")))))).alias("p"))
     short = verified(pairs.select("p.*"))
 
     def compare(block: pa.Table) -> pa.Table:

@@ -267,6 +267,26 @@ def test_no_pair_of_a_long_list_is_missed(spark, monkeypatch):
     assert len(links) > 10 and got == classes(codes, links)
 
 
+def test_the_shorter_recording_travels(spark, monkeypatch):
+    """Cuts of one long recording are compared with it by sending it the cuts, whichever has the smaller id."""
+    rng = np.random.default_rng(5)
+    long = bytes(rng.integers(0, 256, 12_000, np.uint8))
+    sounds = {5: long, 1: long[:7168], 9: long[640:8000]}
+    met, plain = [], audio.write
+
+    def spy(df):
+        done = plain(df)
+        if set(df.columns) == {"less", "more"}:
+            met.extend((r["less"], r["more"]) for r in done.df.collect())
+        return done
+
+    monkeypatch.setattr(audio, "write", spy)
+    got = {r["doc_id"]: r for r in audio.align(spark.createDataFrame(list(sounds.items()), "doc_id long, audio binary")).collect()}
+    sizes = {i: len(r["codes"]) for i, r in got.items()}
+    assert met and all(sizes[a] <= sizes[b] for a, b in met)
+    assert {r["class_id"] for r in got.values()} == {1}
+
+
 def test_histograms_equal_direct_counts(monkeypatch):
     rng = np.random.default_rng(3)
     for most in (1 << 20, 50):
