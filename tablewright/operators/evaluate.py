@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablewright.operators.rules import IGNORED
-from tablewright.sources.shared import kept
+from tablewright.sources.shared import kept, kept_by_table
 
 TABLE = "table_uid"
 #: Purities this close are the same, whatever the order in which they were summed.
@@ -44,17 +44,17 @@ def line_contrast(slots: DataFrame, regions: DataFrame, cell_types: DataFrame, l
     regions: table_uid, cell_id, region."""
     types = cell_types.select(TABLE, "cell_id", "family", F.col(level).alias("kind"))
     at = slots.join(regions.select(TABLE, "cell_id", "region"), [TABLE, "cell_id"]).join(types, [TABLE, "cell_id"])
-    known = ~F.col("family").isin(*IGNORED)
-    out = None
-    for axis, line, along, head in (("col", "col_idx", "row_idx", "hmd"), ("row", "row_idx", "col_idx", "vmd")):
-        heads = at.where(F.col("region") == head).groupBy(TABLE, F.col(line).alias("line")).agg(F.max_by(F.when(known, F.col("kind")), along).alias("heading"))
-        cells = at.where((F.col("region") == "data") & known).groupBy(TABLE, F.col(line).alias("line"), "cell_id", "kind").agg(F.min(along).alias("seen"))
-        per = cells.groupBy(TABLE, "line", "kind").agg(F.count("*").alias("k"), F.min("seen").alias("seen"))
-        mode = per.groupBy(TABLE, "line").agg(F.max_by("kind", F.struct("k", -F.col("seen"))).alias("mode"))
-        both = mode.join(heads.where("heading IS NOT NULL"), [TABLE, "line"])
-        one = both.groupBy(TABLE).agg(F.count_if(F.col("mode") != F.col("heading")).alias("differing"), F.count("*").alias("n_lines")).select(TABLE, F.lit(axis).alias("axis"), "differing", "n_lines")
-        out = one if out is None else out.unionByName(one)
-    return out
+    kind = F.when(~F.col("family").isin(*IGNORED), F.struct("kind"))  # null: counts neither as cell nor as heading
+    axis = lambda name, line, along, head: F.struct(F.lit(name).alias("axis"), F.col(line).alias("line"), F.col(along).alias("along"), F.lit(head).alias("head"))
+    each = at.select(TABLE, "cell_id", "region", kind.alias("kind"), F.inline(F.array(axis("col", "col_idx", "row_idx", "hmd"), axis("row", "row_idx", "col_idx", "vmd"))))
+    heads, data = F.col("region") == F.col("head"), (F.col("region") == "data") & F.col("kind").isNotNull()
+    line = [TABLE, "axis", "line"]
+    of_cell = each.where(heads | data).groupBy(*line, "region", "cell_id", "kind").agg(F.min("along").alias("seen"), F.max("along").alias("last"))
+    of_kind = of_cell.groupBy(*line, "region", "kind").agg(F.count("*").alias("k"), F.min("seen").alias("seen"), F.max("last").alias("last"))
+    in_data = F.col("region") == "data"
+    of_line = of_kind.groupBy(*line).agg(F.max_by("kind", F.when(in_data, F.struct("k", -F.col("seen")))).alias("mode"), F.max_by("kind", F.when(~in_data, F.col("last"))).alias("heading"))
+    both = of_line.where("mode IS NOT NULL AND heading.kind IS NOT NULL")
+    return both.groupBy(TABLE, "axis").agg(F.count_if(F.col("mode.kind") != F.col("heading.kind")).alias("differing"), F.count("*").alias("n_lines"))
 
 
 def contrast_summary(contrasts: DataFrame) -> DataFrame:
@@ -208,7 +208,9 @@ def place_labels(slots: DataFrame, rectangles: DataFrame, separators: DataFrame)
     aside = separators.select(TABLE, "row_idx", F.lit(True).alias("aside")).distinct()
     rows = slots.select(TABLE, "row_idx").distinct().join(aside, [TABLE, "row_idx"], "left").withColumn("aside", F.coalesce("aside", F.lit(False)))
     before = F.sum(F.col("aside").cast("int")).over(W.partitionBy(TABLE).orderBy("row_idx").rowsBetween(W.unboundedPreceding, 0)) - F.col("aside").cast("int")
-    rows = rows.withColumn("before", before)
+    tables = lambda df, name: df.select(TABLE).distinct().withColumn(name, F.lit(True))
+    told = rows.withColumn("before", before).join(tables(rectangles, "parted"), TABLE, "left").join(tables(separators, "lined"), TABLE, "left").where("parted OR lined")
+    rows = kept_by_table(told.drop("parted", "lined"))
     first = rows.select(TABLE, F.col("row_idx").alias("first_row"), F.col("before").alias("before_first"))
     rect = rectangles.join(first, [TABLE, "first_row"])
     places = slots.select(TABLE, "row_idx", "col_idx").join(rows, [TABLE, "row_idx"])
@@ -216,8 +218,7 @@ def place_labels(slots: DataFrame, rectangles: DataFrame, separators: DataFrame)
     at = r - F.col("first_row") - F.col("before") + F.col("before_first")
     region = F.when(at < F.col("head_rows"), "hmd").when(c - F.col("first_col") < F.col("side_cols"), "vmd").otherwise("data")
     held = inside.groupBy(TABLE, "row_idx", "col_idx").agg(F.min_by(region, F.struct("first_col", "first_row")).alias("held"))
-    known = rectangles.select(TABLE).unionByName(separators.select(TABLE)).distinct()
-    out = places.join(held, [TABLE, "row_idx", "col_idx"], "left").join(known, TABLE, "left_semi")
+    out = places.join(held, [TABLE, "row_idx", "col_idx"], "left")
     return out.select(TABLE, "row_idx", "col_idx", F.when(F.col("aside"), "separator").otherwise(F.coalesce("held", F.lit("uncovered"))).alias("region"))
 
 

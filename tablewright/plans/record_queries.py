@@ -13,7 +13,7 @@ from tablewright.functions import ids
 from tablewright.functions.text import and_list, shortened
 from tablewright.operators import evaluate, export, guidelines, review, rules, sampling
 from tablewright.operators import geometry as g
-from tablewright.plans.fixtures import FIXTURE_CTES, slots
+from tablewright.plans.fixtures import FIXTURE_CTES, kept_by_table, slots
 from tablewright.plans.table_queries import CHOICE, COMMON, PLAIN, TYPES, candidates, cells, query, selected, typed
 from tablewright.sources import extract, records
 
@@ -323,7 +323,7 @@ def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guidelines.routes(rules.SCIENCE, articled(typed(spark, sf_dir)))
+    return guidelines.routes(rules.SCIENCE, articled(typed(spark, sf_dir, text=True)))
 
 
 @query(f"{FULL}{ROUTED} SELECT table_uid, cell_id, type, allowed FROM routed")
@@ -521,8 +521,8 @@ def a18_cell_accuracy(spark, sf_dir, exact=False):
     all_ = slots(spark, sf_dir)
     size = g.shape(all_).select("table_uid", "n_rows", "n_cols")
     whole = chosen(spark, sf_dir).join(size, "table_uid").select("table_uid", F.lit(0).alias("first_row"), (F.col("n_rows") - 1).alias("last_row"), F.lit(0).alias("first_col"), (F.col("n_cols") - 1).alias("last_col"), F.col("hmd").alias("head_rows"), F.col("vmd").alias("side_cols"))
-    truth = evaluate.place_labels(all_, whole, g.separators(all_).limit(0))
-    found = evaluate.cell_accuracy(cells(spark, sf_dir), answered_places(spark, sf_dir), truth)
+    truth = kept_by_table(evaluate.place_labels(all_, whole, g.separators(all_).limit(0)))
+    found = evaluate.cell_accuracy(cells(spark, sf_dir), kept_by_table(answered_places(spark, sf_dir)), truth)
     return found if exact else found.withColumn("accuracy", F.round("accuracy", 6))
 
 
@@ -533,7 +533,7 @@ def a18_end_to_end(spark, sf_dir):
     """Two arms with the same answers, one without those of every third table."""
     per = a18_cell_accuracy(spark, sf_dir, exact=True)
     left = F.split_part("table_uid", F.lit("/t"), F.lit(2)).cast("int") % 3 > 0
-    both = per.withColumn("arm", F.lit("all")).unionByName(per.where(left).withColumn("arm", F.lit("some")))
+    both = per.withColumn("arm", F.explode(F.when(left, F.array(F.lit("all"), F.lit("some"))).otherwise(F.array(F.lit("all")))))
     tables = slots(spark, sf_dir).select("table_uid").distinct().select("table_uid", F.explode(F.array(F.lit("all"), F.lit("some"))).alias("arm"))
     return evaluate.end_to_end(both, tables).select("arm", "n_answered", F.round("answered", 6).alias("answered"), F.round("end_to_end", 6).alias("end_to_end"))
 
