@@ -302,9 +302,10 @@ def r10_segmentation_checks(spark, sf_dir):
     """Two halves of a table that share the middle row, without the last one."""
     shapes = g.shape(slots(spark, sf_dir))
     half = F.floor(F.col("n_rows") / 2).cast("int")
-    one = shapes.select("table_uid", F.lit(0).alias("first_row"), half.alias("last_row"), F.lit(0).alias("first_col"), (F.col("n_cols") - 1).alias("last_col"))
-    two = shapes.where(F.col("n_rows") - 2 >= half).select("table_uid", half.alias("first_row"), (F.col("n_rows") - 2).alias("last_row"), F.lit(0).alias("first_col"), (F.col("n_cols") - 1).alias("last_col"))
-    return review.segmentation_checks(one.unionByName(two), shapes)
+    rectangle = lambda first, last: F.struct(first.alias("first_row"), last.alias("last_row"), F.lit(0).alias("first_col"), (F.col("n_cols") - 1).alias("last_col"))
+    one, two = rectangle(F.lit(0), half), rectangle(half, F.col("n_rows") - 2)
+    both = shapes.select("table_uid", F.inline(F.when(F.col("n_rows") - 2 >= half, F.array(one, two)).otherwise(F.array(one))))
+    return review.segmentation_checks(both, shapes)
 
 
 # --- guidelines --------------------------------------------------------------
