@@ -164,6 +164,9 @@ KEY_BYTES, KEYS = 5, 128
 CENTRE_KEYS = 16
 #: Lists up to this length are tallied pair by pair in rows, longer ones in blocks of about so many members.
 FEW, BLOCK = 4, 1024
+#: Parts of all fingerprints that meet two by two: as many, but of FEW_NODES fingerprints at least and PART_NODES at most;
+#: and how many tasks their blocks are dealt to.
+PARTS, FEW_NODES, PART_NODES, BLOCK_TASKS = 16, 512, 1 << 17, 2048
 #: Fingerprints whose keys are made at a time, and about how many of them a task posts: each makes KEYS rows, which it
 #: tallies before they are dealt by key.
 POST_ROWS, TASK_ROWS = 512, 4096
@@ -213,8 +216,8 @@ def long_fingerprints(docs: DataFrame, shingle: int, index_shingle: int, seed: i
 
 
 def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): links between distinct (node, fp, b0 to b3) whose decisive fingerprints differ in at most max_bits bits: of
-    all pairs that share a key of the index, enough links to connect each pair within max_bits.
+    """(a, b): links between distinct (node, fp, b0 to b3) whose decisive fingerprints differ in at most max_bits bits,
+    enough of them to connect each pair within max_bits: those that the index finds, and what remainder() adds.
 
     Every fingerprint is posted under KEYS keys of KEY_BYTES bytes at fixed positions. Crowds are gathered first: in the
     long lists of CENTRE_KEYS keys all meet the member that has most company there, which in a crowd of copies is the one
@@ -282,7 +285,47 @@ def similar_links(distinct: DataFrame, max_bits: int) -> DataFrame:
 
     long = between(listed.where(F.col("n") > FEW), BLOCK).join(distinct.select("node", *bits), "node")
     dealt = write(long.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")).df
-    return links.unionByName(short).unionByName(dealt).distinct()
+    met = write(links.unionByName(short).unionByName(dealt).distinct()).df
+    return met.unionByName(remainder(distinct, met, max_bits))
+
+
+def remainder(distinct: DataFrame, met: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): links that connect every pair of distinct (node, b0 to b3) within max_bits bits which the links `met` leave apart.
+
+    No choice of keys meets all pairs at such a distance, so all are compared: nodes are dealt by hash into parts, and two
+    parts meet in one block. There are at most PARTS parts, more only where they would hold over PART_NODES nodes, so that
+    a block is bounded however many nodes there are; the work is the square of their number. Half of the bits rule
+    out nearly all pairs.
+    """
+    n = distinct.count()
+    parts = max(1, min(PARTS, n // FEW_NODES), -(-n // PART_NODES))
+    bits = [f"b{k}" for k in range(LONG)]
+    member = write(components(met)).df
+    rows = distinct.select("node", *bits).join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(parts)).cast("int")
+    blocks = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    blocks = blocks.select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).drop("other")
+
+    def compare(block: pa.Table) -> pa.Table:
+        nodes, labels, part, i, j = (block.column(c).to_numpy() for c in ("node", "component", "part", "i", "j"))
+        words = [block.column(b).to_numpy().view(np.uint64) for b in bits]
+        labels, first, second = labels.copy(), np.flatnonzero(part == i), np.flatnonzero(part == j)
+        right = [w[second] for w in words]
+        apart = lambda k, at, which: sum(np.bitwise_count(right[w][at] ^ words[w][k]).astype(np.int16) for w in which)
+        found = []
+        for place, k in enumerate(first):
+            begin = place + 1 if i[0] == j[0] else 0
+            close = begin + np.flatnonzero(apart(k, slice(begin, None), range(LONG // 2)) <= max_bits)
+            close = second[close[apart(k, close, range(LONG)) <= max_bits]]
+            close = close[labels[close] != labels[k]]
+            if len(close):
+                told, at = np.unique(labels[close], return_index=True)
+                found += [(int(nodes[k]), int(nodes[x])) for x in close[at]]
+                labels[np.isin(labels, told)] = labels[k]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
+
+    return write(blocks.repartition(max(1, min(parts * (parts + 1) // 2, BLOCK_TASKS)), "i", "j").groupBy("i", "j").applyInArrow(compare, "a long, b long")).df
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, index_shingle: int = 1, seed: int = 42) -> DataFrame:
@@ -291,7 +334,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Equal fingerprints are one node; the candidates come from an inverted index over bytes of the fingerprint of
     `index_shingle` words, whose bits change less: two texts at the limit of 0.8 for five words share 96 % of their single
-    words if changes are scattered, and so meet under some key nine times in ten, nearer ones almost always. component_id is the smallest doc_id reachable,
+    words if changes are scattered, and so meet under some key nine times in ten, nearer ones almost always; the pairs that
+    the index leaves apart are compared in blocks. component_id is the smallest doc_id reachable,
     head_key the hash of its text (the least, of several rows with that id), text_key of the row's own. Texts are lower-cased in A-Z and split at ASCII white space; a text with fewer words is one shingle; those without words
     are alone. A null doc_id is kept, and is never another's component. Other columns are ignored; an empty table gives no
     rows.

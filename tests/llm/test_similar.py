@@ -73,6 +73,19 @@ def test_recall_against_all_pairs(spark, monkeypatch):
         assert all(expected[i] == expected[c] for i, c in got.items())  # no link that all pairs lack
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_no_pair_that_the_index_misses_is_left_apart(spark, monkeypatch, parts):
+    """Pairs at the limit, of which the index meets a part, in one block and in several: classes equal all pairs'."""
+    for name, value in {"KEYS": 2, "CENTRE_KEYS": 1, "PARTS": parts, "FEW_NODES": 8}.items():
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    texts = corpus(9, 60, 120, 0.09)
+    pairs, expected = classes(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()}
+    assert len(pairs) > 40 and got == expected
+    kept = {r["doc_id"] for r in simhash.drop_similar(spark.createDataFrame(list(texts.items()), SCHEMA)).collect()}
+    assert kept == set(expected.values())
+
+
 def test_similarity_of_edits(spark):
     """Copies with a word in fifty changed are caught, texts that share a passage are not."""
     rng = np.random.default_rng(2)
